@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, labels
 from ..functions.values import big, first_text, money, round2, signed_units
 from ..sources.tables import Tables
 
-FEFO = [F.asc_nulls_last("expiry_date"), F.asc("id")]
+def fefo_order() -> list[Column]:
+    """Earliest expiry first, batches without expiry last, older batch first."""
+    return [F.asc_nulls_last("expiry_date"), F.asc("id")]
 
 
 def stock_by_product(batches: DataFrame) -> DataFrame:
@@ -29,7 +31,7 @@ def in_stock(tables: Tables, product_id: int | None = None) -> DataFrame:
         dates.days_to_expiry(tables.as_of).alias("days_to_expiry"),
         dates.near_expiry_flag(tables.as_of).alias("is_near_expiry"),
     )
-    return flagged.orderBy(*([] if product_id is not None else [F.asc("product_id")]), *FEFO)
+    return flagged.orderBy(*([] if product_id is not None else [F.asc("product_id")]), *fefo_order())
 
 
 def fefo_pick(tables: Tables) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, labels
 from ..functions.fixed import INSIGHTS_PER_RULE, STOCKOUT_UNITS
+from ..functions.values import big
 from ..sources.tables import Tables
 from .batches import stock_by_product
 from .reports import sales_by_product
@@ -59,7 +60,7 @@ def _insight(rows: DataFrame, order: list, rule: int, kind: str, icon: str, titl
     top = rows.orderBy(*order).limit(INSIGHTS_PER_RULE)
     return top.select(
         F.lit(rule).alias("rule"),
-        F.row_number().over(Window.orderBy(*order)).alias("place"),
+        big(F.row_number().over(Window.orderBy(*order))).alias("place"),
         F.lit(kind).alias("type"),
         F.lit(icon).alias("icon"),
         title.alias("title"),
@@ -107,7 +108,7 @@ def smart_insights(tables: Tables) -> DataFrame:
     row = F.struct(*found.columns)
     all_clear = F.struct(
         F.lit(4).alias("rule"),
-        F.lit(1).alias("place"),
+        F.lit(1).cast("bigint").alias("place"),
         F.lit("SUCCESS").alias("type"),
         F.lit("✅").alias("icon"),
         F.lit("Optimal Inventory Health!").alias("title"),

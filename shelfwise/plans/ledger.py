@@ -11,7 +11,9 @@ from ..functions.values import contains_any, first_text, like_any
 from ..operators.lookup import keep_referenced, left_lookup
 from ..sources.tables import Tables
 
-NEWEST_FIRST = [F.desc("txn_date"), F.asc("txn_number")]
+def newest_first() -> list[Column]:
+    return [F.desc("txn_date"), F.asc("txn_number")]
+
 
 
 def _is_set(choice: str | None) -> bool:
@@ -84,7 +86,7 @@ def ledger(
         found = contains_any(literal_search, "product_title", "txn_number")
         keep = found if keep is None else keep & found
     facts = _on_fact(tables, tables.transactions, txn_type, period)
-    return _with_names(tables, facts, keep).orderBy(*NEWEST_FIRST)
+    return _with_names(tables, facts, keep).orderBy(*newest_first())
 
 
 def page_size(text: str | int | None) -> int:
@@ -103,7 +105,7 @@ def ledger_page(
     movements first and only the rows on it meet the dimensions.
     """
     n = page_size(limit)
-    page = _on_fact(tables, tables.transactions, txn_type, period).orderBy(*NEWEST_FIRST).limit(n)
+    page = _on_fact(tables, tables.transactions, txn_type, period).orderBy(*newest_first()).limit(n)
     named = page
     for dim, key, fact_key in (
         (_product_names(tables.products), "_product", "product_id"),
@@ -113,7 +115,7 @@ def ledger_page(
     ):
         few = keep_referenced(dim, key, page, fact_key, n)
         named = named.join(few, F.col(fact_key) == F.col(key), "left").drop(key)
-    return named.orderBy(*NEWEST_FIRST)
+    return named.orderBy(*newest_first())
 
 
 def recent(tables: Tables) -> DataFrame:

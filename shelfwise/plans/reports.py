@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, labels
-from ..functions.values import big, contains_any, money, share, units
+from ..functions.values import MONEY, big, contains_any, money, share, units
 from ..sources.tables import Tables
 from .batches import near_expiry_count, stock_by_product
 from .catalog import low_stock_count, with_category
 
-ZERO_MONEY = F.lit(0).cast("decimal(18,2)")
-ZERO = F.lit(0).cast("bigint")
+
+def _or_zero(column: str, kind: str = "bigint") -> Column:
+    return F.coalesce(F.col(column), F.lit(0).cast(kind))
 
 
 def _sales(tables: Tables, period: str | None = None) -> DataFrame:
@@ -76,10 +77,10 @@ def _product_activity(tables: Tables) -> DataFrame:
         tables.products.join(stock, F.col("id") == F.col("_stocked"), "left")
         .join(sold, F.col("id") == F.col("_sold"), "left")
         .drop("_stocked", "_sold")
-        .withColumn("current_stock", F.coalesce("total_stock", ZERO))
-        .withColumn("total_units_sold", F.coalesce("total_sold", ZERO))
-        .withColumn("total_revenue", F.coalesce("total_revenue", ZERO_MONEY))
-        .withColumn("batch_count", F.coalesce("batch_count", ZERO))
+        .withColumn("current_stock", _or_zero("total_stock"))
+        .withColumn("total_units_sold", _or_zero("total_sold"))
+        .withColumn("total_revenue", _or_zero("total_revenue", MONEY))
+        .withColumn("batch_count", _or_zero("batch_count"))
     )
 
 
@@ -141,7 +142,7 @@ def velocity_status_counts(tables: Tables) -> DataFrame:
         F.col("id") == F.col("_sold"),
         "left",
     )
-    status = labels.velocity_class(F.coalesce("total_sold", ZERO))
+    status = labels.velocity_class(_or_zero("total_sold"))
     return stockless.groupBy(status.alias("velocity_status")).agg(big(F.count(F.lit(1))).alias("products"))
 
 
@@ -165,8 +166,8 @@ def valuation_by_product(tables: Tables) -> DataFrame:
         .select(
             "id", "sku", "title", "domain_preset",
             labels.category_label().alias("category_name"),
-            F.coalesce("total_stock", ZERO).alias("total_stock"),
-            *[F.coalesce(v, ZERO_MONEY).alias(v) for v in _VALUES],
+            _or_zero("total_stock").alias("total_stock"),
+            *[_or_zero(v, MONEY).alias(v) for v in _VALUES],
         )
         .orderBy(F.desc("total_cost_value"), "id")
     )

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +24,7 @@ def _on_tables(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession,
 def _with_used_categories(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         tables = scaled.load(spark, sf_dir)
-        return build(replace(tables, categories=scaled.categories_in_use(spark, sf_dir)))
+        return build(tables.replaced(categories=lambda: scaled.categories_in_use(spark, sf_dir)))
 
     return run
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions.fixed import NEW_ID_BASE
 from . import scaled
@@ -16,11 +15,11 @@ from . import scaled
 NO_SUCH_ID = 900_000_000_000
 
 
-def read_json(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def stream_json(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 64) -> DataFrame:
+def stream_json(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 64) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 

@@ -200,14 +200,14 @@ def product_batches(spark: SparkSession, sf_dir: str, narrow: DataFrame) -> Data
 
 
 def load(spark: SparkSession, sf_dir: str) -> Tables:
-    narrow = movements(spark, sf_dir)
-    return Tables(
-        users=users(spark),
-        categories=categories(spark),
-        suppliers=suppliers(spark, sf_dir),
-        products=products(spark, sf_dir),
-        product_batches=product_batches(spark, sf_dir, narrow),
-        transactions=transactions(spark, sf_dir, narrow).drop("order_key"),
-        as_of=AS_OF,
-        narrow_ledger=narrow,
+    tables = Tables(
+        AS_OF,
+        users=lambda: users(spark),
+        categories=lambda: categories(spark),
+        suppliers=lambda: suppliers(spark, sf_dir),
+        products=lambda: products(spark, sf_dir),
+        product_batches=lambda: product_batches(spark, sf_dir, tables.movements),
+        transactions=lambda: transactions(spark, sf_dir, tables.movements).drop("order_key"),
+        movements=lambda: movements(spark, sf_dir),
     )
+    return tables

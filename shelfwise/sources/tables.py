@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 from datetime import date
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,9 +20,8 @@ _SCHEMAS = {
 }
 
 
-@dataclass(frozen=True)
 class Tables:
-    """What every plan reads.
+    """What every plan reads: a DataFrame per table, built when first asked for.
 
     ``movements`` is the ledger without the columns that a source can only supply
     through lookups (unit price, customer name); plans that need neither read it.
@@ -34,18 +34,35 @@ class Tables:
     products: DataFrame
     product_batches: DataFrame
     transactions: DataFrame
-    as_of: date
-    narrow_ledger: DataFrame | None = None
+    movements: DataFrame
 
-    @property
-    def movements(self) -> DataFrame:
-        return self.transactions if self.narrow_ledger is None else self.narrow_ledger
+    def __init__(self, as_of: date, **tables: DataFrame | Callable[[], DataFrame]):
+        self.as_of = as_of
+        self._tables = tables
+
+    def __getattr__(self, name: str) -> DataFrame:
+        # Only reached while the attribute has not been built.
+        tables = self.__dict__["_tables"]
+        if name == "movements" and name not in tables:
+            return self.transactions
+        if name not in tables:
+            raise AttributeError(name)
+        source = tables[name]
+        frame = source if isinstance(source, DataFrame) else source()
+        setattr(self, name, frame)
+        return frame
+
+    def replaced(self, **tables: DataFrame | Callable[[], DataFrame]) -> Tables:
+        return Tables(self.as_of, **{**self._tables, **tables})
 
 
 def read_parquet(spark: SparkSession, root: str, as_of: date) -> Tables:
     """Tables stored as one Parquet folder each; the ledger may be partitioned by ``txn_day``."""
-    frames = {name: spark.read.schema(schema).parquet(f"{root}/{name}") for name, schema in _SCHEMAS.items()}
-    return Tables(**frames, as_of=as_of)
+
+    def load(name: str) -> DataFrame:
+        return spark.read.schema(_SCHEMAS[name]).parquet(f"{root}/{name}")
+
+    return Tables(as_of, **{name: partial(load, name) for name in _SCHEMAS})
 
 
 def read_jdbc(
@@ -73,4 +90,4 @@ def read_jdbc(
             url, name, column="id", lowerBound=low, upperBound=high, numPartitions=connections, properties=properties
         )
 
-    return Tables(**{name: load(name) for name in _SCHEMAS}, as_of=as_of)
+    return Tables(as_of, **{name: partial(load, name) for name in _SCHEMAS})

@@ -4,30 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-SPREAD = 256
+SPREAD = 1024
+_BELOW_ALL_IDS = -(1 << 62)
 
 
 def left_lookup(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, *, spread_by: str) -> DataFrame:
     """Left join to a lookup with one row per key, where many fact rows have no key.
 
     All rows without a key would meet in one shuffle partition. They can match
-    nothing, so they get a second, spreading key that no lookup row carries. Hot real
-    keys are left to Spark's skew-join splitting, which may split this (left) side.
-    The lookup's key column is dropped.
+    nothing, so each joins on one of many made-up keys instead; the second condition
+    keeps them unmatched whatever the lookup holds. Hot real keys are left to Spark's
+    skew-join splitting, which may split this (left) side. The lookup's key is dropped.
     """
-    spread = F.when(F.col(fact_key).isNull(), 1 + F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)).cast("int")).otherwise(0)
-    left = fact.withColumn("_spread", spread)
-    right = dim.withColumn("_zero", F.lit(0))
-    on = (left[fact_key] == right[dim_key]) & (left["_spread"] == right["_zero"])
-    return left.join(right, on, "left").drop("_spread", "_zero", dim_key)
+    slot = F.pmod(F.xxhash64(spread_by), F.lit(SPREAD))
+    if isinstance(fact.schema[fact_key].dataType, StringType):
+        made_up = F.concat(F.lit("\x00"), slot.cast("string"))
+    else:
+        made_up = F.lit(_BELOW_ALL_IDS) + slot
+    left = fact.withColumn("_join_key", F.coalesce(F.col(fact_key), made_up))
+    on = (left["_join_key"] == dim[dim_key]) & left[fact_key].isNotNull()
+    return left.join(dim, on, "left").drop("_join_key", dim_key)
 
 
-def keep_referenced(dim: DataFrame, dim_key: str, fact: DataFrame, fact_key: str, bound: int) -> DataFrame:
-    """Lookup rows that the ``bound`` fact rows refer to, small enough to broadcast.
+def lookup_few(rows: DataFrame, dim: DataFrame, row_key: str, dim_key: str, bound: int) -> DataFrame:
+    """Left join of at most ``bound`` rows to a lookup of any size with one row per key.
 
-    The caller vouches for ``bound`` (a LIMIT below), so the keys are broadcast to the
-    lookup's scan, and at most that many rows of it, one per key, come back.
+    The caller vouches for ``bound`` (a LIMIT below). The few keys are broadcast to the
+    lookup's scan, the rows found, one per key, are broadcast back: nothing is shuffled.
     """
-    keys = fact.select(F.col(fact_key).alias(dim_key)).filter(F.col(dim_key).isNotNull()).distinct().limit(bound)
-    return F.broadcast(dim.join(F.broadcast(keys), dim_key, "left_semi"))
+    keys = rows.select(F.col(row_key).alias(dim_key)).filter(F.col(dim_key).isNotNull()).distinct().limit(bound)
+    found = F.broadcast(dim.join(F.broadcast(keys), dim_key, "left_semi"))
+    return rows.join(found, rows[row_key] == found[dim_key], "left").drop(dim_key)

@@ -74,7 +74,7 @@ def near_expiry(tables: Tables) -> DataFrame:
 
 
 def near_expiry_count(tables: Tables) -> DataFrame:
-    return tables.product_batches.filter(dates.expires_in_window(tables.as_of)).agg(
+    return tables.stock.filter(dates.expires_in_window(tables.as_of)).agg(
         big(F.count(F.lit(1))).alias("near_expiry_count")
     )
 
@@ -91,7 +91,7 @@ def offered_discount(tables: Tables) -> DataFrame:
 
 def display(tables: Tables, no_offer: str = "Regular Stock") -> DataFrame:
     """Batch texts; pick lists say 'Regular Price' and alerts 'Near Expiry' where there is no offer."""
-    return tables.product_batches.select(
+    return tables.stock.select(
         F.col("id").alias("batch_id"),
         "batch_number",
         labels.iso_day("expiry_date", "N/A").alias("expiry_text"),
@@ -107,7 +107,7 @@ def reconcile(tables: Tables) -> DataFrame:
         .groupBy("batch_id")
         .agg(big(F.sum(signed_units())).alias("ledger_qty"))
     )
-    held = tables.product_batches.select(F.col("id").alias("batch_id"), big("available_qty").alias("on_hand_qty"))
+    held = tables.stock.select(F.col("id").alias("batch_id"), big("available_qty").alias("on_hand_qty"))
     both = held.join(booked, "batch_id", "full_outer")
     gap = F.coalesce("on_hand_qty", F.lit(0)) - F.coalesce("ledger_qty", F.lit(0))
     return both.select("batch_id", "ledger_qty", "on_hand_qty", gap.alias("difference"), (gap == 0).alias("reconciles"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +50,7 @@ def catalog(
     if literal_search:
         rows = rows.filter(contains_any(literal_search, "title", "sku"))
     named = with_category(rows, tables.categories).drop("_category", "domain_type")
-    return with_stock(named, tables.product_batches).orderBy("title", "id")
+    return with_stock(named, tables.stock).orderBy("title", "id")
 
 
 def status(tables: Tables) -> DataFrame:
@@ -60,7 +58,7 @@ def status(tables: Tables) -> DataFrame:
     low = F.col("total_stock") <= F.col("min_reorder_level")
     unit = first_text("unit_of_measure", default="Pcs")
     stock = F.col("total_stock").cast("string")
-    return with_stock(tables.products, tables.product_batches).select(
+    return with_stock(tables.products, tables.stock).select(
         "id",
         "sku",
         "total_stock",
@@ -73,7 +71,7 @@ def status(tables: Tables) -> DataFrame:
 
 def low_stock(tables: Tables) -> DataFrame:
     """Products at or below their reorder level, emptiest first."""
-    stocked = with_stock(tables.products, tables.product_batches)
+    stocked = with_stock(tables.products, tables.stock)
     short = stocked.filter(F.col("total_stock") <= F.col("min_reorder_level"))
     return (
         with_category(short, tables.categories)
@@ -92,7 +90,7 @@ def low_stock_status(tables: Tables) -> DataFrame:
 
 
 def low_stock_count(tables: Tables) -> DataFrame:
-    stocked = with_stock(tables.products.select("id", "min_reorder_level"), tables.product_batches)
+    stocked = with_stock(tables.products.select("id", "min_reorder_level"), tables.stock)
     short = stocked.filter(F.col("total_stock") <= F.col("min_reorder_level"))
     return short.agg(big(F.count(F.lit(1))).alias("low_stock_count"))
 
@@ -109,7 +107,7 @@ def _pick_list(rows: DataFrame, title: str, subtitle: Column, term: str) -> Data
 
 def typeahead_products(tables: Tables, term: str) -> DataFrame:
     return _pick_list(
-        with_stock(tables.products, tables.product_batches), "title", labels.product_subtitle(), term
+        with_stock(tables.products, tables.stock), "title", labels.product_subtitle(), term
     )
 
 
@@ -128,7 +126,7 @@ def resolve_typed(tables: Tables, typed: list[str]) -> DataFrame:
     answered in one pass with one running minimum each instead of a join.
     """
     terms = list(dict.fromkeys(t.strip().lower() for t in typed if t.strip()))
-    listed = with_stock(tables.products, tables.product_batches).select(
+    listed = with_stock(tables.products, tables.stock).select(
         "id", "title", F.lower("title").alias("_title"), F.lower(labels.product_subtitle()).alias("_sub")
     )
 

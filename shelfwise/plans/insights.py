@@ -25,7 +25,7 @@ def never_sold(tables: Tables) -> DataFrame:
 def stockout_candidates(tables: Tables) -> DataFrame:
     """Products that sell and have run down to their reorder level."""
     sold = sales_by_product(tables).filter(F.col("total_sold") >= STOCKOUT_UNITS)
-    stock = stock_by_product(tables.product_batches).withColumnRenamed("product_id", "_stocked")
+    stock = stock_by_product(tables.stock).withColumnRenamed("product_id", "_stocked")
     return (
         tables.products.join(
             sold.select(F.col("product_id").alias("id"), F.col("total_sold").alias("sold")), "id"
@@ -41,7 +41,7 @@ def clearance_candidates(tables: Tables) -> DataFrame:
     """In-stock batches that expire within the window."""
     titles = tables.products.select(F.col("id").alias("product_id"), "title")
     return (
-        tables.product_batches.filter(dates.expires_in_window(tables.as_of))
+        tables.stock.filter(dates.expires_in_window(tables.as_of))
         .join(titles, "product_id")
         .select("id", "batch_number", "available_qty", "expiry_date", "title")
     )
@@ -49,7 +49,7 @@ def clearance_candidates(tables: Tables) -> DataFrame:
 
 def dead_stock_candidates(tables: Tables) -> DataFrame:
     """Products with stock that were never sold."""
-    stock = stock_by_product(tables.product_batches).filter(F.col("total_stock") > 0)
+    stock = stock_by_product(tables.stock).filter(F.col("total_stock") > 0)
     return never_sold(tables).join(
         stock.select(F.col("product_id").alias("id"), F.col("total_stock").alias("stock")), "id"
     )

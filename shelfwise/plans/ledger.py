@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import dates, labels
 from ..functions.fixed import LEDGER_PAGE, RECENT_ROWS
 from ..functions.values import contains_any, first_text, like_any
-from ..operators.lookup import keep_referenced, left_lookup
+from ..operators.lineage import cut
+from ..operators.lookup import left_lookup, lookup_few
 from ..sources.tables import Tables
 
 def newest_first() -> list[Column]:
@@ -56,12 +57,12 @@ def _user_names(users: DataFrame) -> DataFrame:
 
 def _with_names(tables: Tables, facts: DataFrame, keep: Column | None = None) -> DataFrame:
     """Left joins to the four dimensions; ``keep`` may use product and batch columns."""
-    joined = left_lookup(facts, _product_names(tables.products), "product_id", "_product", spread_by="txn_number")
-    joined = left_lookup(joined, _batch_names(tables.product_batches), "batch_id", "_batch", spread_by="txn_number")
+    joined = facts.join(_product_names(tables.products), F.col("product_id") == F.col("_product"), "left")
+    joined = left_lookup(joined, _batch_names(tables.stock), "batch_id", "_batch", spread_by="txn_number")
     if keep is not None:
         joined = joined.filter(keep)
     joined = left_lookup(joined, _supplier_names(tables.suppliers), "supplier_id", "_supplier", spread_by="txn_number")
-    return left_lookup(joined, _user_names(tables.users), "user_id", "_user", spread_by="txn_number")
+    return joined.join(_user_names(tables.users), F.col("user_id") == F.col("_user"), "left").drop("_product", "_user")
 
 
 def ledger(
@@ -85,8 +86,8 @@ def ledger(
     if literal_search:
         found = contains_any(literal_search, "product_title", "txn_number")
         keep = found if keep is None else keep & found
-    facts = _on_fact(tables, tables.transactions, txn_type, period)
-    return _with_names(tables, facts, keep).orderBy(*newest_first())
+    facts = _on_fact(tables, tables.movements, txn_type, period)
+    return _with_names(tables, tables.complete(facts), keep).orderBy(*newest_first())
 
 
 def page_size(text: str | int | None) -> int:
@@ -102,19 +103,18 @@ def ledger_page(
     """Newest rows of the ledger.
 
     The left joins neither add nor drop rows, so the page is cut from the bare
-    movements first and only the rows on it meet the dimensions.
+    movements first, in one pass over them, and only the rows on it meet the dimensions.
     """
     n = page_size(limit)
-    page = _on_fact(tables, tables.transactions, txn_type, period).orderBy(*newest_first()).limit(n)
-    named = page
+    page = cut(_on_fact(tables, tables.movements, txn_type, period).orderBy(*newest_first()).limit(n), "page")
+    named = tables.complete(page, n)
     for dim, key, fact_key in (
         (_product_names(tables.products), "_product", "product_id"),
-        (_batch_names(tables.product_batches), "_batch", "batch_id"),
+        (_batch_names(tables.stock), "_batch", "batch_id"),
         (_supplier_names(tables.suppliers), "_supplier", "supplier_id"),
         (_user_names(tables.users), "_user", "user_id"),
     ):
-        few = keep_referenced(dim, key, page, fact_key, n)
-        named = named.join(few, F.col(fact_key) == F.col(key), "left").drop(key)
+        named = lookup_few(named, dim, fact_key, key, n)
     return named.orderBy(*newest_first())
 
 

@@ -31,7 +31,7 @@ def duplicates(tables: Tables) -> DataFrame:
         ("categories.name", tables.categories, [low("name")]),
         ("products.sku", tables.products, [low("sku")]),
         ("products.barcode", tables.products, [low("barcode")]),
-        ("product_batches.batch_number", tables.product_batches, [low("batch_number"), F.col("product_id")]),
+        ("product_batches.batch_number", tables.stock, [low("batch_number"), F.col("product_id")]),
         ("transactions.txn_number", tables.movements, [low("txn_number")]),
     ]
     return _union(
@@ -62,9 +62,9 @@ def orphans(tables: Tables) -> DataFrame:
     return _union(
         [
             _orphans("products.category_id", tables.products, "category_id", tables.categories),
-            _orphans("product_batches.product_id", tables.product_batches, "product_id", tables.products),
+            _orphans("product_batches.product_id", tables.stock, "product_id", tables.products),
             _orphans("transactions.product_id", ledger, "product_id", tables.products),
-            _orphans("transactions.batch_id", ledger, "batch_id", tables.product_batches),
+            _orphans("transactions.batch_id", ledger, "batch_id", tables.stock),
             _orphans("transactions.supplier_id", ledger, "supplier_id", tables.suppliers),
             _orphans("transactions.user_id", ledger, "user_id", tables.users),
         ]

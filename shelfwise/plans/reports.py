@@ -71,7 +71,7 @@ def _search_category(rows: DataFrame, search: str | None) -> DataFrame:
 
 def _product_activity(tables: Tables) -> DataFrame:
     """Every product with its stock, batch count and sales; both sides are summed before the join."""
-    stock = stock_by_product(tables.product_batches).withColumnRenamed("product_id", "_stocked")
+    stock = stock_by_product(tables.stock).withColumnRenamed("product_id", "_stocked")
     sold = sales_by_product(tables).withColumnRenamed("product_id", "_sold")
     return (
         tables.products.join(stock, F.col("id") == F.col("_stocked"), "left")

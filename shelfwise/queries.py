@@ -58,7 +58,7 @@ READS: dict[str, Callable[[Tables], DataFrame]] = {
     "list_suppliers": lambda t: catalog.by_name(t.suppliers),
     "typeahead_suppliers": lambda t: catalog.typeahead_suppliers(t, "agent 1"),
     # batches
-    "stock_by_product": lambda t: batches.stock_by_product(t.product_batches),
+    "stock_by_product": lambda t: batches.stock_by_product(t.stock),
     "fefo_batches": batches.in_stock,
     "fefo_pick": batches.fefo_pick,
     "near_expiry": batches.near_expiry,

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import PRICE, signed_units
-from ..operators.lookup import left_lookup
+from ..operators.lookup import left_lookup, lookup_few
 from .tables import Tables
 
 # The reporting date, which replaces the wall clock, and the small dimensions.
@@ -161,53 +161,65 @@ def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def transactions(spark: SparkSession, sf_dir: str, narrow: DataFrame) -> DataFrame:
-    """The whole ledger: movements with unit price and, on sales, the customer."""
-    buyers = (
-        table(spark, sf_dir, "orders")
-        .select(F.col("o_orderkey").alias("sale_order"), "o_custkey")
-        .join(
-            table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("customer_name")),
-            F.col("o_custkey") == F.col("c_custkey"),
-            "left",
+def complete(spark: SparkSession, sf_dir: str, rows: DataFrame, bound: int | None = None) -> DataFrame:
+    """Movements with unit price and, on sales, the customer."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sale_order"), "o_custkey")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("customer_name"))
+    prices = _prices(spark, sf_dir)
+    keyed = rows.withColumn("sale_key", F.when(F.col("txn_type") == "SALE", F.col("order_key")))
+    if bound is not None:
+        bought = lookup_few(keyed, orders, "sale_key", "sale_order", bound)
+        named = lookup_few(bought, customers, "o_custkey", "c_custkey", bound)
+        priced = lookup_few(named, prices, "product_id", "priced_id", bound)
+    else:
+        buyers = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
+        named = left_lookup(
+            keyed, buyers.select("sale_order", "customer_name"), "sale_key", "sale_order", spread_by="txn_number"
         )
-        .select("sale_order", "customer_name")
-    )
-    sale_order = narrow.withColumn("sale_key", F.when(F.col("txn_type") == "SALE", F.col("order_key")))
-    with_buyer = left_lookup(sale_order, buyers, "sale_key", "sale_order", spread_by="txn_number")
-    return with_buyer.drop("sale_key").join(
-        _prices(spark, sf_dir), F.col("product_id") == F.col("priced_id"), "left"
-    ).drop("priced_id")
+        priced = named.join(prices, F.col("product_id") == F.col("priced_id"), "left")
+    return priced.drop("sale_key", "order_key", "o_custkey", "priced_id")
 
 
-def product_batches(spark: SparkSession, sf_dir: str, narrow: DataFrame) -> DataFrame:
-    """Batches with the balance the ledger leaves; the price joins after the roll-up."""
+def stock(narrow: DataFrame) -> DataFrame:
+    """Batches with the balance the ledger leaves, without prices."""
     balance = narrow.groupBy("batch_id", "product_id").agg(F.sum(signed_units()).alias("net"))
     batch, product = F.col("batch_id"), F.col("product_id")
     offset = ((product * 7 + batch % 10 * 31) % 120 - 20).cast("int")
     discounted = product % 4 == 0
-    return balance.join(_prices(spark, sf_dir), product == F.col("priced_id"), "left").select(
+    return balance.select(
         batch.alias("id"),
         F.concat(F.lit("BATCH-"), batch.cast("string")).alias("batch_number"),
         product,
         F.when(product % 5 != 0, F.date_add(F.lit(AS_OF), offset)).alias("expiry_date"),
         F.greatest(F.lit(0), F.col("net")).cast("int").alias("available_qty"),
-        (F.col("unit_price") * F.lit("0.60").cast("decimal(3,2)")).cast(PRICE).alias("purchase_price"),
-        (F.col("unit_price") + batch % 10).cast(PRICE).alias("selling_price"),
         F.when(discounted, 20).otherwise(0).cast("decimal(5,2)").alias("batch_discount_percent"),
         F.when(discounted, "20% Clearance").alias("offer_description"),
     )
 
 
+def product_batches(spark: SparkSession, sf_dir: str, unpriced: DataFrame) -> DataFrame:
+    """Batches with their prices; the price joins after the roll-up."""
+    priced = unpriced.join(_prices(spark, sf_dir), F.col("product_id") == F.col("priced_id"), "left")
+    price = F.col("unit_price")
+    return priced.select(
+        "id", "batch_number", "product_id", "expiry_date", "available_qty",
+        (price * F.lit("0.60").cast("decimal(3,2)")).cast(PRICE).alias("purchase_price"),
+        (price + F.col("id") % 10).cast(PRICE).alias("selling_price"),
+        "batch_discount_percent", "offer_description",
+    )
+
+
 def load(spark: SparkSession, sf_dir: str) -> Tables:
     tables = Tables(
         AS_OF,
+        lambda rows, bound: complete(spark, sf_dir, rows, bound),
         users=lambda: users(spark),
         categories=lambda: categories(spark),
         suppliers=lambda: suppliers(spark, sf_dir),
         products=lambda: products(spark, sf_dir),
-        product_batches=lambda: product_batches(spark, sf_dir, tables.movements),
-        transactions=lambda: transactions(spark, sf_dir, tables.movements).drop("order_key"),
+        product_batches=lambda: product_batches(spark, sf_dir, tables.stock),
+        stock=lambda: stock(tables.movements),
+        transactions=lambda: tables.complete(tables.movements),
         movements=lambda: movements(spark, sf_dir),
     )
     return tables

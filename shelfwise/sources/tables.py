@@ -23,9 +23,11 @@ _SCHEMAS = {
 class Tables:
     """What every plan reads: a DataFrame per table, built when first asked for.
 
-    ``movements`` is the ledger without the columns that a source can only supply
-    through lookups (unit price, customer name); plans that need neither read it.
-    Where the ledger is stored whole, the two are the same frame.
+    Some columns a source may only be able to supply through a join. Plans that do not
+    need them read the narrow form: ``movements`` is the ledger without unit price and
+    customer name, ``stock`` the batches without prices. ``complete`` adds the ledger's
+    missing columns to some movements. Where tables are stored whole, the narrow forms
+    are the tables themselves.
     """
 
     users: DataFrame
@@ -35,16 +37,28 @@ class Tables:
     product_batches: DataFrame
     transactions: DataFrame
     movements: DataFrame
-
-    def __init__(self, as_of: date, **tables: DataFrame | Callable[[], DataFrame]):
+    stock: DataFrame
+
+    def __init__(
+        self,
+        as_of: date,
+        complete: Callable[[DataFrame, int | None], DataFrame] | None = None,
+        **tables: DataFrame | Callable[[], DataFrame],
+    ):
         self.as_of = as_of
+        self._complete = complete
         self._tables = tables
 
+    def complete(self, movements: DataFrame, bound: int | None = None) -> DataFrame:
+        """Ledger rows of these movements; ``bound`` is their largest possible number, if known."""
+        return movements if self._complete is None else self._complete(movements, bound)
+
     def __getattr__(self, name: str) -> DataFrame:
         # Only reached while the attribute has not been built.
         tables = self.__dict__["_tables"]
-        if name == "movements" and name not in tables:
-            return self.transactions
+        wide = {"movements": "transactions", "stock": "product_batches"}.get(name)
+        if wide and name not in tables:
+            return getattr(self, wide)
         if name not in tables:
             raise AttributeError(name)
         source = tables[name]
@@ -53,7 +67,7 @@ class Tables:
         return frame
 
     def replaced(self, **tables: DataFrame | Callable[[], DataFrame]) -> Tables:
-        return Tables(self.as_of, **{**self._tables, **tables})
+        return Tables(self.as_of, self._complete, **{**self._tables, **tables})
 
 
 def read_parquet(spark: SparkSession, root: str, as_of: date) -> Tables:

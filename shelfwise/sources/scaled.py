@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.values import PRICE, signed_units
+from ..functions.values import signed_units
 from ..operators.lookup import left_lookup, lookup_few
 from .tables import Tables
 
@@ -47,16 +47,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _by_part_type(pick: int) -> Column:
-    chosen = None
-    for part_type, values in PART_TYPES.items():
-        test = F.col("p_type") == part_type
-        chosen = F.when(test, values[pick]) if chosen is None else chosen.when(test, values[pick])
-    return chosen.otherwise(OTHER_TYPE[pick])
-
-
-def _padded(column: Column, width: int) -> Column:
-    return F.lpad(column.cast("string"), width, "0")
+def _by_part_type(pick: int) -> str:
+    whens = " ".join(f"WHEN '{part_type}' THEN {values[pick]!r}" for part_type, values in PART_TYPES.items())
+    return f"CASE p_type {whens} ELSE {OTHER_TYPE[pick]!r} END"
 
 
 def _constant(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
@@ -70,7 +63,7 @@ def categories(spark: SparkSession) -> DataFrame:
 
 def categories_in_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The categories that the part table mentions."""
-    used = table(spark, sf_dir, "part").select(_by_part_type(0).alias("id")).distinct()
+    used = table(spark, sf_dir, "part").selectExpr(f"{_by_part_type(0)} AS id").distinct()
     return categories(spark).join(used, "id", "left_semi")
 
 
@@ -79,85 +72,66 @@ def users(spark: SparkSession) -> DataFrame:
 
 
 def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    agent = F.concat(F.lit("Agent "), F.col("s_nationkey").cast("string"))
-    return table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("id"),
-        F.col("s_name").alias("name"),
-        F.when(F.col("s_nationkey") % 5 != 0, agent).alias("contact_person"),
+    return table(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey AS id",
+        "s_name AS name",
+        "IF(s_nationkey % 5 <> 0, 'Agent ' || s_nationkey, NULL) AS contact_person",
     )
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key, size = F.col("p_partkey"), F.col("p_size")
-    return table(spark, sf_dir, "part").select(
-        key.alias("id"),
-        F.concat(F.lit("SKU-"), _padded(key, 8)).alias("sku"),
-        F.when(key % 7 != 0, F.concat(F.lit("890"), _padded(key, 10))).alias("barcode"),
-        F.col("p_name").alias("title"),
-        _by_part_type(0).alias("category_id"),
-        F.when(size % 3 == 0, "Boxes").when(size % 3 == 1, "Kg").otherwise("Pcs").alias("unit_of_measure"),
-        size.alias("min_reorder_level"),
-        _by_part_type(1).alias("domain_preset"),
-        F.col("p_brand").alias("brand"),
-        F.concat(F.lit("Rack "), (size % 10).cast("string")).alias("storage_location"),
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS id",
+        "'SKU-' || lpad(p_partkey, 8, '0') AS sku",
+        "IF(p_partkey % 7 <> 0, '890' || lpad(p_partkey, 10, '0'), NULL) AS barcode",
+        "p_name AS title",
+        f"{_by_part_type(0)} AS category_id",
+        "CASE p_size % 3 WHEN 0 THEN 'Boxes' WHEN 1 THEN 'Kg' ELSE 'Pcs' END AS unit_of_measure",
+        "p_size AS min_reorder_level",
+        f"{_by_part_type(1)} AS domain_preset",
+        "p_brand AS brand",
+        "'Rack ' || p_size % 10 AS storage_location",
     )
 
 
-def _txn_type() -> Column:
-    flag, status, part = F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_partkey")
-    line, quantity = F.col("l_linenumber"), F.col("l_quantity")
-    small_closed = (status == "F") & (quantity <= 5)
-    issue = (
-        F.when(line % 3 == 0, "INTERNAL_USE").when(line % 3 == 1, "DAMAGE_WRITE_OFF").otherwise("VENDOR_RETURN")
-    )
-    return (
-        F.when((flag == "A") | ((flag == "R") & (status == "F")), "STOCK_IN")
-        .when(flag == "R", issue)
-        .when(part % 10 == 0, "INTERNAL_USE")
-        .when((part % 10).isin(1, 2) & ~small_closed, "INTERNAL_USE")
-        .otherwise("SALE")
-    )
+_TXN_TYPE = """
+    CASE WHEN l_returnflag = 'A' OR (l_returnflag = 'R' AND l_linestatus = 'F') THEN 'STOCK_IN'
+         WHEN l_returnflag = 'R' AND l_linenumber % 3 = 0 THEN 'INTERNAL_USE'
+         WHEN l_returnflag = 'R' AND l_linenumber % 3 = 1 THEN 'DAMAGE_WRITE_OFF'
+         WHEN l_returnflag = 'R' THEN 'VENDOR_RETURN'
+         WHEN l_partkey % 10 = 0 THEN 'INTERNAL_USE'
+         WHEN l_partkey % 10 IN (1, 2) AND (l_linestatus <> 'F' OR l_quantity > 5) THEN 'INTERNAL_USE'
+         ELSE 'SALE' END AS txn_type
+"""
 
 
 def movements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger columns that the line item carries itself."""
-    kind = F.col("txn_type")
-    order, part, supplier, ship = (F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate"))
-    amount = F.col("l_extendedprice").cast(PRICE)
-    day_number = F.year(ship) * 10000 + F.month(ship) * 100 + F.day(ship)
-    prefix = F.when(kind == "STOCK_IN", "TXN-IN-").otherwise("TXN-OUT-")
-    key_parts = [x.cast("string") for x in (order, F.col("l_linenumber"), part, supplier, day_number)]
-    payment = F.element_at(
-        F.array(*[F.lit(x) for x in ("PAID", "PENDING", "CREDIT", "PARTIAL")]), F.col("l_linenumber") % 4 + 1
-    )
-    return (
-        table(spark, sf_dir, "lineitem")
-        .withColumn("txn_type", _txn_type())
-        .select(
-            F.concat(prefix, F.concat_ws("-", *key_parts)).alias("txn_number"),
-            kind,
-            part.alias("product_id"),
-            (part * 10 + supplier % 3).alias("batch_id"),
-            F.col("l_quantity").cast("int").alias("quantity"),
-            (amount * F.col("l_discount").cast("decimal(5,2)")).cast(PRICE).alias("discount_amount"),
-            (amount * F.col("l_tax").cast("decimal(5,2)")).cast(PRICE).alias("tax_amount"),
-            amount.alias("total_amount"),
-            F.when(kind.isin("STOCK_IN", "VENDOR_RETURN"), supplier).alias("supplier_id"),
-            F.when(kind == "INTERNAL_USE", F.concat(F.lit("DEPT-"), (supplier % 5).cast("string"))).alias("dept_name"),
-            F.when(kind == "SALE", F.concat(F.lit("BILL-"), order.cast("string")))
-            .when(kind == "STOCK_IN", F.concat(F.lit("INV-"), order.cast("string")))
-            .alias("invoice_ref"),
-            payment.alias("payment_status"),
-            (1 + order % 4).alias("user_id"),
-            ship.alias("txn_date"),
-            order.alias("order_key"),
-        )
+    typed = table(spark, sf_dir, "lineitem").selectExpr("*", _TXN_TYPE)
+    amount = "CAST(l_extendedprice AS DECIMAL(10,2))"
+    return typed.selectExpr(
+        "concat(IF(txn_type = 'STOCK_IN', 'TXN-IN-', 'TXN-OUT-'), l_orderkey, '-', l_linenumber, '-', l_partkey, '-',"
+        " l_suppkey, '-', year(l_shipdate) * 10000 + month(l_shipdate) * 100 + day(l_shipdate)) AS txn_number",
+        "txn_type",
+        "l_partkey AS product_id",
+        "l_partkey * 10 + l_suppkey % 3 AS batch_id",
+        "CAST(l_quantity AS INT) AS quantity",
+        f"CAST({amount} * CAST(l_discount AS DECIMAL(5,2)) AS DECIMAL(10,2)) AS discount_amount",
+        f"CAST({amount} * CAST(l_tax AS DECIMAL(5,2)) AS DECIMAL(10,2)) AS tax_amount",
+        f"{amount} AS total_amount",
+        "IF(txn_type IN ('STOCK_IN', 'VENDOR_RETURN'), l_suppkey, NULL) AS supplier_id",
+        "IF(txn_type = 'INTERNAL_USE', 'DEPT-' || l_suppkey % 5, NULL) AS dept_name",
+        "CASE txn_type WHEN 'SALE' THEN 'BILL-' || l_orderkey WHEN 'STOCK_IN' THEN 'INV-' || l_orderkey END AS invoice_ref",
+        "elt(l_linenumber % 4 + 1, 'PAID', 'PENDING', 'CREDIT', 'PARTIAL') AS payment_status",
+        "1 + l_orderkey % 4 AS user_id",
+        "l_shipdate AS txn_date",
+        "l_orderkey AS order_key",
     )
 
 
 def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("priced_id"), F.col("p_retailprice").cast(PRICE).alias("unit_price")
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS priced_id", "CAST(p_retailprice AS DECIMAL(10,2)) AS unit_price"
     )
 
 
@@ -183,28 +157,25 @@ def complete(spark: SparkSession, sf_dir: str, rows: DataFrame, bound: int | Non
 def stock(narrow: DataFrame) -> DataFrame:
     """Batches with the balance the ledger leaves, without prices."""
     balance = narrow.groupBy("batch_id", "product_id").agg(F.sum(signed_units()).alias("net"))
-    batch, product = F.col("batch_id"), F.col("product_id")
-    offset = ((product * 7 + batch % 10 * 31) % 120 - 20).cast("int")
-    discounted = product % 4 == 0
-    return balance.select(
-        batch.alias("id"),
-        F.concat(F.lit("BATCH-"), batch.cast("string")).alias("batch_number"),
-        product,
-        F.when(product % 5 != 0, F.date_add(F.lit(AS_OF), offset)).alias("expiry_date"),
-        F.greatest(F.lit(0), F.col("net")).cast("int").alias("available_qty"),
-        F.when(discounted, 20).otherwise(0).cast("decimal(5,2)").alias("batch_discount_percent"),
-        F.when(discounted, "20% Clearance").alias("offer_description"),
+    return balance.selectExpr(
+        "batch_id AS id",
+        "'BATCH-' || batch_id AS batch_number",
+        "product_id",
+        f"IF(product_id % 5 <> 0, date_add(DATE '{AS_OF}', INT((product_id * 7 + batch_id % 10 * 31) % 120 - 20)), NULL)"
+        " AS expiry_date",
+        "INT(greatest(0, net)) AS available_qty",
+        "CAST(IF(product_id % 4 = 0, 20, 0) AS DECIMAL(5,2)) AS batch_discount_percent",
+        "IF(product_id % 4 = 0, '20% Clearance', NULL) AS offer_description",
     )
 
 
 def product_batches(spark: SparkSession, sf_dir: str, unpriced: DataFrame) -> DataFrame:
     """Batches with their prices; the price joins after the roll-up."""
     priced = unpriced.join(_prices(spark, sf_dir), F.col("product_id") == F.col("priced_id"), "left")
-    price = F.col("unit_price")
-    return priced.select(
+    return priced.selectExpr(
         "id", "batch_number", "product_id", "expiry_date", "available_qty",
-        (price * F.lit("0.60").cast("decimal(3,2)")).cast(PRICE).alias("purchase_price"),
-        (price + F.col("id") % 10).cast(PRICE).alias("selling_price"),
+        "CAST(unit_price * 0.60BD AS DECIMAL(10,2)) AS purchase_price",
+        "CAST(unit_price + id % 10 AS DECIMAL(10,2)) AS selling_price",
         "batch_discount_percent", "offer_description",
     )
 

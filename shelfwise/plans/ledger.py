@@ -102,11 +102,16 @@ def ledger_page(
 ) -> DataFrame:
     """Newest rows of the ledger.
 
-    The left joins neither add nor drop rows, so the page is cut from the bare
-    movements first, in one pass over them, and only the rows on it meet the dimensions.
+    The left joins neither add nor drop rows, so the page is cut from the bare movements
+    first and only the rows on it meet the dimensions. A pass over the dates alone finds
+    the oldest date that can be on the page; the full rows are read from there on.
     """
     n = page_size(limit)
-    page = cut(_on_fact(tables, tables.movements, txn_type, period).orderBy(*newest_first()).limit(n), "page")
+    facts = _on_fact(tables, tables.movements, txn_type, period)
+    dates_on_page = facts.select("txn_date").orderBy(F.desc("txn_date")).limit(n)
+    oldest = dates_on_page.agg(F.min("txn_date")).scalar()
+    candidates = facts.filter(F.col("txn_date").isNull() | (F.col("txn_date") >= oldest))
+    page = cut(candidates.orderBy(*newest_first()).limit(n), "page")
     named = tables.complete(page, n)
     for dim, key, fact_key in (
         (_product_names(tables.products), "_product", "product_id"),

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from .functions.values import parse_decimal, parse_int, round2
 from .operators.guard import guarded_balance
+from .operators.lineage import work_path
 from .operators.upsert import seed_upsert
 from .plans import access, batches, bills, catalog, insights, ledger, products, quality, receipts, reports
 from .sources import requests, scaled, sinks
 from .sources.tables import Tables
+from .streaming import issues, runs, stock
+from .streaming import movements as live
 
 TYPED = ["red widget", " SKU-00000012 ", "8900000000005", "Stock: 0 kg", "no such thing"]
 
@@ -103,19 +106,19 @@ READS: dict[str, Callable[[Tables], DataFrame]] = {
 
 def _received(spark: SparkSession, sf_dir: str) -> receipts.Received:
     t = scaled.load(spark, sf_dir)
-    return receipts.receive(requests.receipts(spark, sf_dir), t.products, t.product_batches)
+    return receipts.receive(requests.receipts(scaled.table(spark, sf_dir, "orders")), t.products, t.product_batches)
 
 
 def _stock_in_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = scaled.load(spark, sf_dir)
-    return receipts.match_products(receipts.normalise(requests.receipts(spark, sf_dir)), t.products).select(
+    return receipts.match_products(receipts.normalise(requests.receipts(scaled.table(spark, sf_dir, "orders"))), t.products).select(
         "seq", "matched_id"
     )
 
 
 def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = scaled.load(spark, sf_dir)
-    return bills.priced_lines(bills.bill_lines(requests.bills(spark, sf_dir)), t.product_batches, t.products)
+    return bills.priced_lines(bills.bill_lines(requests.bills(scaled.table(spark, sf_dir, "orders"))), t.product_batches, t.products)
 
 
 def _cart(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +134,7 @@ def _settled_sales(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 def _checked_out(spark: SparkSession, sf_dir: str) -> bills.CheckedOut:
     t = scaled.load(spark, sf_dir)
-    return bills.check_out(requests.bills(spark, sf_dir), t.products, t.product_batches)
+    return bills.check_out(requests.bills(scaled.table(spark, sf_dir, "orders")), t.products, t.product_batches)
 
 
 def _batches_after_bills(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +154,7 @@ def _deletion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, sf_dir: str, value: Callable) -> DataFrame:
-    return requests.receipts(spark, sf_dir).select("seq", *value())
+    return requests.receipts(scaled.table(spark, sf_dir, "orders")).select("seq", *value())
 
 
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -160,18 +163,18 @@ JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "seed_upsert": lambda spark, sf_dir: seed_upsert(
         scaled.products(spark, sf_dir), requests.seed_rows(spark, sf_dir), "sku", "title", "seq"
     ),
-    "stock_in_normalised": lambda spark, sf_dir: receipts.normalise(requests.receipts(spark, sf_dir)).drop("exact_cost"),
+    "stock_in_normalised": lambda spark, sf_dir: receipts.normalise(requests.receipts(scaled.table(spark, sf_dir, "orders"))).drop("exact_cost"),
     "stock_in_product_match": _stock_in_match,
     "stock_in_batches": lambda spark, sf_dir: _received(spark, sf_dir).batches,
     "stock_in_ledger": lambda spark, sf_dir: _received(spark, sf_dir).ledger,
     "stock_in_new_products": lambda spark, sf_dir: _received(spark, sf_dir).new_products,
     "stock_in_rejects": lambda spark, sf_dir: _received(spark, sf_dir).rejects,
-    "bill_lines": lambda spark, sf_dir: bills.bill_lines(requests.bills(spark, sf_dir)),
+    "bill_lines": lambda spark, sf_dir: bills.bill_lines(requests.bills(scaled.table(spark, sf_dir, "orders"))),
     "bill_lines_priced": _priced,
     "bill_lines_merged": _cart,
     "bill_totals": lambda spark, sf_dir: bills.bill_totals(_cart(spark, sf_dir)),
     "guard_single": lambda spark, sf_dir: guarded_balance(
-        requests.guard_moves(spark, sf_dir), "stock_key", "event_id", "delta"
+        requests.guard_moves(scaled.table(spark, sf_dir, "events")), "stock_key", "event_id", "delta"
     ),
     "bill_guard": lambda spark, sf_dir: bills.guard_outcome(_settled_sales(spark, sf_dir)[1]),
     "bill_rejects": lambda spark, sf_dir: _checked_out(spark, sf_dir).rejects,
@@ -183,8 +186,8 @@ JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         requests.product_updates(spark, sf_dir), scaled.products(spark, sf_dir)
     ),
     "product_delete": _deletion,
-    "access_allowed": lambda spark, sf_dir: access.allowed(requests.access_log(spark, sf_dir)),
-    "access_denied": lambda spark, sf_dir: access.denied(requests.access_log(spark, sf_dir)),
+    "access_allowed": lambda spark, sf_dir: access.allowed(requests.access_log(scaled.table(spark, sf_dir, "events"))),
+    "access_denied": lambda spark, sf_dir: access.denied(requests.access_log(scaled.table(spark, sf_dir, "events"))),
     "fn_parse_int": lambda spark, sf_dir: _parsed(
         spark, sf_dir, lambda: ["quantity", parse_int("quantity").alias("parsed")]
     ),
@@ -196,7 +199,59 @@ JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     ),
 }
 
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return runs.table_stream(spark, sf_dir, name, scaled.COLUMNS[name])
+
+
+def _resent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The movements as a stream in which every sale arrives twice."""
+    sent = scaled.movements(_stream(spark, sf_dir, "lineitem"))
+    again = scaled.movements(_stream(spark, sf_dir, "lineitem")).filter(F.col("txn_type") == "SALE")
+    return live.without_repeats(sent.unionByName(again)).select(
+        "txn_number", "txn_type", "product_id", "batch_id", "quantity", "total_amount", "txn_date"
+    )
+
+
+def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    watched = scaled.products(spark, sf_dir).select("id", "min_reorder_level", F.lit(0).alias("opening_stock"))
+    return live.low_stock_alerts(scaled.movements(_stream(spark, sf_dir, "lineitem")), watched)
+
+
+def _stock_folder(spark: SparkSession, sf_dir: str) -> stock.StockFolder:
+    t = scaled.load(spark, sf_dir)
+    folder = stock.StockFolder(spark, work_path(spark, "stock"))
+    folder.start(t.products, t.product_batches)
+    return folder
+
+
+def _streamed_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _stock_folder(spark, sf_dir)
+    runs.each_batch(requests.receipts(_stream(spark, sf_dir, "orders")), folder.root, folder.receive)
+    return folder.read("batches", 1)
+
+
+def _streamed_bills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _stock_folder(spark, sf_dir)
+    runs.each_batch(requests.bills(_stream(spark, sf_dir, "orders")), folder.root, folder.issue)
+    return folder.all_of("ledger")
+
+
+STREAMS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "stream_receipts": _streamed_receipts,
+    "stream_bills": _streamed_bills,
+    "stream_guard": lambda spark, sf_dir: runs.to_files(
+        issues.guarded_issues(requests.guard_moves(_stream(spark, sf_dir, "events")), "stock_key", "event_id", "delta"),
+        "guard",
+    ),
+    "stream_daily_totals": lambda spark, sf_dir: runs.to_files(
+        live.daily_totals(scaled.movements(_stream(spark, sf_dir, "lineitem"))), "totals"
+    ),
+    "stream_dedup": lambda spark, sf_dir: runs.to_files(_resent(spark, sf_dir), "dedup"),
+    "stream_low_stock_alerts": lambda spark, sf_dir: runs.to_files(_alerts(spark, sf_dir), "alerts"),
+}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{name: _on_tables(build) for name, build in READS.items()},
     **JOBS,
+    **STREAMS,
 }

@@ -35,8 +35,8 @@ def _sku(x: Column, prefix: str = "SKU-") -> Column:
     return F.concat(F.lit(prefix), F.lpad(_text(x), 8, "0"))
 
 
-def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One receipt request per order."""
+def receipts(orders: DataFrame) -> DataFrame:
+    """One receipt request per order; works on a stream as well."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     n = 1 + k % 50
     amount = _text(F.col("o_totalprice").cast("decimal(12,2)"))
@@ -47,7 +47,7 @@ def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 11 == 3, F.concat(_text(n), F.lit(".7"))).when(k % 11 == 5, "x")
         .when(k % 11 == 6, F.concat(F.lit(" "), _text(n))).when(k % 11 != 4, _text(n))
     )
-    return scaled.table(spark, sf_dir, "orders").select(
+    return orders.select(
         k.alias("seq"),
         F.col("o_orderdate").alias("received_at"),
         F.when(k % 97 == 0, F.lit(NO_SUCH_ID) + c).when(third == 0, c).when(k % 30 == 1, 0).alias("product_id"),
@@ -76,7 +76,7 @@ def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def bills(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bills(orders: DataFrame) -> DataFrame:
     """One bill request per order: one-item form, or two or three items, some on one batch."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     none = F.lit(None).cast("string")
@@ -99,7 +99,7 @@ def bills(spark: SparkSession, sf_dir: str) -> DataFrame:
     several = F.when(k % 5 == 0, F.array(one, two, again)).otherwise(F.array(one, two))
     single = k % 4 == 0
     items = F.when(k % 8 == 0, F.lit(None)).when(single, F.slice(F.array(one), 1, 0)).otherwise(several)
-    return scaled.table(spark, sf_dir, "orders").select(
+    return orders.select(
         k.alias("seq"),
         F.col("o_orderdate").alias("received_at"),
         F.when(k % 3 == 0, _tagged("BILL-", k)).alias("invoice_ref"),
@@ -124,19 +124,18 @@ def sale_demand(movements: DataFrame) -> DataFrame:
     )
 
 
-def guard_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+def guard_moves(events: DataFrame) -> DataFrame:
     """Receipts and issues of fifty stock keys, cut from the events; rows that move nothing drop out."""
     qty = F.get_json_object("props", "$.k").cast("bigint")
     kind = F.col("event_type")
     delta = F.when(kind == "signup", qty).when(kind.isin("purchase", "click", "error"), -qty)
     return (
-        scaled.table(spark, sf_dir, "events")
-        .select("event_id", "ts", (F.col("user_id") % 50).alias("stock_key"), kind.alias("event_type"), delta.alias("delta"))
+        events.select("event_id", "ts", (F.col("user_id") % 50).alias("stock_key"), kind.alias("event_type"), delta.alias("delta"))
         .filter(F.col("delta").isNotNull() & (F.col("delta") != 0))
     )
 
 
-def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def access_log(events: DataFrame) -> DataFrame:
     """Who asked for what, cut from the events."""
     who, kind = F.col("user_id") % 7, F.col("event_type")
     role = (
@@ -147,7 +146,7 @@ def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == "view", "READ").when(kind == "click", "STOCK_OUT").when(kind == "purchase", "STOCK_IN")
         .when(kind == "signup", "MANAGE_PRODUCTS").otherwise("EXPORT_REPORTS")
     )
-    return scaled.table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("seq"), role.alias("role"), permission.alias("permission")
     )
 

@@ -43,8 +43,22 @@ PART_TYPES = {
 OTHER_TYPE = (6, "HARDWARE")
 
 
+# Columns of the tables read; given here, they cost no look into the files.
+COLUMNS = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(COLUMNS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _by_part_type(pick: int) -> str:
@@ -105,9 +119,9 @@ _TXN_TYPE = """
 """
 
 
-def movements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ledger columns that the line item carries itself."""
-    typed = table(spark, sf_dir, "lineitem").selectExpr("*", _TXN_TYPE)
+def movements(line_items: DataFrame) -> DataFrame:
+    """Ledger columns that the line item carries itself; works on a stream as well."""
+    typed = line_items.selectExpr("*", _TXN_TYPE)
     amount = "CAST(l_extendedprice AS DECIMAL(10,2))"
     return typed.selectExpr(
         "concat(IF(txn_type = 'STOCK_IN', 'TXN-IN-', 'TXN-OUT-'), l_orderkey, '-', l_linenumber, '-', l_partkey, '-',"
@@ -191,6 +205,6 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
         product_batches=lambda: product_batches(spark, sf_dir, tables.stock),
         stock=lambda: stock(tables.movements),
         transactions=lambda: tables.complete(tables.movements),
-        movements=lambda: movements(spark, sf_dir),
+        movements=lambda: movements(table(spark, sf_dir, "lineitem")),
     )
     return tables

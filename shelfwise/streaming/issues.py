@@ -1,0 +1,43 @@
+"""Guarded issues from single batches, one balance per key kept between micro-batches."""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+
+def guarded_issues(moves: DataFrame, key: str, order: str, delta: str) -> DataFrame:
+    """Decision on each movement of a stream: (key, order, delta, accepted, balance).
+
+    A request that asks for more than the balance uses nothing. Rows of one micro-batch
+    are taken in ``order``; micro-batches follow one another. A micro-batch's size is
+    limited by its source, and with it what one key can bring at once.
+    """
+    rows = moves.select(
+        F.col(key).cast("bigint").alias("k"), F.col(order).cast("bigint").alias("o"), F.col(delta).cast("bigint").alias("d")
+    )
+
+    def decide(_: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(parts)).sort_values("o")
+        balance = state.get[0] if state.exists else 0
+        accepted, after = [], []
+        for d in batch["d"].tolist():
+            ok = balance + d >= 0
+            balance += d if ok else 0
+            accepted.append(ok)
+            after.append(balance)
+        state.update((balance,))
+        yield batch[["k", "o", "d"]].assign(accepted=accepted, balance=after)
+
+    decided = rows.groupBy("k").applyInPandasWithState(
+        decide,
+        "k bigint, o bigint, d bigint, accepted boolean, balance bigint",
+        "balance bigint",
+        "append",
+        GroupStateTimeout.NoTimeout,
+    )
+    return decided.withColumnsRenamed({"k": key, "o": order, "d": delta})

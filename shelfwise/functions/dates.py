@@ -31,16 +31,6 @@ def day_start(day: date, column_type: DataType = TimestampType()) -> Column:
     return F.lit(stamp).cast(column_type)
 
 
-def in_period(period: str | None, as_of: date, column: Column | str, column_type: DataType) -> Column | None:
-    """Range predicate of a period on a timestamp column, None when the period does not restrict."""
-    column = F.col(column) if isinstance(column, str) else column
-    start, end = period_bounds(period, as_of)
-    if start is None:
-        return None
-    lower = column >= day_start(start, column_type)
-    return lower if end is None else lower & (column < day_start(end, column_type))
-
-
 def days_to_expiry(as_of: date, expiry: str = "expiry_date") -> Column:
     return F.datediff(F.col(expiry), F.lit(as_of))
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dates, labels
+from ..functions import labels
 from ..functions.fixed import LEDGER_PAGE, RECENT_ROWS
 from ..functions.values import contains_any, first_text, like_any
 from ..operators.lineage import cut
 from ..operators.lookup import left_lookup, lookup_few
 from ..sources.tables import Tables
+from .period import within
 
 def newest_first() -> list[Column]:
     return [F.desc("txn_date"), F.asc("txn_number")]
@@ -21,17 +22,10 @@ def _is_set(choice: str | None) -> bool:
     return bool(choice) and choice != "ALL"
 
 
-def _on_fact(tables: Tables, facts: DataFrame, txn_type: str | None, period: str | None) -> DataFrame:
-    """Filters that need the movement only, so they reach its scan."""
-    tests: list[Column] = []
-    if _is_set(txn_type):
-        tests.append(F.col("txn_type") == txn_type)
-    in_range = dates.in_period(period, tables.as_of, "txn_date", facts.schema["txn_date"].dataType)
-    if in_range is not None:
-        tests.append(in_range)
-    for test in tests:
-        facts = facts.filter(test)
-    return facts
+def _on_fact(tables: Tables, txn_type: str | None, period: str | None) -> DataFrame:
+    """Movements after the filters that need nothing else, so that these reach the scan."""
+    facts = within(tables.movements, period, tables.as_of)
+    return facts.filter(F.col("txn_type") == txn_type) if _is_set(txn_type) else facts
 
 
 def _product_names(products: DataFrame) -> DataFrame:
@@ -86,7 +80,7 @@ def ledger(
     if literal_search:
         found = contains_any(literal_search, "product_title", "txn_number")
         keep = found if keep is None else keep & found
-    facts = _on_fact(tables, tables.movements, txn_type, period)
+    facts = _on_fact(tables, txn_type, period)
     return _with_names(tables, tables.complete(facts), keep).orderBy(*newest_first())
 
 
@@ -107,7 +101,7 @@ def ledger_page(
     the oldest date that can be on the page; the full rows are read from there on.
     """
     n = page_size(limit)
-    facts = _on_fact(tables, tables.movements, txn_type, period)
+    facts = _on_fact(tables, txn_type, period)
     dates_on_page = facts.select("txn_date").orderBy(F.desc("txn_date")).limit(n)
     oldest = dates_on_page.agg(F.min("txn_date")).scalar()
     candidates = facts.filter(F.col("txn_date").isNull() | (F.col("txn_date") >= oldest))

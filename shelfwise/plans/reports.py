@@ -12,6 +12,7 @@ from ..functions.values import MONEY, big, contains_any, money, share, units
 from ..sources.tables import Tables
 from .batches import near_expiry_count, stock_by_product
 from .catalog import low_stock_count, with_category
+from .period import within
 
 
 def _or_zero(column: str, kind: str = "bigint") -> Column:
@@ -19,9 +20,7 @@ def _or_zero(column: str, kind: str = "bigint") -> Column:
 
 
 def _sales(tables: Tables, period: str | None = None) -> DataFrame:
-    rows = tables.movements.filter(F.col("txn_type") == "SALE")
-    test = dates.in_period(period, tables.as_of, "txn_date", rows.schema["txn_date"].dataType)
-    return rows if test is None else rows.filter(test)
+    return within(tables.movements, period, tables.as_of).filter(F.col("txn_type") == "SALE")
 
 
 def sales_summary(tables: Tables, period: str | None = None) -> DataFrame:

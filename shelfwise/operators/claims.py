@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lineage import cut
+from .lookup import left_lookup
 
 
 def _all(tests: list[Column]) -> Column:
@@ -34,7 +35,7 @@ def first_come(requests: DataFrame, order: str, claims: list[str]) -> DataFrame:
         seen = undecided
         for c in claims:
             first = undecided.filter(F.col(c).isNotNull()).groupBy(c).agg(F.min(order).alias(f"_first_{c}"))
-            seen = seen.join(first, c, "left")
+            seen = left_lookup(seen, first.withColumnRenamed(c, f"_value_{c}"), c, f"_value_{c}", spread_by=order)
         leads = _all([F.coalesce(F.col(f"_first_{c}") == F.col(order), F.lit(True)) for c in claims])
         ranked = seen.withColumn("_lead", leads)
         for c in claims:
@@ -42,7 +43,7 @@ def first_come(requests: DataFrame, order: str, claims: list[str]) -> DataFrame:
             held = ranked.filter(F.col("_lead") & F.col(c).isNotNull()).select(
                 F.col(c).alias(f"_held_{c}"), F.lit(True).alias(f"_taken_{c}")
             )
-            ranked = ranked.join(held, F.col(c) == F.col(f"_held_{c}"), "left")
+            ranked = left_lookup(ranked, held, c, f"_held_{c}", spread_by=order)
         taken = _any([F.coalesce(F.col(f"_taken_{c}"), F.lit(False)) for c in claims])
         verdict = F.when(F.col("_lead"), True).when(taken, False)
         step = cut(ranked.select(order, *claims, verdict.alias("granted")), "claims")

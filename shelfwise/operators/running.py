@@ -23,8 +23,7 @@ def in_chunks(df: DataFrame, key: str, order: str) -> DataFrame:
     ``order`` must be unique within the key. The numbering depends on the partition
     bounds, so it is written out once and not computed again.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(parts, key, order).sortWithinPartitions(key, order)
+    placed = df.repartitionByRange(key, order).sortWithinPartitions(key, order)
     return cut(placed.withColumn(CHUNK, F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS)), "chunks")
 
 

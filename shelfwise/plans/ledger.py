@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,12 +51,47 @@ def _user_names(users: DataFrame) -> DataFrame:
     return users.select(F.col("id").alias("_user"), F.col("name").alias("user_name"))
 
 
-def _with_names(tables: Tables, facts: DataFrame, keep: Column | None = None) -> DataFrame:
-    """Left joins to the four dimensions; ``keep`` may use product and batch columns."""
-    joined = facts.join(_product_names(tables.products), F.col("product_id") == F.col("_product"), "left")
-    joined = left_lookup(joined, _batch_names(tables.stock), "batch_id", "_batch", spread_by="txn_number")
-    if keep is not None:
-        joined = joined.filter(keep)
+@dataclass(frozen=True)
+class _Search:
+    """Where a term is looked for: on products, on batches, on the movement itself."""
+
+    product: Column
+    batch: Column
+    movement: Column
+
+
+def _searches(search: str | None, literal_search: str | None) -> list[_Search]:
+    found = []
+    if search:
+        found.append(
+            _Search(
+                like_any(search, "product_title", "product_sku"),
+                like_any(search, "batch_number"),
+                like_any(search, "txn_number", "invoice_ref", "customer_name"),
+            )
+        )
+    if literal_search:
+        found.append(
+            _Search(contains_any(literal_search, "product_title"), F.lit(False), contains_any(literal_search, "txn_number"))
+        )
+    return found
+
+
+def _with_names(tables: Tables, facts: DataFrame, searches: list[_Search]) -> DataFrame:
+    """Left joins to the four dimensions, keeping rows that every search finds somewhere.
+
+    Product and batch texts are matched once per product and batch, before the join.
+    """
+    products, batches = _product_names(tables.products), _batch_names(tables.stock)
+    for i, s in enumerate(searches):
+        products = products.withColumn(f"_in_product{i}", s.product)
+        batches = batches.withColumn(f"_in_batch{i}", s.batch)
+    joined = facts.join(products, F.col("product_id") == F.col("_product"), "left")
+    joined = left_lookup(joined, batches, "batch_id", "_batch", spread_by="txn_number")
+    for i, s in enumerate(searches):
+        flags = [f"_in_product{i}", f"_in_batch{i}"]
+        in_names = [F.coalesce(F.col(c), F.lit(False)) for c in flags]
+        joined = joined.filter(in_names[0] | in_names[1] | s.movement).drop(*flags)
     joined = left_lookup(joined, _supplier_names(tables.suppliers), "supplier_id", "_supplier", spread_by="txn_number")
     return joined.join(_user_names(tables.users), F.col("user_id") == F.col("_user"), "left").drop("_product", "_user")
 
@@ -72,16 +109,8 @@ def ledger(
     ``search`` treats % and _ as wildcards and looks at six columns;
     ``literal_search`` takes the term as it is and looks at title and number.
     """
-    keep = None
-    if search:
-        keep = like_any(
-            search, "product_title", "product_sku", "batch_number", "txn_number", "invoice_ref", "customer_name"
-        )
-    if literal_search:
-        found = contains_any(literal_search, "product_title", "txn_number")
-        keep = found if keep is None else keep & found
-    facts = _on_fact(tables, txn_type, period)
-    return _with_names(tables, tables.complete(facts), keep).orderBy(*newest_first())
+    facts = tables.complete(_on_fact(tables, txn_type, period))
+    return _with_names(tables, facts, _searches(search, literal_search)).orderBy(*newest_first())
 
 
 def page_size(text: str | int | None) -> int:

@@ -14,7 +14,7 @@ from .operators.upsert import seed_upsert
 from .plans import access, batches, bills, catalog, insights, ledger, products, quality, receipts, reports
 from .sources import requests, scaled, sinks
 from .sources.tables import Tables
-from .streaming import issues, runs, stock
+from .streaming import balances, runs, stock
 from .streaming import movements as live
 
 TYPED = ["red widget", " SKU-00000012 ", "8900000000005", "Stock: 0 kg", "no such thing"]
@@ -212,9 +212,20 @@ def _resent(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    watched = scaled.products(spark, sf_dir).select("id", "min_reorder_level", F.lit(0).alias("opening_stock"))
-    return live.low_stock_alerts(scaled.movements(_stream(spark, sf_dir, "lineitem")), watched)
+def _streamed_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stock keys start empty."""
+    job = balances.GuardedIssues(spark, work_path(spark, "guard"), "stock_key", "event_id", "delta")
+    moves = requests.guard_moves(scaled.table(spark, sf_dir, "events"))
+    job.start(moves.select("stock_key", F.lit(0).cast("bigint")).limit(0))
+    runs.each_batch(requests.guard_moves(_stream(spark, sf_dir, "events")), job.root, job.apply)
+    return job.all_of("decisions")
+
+
+def _streamed_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    job = balances.LowStockAlerts(spark, work_path(spark, "alerts"))
+    job.start(scaled.products(spark, sf_dir).select("id", "min_reorder_level", F.lit(0).alias("opening_stock")))
+    runs.each_batch(scaled.movements(_stream(spark, sf_dir, "lineitem")), job.root, job.apply)
+    return job.all_of("alerts")
 
 
 def _stock_folder(spark: SparkSession, sf_dir: str) -> stock.StockFolder:
@@ -239,15 +250,12 @@ def _streamed_bills(spark: SparkSession, sf_dir: str) -> DataFrame:
 STREAMS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_receipts": _streamed_receipts,
     "stream_bills": _streamed_bills,
-    "stream_guard": lambda spark, sf_dir: runs.to_files(
-        issues.guarded_issues(requests.guard_moves(_stream(spark, sf_dir, "events")), "stock_key", "event_id", "delta"),
-        "guard",
-    ),
+    "stream_guard": _streamed_guard,
     "stream_daily_totals": lambda spark, sf_dir: runs.to_files(
         live.daily_totals(scaled.movements(_stream(spark, sf_dir, "lineitem"))), "totals"
     ),
     "stream_dedup": lambda spark, sf_dir: runs.to_files(_resent(spark, sf_dir), "dedup"),
-    "stream_low_stock_alerts": lambda spark, sf_dir: runs.to_files(_alerts(spark, sf_dir), "alerts"),
+    "stream_low_stock_alerts": _streamed_alerts,
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.values import big, money, signed_units, units
+from ..functions.values import big, money, units
 
 
 def _timed(movements: DataFrame, lateness: str) -> DataFrame:
@@ -33,34 +29,3 @@ def daily_totals(movements: DataFrame, lateness: str = "1 day") -> DataFrame:
 def without_repeats(movements: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Drops a movement whose number was seen within the watermark."""
     return _timed(movements, lateness).dropDuplicatesWithinWatermark(["txn_number"]).drop("txn_ts")
-
-
-_ALERT = "product_id bigint, txn_number string, stock bigint, min_reorder_level bigint"
-
-
-def low_stock_alerts(movements: DataFrame, products: DataFrame) -> DataFrame:
-    """An alert each time a product's stock falls to its reorder level or below.
-
-    ``products`` holds (id, min_reorder_level, opening_stock). Movements of one
-    micro-batch are taken in (txn_date, txn_number) order; a state is one number.
-    """
-    levels = products.select(
-        F.col("id").alias("product_id"), big("min_reorder_level").alias("level"), big("opening_stock").alias("opening")
-    )
-    rows = movements.select(
-        "product_id", "txn_date", "txn_number", big(signed_units()).alias("delta")
-    ).join(levels, "product_id")
-
-    def crossings(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(parts)).sort_values(["txn_date", "txn_number"])
-        stock = state.get[0] if state.exists else int(batch["opening"].iloc[0])
-        after = stock + batch["delta"].cumsum()
-        before = after - batch["delta"]
-        state.update((int(after.iloc[-1]),))
-        crossed = (before > batch["level"]) & (after <= batch["level"])
-        found = batch.assign(stock=after)[crossed]
-        yield found[["product_id", "txn_number", "stock", "level"]].rename(columns={"level": "min_reorder_level"})
-
-    return rows.groupBy("product_id").applyInPandasWithState(
-        crossings, _ALERT, "stock bigint", "append", GroupStateTimeout.NoTimeout
-    )

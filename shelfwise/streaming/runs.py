@@ -3,12 +3,38 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.lineage import work_path
 
 
+@dataclass(frozen=True)
+class Versions:
+    """Folders that micro-batches read and write under their own number.
+
+    A micro-batch reads version n of a state, as its predecessor left it, and writes
+    version n + 1; rows it puts out go under n. One that runs again after a failure
+    overwrites the same folders with the same rows, so every request counts once.
+    """
+
+    spark: SparkSession
+    root: str
+
+    def read(self, name: str, version: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{name}/v={version}")
+
+    def write(self, name: str, version: int, rows: DataFrame) -> DataFrame:
+        path = f"{self.root}/{name}/v={version}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def all_of(self, name: str) -> DataFrame:
+        """Rows of every micro-batch so far."""
+        return self.spark.read.parquet(f"{self.root}/{name}").drop("v")
+
+
 def to_files(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """Run a stream over everything available, write its rows to files, read them back."""
     spark = stream.sparkSession
@@ -34,6 +60,9 @@ def each_batch(stream: DataFrame, root: str, apply: Callable[[DataFrame, int], N
     return query
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str, columns: str) -> DataFrame:
+def table_stream(
+    spark: SparkSession, sf_dir: str, name: str, columns: str, files_per_trigger: int = 1000
+) -> DataFrame:
     """One test table as a stream of files."""
-    return spark.readStream.schema(columns).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    source = spark.readStream.schema(columns).option("maxFilesPerTrigger", files_per_trigger)
+    return source.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)

@@ -1,55 +1,37 @@
-"""Receipts and bills as streams against a stored stock.
-
-Every micro-batch reads the stock as its predecessor left it and writes the next
-version, its ledger rows and its refusals under its own number. A micro-batch that
-runs again after a failure overwrites the same folders with the same rows, so each
-request counts once.
-"""
+"""Receipts and bills as streams against a stored stock."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from ..plans import bills, receipts
+from .runs import Versions
 
 
 @dataclass(frozen=True)
-class StockFolder:
+class StockFolder(Versions):
     """Versions of products and batches, and per micro-batch ledger rows and refusals."""
 
-    spark: SparkSession
-    root: str
-
     def start(self, products: DataFrame, batches: DataFrame) -> None:
-        self._write("products", 0, products)
-        self._write("batches", 0, batches)
-
-    def read(self, name: str, version: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}/v={version}")
-
-    def all_of(self, name: str) -> DataFrame:
-        """Rows of every micro-batch so far."""
-        return self.spark.read.parquet(f"{self.root}/{name}").drop("v")
-
-    def _write(self, name: str, version: int, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.root}/{name}/v={version}")
+        self.write("products", 0, products)
+        self.write("batches", 0, batches)
 
     def receive(self, requests: DataFrame, batch_id: int) -> None:
         """Apply one micro-batch of receipts."""
         products, batches = self.read("products", batch_id), self.read("batches", batch_id)
         done = receipts.receive(requests, products, batches)
-        self._write("ledger", batch_id, done.ledger)
-        self._write("rejects", batch_id, done.rejects)
-        self._write("products", batch_id + 1, products.unionByName(done.new_products.select(*products.columns)))
-        self._write("batches", batch_id + 1, done.batches)
+        self.write("ledger", batch_id, done.ledger)
+        self.write("rejects", batch_id, done.rejects)
+        self.write("products", batch_id + 1, products.unionByName(done.new_products, allowMissingColumns=True))
+        self.write("batches", batch_id + 1, done.batches)
 
     def issue(self, requests: DataFrame, batch_id: int) -> None:
         """Apply one micro-batch of bills; each is served whole or not at all."""
         products, batches = self.read("products", batch_id), self.read("batches", batch_id)
         done = bills.check_out(requests, products, batches)
-        self._write("ledger", batch_id, done.ledger)
-        self._write("rejects", batch_id, done.rejects)
-        self._write("products", batch_id + 1, products)
-        self._write("batches", batch_id + 1, bills.batches_after(batches, done.settled))
+        self.write("ledger", batch_id, done.ledger)
+        self.write("rejects", batch_id, done.rejects)
+        self.write("products", batch_id + 1, products)
+        self.write("batches", batch_id + 1, bills.batches_after(batches, done.settled))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import shutil
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.plans import bills, receipts
 from shelfwise.sources import requests, schemas
-from shelfwise.streaming import issues, movements, runs, stock
+from shelfwise.streaming import balances, movements, runs, stock
 
 MOVE = "txn_number string, txn_type string, product_id bigint, quantity int, total_amount decimal(10,2), txn_date timestamp"
 
@@ -20,7 +21,9 @@ def feed(tmp_path, spark, schema, *files, per_trigger=1):
     folder = tmp_path / "in"
     folder.mkdir()
     for i, rows in enumerate(files):
-        (folder / f"{i}.json").write_text("\n".join(json.dumps(r) for r in rows))
+        file = folder / f"{i}.json"
+        file.write_text("\n".join(json.dumps(r) for r in rows))
+        os.utime(file, (1_700_000_000 + i, 1_700_000_000 + i))  # files are read oldest first
     return requests.stream_json(spark, str(folder), schema, per_trigger)
 
 
@@ -37,14 +40,19 @@ def move(n, kind="SALE", day="2026-08-08", product=1, qty=1):
     }
 
 
-def test_balances_carry_over_micro_batches(spark, tmp_path):
+def test_balances_carry_over_micro_batches(spark, tmp_path, work):
     schema = "k bigint, o bigint, d bigint"
     stream = feed(
         tmp_path, spark, schema,
-        [{"k": 1, "o": 2, "d": -3}, {"k": 1, "o": 1, "d": 5}], [{"k": 1, "o": 3, "d": -3}, {"k": 1, "o": 4, "d": -2}],
+        [{"k": 1, "o": 2, "d": -3}, {"k": 1, "o": 1, "d": 5}, {"k": 2, "o": 1, "d": -1}],
+        [{"k": 1, "o": 3, "d": -3}, {"k": 1, "o": 4, "d": -2}],
     )
-    got = {r.o: (r.accepted, r.balance) for r in runs.to_files(issues.guarded_issues(stream, "k", "o", "d"), "t").collect()}
-    assert got == {1: (True, 5), 2: (True, 2), 3: (False, 2), 4: (True, 0)}
+    job = balances.GuardedIssues(spark, work, "k", "o", "d")
+    job.start(spark.createDataFrame([(2, 1), (3, 9)], "k bigint, balance bigint"))
+    runs.each_batch(stream, work, job.apply)
+    got = {(r.k, r.o): (r.accepted, r.balance) for r in job.all_of("decisions").collect()}
+    assert got == {(1, 1): (True, 5), (1, 2): (True, 2), (1, 3): (False, 2), (1, 4): (True, 0), (2, 1): (True, 0)}
+    assert sorted(tuple(r) for r in job.read("balances", 2).collect()) == [(1, 0), (2, 0), (3, 9)]
 
 
 def test_daily_totals_wait_for_the_watermark(spark, tmp_path):
@@ -61,14 +69,17 @@ def test_repeats_are_dropped(spark, tmp_path):
     assert sorted(r.txn_number for r in runs.to_files(movements.without_repeats(stream), "t").collect()) == ["a", "b", "c"]
 
 
-def test_alerts_fire_on_each_crossing(spark, tmp_path):
+def test_alerts_fire_on_each_crossing(spark, tmp_path, work):
     stream = feed(
         tmp_path, spark, MOVE,
         [move("1", qty=4), move("2", qty=2)], [move("3", qty=1), move("4", "STOCK_IN", qty=10), move("5", qty=9)],
     )
-    watched = spark.createDataFrame([(1, 5, 10)], "id bigint, min_reorder_level int, opening_stock int")
-    got = runs.to_files(movements.low_stock_alerts(stream, watched), "t").orderBy("txn_number").collect()
-    assert [(r.txn_number, r.stock) for r in got] == [("2", 4), ("5", 4)]
+    job = balances.LowStockAlerts(spark, work)
+    job.start(spark.createDataFrame([(1, 5, 10), (2, 5, 10)], "id bigint, min_reorder_level int, opening_stock int"))
+    runs.each_batch(stream, work, job.apply)
+    got = job.all_of("alerts").orderBy("txn_number").collect()
+    assert [(r.txn_number, r.stock, r.min_reorder_level) for r in got] == [("2", 4, 5), ("5", 4, 5)]
+    assert sorted(tuple(r) for r in job.read("stock", 2).collect()) == [(1, 4), (2, 10)]
 
 
 def test_receipt_stream_equals_batch(spark, seed, tmp_path, work):

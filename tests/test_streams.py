@@ -58,7 +58,8 @@ def test_balances_carry_over_micro_batches(spark, tmp_path, work):
 def test_daily_totals_wait_for_the_watermark(spark, tmp_path):
     stream = feed(
         tmp_path, spark, MOVE,
-        [move("a"), move("b", qty=2), move("c", "STOCK_IN")], [move("d", day="2026-08-11")], [move("late", day="2026-08-08")],
+        [move("a"), move("b", qty=2), move("c", "STOCK_IN")], [move("d", day="2026-08-11")], [move("e", day="2026-08-11")],
+        [move("late", day="2026-08-08")],
     )
     got = {(str(r.txn_day), r.txn_type): (r.movements, r.units) for r in runs.to_files(movements.daily_totals(stream), "t").collect()}
     assert got == {("2026-08-08", "SALE"): (2, 3), ("2026-08-08", "STOCK_IN"): (1, 1)}

@@ -2,9 +2,13 @@
 
 Whether a request passes depends on every earlier one of its key, so a plain running
 sum is wrong. The key's rows are cut into chunks of bounded size. A chunk turns a
-start balance into an end balance; all chunks run at once from guessed starts, each
-end becomes the next chunk's start, and chunks whose start changed run again until
-none does. The first chunk of a key starts from the truth, so the end is exact.
+start balance into an end balance. From ``need`` up, the largest deficit of its running
+sum, everything passes and the end is the start plus ``net``; below, the chunk has to
+be run. All chunks begin from guessed starts. Each round runs the chunks whose start is
+new and too low, then passes balances on along the key: through chunks where all
+passes by adding their net, from any other by the end it reached. It stops when no
+start changes; then each chunk starts from its predecessor's end, the first from the
+truth. A round makes at least one more chunk of a key final.
 """
 
 from __future__ import annotations
@@ -54,30 +58,41 @@ def guarded_balance(moves: DataFrame, key: str, order: str, delta: str, opening:
         F.col(key).alias("key"), F.col(order).cast("bigint").alias("_order"), F.col(delta).cast("bigint").alias("delta")
     )
     rows = in_chunks(plain, "key", "_order")
-    totals = rows.groupBy("key", CHUNK).agg(F.sum("delta").alias("net"))
+    so_far = F.sum("delta").over(Window.partitionBy("key", CHUNK).orderBy("_order"))
+    totals = (
+        rows.withColumn("_sum", so_far)
+        .groupBy("key", CHUNK)
+        .agg(F.sum("delta").alias("net"), F.greatest(-F.min("_sum"), F.lit(0)).alias("need"))
+    )
+    zero = F.lit(0).cast("bigint")
     if opening is None:
-        totals = totals.withColumn("opening", F.lit(0).cast("bigint"))
+        totals = totals.withColumn("opening", zero)
     else:
         known = opening.toDF("key", "opening").withColumn("opening", F.col("opening").cast("bigint"))
-        totals = totals.join(known, "key", "left").withColumn("opening", F.coalesce("opening", F.lit(0).cast("bigint")))
-    by_key = Window.partitionBy("key").orderBy(CHUNK)
-    ahead = F.coalesce(F.sum("net").over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    chunks = cut(
-        totals.select(
-            "key", CHUNK, "opening",
-            F.greatest(F.col("opening") + ahead, F.lit(0)).alias("_start"),
-            F.lit(None).cast("bigint").alias("_end"),
-        ),
-        "guard",
-    )
+        totals = totals.join(known, "key", "left").withColumn("opening", F.coalesce("opening", zero))
+    along = Window.partitionBy("key").orderBy(CHUNK)
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    guess = F.greatest(F.col("opening") + F.coalesce(F.sum("net").over(before), zero), zero)
+    summary = ["key", CHUNK, "net", "need", "opening"]
+    chunks = cut(totals.select(*summary, guess.alias("_start"), F.lit(None).cast("bigint").alias("_end")), "guard")
+    passes_all = F.col("_start") >= F.col("need")
     while True:
-        due = chunks.filter(F.col("_end").isNull()).select("key", CHUNK, "_start")
-        ends = rows.join(due, ["key", CHUNK]).groupBy("key", CHUNK).agg(_end_balance().alias("_new_end"))
-        known = chunks.join(ends, ["key", CHUNK], "left").withColumn("_end", F.coalesce("_new_end", "_end"))
-        start = F.coalesce(F.lag("_end").over(by_key), F.col("opening"))
+        due = chunks.filter(F.col("_end").isNull() & ~passes_all).select("key", CHUNK, "_start")
+        ends = rows.join(due, ["key", CHUNK]).groupBy("key", CHUNK).agg(_end_balance().alias("_run_end"))
+        ran = chunks.join(ends, ["key", CHUNK], "left").withColumn(
+            "_end", F.when(passes_all, F.col("_start") + F.col("net")).otherwise(F.coalesce("_run_end", "_end"))
+        )
+        # The last chunk behind that does not pass everything, and what is added since.
+        held = F.last(F.when(~passes_all, F.struct(CHUNK, "_end")), ignorenulls=True).over(before)
+        net_before = F.coalesce(F.sum("net").over(before), zero)
+        marked = ran.withColumn("_held", held).withColumn("_net_before", net_before)
+        net_then = F.last(F.when(~passes_all, F.col("_net_before") + F.col("net")), ignorenulls=True).over(before)
+        handed = F.coalesce(F.col("_held._end"), F.col("opening")) + F.col("_net_before") - F.coalesce("_net_then", zero)
         chunks = cut(
-            known.withColumn("_next", start).select(
-                "key", CHUNK, "opening",
+            marked.withColumn("_net_then", net_then)
+            .withColumn("_next", handed)
+            .select(
+                *summary,
                 F.when(F.col("_next") == F.col("_start"), F.col("_end")).alias("_end"),
                 F.col("_next").alias("_start"),
             ),

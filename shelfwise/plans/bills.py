@@ -5,16 +5,20 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import EXACT, PRICE, big, first_text, money, number_or, parse_decimal, parse_int, round2, text_or
 from ..operators.lineage import cut
 from ..operators.lookup import left_lookup
-from ..operators.running import in_chunks, running_before
+from ..operators.running import CHUNK, in_chunks, running_before
 
 LINE_FIELDS = ["product_id", "batch_id", "quantity", "unit_price", "discount_amount", "tax_amount"]
 
+# Lines that one task serves at most when bills have to be taken one by one.
+SLICE_ROWS = 1 << 16
+
 # Texts of refusals.
 NO_ITEM = "At least one valid item is required for Stock Out dispatch."
 BAD_LINE = "Valid Product ID, Batch ID, and Quantity required for all items."
@@ -137,6 +141,27 @@ def bill_totals(cart: DataFrame) -> DataFrame:
     )
 
 
+def _server():
+    """Serves a slice of bills one by one, as a closure that needs nothing of this package."""
+    slice_rows = SLICE_ROWS
+
+    def serve(lines: pd.DataFrame) -> pd.DataFrame:
+        lines = lines.sort_values("seq")
+        if len(lines) == slice_rows:
+            lines = lines[lines["seq"] < lines["seq"].iloc[-1]]  # the last bill may be cut off
+        used: dict[int, int] = {}
+        served = []
+        for seq, bill in lines.groupby("seq", sort=True):
+            wants = list(zip(bill["batch_id"], bill["qty"], bill["_left"]))
+            ok = all(left - used.get(batch, 0) >= qty for batch, qty, left in wants)
+            for batch, qty, _ in wants if ok else ():
+                used[batch] = used.get(batch, 0) + qty
+            served.append((seq, ok))
+        return pd.DataFrame(served, columns=["seq", "_served"])
+
+    return serve
+
+
 def settle(demand: DataFrame, opening: DataFrame, receipts: DataFrame | None = None) -> DataFrame:
     """All-or-nothing decision on every bill, as if bills were served one by one.
 
@@ -148,21 +173,24 @@ def settle(demand: DataFrame, opening: DataFrame, receipts: DataFrame | None = N
     Each round bounds the balance each open line can find: at least what is left if all
     earlier open lines pass, at most what is left if none does. A bill whose lines all
     fit the lower bound is accepted, one with a line above the upper bound is refused.
-    The earliest open bill is always decided, so the rounds end, and open rows only.
+    The earliest open bill is always decided. Where that decides little, because bills
+    hang on one another in long chains, the round also serves the earliest open bills,
+    a slice of bounded size, one by one. Only open rows go into the next round.
     """
     start = opening.select("batch_id", F.col("available_qty").cast("bigint").alias("_opening"))
-    rows = demand.select("seq", "batch_id", F.col("qty").cast("bigint").alias("qty"), F.lit(0).cast("bigint").alias("_in"))
+    zero = F.lit(0).cast("bigint")
+    rows = demand.select("seq", "batch_id", big("qty").alias("qty"), zero.alias("_in"))
     if receipts is not None:
-        arriving = receipts.select("seq", "batch_id", F.lit(0).cast("bigint").alias("qty"), F.col("qty").cast("bigint").alias("_in"))
-        rows = rows.unionByName(arriving)
+        rows = rows.unionByName(receipts.select("seq", "batch_id", zero.alias("qty"), big("qty").alias("_in")))
     placed = in_chunks(rows.join(start, "batch_id", "left").fillna(0, ["_opening"]), "batch_id", "seq")
     if receipts is not None:
         placed = running_before(placed, "batch_id", "seq", {"_arrived": F.col("_in")})
         placed = placed.filter(F.col("_in") == 0).withColumn("_opening", F.col("_opening") + F.col("_arrived"))
-    chunk_columns = ["seq", "batch_id", "qty", "_opening", "_chunk"]
-    state = placed.select(*chunk_columns, F.col("_opening").alias("_left"), F.lit(False).alias("_taken"))
+    columns = ["seq", "batch_id", "qty", "_opening", CHUNK]
+    state = placed.select(*columns, F.col("_opening").alias("_left"), F.lit(False).alias("_taken"))
     decided: list[DataFrame] = []
-    while True:
+    open_rows, stalled = None, False
+    while open_rows != 0:
         seen = running_before(
             state,
             "batch_id",
@@ -177,16 +205,20 @@ def settle(demand: DataFrame, opening: DataFrame, receipts: DataFrame | None = N
         fails = F.col("qty") > F.col("_left")
         bills = lines.groupBy("seq").agg(F.bool_and(fits).alias("_ok"), F.bool_or(fails).alias("_bad"))
         verdict = F.when(F.col("_ok"), True).when(F.col("_bad"), False)
-        step = cut(
-            lines.join(bills, "seq").select(*chunk_columns, "_left", verdict.alias("accepted")), "bills"
-        )
+        judged = lines.join(bills, "seq")
+        if stalled:
+            first = lines.select("seq", "batch_id", "qty", "_left").orderBy("seq").limit(SLICE_ROWS)
+            served = first.groupBy().applyInPandas(_server(), "seq bigint, _served boolean")
+            judged = judged.join(served, "seq", "left")
+            verdict = F.coalesce("_served", verdict)
+        step = cut(judged.select(*columns, "_left", verdict.alias("accepted")), "bills")
         decided.append(step.filter(F.col("accepted").isNotNull()).drop("_left"))
         if len(decided) == 16:
             decided = [cut(reduce(DataFrame.unionByName, decided), "bills")]
-        if step.filter(F.col("accepted").isNull()).isEmpty():
-            break
+        before, open_rows = open_rows, step.filter(F.col("accepted").isNull()).count()
+        stalled = before is not None and open_rows > before / 2
         state = step.filter(F.coalesce("accepted", F.lit(True))).select(
-            *chunk_columns, "_left", F.coalesce("accepted", F.lit(False)).alias("_taken")
+            *columns, "_left", F.coalesce("accepted", F.lit(False)).alias("_taken")
         )
     settled = reduce(DataFrame.unionByName, decided)
     found = running_before(settled, "batch_id", "seq", {"_used": F.when(F.col("accepted"), F.col("qty")).otherwise(0)})

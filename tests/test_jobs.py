@@ -111,6 +111,21 @@ def test_bills_match_serial(spark, small_chunks, trial):
     assert {b: stock[b] + came.get(b, 0) - used.get(b, 0) for b in stock} == {b: left[b] for b in stock}
 
 
+@pytest.mark.parametrize("slice_rows", [3, 50])
+def test_chained_bills_with_arrivals_match_serial(spark, small_chunks, monkeypatch, slice_rows):
+    """Stock that trickles in makes long chains, which are served slice by slice."""
+    monkeypatch.setattr(bills, "SLICE_ROWS", slice_rows)
+    rng = random.Random(slice_rows)
+    size = 60 if slice_rows == 3 else 400
+    demand = {s: {0: rng.randrange(1, 20), **({1: 2} if s % 3 == 0 else {})} for s in range(0, size, 2)}
+    arrivals = [(s, rng.choice([0, 0, 1]), rng.randrange(1, 20)) for s in range(1, size, 2)]
+    accepted, _ = serial_bills(demand, {0: 5, 1: 1}, arrivals)
+    df = spark.createDataFrame([(s, b, q) for s, ls in demand.items() for b, q in ls.items()], "seq bigint, batch_id bigint, qty bigint")
+    opening = spark.createDataFrame([(0, 5), (1, 1)], "batch_id bigint, available_qty int")
+    incoming = spark.createDataFrame(arrivals, "seq bigint, batch_id bigint, qty bigint")
+    assert {r.seq: r.accepted for r in bills.guard_outcome(bills.settle(df, opening, incoming)).collect()} == accepted
+
+
 def test_chain_of_bills_is_decided_to_the_end(spark):
     """Every other bill depends on the refusal before it."""
     demand = [(s, 0, 3 if s % 2 == 0 else 1) for s in range(30)]

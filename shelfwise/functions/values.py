@@ -7,8 +7,6 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed import TXN_TYPES
-
 MONEY = "decimal(18,2)"
 PRICE = "decimal(10,2)"
 EXACT = "decimal(18,6)"
@@ -82,7 +80,3 @@ def contains_any(term: str, *xs: Column | str) -> Column:
     """Case-insensitive substring match in any column, term taken literally."""
     t = term.lower()
     return reduce(Column.__or__, [F.coalesce(F.lower(_c(x)).contains(t), F.lit(False)) for x in xs])
-
-
-def is_known_type(x: Column | str) -> Column:
-    return _c(x).isin(TXN_TYPES)

@@ -2,30 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_root: list[str] = []
-
 
 def work_root(spark: SparkSession) -> str:
-    """Shared folder of the session; a temporary one only in local mode without a setting."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return context.getCheckpointDir().rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    if not _local_root:
-        _local_root.append(tempfile.mkdtemp(prefix="shelfwise-"))
-        atexit.register(shutil.rmtree, _local_root[0], ignore_errors=True)
-    return _local_root[0]
+    """Folder for intermediate tables, the same for the driver and every executor.
+
+    It is the session's ``spark.checkpoint.dir``; where a session has none, a folder in
+    its warehouse, which is shared as well.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_steps").rstrip("/")
 
 
 def work_path(spark: SparkSession, label: str) -> str:

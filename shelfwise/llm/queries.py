@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, mixing, simhash, tokens, toxicity
+from . import decontaminate, lines, mixing, pii, quality_rules, resampling, secrets, simhash, tokens, toxicity
 from .rows import text_or_empty
 from .statements import LINES, WINDOWS
 
@@ -38,6 +38,15 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > TOKEN_LIMIT).alias("over_limit"), F.col("found.cut").alias("chars_within_limit"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.found(docs, pii.fit(pii.proposals(docs)))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), *[pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
 def op4_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -62,9 +71,29 @@ def op7_boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), F.col("new_text").alias("text"), "n_lines", "n_dropped")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.found(docs, secrets.fit(secrets.findings(docs)))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_candidates", F.size("spans").cast("bigint").alias("n_secrets"), spans.alias("spans"))
+
+
+def op9_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.sampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select(F.col("k_id").alias("doc_id"), "log_weight", "key", "kept")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select(F.col("id").alias("doc_id"), *quality_rules.STATISTICS, "base_failed", "kept", "score")
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_token_counts, op4_benchmark_hits, op5_simhash, op6_mixing, op7_boilerplate_lines)
+    for f in (
+        op1_toxicity, op2_token_counts, op3_pii, op4_benchmark_hits, op5_simhash, op6_mixing, op7_boilerplate_lines, op8_secrets,
+        op9_resampling, op10_quality_rules,
+    )
 }
 
 #: The rest has models, hashes or schedules that SQL lacks; their tests compare with brute force or held-out labels.

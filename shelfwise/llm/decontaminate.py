@@ -21,9 +21,10 @@ from ..operators.lineage import cut
 from .rows import lower_ascii, packed, row_key, same_key, text_or_empty, unpacked
 
 WINDOW = 10
-#: A document word: ASCII letters and digits, and every character beyond ASCII.
-ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What is no word in a lowered text: all ASCII but letters and digits.
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same in a text whose A-Z were not lowered.
+RAW_WORD, NO_RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words of a text that are handled as one row; bounds the windows held at a time.
 SEGMENT = 1024
 #: Windows of a benchmark that may be broadcast: at 80 bytes each and some overhead, about 200 MB.
@@ -121,8 +122,8 @@ def remove_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     text = F.col("row").getField("text")
     covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s["word"], s["word"] + s["size"] - 1))))
     # pieces: what stands before the first word, then each word with the separators after it
-    pieces = F.regexp_extract_all(text, F.lit(f"^{NO_WORD}|{ITEM_WORD}{NO_WORD[:-1]}*"), F.lit(0))
-    lead = F.when(text.rlike(f"^{NO_WORD}"), 1).otherwise(0)
+    pieces = F.regexp_extract_all(text, F.lit(f"^{NO_RAW_WORD}|{RAW_WORD}{NO_RAW_WORD[:-1]}*"), F.lit(0))
+    lead = F.when(text.rlike(f"^{NO_RAW_WORD}"), 1).otherwise(0)
     marked = F.transform(
         pieces, lambda p, i: F.when(F.array_contains(covered, (i - lead).cast("bigint")), "").otherwise(p)
     )

@@ -1,0 +1,424 @@
+"""The operators against brute force, the tokenizer library, and held-out labels."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter, defaultdict
+from zlib import crc32
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from shelfwise.llm import components, decontaminate, lines, mixing, pii, quality_rules, resampling, secrets, simhash, tokens, toxicity
+from shelfwise.llm.queries import LLM_QUERIES, vocabulary_path
+
+SF = "/root/testdata/sf0.001"
+SPACES = "[^ \t\n\x0b\x0c\r]+"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text for r in docs.collect()}
+
+
+def lower_ascii(text: str) -> str:
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+
+# --- near copies
+
+
+def brute_fingerprint(text: str) -> int:
+    words = re.findall(SPACES, lower_ascii(text or ""))
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
+
+
+def brute_components(prints: dict) -> dict:
+    parent = {i: i for i in prints}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(prints)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if (prints[a] ^ prints[b]).bit_count() <= 3 and top(a) != top(b):
+                parent[max(top(a), top(b))] = min(top(a), top(b))
+    return {i: top(i) for i in ids}
+
+
+def test_simhash_query(spark, texts):
+    want = {i: brute_fingerprint(t) for i, t in texts.items()}
+    named = brute_components(want)
+    got = LLM_QUERIES["op5_simhash"](spark, SF).collect()
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {i: (f"{want[i]:016x}", named[i]) for i in want}
+
+
+def test_links_of_crowded_keys(spark, monkeypatch):
+    """Chains of fingerprints around one centre, with chunks far smaller than the group."""
+    monkeypatch.setattr(simhash, "CHUNK", 16)
+    rnd = random.Random(3)
+    centre = rnd.getrandbits(64)
+    prints = {i: centre ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 5))) for i in range(300)}
+    prints |= {300 + i: rnd.getrandbits(64) for i in range(100)}
+    rows = spark.createDataFrame([(i, int(np.uint64(f).view(np.int64))) for i, f in prints.items()], "id bigint, fp bigint")
+    got = simhash.grouped(rows).collect()
+    assert {r.id: r.component for r in got} == brute_components(prints)
+
+
+def test_roots_of_a_long_chain(spark):
+    order = list(range(400))
+    random.Random(5).shuffle(order)
+    links = spark.createDataFrame(list(zip(order, order[1:])) + [(1000, 1001), (7, 7)], "u bigint, v bigint")
+    got = {r.node: r.root for r in components.roots(links).collect()}
+    assert got == {i: 0 for i in range(1, 400)} | {1001: 1000}
+
+
+# --- benchmark passages
+
+
+def brute_hits(text: str, grams: dict) -> tuple:
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower_ascii(text or ""))
+    hit, items = set(), set()
+    for size in {len(g) for g in grams}:
+        for i in range(len(words) - size + 1):
+            if (gram := tuple(words[i : i + size])) in grams:
+                hit |= set(range(i, i + size))
+                items |= grams[gram]
+    return len(words), len(hit), sorted(items)
+
+
+def brute_grams(items: list) -> dict:
+    grams = defaultdict(set)
+    for i, t in items:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower_ascii(t or ""))
+        size = min(10, len(words))
+        for k in range(len(words) - size + 1) if words else ():
+            grams[tuple(words[k : k + size])] |= {str(i)} if i is not None else set()
+    return dict(grams)
+
+
+def test_windows_of_all_sizes(spark, texts, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SEGMENT", 16)
+    rnd = random.Random(1)
+    vocabulary = ["a", "B", "c9", "é", "ñu", "0"]
+    items = [(i, rnd.choice([" ", "-", "\n"]).join(rnd.choice(vocabulary) for _ in range(rnd.randint(0, 14)))) for i in range(40)]
+    items += [(None, "a b a b c9"), (3, items[3][1]), (50, None)]
+    rows = [(i, "".join(rnd.choice(vocabulary) + rnd.choice([" ", ", ", "--", "\x00"]) for _ in range(rnd.randint(0, 120)))) for i in range(60)]
+    rows += [(99, None), (100, ""), (100, "a"), rows[0]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    grams = brute_grams(items)
+    got = sorted((r.k_id, r.n_words, r.n_hit, list(r["items"])) for r in decontaminate.report(docs, bench).collect())
+    assert got == sorted((i, *brute_hits(t, grams)) for i, t in rows)
+    clean = decontaminate.drop_contaminated(docs, bench).collect()
+    assert sorted(r.doc_id for r in clean) == sorted(i for i, t in rows if not brute_hits(t, grams)[1])
+
+
+def test_passages_are_removed(spark):
+    passage = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, f"  Before it. {passage.upper()}, eleven after!"), (2, "clean text"), (3, passage)], "doc_id int, text string")
+    bench = spark.createDataFrame([(1, passage)], "item_id int, text string")
+    got = {r.doc_id: r.text for r in decontaminate.remove_passages(docs, bench).collect()}
+    assert got == {1: "  Before it. eleven after!", 2: "clean text", 3: ""}
+
+
+def test_benchmark_beyond_the_broadcast_bound(spark, docs, monkeypatch):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    want = sorted(map(str, decontaminate.report(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    assert sorted(map(str, decontaminate.report(docs, bench).collect())) == want
+
+
+# --- mixing
+
+
+def brute_targets(sizes: dict) -> dict:
+    names = sorted([s for s in sizes if s is not None]) + [None] * (None in sizes)
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    target, open_names, left = {}, set(names), 1.5 * sum(sizes.values())
+    while open_names:
+        level = left / sum(weight[s] for s in open_names)
+        full = {s for s in open_names if level * weight[s] > 2 * sizes[s]}
+        if not full:
+            return target | {s: level * weight[s] for s in open_names}
+        target |= {s: 2.0 * sizes[s] for s in full}
+        left -= sum(2 * sizes[s] for s in full)
+        open_names -= full
+    return target
+
+
+def test_mixing(spark, docs):
+    some = docs.withColumn("source", F.when(F.col("source") == "src3", None).otherwise(F.col("source")))
+    some = some.where("source is null or source <> 'src5' or doc_id % 3 = 0")  # sources of unlike sizes
+    sizes = Counter()
+    for r in some.collect():
+        sizes[r.source] += len(re.findall(SPACES, r.text))
+    want = brute_targets(dict(sizes))
+    rows = mixing.mixed(some).collect()
+    assert all(r.source_size == sizes[r.source] and math.isclose(r.target, want[r.source]) for r in rows)
+    assert all(0 <= r.taken <= 2 * r.size for r in rows)
+    taken = Counter()
+    for r in rows:
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - want[s]) <= 0.005 * want[s] + 3 for s in want)
+    again = mixing.mixed(some.repartition(3)).collect()
+    assert sorted((r.id, r.taken) for r in again) == sorted((r.id, r.taken) for r in rows)
+
+
+def test_schedule_spreads_each_source(spark, docs):
+    mix = mixing.Mix(docs)
+    rows = mix.schedule.orderBy("slot").collect()
+    assert [r.slot for r in rows] == list(range(len(rows)))
+    blocks, share = defaultdict(list), Counter()
+    for r in rows:
+        blocks[r.s].append(r.block)
+    assert all(b == list(range(len(b))) for b in blocks.values())
+    first = rows[: len(rows) // 10]
+    for r in first:
+        share[r.s] += 1
+    assert all(abs(share[s] - len(b) / 10) <= 6 for s, b in blocks.items())
+    words = mix.pieces().groupBy("s", "block", "pass").agg(F.sum("words").alias("n")).where("n > 0").collect()
+    assert max(r.n for r in words) <= mix.block_words
+
+
+# --- lines
+
+
+def test_lines(spark):
+    rnd = random.Random(2)
+    common = ["menu", " menu ", "share this", "", "only here"]
+    rows = [(i, rnd.choice(["h1", "h2", None]), "\n".join([rnd.choice(common) for _ in range(6)] + [f"own {i}"])) for i in range(80)]
+    rows += [(80, "h1", None), (81, "h1", ""), (82, "lone", "menu"), rows[0], rows[0]]
+    pages, seen = Counter(h for _, h, _ in rows), Counter()
+    for _, h, t in rows:
+        seen.update({(h, line.strip()) for line in (t or "").split("\n")})
+    dropped = {k for k, n in seen.items() if k[1] and n >= 5 and n > 0.4 * pages[k[0]]}
+    assert dropped
+    want = [(i, None if t is None else "\n".join(x for x in t.split("\n") if (h, x.strip()) not in dropped)) for i, h, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id int, source string, text string")
+    got = [(r.doc_id, r.text) for r in lines.drop_boilerplate(docs, ratio=0.4).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+# --- tokens
+
+
+@pytest.fixture(scope="module")
+def library():
+    tokenizers = pytest.importorskip("tokenizers")
+    tokenizer = tokenizers.Tokenizer.from_file(vocabulary_path())
+    return lambda text: len(tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    with open(vocabulary_path(), encoding="utf-8") as f:
+        return tokens.Vocabulary(f.read())
+
+
+def test_token_query(spark, texts, library):
+    for r in LLM_QUERIES["op2_token_counts"](spark, SF).collect():
+        text = texts[r.doc_id]
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), library(text), library(text) > 1024)
+        if r.over_limit:
+            assert library(text[: r.chars_within_limit]) <= 1024
+            assert all(library(text[:i]) > 1024 for i in range(r.chars_within_limit + 1, min(len(text), r.chars_within_limit + 30)))
+
+
+def test_every_prefix(library, vocabulary):
+    parts = [
+        "'s", "'ll", "'re", "'", "l", " ", "  ", "\n", "\t", "\xa0", "\x85", "\x1c", "a", "é", "1", "٣", "½", "漢", "🙂", "!!", "the",
+        "<|endoftext|>", "<|endo", " ing", "﻿", "​", "\x00", "can't", "THE", "zzqx",
+    ]
+    rnd = random.Random(4)
+    for _ in range(1500):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12)))
+        want = [library(text[:i]) for i in range(len(text) + 1)]
+        assert vocabulary.prefix_counts(text).tolist() == want, text
+        assert vocabulary.count(text) == want[-1], text
+        for budget in (1, 4, 9):
+            assert vocabulary.cut(text, budget) == max(i for i, n in enumerate(want) if n <= budget), (text, budget)
+
+
+def test_stored_prefixes_answer_budgets(spark, docs, vocabulary):
+    some = docs.where("doc_id < 20")
+    stored = some.select("text", tokens.prefix_counts(spark, F.col("text"), vocabulary_path()).alias("p"))
+    for r in stored.select("text", "p", tokens.within_budget(F.col("p"), 50).alias("cut")).collect():
+        assert r.p == vocabulary.prefix_counts(r.text).tolist()
+        assert r.cut == vocabulary.cut(r.text, 50)
+
+
+# --- personal data
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits: str) -> bool:
+    doubled = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
+    return sum(d - 9 * (d > 9) for d in doubled) % 10 == 0
+
+
+def brute_spans(text: str | None) -> str:
+    found = []
+    for order, (kind, pattern) in enumerate(BASE.items()):
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            sound = {
+                "email": lambda: True, "ip": lambda: all(int(p) <= 255 for p in m[0].split(".")),
+                "card": lambda: 14 <= len(digits) <= 19 and luhn(digits), "phone": lambda: 10 <= len(digits) <= 15,
+            }[kind]
+            if sound():
+                found.append((m.start(), order, m.end(), kind))
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(found))
+
+
+def test_personal_data(spark, texts):
+    rnd = random.Random(6)
+    parts = [
+        "a@b.c", ".d", "%x@e.f", "@", "+1 (988) 555-2485", "+", "4565410125667261", "4111 1111 1111 1111", "1.2.3.4", "300.1.1.1",
+        "0255.1.1.1", ".5", " ", "-", "\n", "é🙂", "x", "12", "(", "..", "joe [at] mail [dot] com",
+    ]
+    rows = list(texts.items()) + [(10**6 + i, "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 25)))) for i in range(400)]
+    rows += [(2 * 10**6, None), (2 * 10**6 + 1, "1.2.3.4 a@b.co " * 700), (2 * 10**6 + 2, "7" * 30000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = pii.fit(pii.proposals(docs))
+    got = pii.found(docs, model).select("row.doc_id", pii.listed(F.col("base")).alias("base"), pii.listed(F.col("spans")).alias("spans")).collect()
+    want = {i: brute_spans(t) if i != 2 * 10**6 + 2 else "" for i, t in rows}
+    assert {r.doc_id: r.base for r in got} == want
+    assert all(set(r.base.split(",")) <= {*r.spans.split(","), ""} for r in got)
+
+
+def test_trees_as_sql_agree_with_the_model(spark):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    from shelfwise.llm.trees import weighted_sum
+
+    rows = spark.range(500).select(F.rand(1).alias("f0"), F.rand(2).alias("f1")).withColumn("label", (F.col("f0") * F.col("f1") > 0.2).cast("double"))
+    vectors = VectorAssembler(inputCols=["f0", "f1"], outputCol="features").transform(rows)
+    model = GBTClassifier(maxIter=5, maxDepth=3, seed=1).fit(vectors)
+    p = 1 / (1 + F.exp(-2 * weighted_sum(model, lambda i: F.col(f"f{i}"))))
+    both = model.transform(vectors).select(p.alias("mine"), vector_to_array("probability")[1].alias("theirs")).collect()
+    assert all(math.isclose(r.mine, r.theirs, abs_tol=1e-9) for r in both)
+
+
+# --- classifiers
+
+
+def test_toxicity_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.trained(docs, labels)
+    rows = docs.join(labels, "doc_id").where(toxicity.held_out()).select("toxic", toxicity.score(docs, model).alias("score")).collect()
+    toxic, clean = ([r.score for r in rows if r.toxic == y] for y in (1, 0))
+    assert np.mean([s >= 0.5 for s in toxic]) > 0.8
+    assert np.mean([s >= 0.5 for s in clean]) < 0.01
+
+
+def test_long_text_is_scored_like_its_parts(monkeypatch):
+    text = "Some words and THEN more " * 50
+    whole = np.unique(np.concatenate(list(toxicity.buckets(text))))
+    monkeypatch.setattr(toxicity, "SPAN", 64)
+    assert np.array_equal(np.unique(np.concatenate(list(toxicity.buckets(text)))), whole)
+
+
+def test_held_out_ids(spark):
+    got = spark.range(50).select("id", toxicity.held_out("id").alias("h")).collect()
+    assert all(r.h == (crc32(str(r.id).encode()) % 5 == 0) for r in got)
+
+
+def brute_repeats(words: list) -> int:
+    seen = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    inside = set()
+    for i in range(len(words) - 4):
+        if seen[tuple(words[i : i + 5])] > 1:
+            inside |= set(range(i, i + 5))
+    return len(inside)
+
+
+def test_quality_rules(spark, texts):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    rows = LLM_QUERIES["op10_quality_rules"](spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = texts[r.doc_id]
+        words = re.findall(SPACES, text)
+        filled = [x for x in text.split("\n") if re.search(SPACES, x)]
+        assert (r.n_words, r.word_chars) == (len(words), sum(map(len, words)))
+        assert r.n_symbols == len(re.findall(r"[#*$%&|<>]", text)) and r.n_dup_lines == len(filled) - len(set(filled))
+        assert r.n_repeat_words == brute_repeats(words)
+        assert r.base_failed == (len(words) < 10 or 100 * r.n_repeat_words > 20 * len(words)) and not (r.base_failed and r.kept)
+    good = [r.kept for r in rows if labels.get(r.doc_id) == 1]
+    bad = [r.kept for r in rows if labels.get(r.doc_id) == 0]
+    assert np.mean(good) > 0.85 and np.mean(bad) < 0.15
+
+
+def test_repeated_words_by_chance():
+    rnd = random.Random(8)
+    for _ in range(300):
+        words = [rnd.choice([b"a", b"b", b"c"]) for _ in range(rnd.randint(0, 60))]
+        assert quality_rules.repeated_words(words) == brute_repeats(words)
+
+
+def test_resampling(spark, texts):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    good = {r.doc_id for r in labels.collect() if r.quality == 1}
+    every, wanted = np.zeros(resampling.BUCKETS), np.zeros(resampling.BUCKETS)
+    for i, t in texts.items():
+        n = np.bincount(resampling.buckets(t), minlength=resampling.BUCKETS)
+        every += n
+        wanted += n * (i in good)
+    ratio = np.log((wanted + 1) / (wanted.sum() + resampling.BUCKETS)) - np.log((every + 1) / (every.sum() + resampling.BUCKETS))
+    rows = resampling.sampled(docs, labels, k=50).collect()
+    assert all(math.isclose(r.log_weight, ratio[resampling.buckets(texts[r.k_id])].sum(), abs_tol=1e-6) for r in rows)
+    best = sorted((r.key for r in rows), reverse=True)[49]
+    assert sum(r.kept for r in rows) == 50 and all(r.kept == (r.key >= best) for r in rows)
+    kept = {r.doc_id: r.kept for r in LLM_QUERIES["op9_resampling"](spark, SF).collect()}
+    bad = {r.doc_id for r in labels.collect() if r.quality == 0}
+    assert np.mean([kept[i] for i in good]) > 0.95 and np.mean([kept[i] for i in bad]) < 0.25
+
+
+@pytest.mark.parametrize("k", [0, 1, 5, 400, 997, 1000, 1001])
+def test_kth_largest(spark, k):
+    values = [float(x % 300) * (-1) ** x for x in range(1000)]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    want = sorted(values, reverse=True)[k - 1] if 1 <= k <= 1000 else None
+    assert resampling.kth_largest(frame, "v", k) == want
+
+
+def test_secrets_on_findings_not_learned_from(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    learn, rest = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
+    forest = secrets.fit(secrets.findings(learn))
+    rows = secrets.found(rest, forest).select(F.explode(secrets.candidates(F.col("body"))).alias("s"), "spans")
+    rows = rows.select(secrets.weak_label(F.col("s")).alias("label"), F.exists("spans", lambda x: x["start"] == F.col("s.start")).alias("kept"))
+    seen = Counter((r.label, r.kept) for r in rows.collect())
+    assert seen[True, True] > 0.95 * (seen[True, True] + seen[True, False])
+    assert seen[False, True] < 0.02 * (seen[False, True] + seen[False, False])
+
+
+def test_digests_are_lowercase_hex(spark):
+    for r in LLM_QUERIES["op4_benchmark_hits"](spark, SF).where("n_hit = 0").limit(2).collect():
+        assert r.items_sha256 == hashlib.sha256(b"").hexdigest()

@@ -207,11 +207,18 @@ def _resent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The movements as a stream in which every sale arrives twice."""
     sent = scaled.movements(_stream(spark, sf_dir, "lineitem"))
     again = scaled.movements(_stream(spark, sf_dir, "lineitem")).filter(F.col("txn_type") == "SALE")
-    return live.without_repeats(sent.unionByName(again)).select(
+    job = live.FirstOnly(spark, work_path(spark, "kept"))
+    runs.each_batch(sent.unionByName(again), job.root, job.apply)
+    return job.all_of("kept").select(
         "txn_number", "txn_type", "product_id", "batch_id", "quantity", "total_amount", "txn_date"
     )
 
 
+def _streamed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    totals = live.daily_totals(scaled.movements(_stream(spark, sf_dir, "lineitem")))
+    return runs.latest_groups(totals, "totals", ["txn_day", "txn_type"])
+
+
 def _streamed_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stock keys start empty."""
     job = balances.GuardedIssues(spark, work_path(spark, "guard"), "stock_key", "event_id", "delta")
@@ -222,8 +229,9 @@ def _streamed_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _streamed_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    job = balances.LowStockAlerts(spark, work_path(spark, "alerts"))
-    job.start(scaled.products(spark, sf_dir).select("id", "min_reorder_level", F.lit(0).alias("opening_stock")))
+    listed = scaled.products(spark, sf_dir).select("id", "min_reorder_level", F.lit(0).alias("opening_stock"))
+    job = balances.LowStockAlerts(spark, work_path(spark, "alerts"), lambda: listed)
+    job.start()
     runs.each_batch(scaled.movements(_stream(spark, sf_dir, "lineitem")), job.root, job.apply)
     return job.all_of("alerts")
 
@@ -237,8 +245,8 @@ def _stock_folder(spark: SparkSession, sf_dir: str) -> stock.StockFolder:
 
 def _streamed_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _stock_folder(spark, sf_dir)
-    runs.each_batch(requests.receipts(_stream(spark, sf_dir, "orders")), folder.root, folder.receive)
-    return folder.read("batches", 1)
+    query = runs.each_batch(requests.receipts(_stream(spark, sf_dir, "orders")), folder.root, folder.receive)
+    return folder.batches(runs.last_batch(query) + 1)
 
 
 def _streamed_bills(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,10 +259,8 @@ STREAMS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_receipts": _streamed_receipts,
     "stream_bills": _streamed_bills,
     "stream_guard": _streamed_guard,
-    "stream_daily_totals": lambda spark, sf_dir: runs.to_files(
-        live.daily_totals(scaled.movements(_stream(spark, sf_dir, "lineitem"))), "totals"
-    ),
-    "stream_dedup": lambda spark, sf_dir: runs.to_files(_resent(spark, sf_dir), "dedup"),
+    "stream_daily_totals": _streamed_totals,
+    "stream_dedup": _resent,
     "stream_low_stock_alerts": _streamed_alerts,
 }
 

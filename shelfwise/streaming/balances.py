@@ -6,6 +6,7 @@ run the chunked operators on the micro-batch, starting from the stored balances.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -17,12 +18,6 @@ from ..operators.running import in_chunks, running_before
 from .runs import Versions
 
 
-def _moved_on(old: DataFrame, key: str, value: str, new: DataFrame) -> DataFrame:
-    """Stored values with the new ones in their place."""
-    fresh = new.toDF(key, "_new")
-    return old.join(fresh, key, "full_outer").select(key, F.coalesce("_new", value).alias(value))
-
-
 @dataclass(frozen=True)
 class GuardedIssues(Versions):
     """Issues from single batches: a request that asks for more than the balance uses nothing."""
@@ -33,34 +28,48 @@ class GuardedIssues(Versions):
 
     def start(self, opening: DataFrame) -> None:
         """``opening`` holds (key, balance)."""
-        self.write("balances", 0, opening.toDF(self.key, "balance"))
+        self.open_state("balances", opening.toDF(self.key, "balance").withColumn("balance", F.col("balance").cast("bigint")))
+
+    def balances(self, version: int, touched: DataFrame | None = None) -> DataFrame:
+        return self.state("balances", version, self.key, touched)
 
     def apply(self, moves: DataFrame, batch_id: int) -> None:
-        opening = self.read("balances", batch_id)
+        opening = self.balances(batch_id, moves)
         decided = self.write(
             "decisions", batch_id, guarded_balance(moves, self.key, self.order, self.delta, opening)
         )
-        last = decided.groupBy(self.key).agg(F.max_by("balance", self.order))
-        self.write("balances", batch_id + 1, _moved_on(opening, self.key, "balance", last))
+        last = decided.groupBy(self.key).agg(F.max_by("balance", self.order).alias("balance"))
+        self.change("balances", batch_id + 1, last, self.key)
 
 
 @dataclass(frozen=True)
 class LowStockAlerts(Versions):
-    """An alert each time a product's stock falls to its reorder level or below."""
+    """An alert each time a product's stock falls to its reorder level or below.
+
+    ``products`` gives the current products (id, min_reorder_level, opening_stock) and is
+    asked for every micro-batch, so that products added later alert as well.
+    """
 
-    def start(self, products: DataFrame) -> None:
-        """``products`` holds (id, min_reorder_level, opening_stock)."""
-        self.write("levels", 0, products.select(F.col("id").alias("product_id"), big("min_reorder_level").alias("level")))
-        self.write("stock", 0, products.select(F.col("id").alias("product_id"), big("opening_stock").alias("stock")))
+    products: Callable[[], DataFrame] | None = None
+
+    def start(self) -> None:
+        self.open_state("stock", self.spark.createDataFrame([], "product_id bigint, stock bigint"))
+
+    def stock(self, version: int, touched: DataFrame | None = None) -> DataFrame:
+        return self.state("stock", version, "product_id", touched)
 
     def apply(self, movements: DataFrame, batch_id: int) -> None:
         """Movements of one micro-batch count in (txn_date, txn_number) order."""
         moves = movements.select(
-            "product_id", F.struct("txn_date", "txn_number").alias("at"), big(signed_units()).alias("delta")
+            F.col("product_id").cast("bigint").alias("product_id"), F.struct("txn_date", "txn_number").alias("at"),
+            big(signed_units()).alias("delta"),
         )
         rows = in_chunks(moves, "product_id", "at")
-        held = self.read("stock", batch_id)
-        known = held.join(self.read("levels", 0), "product_id")
+        held = self.stock(batch_id, moves)
+        listed = self.products().select(
+            F.col("id").cast("bigint").alias("product_id"), big("min_reorder_level").alias("level"), big("opening_stock").alias("opening")
+        )
+        known = listed.join(held, "product_id", "left").withColumn("stock", F.coalesce("stock", "opening")).drop("opening")
         seen = running_before(rows, "product_id", "at", {"moved": F.col("delta")}).join(known, "product_id")
         before = F.col("stock") + F.col("moved")
         crossed = seen.filter((before > F.col("level")) & (before + F.col("delta") <= F.col("level")))
@@ -72,8 +81,5 @@ class LowStockAlerts(Versions):
                 F.col("level").alias("min_reorder_level"),
             ),
         )
-        change = rows.groupBy("product_id").agg(F.sum("delta").alias("change"))
-        after = held.join(change, "product_id", "left").select(
-            "product_id", (F.col("stock") + F.coalesce("change", F.lit(0))).alias("stock")
-        )
-        self.write("stock", batch_id + 1, after)
+        change = rows.groupBy("product_id").agg(F.sum("delta").alias("change")).join(known, "product_id")
+        self.change("stock", batch_id + 1, change.select("product_id", (F.col("stock") + F.col("change")).alias("stock")), "product_id")

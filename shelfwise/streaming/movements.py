@@ -1,31 +1,44 @@
-"""Live figures over the stream of movements."""
+"""Live figures over the stream of movements. No row is too late for them."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import big, money, units
+from .runs import Versions
 
 
-def _timed(movements: DataFrame, lateness: str) -> DataFrame:
-    return movements.withColumn("txn_ts", F.col("txn_date").cast("timestamp")).withWatermark("txn_ts", lateness)
-
+def daily_totals(movements: DataFrame) -> DataFrame:
+    """Count, units and value per day and type, for output mode update.
 
-def daily_totals(movements: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Count, units and value per day and type; a day is final once the watermark has passed it."""
-    return (
-        _timed(movements, lateness)
-        .groupBy(F.window("txn_ts", "1 day").alias("w"), "txn_type")
-        .agg(
-            big(F.count(F.lit(1))).alias("movements"),
-            big(F.sum(units())).alias("units"),
-            money(F.sum("total_amount")).alias("total_value"),
-        )
-        .select(F.to_date("w.start").alias("txn_day"), "txn_type", "movements", "units", "total_value")
+    A late movement corrects its day. The state is one row per calendar day and type, so it
+    needs no watermark to stay small.
+    """
+    return movements.groupBy(F.to_date("txn_date").alias("txn_day"), "txn_type").agg(
+        big(F.count(F.lit(1))).alias("movements"),
+        big(F.sum(units())).alias("units"),
+        money(F.sum("total_amount")).alias("total_value"),
     )
 
 
-def without_repeats(movements: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Drops a movement whose number was seen within the watermark."""
-    return _timed(movements, lateness).dropDuplicatesWithinWatermark(["txn_number"]).drop("txn_ts")
+@dataclass(frozen=True)
+class FirstOnly(Versions):
+    """Movements without those sent before, however long ago: the same number on the same day.
+
+    What was kept is stored by month, so a micro-batch looks into the months of its own rows.
+    """
+
+    def apply(self, movements: DataFrame, batch_id: int) -> None:
+        dated = movements.withColumn("txn_day", F.to_date("txn_date"))
+        dated = dated.withColumn("txn_month", F.date_format("txn_day", "yyyy-MM"))
+        fresh = dated.dropDuplicates(["txn_day", "txn_number"])
+        if batch_id:
+            months = [r.txn_month for r in fresh.select("txn_month").distinct().collect()]  # calendar months
+            kept = self.spark.read.parquet(f"{self.root}/kept").where(F.col("v") < batch_id)
+            kept = kept.where(F.col("txn_month").isin([m for m in months if m]) | F.col("txn_month").isNull())
+            same = F.col("n.txn_day").eqNullSafe(F.col("o.txn_day")) & F.col("n.txn_number").eqNullSafe(F.col("o.txn_number"))
+            fresh = fresh.alias("n").join(kept.select("txn_day", "txn_number").alias("o"), same, "left_anti")
+        self.write("kept", batch_id, fresh.hint("rebalance", "txn_month"), "txn_month")

@@ -1,54 +1,124 @@
-"""Starting a stream, letting it read what is there, and reading what it wrote."""
+"""Starting a stream, letting it read what is there, and keeping what it wrote."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.lineage import work_path
 
+#: Parts that a state's keys are spread over; a micro-batch reads those of its own keys.
+BUCKETS = 32
+#: Micro-batches from one whole copy of a state to the next.
+COMPACT_EVERY = 16
+#: Files of a table that form a micro-batch; None takes all there are, so that the answer does not hang on their number.
+FILES_PER_TRIGGER: int | None = None
+
 
 @dataclass(frozen=True)
 class Versions:
     """Folders that micro-batches read and write under their own number.
 
-    A micro-batch reads version n of a state, as its predecessor left it, and writes
-    version n + 1; rows it puts out go under n. One that runs again after a failure
-    overwrites the same folders with the same rows, so every request counts once.
+    Rows a micro-batch puts out go under its number n. A state is a whole copy and the rows
+    changed since: micro-batch n reads it as its predecessor left it, and writes the changed
+    rows under n + 1. Every few versions a whole copy is written and what lies behind the one
+    before it is removed. A micro-batch that runs again after a failure overwrites the same
+    folders with the same rows, so every request counts once.
     """
 
     spark: SparkSession
     root: str
 
-    def read(self, name: str, version: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}/v={version}")
+    # --- rows put out
 
-    def write(self, name: str, version: int, rows: DataFrame) -> DataFrame:
+    def write(self, name: str, version: int, rows: DataFrame, *by: str) -> DataFrame:
         path = f"{self.root}/{name}/v={version}"
-        rows.write.mode("overwrite").parquet(path)
+        rows.write.mode("overwrite").partitionBy(*by).parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def all_of(self, name: str) -> DataFrame:
         """Rows of every micro-batch so far."""
         return self.spark.read.parquet(f"{self.root}/{name}").drop("v")
 
+    # --- states
+
+    def open_state(self, name: str, rows: DataFrame) -> None:
+        """Version 0 of a state."""
+        described = self.spark.createDataFrame([(rows.schema.json(),)], "schema string")
+        described.coalesce(1).write.mode("overwrite").text(f"{self.root}/{name}/schema")
+        self._copy(name, 0, rows)
 
-def to_files(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Run a stream over everything available, write its rows to files, read them back."""
+    def change(self, name: str, version: int, rows: DataFrame, key: str) -> None:
+        """Rows new or changed in this version, in the types of the state; others stay as they are."""
+        path = f"{self.root}/{name}/v={version}"
+        rows = rows.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in self._schema(name)])
+        rows.withColumn("bucket", bucket_of(key)).write.mode("overwrite").partitionBy("bucket").parquet(path)
+        if version % COMPACT_EVERY == 0:
+            self._copy(name, version, self._read(name, version - COMPACT_EVERY, version, key, None))
+            self._forget(name, version - COMPACT_EVERY)
+
+    def state(self, name: str, version: int, key: str, touched: DataFrame | None = None) -> DataFrame:
+        """The state as of a version; with ``touched``, at least the rows of its keys, from their buckets alone."""
+        buckets = None
+        if touched is not None:
+            buckets = [r.bucket for r in touched.select(bucket_of(key).alias("bucket")).distinct().collect()]  # BUCKETS at most
+        return self._read(name, version - version % COMPACT_EVERY, version, key, buckets)
+
+    def _schema(self, name: str) -> StructType:
+        return StructType.fromJson(json.loads(self.spark.read.text(f"{self.root}/{name}/schema").first()[0]))
+
+    def _copy(self, name: str, version: int, rows: DataFrame) -> None:
+        key = rows.columns[0]
+        whole = rows.withColumn("bucket", bucket_of(key)).write.mode("overwrite").partitionBy("bucket")
+        whole.parquet(f"{self.root}/{name}/whole={version}")
+
+    def _read(self, name: str, copy: int, version: int, key: str, buckets: list[int] | None) -> DataFrame:
+        schema = self._schema(name)
+        parts = [(copy, f"{self.root}/{name}/whole={copy}")]
+        parts += [(n, f"{self.root}/{name}/v={n}") for n in range(copy + 1, version + 1)]
+        found = None
+        for n, path in parts:
+            rows = self.spark.read.schema(StructType([*schema.fields]).add("bucket", "integer")).parquet(path)
+            rows = (rows if buckets is None else rows.where(F.col("bucket").isin(buckets))).withColumn("_at", F.lit(n))
+            found = rows if found is None else found.unionByName(rows)
+        newest = found.groupBy(key).agg(F.max_by(F.struct(*schema.names), "_at").alias("_row"))
+        return newest.select("_row.*")
+
+    def _forget(self, name: str, before: int) -> None:
+        """Removes changes up to a version that a whole copy holds, and the copies before it."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        old = [f"v={n}" for n in range(max(0, before - COMPACT_EVERY) + 1, before + 1)] + [f"whole={before - COMPACT_EVERY}"]
+        for part in old:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/{part}")
+            path.getFileSystem(conf).delete(path, True)
+
+
+def bucket_of(key: str):
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def changed_rows(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
+    """Rows of ``new`` that ``old`` does not have just so."""
+    same = [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in new.columns if c != key]
+    on = F.col(f"n.{key}") == F.col(f"o.{key}")
+    for condition in same:
+        on = on & condition
+    return new.alias("n").join(old.alias("o"), on, "left_anti")
+
+
+def latest_groups(stream: DataFrame, label: str, keys: list[str]) -> DataFrame:
+    """Run an aggregation over everything available; each group as its last update left it."""
     spark = stream.sparkSession
-    out = work_path(spark, label)
-    query = (
-        stream.writeStream.format("parquet")
-        .outputMode(mode)
-        .option("path", f"{out}/rows")
-        .option("checkpointLocation", f"{out}/progress")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+    job = Versions(spark, work_path(spark, label))
+    progress = stream.writeStream.outputMode("update").option("checkpointLocation", f"{job.root}/progress")
+    progress.foreachBatch(lambda rows, n: job.write("groups", n, rows) and None).trigger(availableNow=True).start().awaitTermination()
+    updates = spark.read.schema(StructType([*stream.schema.fields]).add("v", "integer")).parquet(f"{job.root}/groups")
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "v").alias("_row")).select("_row.*")
 
 
 def each_batch(stream: DataFrame, root: str, apply: Callable[[DataFrame, int], None], once: bool = True):
@@ -60,9 +130,15 @@ def each_batch(stream: DataFrame, root: str, apply: Callable[[DataFrame, int], N
     return query
 
 
-def table_stream(
-    spark: SparkSession, sf_dir: str, name: str, columns: str, files_per_trigger: int = 1000
-) -> DataFrame:
-    """One test table as a stream of files."""
-    source = spark.readStream.schema(columns).option("maxFilesPerTrigger", files_per_trigger)
-    return source.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+def last_batch(query) -> int:
+    """Number of the last micro-batch that a finished query ran, -1 if there was none."""
+    done = [p["batchId"] for p in query.recentProgress if p["numInputRows"] > 0]
+    return max(done, default=-1)
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str, columns: str) -> DataFrame:
+    """One test table, a single file or a folder of files, as a stream of files."""
+    source = spark.readStream.schema(columns)
+    if FILES_PER_TRIGGER:
+        source = source.option("maxFilesPerTrigger", FILES_PER_TRIGGER)
+    return source.parquet(f"{sf_dir}/{name}.parque[t]")  # a plain path must be a folder, a pattern may be either

@@ -7,31 +7,39 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from ..plans import bills, receipts
-from .runs import Versions
+from .runs import Versions, changed_rows
 
 
 @dataclass(frozen=True)
 class StockFolder(Versions):
-    """Versions of products and batches, and per micro-batch ledger rows and refusals."""
+    """Products and batches as states, and per micro-batch ledger rows and refusals."""
 
     def start(self, products: DataFrame, batches: DataFrame) -> None:
-        self.write("products", 0, products)
-        self.write("batches", 0, batches)
+        self.open_state("products", products.select("id", *[c for c in products.columns if c != "id"]))
+        self.open_state("batches", batches.select("id", *[c for c in batches.columns if c != "id"]))
+
+    def products(self, version: int) -> DataFrame:
+        return self.state("products", version, "id")
+
+    def batches(self, version: int) -> DataFrame:
+        return self.state("batches", version, "id")
 
     def receive(self, requests: DataFrame, batch_id: int) -> None:
         """Apply one micro-batch of receipts."""
-        products, batches = self.read("products", batch_id), self.read("batches", batch_id)
+        products, batches = self.products(batch_id), self.batches(batch_id)
         done = receipts.receive(requests, products, batches)
         self.write("ledger", batch_id, done.ledger)
         self.write("rejects", batch_id, done.rejects)
-        self.write("products", batch_id + 1, products.unionByName(done.new_products, allowMissingColumns=True))
-        self.write("batches", batch_id + 1, done.batches)
+        added = products.limit(0).unionByName(done.new_products, allowMissingColumns=True)
+        self.change("products", batch_id + 1, added, "id")
+        self.change("batches", batch_id + 1, changed_rows(done.batches.select(*batches.columns), batches, "id"), "id")
 
     def issue(self, requests: DataFrame, batch_id: int) -> None:
         """Apply one micro-batch of bills; each is served whole or not at all."""
-        products, batches = self.read("products", batch_id), self.read("batches", batch_id)
+        products, batches = self.products(batch_id), self.batches(batch_id)
         done = bills.check_out(requests, products, batches)
         self.write("ledger", batch_id, done.ledger)
         self.write("rejects", batch_id, done.rejects)
-        self.write("products", batch_id + 1, products)
-        self.write("batches", batch_id + 1, bills.batches_after(batches, done.settled))
+        after = bills.batches_after(batches, done.settled).select(*batches.columns)
+        self.change("products", batch_id + 1, products.limit(0), "id")
+        self.change("batches", batch_id + 1, changed_rows(after, batches, "id"), "id")

@@ -7,8 +7,11 @@ import os
 import shutil
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from __spark_entry__ import oracle_sql, queries
+from check_oracle import oracle_rows, rows_of
 from shelfwise.plans import bills, receipts
 from shelfwise.sources import requests, schemas
 from shelfwise.streaming import balances, movements, runs, stock
@@ -52,22 +55,83 @@ def test_balances_carry_over_micro_batches(spark, tmp_path, work):
     runs.each_batch(stream, work, job.apply)
     got = {(r.k, r.o): (r.accepted, r.balance) for r in job.all_of("decisions").collect()}
     assert got == {(1, 1): (True, 5), (1, 2): (True, 2), (1, 3): (False, 2), (1, 4): (True, 0), (2, 1): (True, 0)}
-    assert sorted(tuple(r) for r in job.read("balances", 2).collect()) == [(1, 0), (2, 0), (3, 9)]
+    assert sorted(tuple(r) for r in job.balances(2).collect()) == [(1, 0), (2, 0), (3, 9)]
+    assert [tuple(r) for r in spark.read.parquet(f"{work}/balances/v=2").select("k", "balance").collect()] == [(1, 0)]
 
 
-def test_daily_totals_wait_for_the_watermark(spark, tmp_path):
+def test_late_movements_correct_their_day(spark, tmp_path):
     stream = feed(
         tmp_path, spark, MOVE,
         [move("a"), move("b", qty=2), move("c", "STOCK_IN")], [move("d", day="2026-08-11")], [move("e", day="2026-08-11")],
         [move("late", day="2026-08-08")],
     )
-    got = {(str(r.txn_day), r.txn_type): (r.movements, r.units) for r in runs.to_files(movements.daily_totals(stream), "t").collect()}
-    assert got == {("2026-08-08", "SALE"): (2, 3), ("2026-08-08", "STOCK_IN"): (1, 1)}
+    totals = runs.latest_groups(movements.daily_totals(stream), "t", ["txn_day", "txn_type"]).collect()
+    got = {(str(r.txn_day), r.txn_type): (r.movements, r.units) for r in totals}
+    assert got == {("2026-08-08", "SALE"): (3, 4), ("2026-08-08", "STOCK_IN"): (1, 1), ("2026-08-11", "SALE"): (2, 2)}
 
 
-def test_repeats_are_dropped(spark, tmp_path):
-    stream = feed(tmp_path, spark, MOVE, [move("a"), move("a"), move("b")], [move("b"), move("c")])
-    assert sorted(r.txn_number for r in runs.to_files(movements.without_repeats(stream), "t").collect()) == ["a", "b", "c"]
+def test_repeats_are_dropped_however_late(spark, tmp_path, work):
+    stream = feed(
+        tmp_path, spark, MOVE, [move("a"), move("a"), move("b")], [move("b"), move("c", day="2027-01-01")], [move("a"), move("c", day="2027-01-01")]
+    )
+    job = movements.FirstOnly(spark, work)
+    runs.each_batch(stream, work, job.apply)
+    assert sorted(r.txn_number for r in job.all_of("kept").collect()) == ["a", "b", "c"]
+
+
+def test_state_is_compacted_and_old_versions_go(spark, work, monkeypatch):
+    monkeypatch.setattr(runs, "COMPACT_EVERY", 2)
+    job = runs.Versions(spark, work)
+    job.open_state("s", spark.createDataFrame([(i, 0) for i in range(5)], "k bigint, n int"))
+    for n in range(1, 7):
+        job.change("s", n, spark.createDataFrame([(n % 3, n)], "k bigint, n int"), "k")
+        assert job.state("s", n, "k").count() == 5
+    assert sorted(tuple(r) for r in job.state("s", 6, "k").collect()) == [(0, 6), (1, 4), (2, 5), (3, 0), (4, 0)]
+    assert sorted(os.listdir(f"{work}/s")) == ["schema", "v=5", "v=6", "whole=4", "whole=6"]
+    touched = spark.createDataFrame([(3,)], "k bigint")
+    assert {r.k for r in job.state("s", 6, "k", touched).collect()} >= {3}
+
+
+ORDERED = {
+    "stream_receipts": ("orders", "o_orderkey"), "stream_bills": ("orders", "o_orderkey"), "stream_guard": ("events", "event_id"),
+    "stream_daily_totals": ("lineitem", None), "stream_dedup": ("lineitem", None),
+    "stream_low_stock_alerts": ("lineitem", "l_shipdate"),
+}
+
+
+@pytest.fixture(scope="module")
+def many_files(spark, tmp_path_factory):
+    """The smallest test tables, the streamed ones as three files each, in the order of their events."""
+    source, folder = "/root/testdata/sf0.001", tmp_path_factory.mktemp("many")
+    streamed = {"orders": "o_orderkey", "events": "event_id", "lineitem": "l_shipdate"}
+    for file in sorted(os.listdir(source)):
+        name = file.removesuffix(".parquet")
+        if name not in streamed:
+            os.symlink(f"{source}/{file}", folder / file)
+            continue
+        (folder / file).mkdir()
+        rows = spark.read.parquet(f"{source}/{file}")
+        ranked = rows.withColumn("_n", F.ntile(3).over(Window.orderBy(streamed[name])))
+        # a day must not be split between files: the alerts go by date
+        first = ranked.groupBy(streamed[name]).agg(F.min("_n").alias("_part"))
+        parts = rows.join(first, streamed[name])
+        for n in (1, 2, 3):
+            out = folder / f"_{name}{n}"
+            parts.where(F.col("_part") == n).drop("_part").select(*rows.columns).coalesce(1).write.parquet(str(out))
+            part = next(out.glob("part-*.parquet"))
+            target = folder / file / f"part-{n}.parquet"
+            shutil.copy(part, target)
+            os.utime(target, (1_700_000_000 + n, 1_700_000_000 + n))
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", list(ORDERED))
+@pytest.mark.parametrize("per_trigger", [None, 1])
+def test_streams_over_many_files(spark, many_files, monkeypatch, name, per_trigger):
+    monkeypatch.setattr(runs, "FILES_PER_TRIGGER", per_trigger)
+    got = queries()[name](spark, many_files)
+    columns, want, _ = oracle_rows("/root/testdata/sf0.001", oracle_sql()[name])
+    assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == rows_of(columns, want)
 
 
 def test_alerts_fire_on_each_crossing(spark, tmp_path, work):
@@ -75,12 +139,18 @@ def test_alerts_fire_on_each_crossing(spark, tmp_path, work):
         tmp_path, spark, MOVE,
         [move("1", qty=4), move("2", qty=2)], [move("3", qty=1), move("4", "STOCK_IN", qty=10), move("5", qty=9)],
     )
-    job = balances.LowStockAlerts(spark, work)
-    job.start(spark.createDataFrame([(1, 5, 10), (2, 5, 10)], "id bigint, min_reorder_level int, opening_stock int"))
+    listed = spark.createDataFrame([(1, 5, 10), (2, 5, 10)], "id bigint, min_reorder_level int, opening_stock int")
+    job = balances.LowStockAlerts(spark, work, lambda: listed)
+    job.start()
     runs.each_batch(stream, work, job.apply)
     got = job.all_of("alerts").orderBy("txn_number").collect()
     assert [(r.txn_number, r.stock, r.min_reorder_level) for r in got] == [("2", 4, 5), ("5", 4, 5)]
-    assert sorted(tuple(r) for r in job.read("stock", 2).collect()) == [(1, 4), (2, 10)]
+    assert sorted(tuple(r) for r in job.stock(2).collect()) == [(1, 4)]
+    later = listed.unionByName(spark.createDataFrame([(3, 2, 3)], "id bigint, min_reorder_level int, opening_stock int"))
+    job = balances.LowStockAlerts(spark, work, lambda: later)
+    rows = spark.createDataFrame([("6", "SALE", 3, 2)], "txn_number string, txn_type string, product_id bigint, quantity int")
+    job.apply(rows.withColumn("txn_date", F.lit("2026-08-09").cast("timestamp")), 2)
+    assert [r.txn_number for r in job.all_of("alerts").where("product_id = 3").collect()] == ["6"]
 
 
 def test_receipt_stream_equals_batch(spark, seed, tmp_path, work):
@@ -98,9 +168,9 @@ def test_receipt_stream_equals_batch(spark, seed, tmp_path, work):
         spark.read.schema(schemas.RECEIPT_REQUEST).json(str(tmp_path / "in")), seed.products, seed.product_batches
     )
     key = ["id", "batch_number", "product_id", "available_qty", "purchase_price"]
-    assert sorted(folder.read("batches", 2).select(*key).collect()) == sorted(whole.batches.select(*key).collect())
+    assert sorted(folder.batches(2).select(*key).collect()) == sorted(whole.batches.select(*key).collect())
     assert folder.all_of("ledger").count() == 3 and folder.all_of("rejects").count() == 1
-    assert folder.read("products", 2).count() == 6
+    assert folder.products(2).count() == 6
 
 
 def test_bill_stream_equals_batch_and_repeats_safely(spark, seed, tmp_path, work):
@@ -117,7 +187,7 @@ def test_bill_stream_equals_batch_and_repeats_safely(spark, seed, tmp_path, work
     read = spark.read.schema(schemas.BILL_REQUEST).json(str(tmp_path / "in"))
     whole = bills.check_out(read, seed.products, seed.product_batches)
     want = bills.batches_after(seed.product_batches, whole.settled).select("id", "available_qty").collect()
-    assert sorted(folder.read("batches", 2).select("id", "available_qty").collect()) == sorted(want)
+    assert sorted(folder.batches(2).select("id", "available_qty").collect()) == sorted(want)
     booked = sorted(r.txn_number for r in folder.all_of("ledger").collect())
     assert booked == sorted(r.txn_number for r in whole.ledger.collect())
     # The last micro-batch again, as after a failure before its commit.

@@ -112,23 +112,27 @@ def _strongest(clean: np.ndarray, toxic: np.ndarray, features: int) -> np.ndarra
     return np.sort(order[chi[order] > 0])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights on scaled 0/1 features and the bias, by accelerated gradient steps from zero."""
-    n, k = x.shape
-    w, momentum = np.zeros(k + 1), np.zeros(k + 1)
+def _logistic(row: np.ndarray, feature: np.ndarray, y: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights on scaled 0/1 features and the bias, by accelerated gradient steps from zero.
+
+    The features that are present come as pairs (row, feature); most rows have few of them.
+    """
+    n, k = len(y), len(scale)
+    ahead_of = lambda v: np.bincount(row, (scale * v)[feature], n)
+    back = lambda e: scale * np.bincount(feature, e[row], k)
+    w, earlier = np.zeros(k + 1), np.zeros(k + 1)
     # the curvature is at most a quarter of the largest mean square norm, found by power iteration
-    v = np.ones(k)
+    v, norm = np.ones(k), 0.0
     for _ in range(12):
-        v = scale * (x.T @ (x @ (scale * v).astype(np.float32))).astype(float) / n
-        norm = np.linalg.norm(v)
+        v = back(ahead_of(v)) / n
+        norm = float(np.linalg.norm(v))
         v = v / (norm or 1.0)
     rate = 1 / (0.25 * (norm + 1.0) + PENALTY)
     for step in range(STEPS):
-        ahead = w + (step / (step + 3)) * (w - momentum)
-        z = x @ (scale * ahead[:-1]).astype(np.float32) + ahead[-1]
-        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        gradient = np.append(scale * (x.T @ error.astype(np.float32)) / n + PENALTY * ahead[:-1], error.mean())
-        momentum, w = w, ahead - rate * gradient
+        ahead = w + (step / (step + 3)) * (w - earlier)
+        error = 1 / (1 + np.exp(-np.clip(ahead_of(ahead[:-1]) + ahead[-1], -30, 30))) - y
+        gradient = np.append(back(error) / n + PENALTY * ahead[:-1], error.mean())
+        earlier, w = w, ahead - rate * gradient
     return w[:-1], float(w[-1])
 
 
@@ -154,12 +158,13 @@ def fit(labelled: DataFrame, features: int = FEATURES) -> Model:
 
         return texts.map(of)
 
-    rows = labelled.select(marks("text").alias("marks"), "label").orderBy("marks", "label").collect()
-    y = np.array([r.label for r in rows], np.float32)
-    x = np.unpackbits(np.array([np.frombuffer(r.marks, np.uint8) for r in rows]), axis=1)[:, : len(chosen)].astype(np.float32)
+    rows = sorted((r.marks, r.label) for r in labelled.select(marks("text").alias("marks"), "label").collect())
+    y = np.array([label for _, label in rows], float)
+    found = [np.flatnonzero(np.unpackbits(np.frombuffer(m, np.uint8))) for m, _ in rows]
+    row, feature = np.repeat(np.arange(len(rows)), [len(f) for f in found]), np.concatenate(found)
     p, q = toxic[chosen] + SMOOTHING, clean[chosen] + SMOOTHING
     ratio = np.log((p / (n1 + 2 * SMOOTHING)) / (q / (n0 + 2 * SMOOTHING)))
-    w, bias = _logistic(x, y, ratio)
+    w, bias = _logistic(row, feature, y, ratio)
     weights[chosen] = (w * ratio).astype(np.float32)
     return Model(weights, bias)
 

@@ -28,12 +28,13 @@ def left_lookup(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, *,
     return left.join(dim, on, "left").drop("_join_key", dim_key)
 
 
-def lookup_few(rows: DataFrame, dim: DataFrame, row_key: str, dim_key: str, bound: int) -> DataFrame:
-    """Left join of at most ``bound`` rows to a lookup of any size with one row per key.
+def lookup_few(rows: DataFrame, dim: DataFrame, row_key: str, dim_key: str, keys_of: DataFrame | None = None) -> DataFrame:
+    """Left join of a few written rows to a lookup of any size with one row per key.
 
-    The caller vouches for ``bound`` (a LIMIT below). The few keys are broadcast to the
-    lookup's scan, the rows found, one per key, are broadcast back: nothing is shuffled.
+    The lookup is cut down to the keys at hand before the join. ``keys_of`` is the written
+    frame that holds them, if ``rows`` has been joined since. How each join is run is left
+    to Spark, which knows the size of a written frame.
     """
-    keys = rows.select(F.col(row_key).alias(dim_key)).filter(F.col(dim_key).isNotNull()).distinct().limit(bound)
-    found = F.broadcast(dim.join(F.broadcast(keys), dim_key, "left_semi"))
+    keys = (rows if keys_of is None else keys_of).select(F.col(row_key).alias(dim_key)).filter(F.col(dim_key).isNotNull()).distinct()
+    found = dim.join(keys, dim_key, "left_semi")
     return rows.join(found, rows[row_key] == found[dim_key], "left").drop(dim_key)

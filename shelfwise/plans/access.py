@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import DEFAULT_ROLE, ROLE_PERMISSIONS
@@ -14,7 +16,7 @@ def _checked(requests: DataFrame) -> DataFrame:
     granted = [
         (F.col("role") == role) & F.col("permission").isin(permissions) for role, permissions in ROLE_PERMISSIONS.items()
     ]
-    allowed = granted[0] | granted[1] | granted[2] | granted[3]
+    allowed = reduce(Column.__or__, granted)
     return requests.withColumn("role", text_or("role", DEFAULT_ROLE)).withColumn(
         "_allowed", F.coalesce(allowed, F.lit(False))
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -114,35 +115,55 @@ def ledger(
 
 
 def page_size(text: str | int | None) -> int:
-    """Requested page size; anything that is not a positive whole number gives the default."""
-    digits = str(text if text is not None else "").strip()
-    number = int(digits) if digits.isdecimal() else 0
-    return number or LEDGER_PAGE
+    """Requested page size: the whole number that a text starts with; the default if there is none or it is not positive."""
+    found = re.match(r"\s*\+?(\d+)", str(text if text is not None else ""))
+    return (int(found[1]) if found else 0) or LEDGER_PAGE
+
+
+def _found(tables: Tables, movements: DataFrame, searches: list[_Search]) -> DataFrame:
+    """Movements that every search finds somewhere; products and batches are matched once each, before the join."""
+    for s in searches:
+        products = _product_names(tables.products).filter(s.product).select("_product", F.lit(True).alias("_in_product"))
+        batches = _batch_names(tables.stock).filter(s.batch).select("_batch", F.lit(True).alias("_in_batch"))
+        joined = movements.join(products, F.col("product_id") == F.col("_product"), "left")
+        joined = left_lookup(joined, batches, "batch_id", "_batch", spread_by="txn_number")
+        in_names = F.coalesce(F.col("_in_product"), F.lit(False)) | F.coalesce(F.col("_in_batch"), F.lit(False))
+        movements = joined.filter(in_names | s.movement).drop("_product", "_in_product", "_in_batch")
+    return movements
 
 
 def ledger_page(
-    tables: Tables, limit: str | int | None = None, *, txn_type: str | None = None, period: str | None = None
+    tables: Tables,
+    limit: str | int | None = None,
+    *,
+    txn_type: str | None = None,
+    period: str | None = None,
+    search: str | None = None,
+    literal_search: str | None = None,
 ) -> DataFrame:
-    """Newest rows of the ledger.
+    """Newest rows of the ledger after the filters and searches of ``ledger``.
 
-    The left joins neither add nor drop rows, so the page is cut from the bare movements
-    first and only the rows on it meet the dimensions. A pass over the dates alone finds
-    the oldest date that can be on the page; the full rows are read from there on.
+    The page is cut from movements without names, and only the rows on it meet the
+    dimensions. Without a search, a pass over the dates alone finds the oldest date that
+    can be on the page, and the other columns are read from there on.
     """
     n = page_size(limit)
-    facts = _on_fact(tables, txn_type, period)
-    dates_on_page = facts.select("txn_date").orderBy(F.desc("txn_date")).limit(n)
-    oldest = dates_on_page.agg(F.min("txn_date")).scalar()
-    candidates = facts.filter(F.col("txn_date").isNull() | (F.col("txn_date") >= oldest))
-    page = cut(candidates.orderBy(*newest_first()).limit(n), "page")
-    named = tables.complete(page, n)
+    facts, searches = _on_fact(tables, txn_type, period), _searches(search, literal_search)
+    if searches:
+        facts = _found(tables, tables.complete(facts), searches)
+    else:
+        dates_on_page = facts.select("txn_date").orderBy(F.desc("txn_date")).limit(n)
+        oldest = dates_on_page.agg(F.min("txn_date")).scalar()
+        facts = facts.filter(F.col("txn_date").isNull() | (F.col("txn_date") >= oldest))
+    page = cut(facts.orderBy(*newest_first()).limit(n), "page")
+    named = page if searches else tables.complete(page, few=True)
     for dim, key, fact_key in (
         (_product_names(tables.products), "_product", "product_id"),
         (_batch_names(tables.stock), "_batch", "batch_id"),
         (_supplier_names(tables.suppliers), "_supplier", "supplier_id"),
         (_user_names(tables.users), "_user", "user_id"),
     ):
-        named = lookup_few(named, dim, fact_key, key, n)
+        named = lookup_few(named, dim, fact_key, key, keys_of=page)
     return named.orderBy(*newest_first())
 
 

@@ -44,6 +44,7 @@ READS: dict[str, Callable[[Tables], DataFrame]] = {
     "ledger_search_literal": lambda t: ledger.ledger(t, literal_search="Blue Bolt"),
     "ledger_latest": ledger.ledger_page,
     "ledger_recent": ledger.recent,
+    "ledger_search_latest": lambda t: ledger.ledger_page(t, "50abc", txn_type="SALE", period="THIS_YEAR", search="blue%t"),
     "ledger_display": lambda t: ledger.display(ledger.ledger(t, period="THIS_YEAR")),
     "ledger_export": lambda t: ledger.export_columns(ledger.ledger(t, period="THIS_YEAR")),
     # catalog

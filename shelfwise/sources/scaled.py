@@ -149,16 +149,16 @@ def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def complete(spark: SparkSession, sf_dir: str, rows: DataFrame, bound: int | None = None) -> DataFrame:
-    """Movements with unit price and, on sales, the customer."""
+def complete(spark: SparkSession, sf_dir: str, rows: DataFrame, few: bool = False) -> DataFrame:
+    """Movements with unit price and, on sales, the customer; ``few`` says that they are a written page."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sale_order"), "o_custkey")
     customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("customer_name"))
     prices = _prices(spark, sf_dir)
     keyed = rows.withColumn("sale_key", F.when(F.col("txn_type") == "SALE", F.col("order_key")))
-    if bound is not None:
-        bought = lookup_few(keyed, orders, "sale_key", "sale_order", bound)
-        named = lookup_few(bought, customers, "o_custkey", "c_custkey", bound)
-        priced = lookup_few(named, prices, "product_id", "priced_id", bound)
+    if few:
+        bought = lookup_few(keyed, orders, "sale_key", "sale_order")
+        named = lookup_few(bought, customers, "o_custkey", "c_custkey")
+        priced = lookup_few(named, prices, "product_id", "priced_id", keys_of=rows)
     else:
         buyers = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
         named = left_lookup(
@@ -197,7 +197,7 @@ def product_batches(spark: SparkSession, sf_dir: str, unpriced: DataFrame) -> Da
 def load(spark: SparkSession, sf_dir: str) -> Tables:
     tables = Tables(
         AS_OF,
-        lambda rows, bound: complete(spark, sf_dir, rows, bound),
+        lambda rows, few: complete(spark, sf_dir, rows, few),
         users=lambda: users(spark),
         categories=lambda: categories(spark),
         suppliers=lambda: suppliers(spark, sf_dir),

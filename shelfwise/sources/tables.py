@@ -42,16 +42,16 @@ class Tables:
     def __init__(
         self,
         as_of: date,
-        complete: Callable[[DataFrame, int | None], DataFrame] | None = None,
+        complete: Callable[[DataFrame, bool], DataFrame] | None = None,
         **tables: DataFrame | Callable[[], DataFrame],
     ):
         self.as_of = as_of
         self._complete = complete
         self._tables = tables
 
-    def complete(self, movements: DataFrame, bound: int | None = None) -> DataFrame:
-        """Ledger rows of these movements; ``bound`` is their largest possible number, if known."""
-        return movements if self._complete is None else self._complete(movements, bound)
+    def complete(self, movements: DataFrame, few: bool = False) -> DataFrame:
+        """Ledger rows of these movements; ``few`` says that they are a written page."""
+        return movements if self._complete is None else self._complete(movements, few)
 
     def __getattr__(self, name: str) -> DataFrame:
         # Only reached while the attribute has not been built.

@@ -200,6 +200,7 @@ def test_ledger_page_equals_the_head_of_the_ledger(seed):
     for n in (1, 2, 3, 50):
         page = ledger.ledger_page(seed, n).select(*whole.columns).collect()
         assert page == whole.collect()[:n]
+    assert ledger.page_size("50abc") == 50 and ledger.page_size(" 3.7") == 3
     assert ledger.page_size("0") == ledger.page_size("many") == ledger.page_size(None) == 200
 
 

@@ -77,7 +77,7 @@ receipt_requests AS (
     CASE WHEN k % 3 = 1 AND k % 2 = 0 THEN 'sku-' || lpad(CAST(c AS VARCHAR), 8, '0')
          WHEN k % 3 = 1 THEN 'SKU-' || lpad(CAST(c AS VARCHAR), 8, '0')
          WHEN k % 4 = 0 THEN 'NEW-' || CAST(c % 500 AS VARCHAR) WHEN k % 4 = 1 THEN '' END AS sku,
-    CAST(NULL AS VARCHAR) AS barcode,
+    CASE WHEN k % 53 = 0 THEN '8900000000001' END AS barcode,
     CASE WHEN k % 2 = 0 THEN 1 + c % 5 END AS category_id,
     CASE WHEN k % 2 = 0 THEN 'Kg' END AS unit_of_measure,
     CASE WHEN k % 4 = 0 THEN 'GROCERY' END AS domain_preset,
@@ -87,18 +87,18 @@ receipt_requests AS (
     CASE WHEN k % 10 = 0 THEN 'SN-' || CAST(k AS VARCHAR) END AS serial_number,
     CASE k % 11 WHEN 0 THEN '0' WHEN 1 THEN '-1' WHEN 2 THEN n || 'abc' WHEN 3 THEN n || '.7' WHEN 4 THEN NULL
          WHEN 5 THEN 'x' WHEN 6 THEN ' ' || n ELSE n END AS quantity,
-    CASE k % 9 WHEN 0 THEN NULL WHEN 1 THEN '12.345' WHEN 2 THEN 'abc' ELSE amount END AS purchase_price,
+    CASE WHEN k % 101 = 5 THEN '99999999999' WHEN k % 9 = 0 THEN NULL WHEN k % 9 = 1 THEN '12.345' WHEN k % 9 = 2 THEN 'abc' ELSE amount END AS purchase_price,
     CASE k % 9 WHEN 0 THEN '' ELSE amount END AS selling_price,
     CASE WHEN k % 4 = 0 THEN 20 END AS batch_discount_percent,
     CASE WHEN k % 4 = 0 THEN 'Clearance' ELSE '' END AS offer_description,
-    k % 10 AS supplier_id,
+    CASE WHEN k % 83 = 9 THEN 900000000000 ELSE k % 10 END AS supplier_id,
     CASE WHEN k % 2 = 0 THEN 'INV-' || CAST(k AS VARCHAR) END AS invoice_ref,
     CASE WHEN k % 3 = 0 THEN 'CREDIT' END AS payment_status,
-    k % 5 AS user_id,
+    CASE WHEN k % 89 = 7 THEN 999 ELSE k % 5 END AS user_id,
     CASE WHEN k % 8 = 0 THEN 'Counted' END AS remarks
   FROM (SELECT o_orderkey AS k, o_custkey AS c, o_orderdate, CAST(1 + o_orderkey % 50 AS VARCHAR) AS n,
           CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR) AS amount FROM orders) x),
-receipts AS (
+parsed_receipts AS (
   SELECT seq, received_at, nullif(product_id, 0) AS product_id,
     coalesce(nullif(product_title, ''), 'New Received Item') AS title,
     coalesce(nullif(sku, ''), 'SKU-' || strftime(received_at, '%Y%m%d') || '-' || CAST(seq AS VARCHAR)) AS sku,
@@ -109,8 +109,8 @@ receipts AS (
     expiry_date, nullif(serial_number, '') AS serial_number,
     TRY_CAST(regexp_extract(quantity, '^\\s*([+-]?\\d+)', 1) AS INT) AS qty,
     coalesce(TRY_CAST(regexp_extract(purchase_price, '^\\s*([+-]?\\d+\\.?\\d*)', 1) AS DECIMAL(18,6)), 0) AS exact_cost,
-    CAST(coalesce(TRY_CAST(regexp_extract(purchase_price, '^\\s*([+-]?\\d+\\.?\\d*)', 1) AS DECIMAL(18,6)), 0) AS DECIMAL(10,2)) AS purchase_price,
-    CAST(coalesce(TRY_CAST(regexp_extract(selling_price, '^\\s*([+-]?\\d+\\.?\\d*)', 1) AS DECIMAL(18,6)), 0) AS DECIMAL(10,2)) AS selling_price,
+    TRY_CAST(coalesce(TRY_CAST(regexp_extract(purchase_price, '^\\s*([+-]?\\d+\\.?\\d*)', 1) AS DECIMAL(18,6)), 0) AS DECIMAL(10,2)) AS purchase_price,
+    TRY_CAST(coalesce(TRY_CAST(regexp_extract(selling_price, '^\\s*([+-]?\\d+\\.?\\d*)', 1) AS DECIMAL(18,6)), 0) AS DECIMAL(10,2)) AS selling_price,
     CAST(coalesce(batch_discount_percent, 0) AS DECIMAL(5,2)) AS batch_discount_percent,
     nullif(offer_description, '') AS offer_description, nullif(supplier_id, 0) AS supplier_id,
     coalesce(nullif(invoice_ref, ''), 'RECEIPT-IN') AS invoice_ref,
@@ -118,18 +118,31 @@ receipts AS (
     coalesce(nullif(user_id, 0), 1) AS user_id,
     coalesce(nullif(remarks, ''), 'Stock In Entry') AS remarks
   FROM receipt_requests),
+receipts AS (
+  SELECT *, CASE WHEN coalesce(qty, 0) <= 0 THEN 'Valid Quantity (> 0) is required.'
+    WHEN purchase_price IS NULL OR selling_price IS NULL
+      OR TRY_CAST(round(CAST(qty * exact_cost AS DECIMAL(24,6)), 2) AS DECIMAL(10,2)) IS NULL THEN 'Amount is out of range.' END AS problem
+  FROM parsed_receipts),
 matched AS (
-  SELECT r.*, CASE WHEN r.product_id IS NOT NULL THEN g.id ELSE coalesce(s.id, t.id) END AS matched_id
+  SELECT r.*, CASE WHEN r.product_id IS NOT NULL THEN g.id ELSE coalesce(s.id, t.id) END AS matched_id,
+    CASE WHEN problem IS NOT NULL THEN problem
+      WHEN r.user_id NOT IN (SELECT id FROM users) THEN 'User ID ' || CAST(r.user_id AS VARCHAR) || ' not found.'
+      WHEN r.supplier_id IS NOT NULL AND r.supplier_id NOT IN (SELECT id FROM suppliers)
+        THEN 'Supplier ID ' || CAST(r.supplier_id AS VARCHAR) || ' not found.'
+      WHEN r.product_id IS NOT NULL AND g.id IS NULL THEN 'Product ID ' || CAST(r.product_id AS VARCHAR) || ' not found.'
+      WHEN r.product_id IS NULL AND coalesce(s.id, t.id) IS NULL
+        AND lower(r.barcode) IN (SELECT lower(barcode) FROM products WHERE barcode IS NOT NULL)
+        THEN 'Barcode is already in use.' END AS fault
   FROM receipts r LEFT JOIN products g ON r.product_id = g.id
   LEFT JOIN (SELECT lower(sku) AS sku, min(id) AS id FROM products GROUP BY 1) s ON lower(r.sku) = s.sku
   LEFT JOIN (SELECT lower(title) AS title, min(id) AS id FROM products GROUP BY 1) t ON lower(r.title) = t.title),
 creators AS (
   SELECT lower(title) AS title, min(seq) AS seq FROM matched
-  WHERE qty > 0 AND matched_id IS NULL AND product_id IS NULL GROUP BY 1),
+  WHERE fault IS NULL AND matched_id IS NULL AND product_id IS NULL GROUP BY 1),
 resolved AS (
-  SELECT m.* EXCLUDE (matched_id), coalesce(m.matched_id, 1099511627776 + c.seq) AS pid
+  SELECT m.* EXCLUDE (matched_id, problem, fault), coalesce(m.matched_id, 1099511627776 + c.seq) AS pid
   FROM matched m LEFT JOIN creators c ON m.product_id IS NULL AND m.matched_id IS NULL AND lower(m.title) = c.title
-  WHERE m.qty > 0 AND (m.matched_id IS NOT NULL OR m.product_id IS NULL)),
+  WHERE m.fault IS NULL),
 arrived AS (
   SELECT pid, lower(batch_number) AS num, sum(qty) AS qty, arg_max(purchase_price, seq) AS purchase_price,
     arg_max(selling_price, seq) AS selling_price, min(seq) AS first_seq, arg_min(batch_number, seq) AS batch_number,

@@ -27,9 +27,14 @@ def _any(tests: list[Column]) -> Column:
     return reduce(Column.__or__, tests)
 
 
-def first_come(requests: DataFrame, order: str, claims: list[str]) -> DataFrame:
-    """(order, granted) of each request; ``order`` is unique, a NULL claim claims nothing."""
-    undecided = cut(requests.select(order, *claims), "claims")
+def first_come(requests: DataFrame, order: str, claims: list[str], owner: str | None = None) -> DataFrame:
+    """(order, granted) of each request; ``order`` is unique, a NULL claim claims nothing.
+
+    With ``owner``, requests of one owner do not get in each other's way: a value that one
+    of them was granted is open to the owner's later ones.
+    """
+    columns = [order, *claims, *([owner] if owner else [])]
+    undecided = cut(requests.select(*columns), "claims")
     decided: list[DataFrame] = []
     while True:
         seen = undecided
@@ -41,13 +46,17 @@ def first_come(requests: DataFrame, order: str, claims: list[str]) -> DataFrame:
         for c in claims:
             # A value's only possible new holder is its first claimant.
             held = ranked.filter(F.col("_lead") & F.col(c).isNotNull()).select(
-                F.col(c).alias(f"_held_{c}"), F.lit(True).alias(f"_taken_{c}")
+                F.col(c).alias(f"_held_{c}"), F.col(owner or order).alias(f"_holder_{c}")
             )
             ranked = left_lookup(ranked, held, c, f"_held_{c}", spread_by=order)
-        taken = _any([F.coalesce(F.col(f"_taken_{c}"), F.lit(False)) for c in claims])
-        verdict = F.when(F.col("_lead"), True).when(taken, False)
-        step = cut(ranked.select(order, *claims, verdict.alias("granted")), "claims")
+        mine = {c: F.col(f"_holder_{c}") == F.col(owner or order) for c in claims}
+        taken = _any([F.coalesce(~mine[c], F.lit(False)) for c in claims])
+        verdict = F.when(F.col("_lead"), True).when(taken, False).alias("granted")
+        left = [F.when(~F.coalesce(mine[c], F.lit(False)), F.col(c)).alias(c) for c in claims]
+        step = cut(ranked.select(order, *left, *columns[1 + len(claims) :], verdict), "claims")
         decided.append(step.filter(F.col("granted").isNotNull()).select(order, "granted"))
+        if len(decided) >= 16:  # keeps the plan short however many rounds there are
+            decided = [cut(reduce(DataFrame.unionByName, decided), "granted")]
         undecided = step.filter(F.col("granted").isNull()).drop("granted")
         if undecided.isEmpty():
             return reduce(DataFrame.unionByName, decided)

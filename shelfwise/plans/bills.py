@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import EXACT, PRICE, big, first_text, money, number_or, parse_decimal, parse_int, round2, text_or
+from ..functions.values import MONEY, EXACT, PRICE, big, first_text, money, number_or, parse_decimal, parse_int, round2, text_or
 from ..operators.lineage import cut
 from ..operators.lookup import left_lookup
 from ..operators.running import CHUNK, in_chunks, running_before
@@ -23,6 +23,7 @@ SLICE_ROWS = 1 << 16
 NO_ITEM = "At least one valid item is required for Stock Out dispatch."
 BAD_LINE = "Valid Product ID, Batch ID, and Quantity required for all items."
 BAD_AMOUNT = "Price, discount and tax must be numbers."
+AMOUNT_TOO_LARGE = "Amount is out of range."
 
 
 def normalise(requests: DataFrame) -> DataFrame:
@@ -56,6 +57,10 @@ def bill_lines(requests: DataFrame) -> DataFrame:
     )
 
 
+def _total() -> Column:
+    return F.round(F.col("qty") * F.col("_price") - F.col("_disc") + F.col("_tax"), 2)
+
+
 def priced_lines(lines: DataFrame, batches: DataFrame, products: DataFrame) -> DataFrame:
     """Lines with parsed numbers, price, total, and what is wrong with them, if anything.
 
@@ -93,15 +98,20 @@ def priced_lines(lines: DataFrame, batches: DataFrame, products: DataFrame) -> D
         )
         .when(F.col("_known").isNull(), F.concat(F.lit("Product ID "), F.col("product_id").cast("string"), F.lit(" not found.")))
         .when(F.col("_price").isNull() | F.col("_disc").isNull() | F.col("_tax").isNull(), BAD_AMOUNT)
+        .when(
+            F.col("_price").try_cast(PRICE).isNull() | F.col("_disc").try_cast(PRICE).isNull()
+            | F.col("_tax").try_cast(PRICE).isNull() | _total().try_cast(PRICE).isNull(),
+            AMOUNT_TOO_LARGE,
+        )
     )
-    total = round2(F.col("qty") * F.col("_price") - F.col("_disc") + F.col("_tax"))
+    total = _total().try_cast(MONEY)
     keep = [c for c in lines.columns if c not in ("quantity", "unit_price", "discount_amount", "tax_amount")]
     return numbers.select(
         *keep,
         "qty",
-        F.col("_price").cast(PRICE).alias("unit_price"),
-        F.col("_disc").cast(PRICE).alias("discount_amount"),
-        F.col("_tax").cast(PRICE).alias("tax_amount"),
+        F.col("_price").try_cast(PRICE).alias("unit_price"),
+        F.col("_disc").try_cast(PRICE).alias("discount_amount"),
+        F.col("_tax").try_cast(PRICE).alias("tax_amount"),
         total.alias("total_amount"),
         (F.col("_batch_product") != F.col("product_id")).alias("batch_product_mismatch"),
         problem.alias("problem"),
@@ -280,7 +290,7 @@ def bill_ledger(priced: DataFrame, settled: DataFrame) -> DataFrame:
         "txn_type", "product_id", "batch_id",
         (-F.col("qty")).cast("int").alias("quantity"),
         "unit_price", "discount_amount", "tax_amount",
-        F.col("total_amount").cast(PRICE).alias("total_amount"),
+        F.col("total_amount").try_cast(PRICE).alias("total_amount"),
         F.lit(None).cast("bigint").alias("supplier_id"),
         "customer_name", "dept_name",
         F.col("bill_number").alias("invoice_ref"),
@@ -317,4 +327,4 @@ def batches_after(batches: DataFrame, settled: DataFrame) -> DataFrame:
     """Batches with the accepted demand taken off."""
     used = settled.filter("accepted").groupBy(F.col("batch_id").alias("id")).agg(F.sum("qty").alias("_used"))
     left = F.col("available_qty") - F.coalesce("_used", F.lit(0))
-    return batches.join(used, "id", "left").withColumn("available_qty", left.cast("int")).drop("_used")
+    return batches.join(used, "id", "left").withColumn("available_qty", left.cast(batches.schema["available_qty"].dataType)).drop("_used")

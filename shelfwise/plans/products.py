@@ -13,6 +13,7 @@ from ..operators.lineage import cut
 # Texts of refusals.
 FIELDS_REQUIRED = "SKU, Title, and Category ID are required."
 TITLE_REQUIRED = "Product Title is required."
+SKU_REQUIRED = "SKU is required."
 SKU_USED = "SKU is already in use."
 BARCODE_USED = "Barcode is already in use."
 SKU_OR_BARCODE_CLAIMED = "SKU or barcode was taken by an earlier request."
@@ -76,40 +77,53 @@ def create(requests: DataFrame, products: DataFrame, categories: DataFrame) -> t
     return made, judged.filter(F.col("reason").isNotNull()).select("seq", "reason").unionByName(late)
 
 
-def update(requests: DataFrame, products: DataFrame) -> DataFrame:
-    """Products after update requests; the last sound one per product replaces all nine columns.
+def update(requests: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(products, rejects) after update requests; the last sound one per product replaces all nine columns.
 
-    A request is sound if it has a title and an SKU and no other stored product uses its
-    SKU or barcode. Columns that a request omits become empty or take their default.
+    A request is sound if its product exists, it has a title and an SKU, no other stored
+    product uses its SKU or barcode, and no other product's earlier sound request took
+    them. A value that a run frees can be taken from the next run on. Columns that a
+    request omits become empty or take their default.
     """
     filled = _filled()
     filled["category_id"] = number_or("category_id", 1)
-    wanted = (
-        requests.select("seq", "id", *[c.alias(n) for n, c in filled.items()])
-        .filter(F.col("title").isNotNull() & F.col("sku").isNotNull())
-        .withColumn("_sku", F.lower("sku"))
-        .withColumn("_bar", F.lower("barcode"))
-    )
+    wanted = requests.select("seq", "id", *[c.alias(n) for n, c in filled.items()])
+    wanted = wanted.withColumn("_sku", F.lower("sku")).withColumn("_bar", F.lower("barcode"))
     sku_owner = products.groupBy(F.lower("sku").alias("_sku")).agg(F.min("id").alias("_sku_owner"))
     bar_owner = (
         products.filter(F.col("barcode").isNotNull())
         .groupBy(F.lower("barcode").alias("_bar"))
         .agg(F.min("id").alias("_bar_owner"))
     )
-    own = F.col("id")
-    sound = (
+    known = products.select(F.col("id").alias("_known"))
+    checked = (
         wanted.join(sku_owner, "_sku", "left")
         .join(bar_owner, "_bar", "left")
-        .filter(F.coalesce(F.col("_sku_owner") == own, F.lit(True)) & F.coalesce(F.col("_bar_owner") == own, F.lit(True)))
+        .join(known, F.col("id") == F.col("_known"), "left")
+    )
+    reason = (
+        F.when(F.col("_known").isNull(), NOT_FOUND)
+        .when(F.col("title").isNull(), TITLE_REQUIRED)
+        .when(F.col("sku").isNull(), SKU_REQUIRED)
+        .when(F.col("_sku_owner") != F.col("id"), SKU_USED)
+        .when(F.col("_bar_owner") != F.col("id"), BARCODE_USED)
     )
+    new_sku = F.when(F.col("_sku_owner").isNull(), F.col("_sku")).alias("_new_sku")
+    new_bar = F.when(F.col("_bar_owner").isNull(), F.col("_bar")).alias("_new_bar")
+    judged = cut(checked.select("seq", "id", *COLUMNS, new_sku, new_bar, reason.alias("reason")), "updates")
+    claimed = judged.filter(F.col("reason").isNull() & (F.col("_new_sku").isNotNull() | F.col("_new_bar").isNotNull()))
+    late = first_come(claimed, "seq", ["_new_sku", "_new_bar"], owner="id").filter(~F.col("granted")).select("seq")
+    sound = judged.filter(F.col("reason").isNull()).join(late, "seq", "left_anti")
     last = sound.groupBy("id").agg(F.max_by(F.struct(*COLUMNS), "seq").alias("_new"))
     changed = F.col("_new").isNotNull()
     rest = [c for c in products.columns if c != "id" and c not in COLUMNS]
-    return products.join(last, "id", "left").select(
+    after = products.join(last, "id", "left").select(
         "id",
         *[F.when(changed, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in COLUMNS],
         *rest,
     )
+    refused = judged.filter(F.col("reason").isNotNull()).select("seq", "reason")
+    return after, refused.unionByName(late.select("seq", F.lit(SKU_OR_BARCODE_CLAIMED).alias("reason")))
 
 
 def delete_outcome(requests: DataFrame, products: DataFrame, ledger: DataFrame) -> DataFrame:

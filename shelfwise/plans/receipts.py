@@ -15,6 +15,8 @@ from ..operators.lookup import left_lookup
 
 # Texts of refusals and defaults.
 BAD_QUANTITY = "Valid Quantity (> 0) is required."
+BAD_AMOUNT = "Amount is out of range."
+BARCODE_USED = "Barcode is already in use."
 NEW_TITLE = "New Received Item"
 
 
@@ -40,18 +42,55 @@ def normalise(requests: DataFrame) -> DataFrame:
         F.nullif("serial_number", F.lit("")).alias("serial_number"),
         parse_int("quantity").alias("qty"),
         parse_decimal("purchase_price", 0).alias("exact_cost"),
-        parse_decimal("purchase_price", 0).cast(PRICE).alias("purchase_price"),
-        parse_decimal("selling_price", 0).cast(PRICE).alias("selling_price"),
-        F.coalesce("batch_discount_percent", F.lit(0)).cast("decimal(5,2)").alias("batch_discount_percent"),
+        parse_decimal("purchase_price", 0).try_cast(PRICE).alias("purchase_price"),
+        parse_decimal("selling_price", 0).try_cast(PRICE).alias("selling_price"),
+        F.coalesce("batch_discount_percent", F.lit(0)).try_cast("decimal(5,2)").alias("batch_discount_percent"),
         F.nullif("offer_description", F.lit("")).alias("offer_description"),
         F.nullif("supplier_id", F.lit(0)).alias("supplier_id"),
         text_or("invoice_ref", "RECEIPT-IN").alias("invoice_ref"),
         text_or("payment_status", "PAID").alias("payment_status"),
         number_or("user_id", 1).cast("bigint").alias("user_id"),
         text_or("remarks", "Stock In Entry").alias("remarks"),
+        _problem().alias("problem"),
     )
 
 
+def _problem() -> Column:
+    """What is wrong with a receipt's numbers, whatever the stored tables hold."""
+    qty = parse_int("quantity")
+
+    def unfit(c: str) -> Column:
+        exact = parse_decimal(c)
+        given = F.col(c).rlike(r"^\s*[+-]?(?:\d|\.\d)")
+        return F.coalesce(given & (exact.isNull() | exact.try_cast(PRICE).isNull()), F.lit(False))
+
+    total = F.round(qty * parse_decimal("purchase_price", 0), 2).try_cast(PRICE)
+    discount = F.coalesce("batch_discount_percent", F.lit(0)).try_cast("decimal(5,2)")
+    return F.when(~F.coalesce(qty > 0, F.lit(False)), BAD_QUANTITY).when(
+        unfit("purchase_price") | unfit("selling_price") | total.isNull() | discount.isNull(), BAD_AMOUNT
+    )
+
+
+def _checked(receipts: DataFrame, products: DataFrame, suppliers: DataFrame | None, users: DataFrame | None) -> DataFrame:
+    """Fills ``problem`` of matched receipts: unknown users, suppliers and products, and barcodes of other products."""
+    reasons = [F.col("problem")]
+    for table, key, label in ((users, "user_id", "User"), (suppliers, "supplier_id", "Supplier")):
+        if table is not None:
+            known = table.select(F.col("id").alias(f"_{key}"), F.lit(True).alias(f"_known_{key}"))
+            receipts = left_lookup(receipts, known, key, f"_{key}", spread_by="seq")
+            text = F.concat(F.lit(f"{label} ID "), F.col(key).cast("string"), F.lit(" not found."))
+            reasons.append(F.when(F.col(key).isNotNull() & F.col(f"_known_{key}").isNull(), text))
+    bars = products.filter(F.col("barcode").isNotNull()).select(F.lower("barcode").alias("_bar")).distinct()
+    receipts = receipts.withColumn("_own_bar", F.lower("barcode"))
+    receipts = left_lookup(receipts, bars.withColumn("_bar_used", F.lit(True)), "_own_bar", "_bar", spread_by="seq")
+    lost = F.concat(F.lit("Product ID "), F.col("product_id").cast("string"), F.lit(" not found."))
+    unmatched = F.col("matched_id").isNull()
+    reasons.append(F.when(unmatched & F.col("product_id").isNotNull(), lost))
+    reasons.append(F.when(unmatched & F.col("_bar_used"), BARCODE_USED))
+    helpers = ["_known_user_id", "_known_supplier_id", "_own_bar", "_bar_used"]
+    return receipts.withColumn("problem", F.coalesce(*reasons)).drop(*helpers)
+
+
 def match_products(receipts: DataFrame, products: DataFrame) -> DataFrame:
     """Adds ``matched_id``: the given product, else the one with the SKU, else the lowest id with the title.
 
@@ -85,11 +124,11 @@ def _resolve(matched: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFr
     """
     unknown = cut(
         matched.filter(F.col("matched_id").isNull() & F.col("product_id").isNull()).select(
-            "*", F.lower("sku").alias("_sku"), F.lower("title").alias("_title")
+            "*", F.lower("sku").alias("_sku"), F.lower("title").alias("_title"), F.lower("barcode").alias("_bar")
         ),
         "receipts",
     )
-    granted = first_come(unknown, "seq", ["_sku", "_title"]).filter("granted")
+    granted = first_come(unknown, "seq", ["_sku", "_title", "_bar"]).filter("granted")
     creators = cut(
         unknown.join(granted.select("seq"), "seq").withColumn("_new_id", F.lit(NEW_ID_BASE) + F.col("seq")), "receipts"
     )
@@ -126,20 +165,25 @@ class Received:
     rejects: DataFrame
 
 
-def receive(requests: DataFrame, products: DataFrame, batches: DataFrame) -> Received:
+def receive(
+    requests: DataFrame, products: DataFrame, batches: DataFrame, suppliers: DataFrame | None = None, users: DataFrame | None = None
+) -> Received:
     """Apply receipts in ``seq`` order to the stored products and batches.
 
+    A receipt with unfit numbers, an unknown product, supplier or user, or another product's
+    barcode is refused with its reason and changes nothing.
+
     An existing batch gains the quantities and takes the last receipt's prices; its
     other columns stay. A new batch takes its other columns from its first receipt.
     """
-    clean = normalise(requests)
-    sound = F.coalesce(F.col("qty") > 0, F.lit(False))
-    matched = cut(match_products(clean.filter(sound), products), "receipts")
-    resolved, created = _resolve(matched, products)
-    lost = matched.filter(F.col("matched_id").isNull() & F.col("product_id").isNotNull())
-    rejects = clean.filter(~sound).select("seq", F.lit(BAD_QUANTITY).alias("reason")).unionByName(
-        lost.select("seq", F.concat(F.lit("Product ID "), F.col("product_id").cast("string"), F.lit(" not found.")).alias("reason"))
-    )
+    matched = match_products(normalise(requests), products)
+    matched = cut(_checked(matched, products, suppliers, users), "receipts")
+    resolved, created = _resolve(matched.filter(F.col("problem").isNull()), products)
+    # another product of the run has the barcode
+    late = resolved.filter(F.col("matched_id").isNull()).select("seq", F.lit(BARCODE_USED).alias("reason"))
+    resolved = resolved.filter(F.col("matched_id").isNotNull())
+    faulty = matched.filter(F.col("problem").isNotNull()).select("seq", F.col("problem").alias("reason"))
+    rejects = faulty.unionByName(late)
 
     received = resolved.withColumn("_number", F.lower("batch_number"))
     arrived = received.groupBy("matched_id", "_number").agg(
@@ -166,7 +210,7 @@ def receive(requests: DataFrame, products: DataFrame, batches: DataFrame) -> Rec
         if c == "product_id":
             return F.col("matched_id")
         if c == "available_qty":
-            return (F.coalesce("_old.available_qty", F.lit(0)) + F.coalesce("_in", F.lit(0))).cast("int")
+            return big(F.coalesce("_old.available_qty", F.lit(0))) + F.coalesce("_in", F.lit(0))
         if c in ("purchase_price", "selling_price"):
             return F.when(is_in, F.col(f"_last.{c}")).otherwise(F.col(f"_old.{c}"))
         new = F.col(f"_first.{c}") if c in from_first else F.lit(None)
@@ -183,7 +227,7 @@ def receive(requests: DataFrame, products: DataFrame, batches: DataFrame) -> Rec
         F.col("purchase_price").alias("unit_price"),
         F.lit(0).cast(PRICE).alias("discount_amount"),
         F.lit(0).cast(PRICE).alias("tax_amount"),
-        round2(F.col("qty") * F.col("exact_cost")).cast(PRICE).alias("total_amount"),
+        round2(F.col("qty") * F.col("exact_cost")).try_cast(PRICE).alias("total_amount"),
         "supplier_id",
         F.lit(None).cast("string").alias("customer_name"),
         F.lit(None).cast("string").alias("dept_name"),

@@ -107,7 +107,7 @@ READS: dict[str, Callable[[Tables], DataFrame]] = {
 
 def _received(spark: SparkSession, sf_dir: str) -> receipts.Received:
     t = scaled.load(spark, sf_dir)
-    return receipts.receive(requests.receipts(scaled.table(spark, sf_dir, "orders")), t.products, t.product_batches)
+    return receipts.receive(requests.receipts(scaled.table(spark, sf_dir, "orders")), t.products, t.product_batches, t.suppliers, t.users)
 
 
 def _stock_in_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,6 +148,34 @@ def _created(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return products.create(requests.product_creates(spark, sf_dir), t.products, t.categories)
 
 
+def _updated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return products.update(requests.product_updates(spark, sf_dir), scaled.products(spark, sf_dir))
+
+
+def _batches_after_deletion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches left by the deletions; every planned product has a batch, which goes with it."""
+    t = scaled.load(spark, sf_dir)
+    planned = requests.unsold_products(spark, sf_dir, t.products)
+    lots = t.product_batches.select("id", "product_id", "available_qty")
+    empty = planned.select("id", F.col("id").alias("product_id"), F.lit(0).cast(lots.schema["available_qty"].dataType).alias("available_qty"))
+    asked = requests.product_deletes(spark, sf_dir)
+    return products.delete(asked, t.products.unionByName(planned), lots.unionByName(empty), t.movements)[1]
+
+
+def _appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ledger rows of the receipts, written by day and read back."""
+    rows, path = _received(spark, sf_dir).ledger, work_path(spark, "ledger")
+    sinks.append_ledger(rows, path)
+    return spark.read.parquet(path).select(*rows.columns)
+
+
+def _json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report written as JSON rows and read back."""
+    rows, path = reports.velocity_by_product(scaled.load(spark, sf_dir)), work_path(spark, "json")
+    sinks.write_json(rows, path)
+    return spark.read.schema(rows.schema).json(path)
+
+
 def _deletion(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = scaled.load(spark, sf_dir)
     all_products = t.products.unionByName(requests.unsold_products(spark, sf_dir, t.products))
@@ -168,6 +196,8 @@ JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stock_in_product_match": _stock_in_match,
     "stock_in_batches": lambda spark, sf_dir: _received(spark, sf_dir).batches,
     "stock_in_ledger": lambda spark, sf_dir: _received(spark, sf_dir).ledger,
+    "ledger_appended": _appended,
+    "report_json": _json_report,
     "stock_in_new_products": lambda spark, sf_dir: _received(spark, sf_dir).new_products,
     "stock_in_rejects": lambda spark, sf_dir: _received(spark, sf_dir).rejects,
     "bill_lines": lambda spark, sf_dir: bills.bill_lines(requests.bills(scaled.table(spark, sf_dir, "orders"))),
@@ -183,9 +213,9 @@ JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "batches_after_bills": _batches_after_bills,
     "product_create": lambda spark, sf_dir: _created(spark, sf_dir)[0],
     "product_create_rejects": lambda spark, sf_dir: _created(spark, sf_dir)[1],
-    "product_update": lambda spark, sf_dir: products.update(
-        requests.product_updates(spark, sf_dir), scaled.products(spark, sf_dir)
-    ),
+    "product_update": lambda spark, sf_dir: _updated(spark, sf_dir)[0],
+    "product_update_rejects": lambda spark, sf_dir: _updated(spark, sf_dir)[1],
+    "product_delete_batches": _batches_after_deletion,
     "product_delete": _deletion,
     "access_allowed": lambda spark, sf_dir: access.allowed(requests.access_log(scaled.table(spark, sf_dir, "events"))),
     "access_denied": lambda spark, sf_dir: access.denied(requests.access_log(scaled.table(spark, sf_dir, "events"))),
@@ -239,7 +269,7 @@ def _streamed_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stock_folder(spark: SparkSession, sf_dir: str) -> stock.StockFolder:
     t = scaled.load(spark, sf_dir)
-    folder = stock.StockFolder(spark, work_path(spark, "stock"))
+    folder = stock.StockFolder(spark, work_path(spark, "stock"), t.suppliers, t.users)
     folder.start(t.products, t.product_batches)
     return folder
 

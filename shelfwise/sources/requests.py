@@ -55,7 +55,7 @@ def receipts(orders: DataFrame) -> DataFrame:
         .alias("product_title"),
         F.when((third == 1) & (k % 2 == 0), _sku(c, "sku-")).when(third == 1, _sku(c))
         .when(k % 4 == 0, _tagged("NEW-", c % 500)).when(k % 4 == 1, "").alias("sku"),
-        F.lit(None).cast("string").alias("barcode"),
+        F.when(k % 53 == 0, "8900000000001").alias("barcode"),
         F.when(k % 2 == 0, 1 + c % 5).cast("bigint").alias("category_id"),
         F.when(k % 2 == 0, "Kg").alias("unit_of_measure"),
         F.when(k % 4 == 0, "GROCERY").alias("domain_preset"),
@@ -64,14 +64,14 @@ def receipts(orders: DataFrame) -> DataFrame:
         F.when(k % 6 != 0, F.date_add(F.lit(scaled.AS_OF), (c % 200).cast("int"))).alias("expiry_date"),
         F.when(k % 10 == 0, _tagged("SN-", k)).alias("serial_number"),
         quantity.alias("quantity"),
-        F.when(k % 9 == 1, "12.345").when(k % 9 == 2, "abc").when(k % 9 != 0, amount).alias("purchase_price"),
+        F.when(k % 101 == 5, "99999999999").when(k % 9 == 1, "12.345").when(k % 9 == 2, "abc").when(k % 9 != 0, amount).alias("purchase_price"),
         F.when(k % 9 == 0, "").otherwise(amount).alias("selling_price"),
         F.when(k % 4 == 0, 20).cast("decimal(5,2)").alias("batch_discount_percent"),
         F.when(k % 4 == 0, "Clearance").otherwise("").alias("offer_description"),
-        (k % 10).alias("supplier_id"),
+        F.when(k % 83 == 9, NO_SUCH_ID).otherwise(k % 10).alias("supplier_id"),
         F.when(k % 2 == 0, _tagged("INV-", k)).alias("invoice_ref"),
         F.when(k % 3 == 0, "CREDIT").alias("payment_status"),
-        (k % 5).alias("user_id"),
+        F.when(k % 89 == 7, 999).otherwise(k % 5).alias("user_id"),
         F.when(k % 8 == 0, "Counted").alias("remarks"),
     )
 
@@ -179,10 +179,10 @@ def product_creates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def product_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One update request per order; many products get several."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    sku = F.when(k % 13 == 0, _sku(c + 1)).when(k % 17 != 0, _sku(c))
+    sku = F.when(k % 29 == 0, _tagged("NEW-", k % 31)).when(k % 13 == 0, _sku(c + 1)).when(k % 17 != 0, _sku(c))
     return scaled.table(spark, sf_dir, "orders").select(
         k.alias("seq"),
-        c.alias("id"),
+        F.when(k % 37 == 0, NO_SUCH_ID + c).otherwise(c).alias("id"),
         sku.alias("sku"),
         F.when(k % 2 == 0, F.concat(F.lit("890"), F.lpad(_text(c), 10, "0"))).alias("barcode"),
         F.when(k % 9 != 0, _tagged("Title ", k)).otherwise("").alias("title"),

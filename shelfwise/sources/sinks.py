@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 def append_ledger(rows: DataFrame, path: str) -> None:
     """Append ledger rows, one folder per day so that period filters skip the others.
 
-    Rows are spread by day and number first: a day gets a handful of files, not one per
-    task, and a day with a large part of all rows is still written by many tasks.
+    Rows are spread by day, and Spark cuts a large day into as many tasks as its size
+    asks for and merges small ones.
     """
-    days = rows.withColumn("txn_day", F.to_date("txn_date"))
-    spread = days.withColumn("_slice", F.pmod(F.xxhash64("txn_number"), F.lit(8)))
-    spread.repartition("txn_day", "_slice").drop("_slice").write.mode("append").partitionBy("txn_day").parquet(path)
+    days = rows.withColumn("txn_day", F.to_date("txn_date")).hint("rebalance", "txn_day")
+    days.write.mode("append").partitionBy("txn_day").parquet(path)
 
 
 def write_csv(rows: DataFrame, path: str, *, quote_all: bool = False) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..plans import bills, receipts
 from .runs import Versions, changed_rows
@@ -14,7 +15,11 @@ from .runs import Versions, changed_rows
 class StockFolder(Versions):
     """Products and batches as states, and per micro-batch ledger rows and refusals."""
 
+    suppliers: DataFrame | None = None
+    users: DataFrame | None = None
+
     def start(self, products: DataFrame, batches: DataFrame) -> None:
+        batches = batches.withColumn("available_qty", F.col("available_qty").cast("bigint"))
         self.open_state("products", products.select("id", *[c for c in products.columns if c != "id"]))
         self.open_state("batches", batches.select("id", *[c for c in batches.columns if c != "id"]))
 
@@ -27,7 +32,7 @@ class StockFolder(Versions):
     def receive(self, requests: DataFrame, batch_id: int) -> None:
         """Apply one micro-batch of receipts."""
         products, batches = self.products(batch_id), self.batches(batch_id)
-        done = receipts.receive(requests, products, batches)
+        done = receipts.receive(requests, products, batches, self.suppliers, self.users)
         self.write("ledger", batch_id, done.ledger)
         self.write("rejects", batch_id, done.rejects)
         added = products.limit(0).unionByName(done.new_products, allowMissingColumns=True)

@@ -363,15 +363,25 @@ def test_create_products(spark, seed):
 
 
 def test_update_replaces_all_columns(spark, seed):
-    after = products.update(
+    after, refused = products.update(
         request_rows(spark, [
             {"seq": 1, "id": 1, "sku": "PHARM-5001", "title": "First"},
             {"seq": 2, "id": 1, "sku": "PHARM-5001", "title": "Second", "storage_location": "Z"},
             {"seq": 3, "id": 1, "sku": "PHARM-5001", "title": ""},
             {"seq": 4, "id": 2, "sku": "ELEC-1001", "title": "Stolen SKU"},
+            {"seq": 5, "id": 99, "sku": "X", "title": "Nowhere"},
+            {"seq": 6, "id": 3, "title": "No SKU"},
+            {"seq": 7, "id": 4, "sku": "Fresh", "title": "Takes it"},
+            {"seq": 8, "id": 5, "sku": "fresh", "title": "Too late"},
+            {"seq": 9, "id": 4, "sku": "FRESH", "title": "Its own"},
         ]),
         seed.products,
     )
+    assert {r.seq: r.reason for r in refused.collect()} == {
+        3: products.TITLE_REQUIRED, 4: products.SKU_USED, 5: products.NOT_FOUND, 6: products.SKU_REQUIRED,
+        8: products.SKU_OR_BARCODE_CLAIMED,
+    }
+    assert [r.title for r in after.where("id = 4").collect()] == ["Its own"]
     got = {r.id: r for r in after.collect()}
     assert (got[1].title, got[1].brand, got[1].category_id, got[1].storage_location) == ("Second", None, 1, "Z")
     assert got[2].title == "Amoxicillin 250mg Capsules" and after.columns == seed.products.columns

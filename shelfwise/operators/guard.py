@@ -100,10 +100,17 @@ def guarded_balance(moves: DataFrame, key: str, order: str, delta: str, opening:
         )
         if chunks.filter(F.col("_end").isNull()).isEmpty():
             break
+    # Where a chunk starts with at least what it needs, every movement passes and the
+    # balance is the start plus the sum so far; only the other chunks are run in order.
+    done = chunks.select("key", CHUNK, "_start", (F.col("_start") >= F.col("need")).alias("_passes"))
+    placed = rows.join(done, ["key", CHUNK])
+    summed = placed.filter("_passes").select(
+        "key", "_order", "delta", F.lit(True).alias("accepted"), (F.col("_start") + so_far).alias("balance")
+    )
     replayed = (
-        rows.join(chunks.select("key", CHUNK, "_start"), ["key", CHUNK])
+        placed.filter(~F.col("_passes"))
+        .drop("_passes")
         .groupBy("key", CHUNK)
         .applyInPandas(_replayer(), "key bigint, _order bigint, delta bigint, accepted boolean, balance bigint")
     )
-    return replayed.withColumnsRenamed({"key": key, "_order": order, "delta": delta})
-
+    return summed.unionByName(replayed).withColumnsRenamed({"key": key, "_order": order, "delta": delta})

@@ -6,18 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def seed_upsert(stored: DataFrame, incoming: DataFrame, key: str, column: str, order: str) -> DataFrame:
+def seed_upsert(stored: DataFrame, incoming: DataFrame, key: str | list[str], column: str, order: str) -> DataFrame:
     """State after inserting ``incoming`` in ``order`` with ``column`` updated on a repeated key.
 
-    The first incoming row of a new key supplies all columns, the last one the updated
-    column; keys compare without case. Columns that only one side has are NULL on the other.
+    A key is one column or several. The first incoming row of a new key supplies all
+    columns, the last one the updated column; keys compare without case. Columns that only
+    one side has are NULL on the other. An incoming row without a full key is refused, as
+    the table would; a stored one stays.
     """
+    parts = [key] if isinstance(key, str) else key
+    folded = F.struct(*[F.lower(F.col(p).cast("string")).alias(p) for p in parts])
+    incoming = incoming.dropna(subset=parts)
     names = [c for c in stored.columns if c != column]
     given = [c for c in names if c in incoming.columns]
-    fresh = incoming.groupBy(F.lower(key).alias("_key")).agg(
+    fresh = incoming.groupBy(folded.alias("_key")).agg(
         F.min_by(F.struct(*given), order).alias("_first"), F.max_by(F.struct(column), order).alias("_last")
     )
-    old = stored.select(F.struct(*stored.columns).alias("_old"), F.lower(key).alias("_key"))
+    old = stored.select(F.struct(*stored.columns).alias("_old"), folded.alias("_key"))
     both = old.join(fresh, "_key", "full_outer")
     is_old = F.col("_old").isNotNull()
 

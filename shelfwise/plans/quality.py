@@ -46,28 +46,42 @@ def duplicates(tables: Tables) -> DataFrame:
     )
 
 
-def _orphans(rule: str, child: DataFrame, key: str, parent: DataFrame) -> DataFrame:
-    """Rows whose key has no parent; children are counted per key before the join."""
-    held = child.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.count(F.lit(1)).alias("_rows"))
-    lost = held.join(parent.select("id").distinct(), "id", "left_anti")
-    return lost.agg(
-        F.lit(rule).alias("rule"),
-        big(F.count(F.lit(1))).alias("missing_keys"),
-        big(F.coalesce(F.sum("_rows"), F.lit(0))).alias("orphan_rows"),
-    )
-
-
 def orphans(tables: Tables) -> DataFrame:
-    ledger = tables.movements
-    return _union(
-        [
-            _orphans("products.category_id", tables.products, "category_id", tables.categories),
-            _orphans("product_batches.product_id", tables.stock, "product_id", tables.products),
-            _orphans("transactions.product_id", ledger, "product_id", tables.products),
-            _orphans("transactions.batch_id", ledger, "batch_id", tables.stock),
-            _orphans("transactions.supplier_id", ledger, "supplier_id", tables.suppliers),
-            _orphans("transactions.user_id", ledger, "user_id", tables.users),
-        ]
+    """Per relation, keys without a parent and the rows that hold them.
+
+    One pass over each child table gives its (relation, key) pairs, which are counted
+    before they meet the parents in one join.
+    """
+    children = [
+        (tables.products, {"products.category_id": "category_id"}),
+        (tables.stock, {"product_batches.product_id": "product_id"}),
+        (tables.movements, {f"transactions.{k}": k for k in ("product_id", "batch_id", "supplier_id", "user_id")}),
+    ]
+    parents = [
+        (tables.categories, ["products.category_id"]),
+        (tables.products, ["product_batches.product_id", "transactions.product_id"]),
+        (tables.stock, ["transactions.batch_id"]),
+        (tables.suppliers, ["transactions.supplier_id"]),
+        (tables.users, ["transactions.user_id"]),
+    ]
+
+    def pairs(rows: DataFrame, relations: dict[str, str]) -> DataFrame:
+        held = F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(key).cast("bigint").alias("id")) for rule, key in relations.items()])
+        return rows.select(F.explode(held).alias("pair")).select("pair.rule", "pair.id")
+
+    held = _union([pairs(rows, relations) for rows, relations in children])
+    held = held.groupBy("rule", "id").agg(F.count(F.lit(1)).alias("_rows"))
+    known = _union([pairs(rows.select("id"), dict.fromkeys(rules, "id")) for rows, rules in parents]).distinct()
+    found = held.join(known.withColumn("_known", F.lit(True)), ["rule", "id"], "left")
+    lost = F.col("_known").isNull() & F.col("id").isNotNull()
+    counted = found.groupBy("rule").agg(
+        big(F.count_if(lost)).alias("missing_keys"), big(F.coalesce(F.sum(F.when(lost, F.col("_rows"))), F.lit(0))).alias("orphan_rows")
+    )
+    rules = [rule for _, relations in children for rule in relations]
+    every = held.sparkSession.createDataFrame([(r,) for r in rules], "rule string")
+    zero = F.lit(0).cast("bigint")
+    return every.join(counted, "rule", "left").select(
+        "rule", F.coalesce("missing_keys", zero).alias("missing_keys"), F.coalesce("orphan_rows", zero).alias("orphan_rows")
     )
 
 

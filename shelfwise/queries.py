@@ -192,6 +192,14 @@ JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "seed_upsert": lambda spark, sf_dir: seed_upsert(
         scaled.products(spark, sf_dir), requests.seed_rows(spark, sf_dir), "sku", "title", "seq"
     ),
+    "seed_upsert_batches": lambda spark, sf_dir: seed_upsert(
+        scaled.load(spark, sf_dir).product_batches.select("id", "batch_number", "product_id", F.col("available_qty").cast("int").alias("available_qty")),
+        requests.seed_batches(spark, sf_dir), ["batch_number", "product_id"], "available_qty", "seq",
+    ),
+    "seed_upsert_categories": lambda spark, sf_dir: seed_upsert(
+        scaled.load(spark, sf_dir).categories.select(F.col("id").cast("bigint").alias("id"), "name", "domain_type"),
+        requests.seed_categories(spark, sf_dir), "name", "domain_type", "seq",
+    ),
     "stock_in_normalised": lambda spark, sf_dir: receipts.normalise(requests.receipts(scaled.table(spark, sf_dir, "orders"))).drop("exact_cost"),
     "stock_in_product_match": _stock_in_match,
     "stock_in_batches": lambda spark, sf_dir: _received(spark, sf_dir).batches,

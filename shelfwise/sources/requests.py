@@ -226,3 +226,25 @@ def seed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("Pcs").alias("unit_of_measure"),
         F.col("p_brand").alias("brand"),
     )
+
+
+def seed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seed batches, one per part: stored numbers, the same numbers on other products, and new ones, some without a number."""
+    k = F.col("p_partkey")
+    number = F.when(k % 5 == 0, _tagged("batch-", k * 10)).when(k % 5 == 1, "SEED-LOT").when(k % 5 != 2, _tagged("LOT-", k))
+    return scaled.table(spark, sf_dir, "part").select(
+        k.alias("seq"),
+        (F.lit(NEW_ID_BASE) + k).alias("id"),
+        number.alias("batch_number"),
+        F.when(k % 3 == 0, k).otherwise(k - k % 10).alias("product_id"),
+        k.cast("int").alias("available_qty"),
+    )
+
+
+def seed_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seed categories, one per supplier: stored names in another case, and new ones, several rows each."""
+    k = F.col("s_suppkey")
+    name = F.when(k % 5 == 0, "PHARMACEUTICALS").when(k % 5 == 1, "general merchandise").otherwise(F.concat(F.lit("Aisle "), F.floor(k / 7).cast("string")))
+    return scaled.table(spark, sf_dir, "supplier").select(
+        k.alias("seq"), (F.lit(NEW_ID_BASE) + k).alias("id"), name.alias("name"), F.concat(F.lit("TYPE-"), k.cast("string")).alias("domain_type")
+    )

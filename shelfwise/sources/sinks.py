@@ -6,14 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Ledger rows that one task writes for one day; a larger day is spread over several.
+ROWS_PER_FILE = 2_000_000
+
+
 def append_ledger(rows: DataFrame, path: str) -> None:
     """Append ledger rows, one folder per day so that period filters skip the others.
 
-    Rows are spread by day, and Spark cuts a large day into as many tasks as its size
-    asks for and merges small ones.
+    A day is written by as many tasks as its number of rows asks for, and the days are
+    spread over all tasks.
     """
-    days = rows.withColumn("txn_day", F.to_date("txn_date")).hint("rebalance", "txn_day")
-    days.write.mode("append").partitionBy("txn_day").parquet(path)
+    days = rows.withColumn("txn_day", F.to_date("txn_date"))
+    sizes = days.groupBy(F.col("txn_day").alias("_day")).agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_FILE).alias("_files"))
+    placed = days.join(sizes, F.col("txn_day").eqNullSafe(F.col("_day")))
+    placed = placed.withColumn("_slice", F.pmod(F.xxhash64("txn_number"), F.col("_files")))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = placed.repartition(tasks, "txn_day", "_slice").drop("_day", "_files", "_slice")
+    spread.write.mode("append").partitionBy("txn_day").parquet(path)
 
 
 def write_csv(rows: DataFrame, path: str, *, quote_all: bool = False) -> None:

@@ -31,6 +31,8 @@ BITS = 19
 SAMPLE_ROWS = 12_000
 #: n-grams with a weight: those whose document shares differ most, by the chi-square statistic.
 FEATURES = 4096
+#: Texts that an n-gram must occur in to get a weight.
+LEAST_TEXTS = 3
 SMOOTHING, PENALTY, STEPS = 1.0, 1e-4, 300
 #: Characters hashed at a time, so that a long text needs little memory.
 SPAN = 1 << 18
@@ -96,9 +98,12 @@ def _shares(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         yield pd.DataFrame({"bucket": at, "clean": seen[0, at], "toxic": seen[1, at]})
 
     counted = labelled.mapInPandas(count, "bucket bigint, clean bigint, toxic bigint")
-    summed = counted.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
+    summed = counted.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    # the last bucket holds the numbers of texts; buckets too rare to be chosen stay on the executors
+    found = summed.where((F.col("clean") + F.col("toxic") >= LEAST_TEXTS) | (F.col("bucket") == size)).toArrow()
     clean, toxic = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
-    clean[summed.bucket], toxic[summed.bucket] = summed.clean, summed.toxic
+    at = found["bucket"].to_numpy()
+    clean[at], toxic[at] = found["clean"].to_numpy(), found["toxic"].to_numpy()
     return clean, toxic
 
 
@@ -107,7 +112,7 @@ def _strongest(clean: np.ndarray, toxic: np.ndarray, features: int) -> np.ndarra
     n = n0 + n1
     with np.errstate(divide="ignore", invalid="ignore"):
         chi = n * (b * (n0 - a) - a * (n1 - b)) ** 2 / ((a + b) * (n - a - b) * n0 * n1)
-    chi = np.where((a + b) >= 3, np.nan_to_num(chi, nan=0.0, posinf=0.0), 0.0)
+    chi = np.where((a + b) >= LEAST_TEXTS, np.nan_to_num(chi, nan=0.0, posinf=0.0), 0.0)
     order = np.argsort(-chi, kind="stable")[:features]
     return np.sort(order[chi[order] > 0])
 

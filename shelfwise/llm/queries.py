@@ -67,7 +67,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.without_boilerplate(_table(spark, sf_dir, "documents"))
+    found = lines.without_boilerplate(_table(spark, sf_dir, "documents"), long_ratio=None)  # its SQL knows one ratio
     return found.select(F.col("row.doc_id").alias("doc_id"), F.col("new_text").alias("text"), "n_lines", "n_dropped")
 
 

@@ -12,8 +12,10 @@ from zlib import crc32
 import numpy as np
 import pytest
 import xxhash
+from planted_texts import prose
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from shelfwise.llm import components, decontaminate, lines, mixing, pii, quality_rules, resampling, secrets, simhash, tokens, toxicity
 from shelfwise.llm.queries import LLM_QUERIES, vocabulary_path
 
@@ -215,6 +217,19 @@ def test_lines(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_long_lines_of_a_large_host(spark):
+    passages = [" ".join(f"p{i}w{j}" for j in range(55)) for i in range(3)]
+    short = "see more"
+    rows = [(i, "big", f"{prose(i, 30)}\n{passages[i % 3] if i < 21 else prose(1000 + i, 55)}\n{short if i < 40 else i}") for i in range(500)]
+    rows += [(600 + i, "big", prose(7000, 60) + "\n" + prose(7001, 60)) for i in range(12)]  # copies of one page keep their text
+    docs = spark.createDataFrame(rows, "doc_id int, source string, text string")
+    got = {r.doc_id: r.text for r in lines.drop_boilerplate(docs).collect()}
+    want = {i: "\n".join(x for x in t.split("\n") if x not in passages) for i, _, t in rows}
+    assert got == want
+    stage = dict(corpus_pipeline.STAGES)["line dedup"]
+    assert {r.doc_id: r.text for r in stage(spark, docs, "").collect()} == want
+
+
 # --- tokens
 
 

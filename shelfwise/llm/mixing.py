@@ -1,11 +1,12 @@
 """Mixing sources to target weights along a low-discrepancy schedule.
 
-Documents of a source are put in a hashed order and laid end to end; passes over that
-stream are cut into blocks of equally many words. Slot i of the schedule maps the golden
-ratio point frac(i * 0.618...) through the cumulative targets to a source, and the slot's
-rank among the source's slots is the block that it takes. Points of this sequence spread
-evenly, so every stretch of the schedule holds each source in proportion, and a source
-ends within a few blocks of its target.
+Slot i of the schedule maps the golden ratio point frac(i * 0.618...) through the sources'
+cumulative shares to a source. A share follows the target, plus LEAST_SLOTS slots, so that
+small sources are spread too. Documents of a source are put in a hashed order and laid end
+to end; passes over that stream, up to the target, are cut into as many equal blocks as
+the source has slots, and the slot's rank among them is the block that it takes. Points of
+this sequence spread evenly, so every stretch of the schedule holds each source in
+proportion, and the blocks of a source add up to its target, rounded to words.
 
 Ranks and running sums are taken in two steps (inside small ranges of slots or of the hash,
 then over the ranges), so no task gets a whole source.
@@ -17,6 +18,7 @@ sizes are 0 all targets are 0; an empty table gives an empty table; other column
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,8 +28,8 @@ from ..operators.lineage import cut
 from .rows import WORD, packed, text_or_empty, unpacked
 
 WEIGHTS, SHARE, PASSES = (5, 2, 1), 1.5, 2
-#: Blocks of the schedule for each source, on average; they bound how far a source may miss its target.
-SLOTS_PER_SOURCE = 4096
+#: Slots of the schedule for each source, on average, by target; and those that any source with a target has besides.
+SLOTS_PER_SOURCE, LEAST_SLOTS = 4096, 64
 #: Ranges of the hashed order in a source, of the unit interval, and slots ranked at a time.
 RANGES_BITS, CELLS, SLOT_RANGE = 12, 4096, 1024
 GOLDEN = 0.6180339887498949
@@ -39,8 +41,12 @@ def size_of(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("bigint")
 
 
-def targets(by_source: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, passes: int = PASSES) -> DataFrame:
-    """Adds s (rank of the source by code point, null last), weight, target, lo and hi to (source, source_size).
+def targets(
+    by_source: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, passes: int = PASSES, slots_per_source: int = SLOTS_PER_SOURCE
+) -> DataFrame:
+    """Adds s (rank of the source by code point, null last), weight, target, goal (in whole words), points, lo and hi to (source, source_size).
+
+    Points are the slots that a source should have; lo and hi are its part of the unit interval by points.
 
     The level at which uncapped sources stand is the largest of the levels that follow when
     the sources are capped one after another, smallest capacity for its weight first.
@@ -57,14 +63,18 @@ def targets(by_source: DataFrame, weights: Sequence[float] = WEIGHTS, share: flo
     open_weight = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(filled), zero)
     levelled = ranked.withColumn("level", left / open_weight)
     target = F.least(F.col("cap"), F.max("level").over(everything) * F.col("weight"))
-    aimed = levelled.withColumn("target", target)
+    goal = F.least(F.round("target").cast("bigint"), F.col("source_size") * passes)
+    aimed = levelled.withColumn("target", target).withColumn("goal", goal)
+    per_slot = F.greatest(F.sum("target").over(everything) / (F.count("*").over(everything) * slots_per_source), F.lit(1.0))
+    points = F.when(F.col("goal") > 0, F.col("target") / per_slot + LEAST_SLOTS).otherwise(zero)
+    aimed = aimed.withColumn("points", points)
     upto = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
-    summed = aimed.withColumn("upto", F.sum("target").over(upto))
+    summed = aimed.withColumn("upto", F.sum("points").over(upto))
     whole = F.max("upto").over(everything)
     before = F.coalesce(F.lag("upto").over(Window.orderBy("s")), zero)
     share_of = lambda x: F.when(whole > 0, x / whole).otherwise(zero)
     summed = summed.withColumn("lo", share_of(before)).withColumn("hi", share_of(F.col("upto")))
-    return summed.select("source", "source_size", "s", "weight", "target", "lo", "hi")
+    return summed.select("source", "source_size", "s", "weight", "target", "goal", "points", "lo", "hi")
 
 
 def schedule(aimed: DataFrame, slots: int) -> DataFrame:
@@ -98,16 +108,22 @@ def laid_out(rows: DataFrame) -> DataFrame:
     return placed.withColumn("start", F.col("earlier") + F.col("inside")).drop("earlier", "inside", "range", "order")
 
 
-def pieces(laid: DataFrame, block_words: int, passes: int = PASSES) -> DataFrame:
-    """(s, block, pass, id, hash, words): how many words of an entry lie in each block of each pass."""
+def pieces(laid: DataFrame, passes: int = PASSES) -> DataFrame:
+    """(s, block, pass, id, hash, words): how many words of an entry lie in each block of each pass.
+
+    Of ``goal`` words in ``slots`` blocks, block b has those from floor(b * goal / slots) on. Products are decimals, as they may be large.
+    """
     words = F.col("size") * F.col("copies")
     each = laid.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))).where(words > 0)
-    each = each.withColumn("at", F.col("pass") * F.col("source_size") + F.col("start"))
-    blocks = F.sequence(F.floor(F.col("at") / block_words), F.floor((F.col("at") + words - 1) / block_words))
-    cutup = each.withColumn("block", F.explode(blocks))
-    end = F.least(F.col("at") + words, (F.col("block") + 1) * block_words)
-    inside = end - F.greatest(F.col("at"), F.col("block") * block_words)
-    return cutup.select("s", "block", "pass", "id", "hash", "size", "copies", inside.cast("bigint").alias("words"))
+    each = each.withColumn("at", F.col("pass") * F.col("source_size") + F.col("start")).where("at < goal")
+    each = each.withColumn("upto", F.least(F.col("at") + words, F.col("goal")))
+    wide = lambda x: f"cast({x} as decimal(19,0))"
+    block_of = lambda word: F.expr(f"({wide(f'{word} + 1')} * {wide('slots')} - 1) div {wide('goal')}")
+    start_of = lambda block: F.expr(f"({wide(block)} * {wide('goal')}) div {wide('slots')}")
+    cutup = each.withColumn("block", F.explode(F.sequence(block_of("at"), block_of("(upto - 1)"))))
+    inside = F.least(F.col("upto"), start_of("(block + 1)")) - F.greatest(F.col("at"), start_of("block"))
+    cutup = cutup.select("s", "block", "pass", "id", "hash", "size", "copies", inside.cast("bigint").alias("words"))
+    return cutup.where("words > 0")  # where a source has more slots than words some blocks are empty
 
 
 class Mix:
@@ -121,13 +137,15 @@ class Mix:
         rows = docs.select(F.col("source"), F.col(id_column).alias("id"), F.xxhash64(F.col("text")).alias("hash"), size_of(text).alias("size"))
         self.rows = cut(rows.groupBy("source", "id", "hash", "size").agg(F.count("*").alias("copies")), "sizes")
         by_source = self.rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"))
-        self.targets = cut(targets(by_source, weights, share, passes), "targets")
-        sources, whole = self.targets.agg(F.count("*"), F.coalesce(F.sum("target"), F.lit(0.0))).first()
-        self.block_words = max(1, -(-int(whole) // (slots_per_source * max(1, sources))))
-        self.schedule = schedule(self.targets, -(-int(whole) // self.block_words))
+        self.targets = cut(targets(by_source, weights, share, passes, slots_per_source), "targets")
+        sources, points = self.targets.agg(F.count("*"), F.coalesce(F.sum("points"), F.lit(0.0))).first()
+        self.schedule = cut(schedule(self.targets, math.ceil(points)), "schedule")
         self.passes = passes
-        few = F.broadcast(self.targets) if sources <= BROADCAST_SOURCES else self.targets
-        self.sources = few.select("source", "s", "source_size", "target")
+        slots = self.schedule.groupBy("s").agg(F.count("*").alias("slots"))
+        slotted = cut(self.targets.join(slots, "s", "left").select("source", "s", "source_size", "target", "goal", "slots"), "slotted")
+        #: Words of the largest block of any source.
+        self.block_words = slotted.agg(F.coalesce(F.max(F.ceil(F.col("goal") / F.col("slots"))), F.lit(1))).first()[0]
+        self.sources = F.broadcast(slotted) if sources <= BROADCAST_SOURCES else slotted
 
     def pieces(self) -> DataFrame:
         """(slot, s, block, pass, id, hash, words): the mix in training order, by slot."""
@@ -135,7 +153,7 @@ class Mix:
 
     def _pieces(self) -> DataFrame:
         named = self.rows.join(self.sources, self.rows.source.eqNullSafe(self.sources.source)).drop(self.sources.source)
-        return pieces(laid_out(named), self.block_words, self.passes)
+        return pieces(laid_out(named), self.passes)
 
     def taken(self) -> DataFrame:
         """(source, id, hash, size, copies, source_size, target, words): words the mix takes of all rows alike."""

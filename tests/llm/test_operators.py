@@ -198,6 +198,23 @@ def test_schedule_spreads_each_source(spark, docs):
     assert max(r.n for r in words) <= mix.block_words
 
 
+def test_tiny_sources_beside_large_ones(spark):
+    def source(name: str, rows: int, words: int):
+        return spark.range(rows).select(F.concat(F.lit(name), "id").alias("doc_id"), F.lit(name).alias("source"), F.repeat(F.lit("w "), words).alias("text"))
+
+    sizes = {"a": (3, 20), "b": (24, 250_000), "c": (1, 1), "d": (4, 15), "e": (24, 250_000), "f": (60, 1), "g": (20, 300_000), "h": (5, 1000)}
+    docs = None
+    for name, (rows, words) in sizes.items():
+        docs = source(name, rows, words) if docs is None else docs.unionByName(source(name, rows, words))
+    want = brute_targets({name: rows * words for name, (rows, words) in sizes.items()})
+    taken = {r.source: r.n for r in mixing.mixed(docs).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    assert all(abs(taken[s] - want[s]) <= 1 for s in want)
+    mix = mixing.Mix(docs)
+    slots, names = mix.schedule.count(), {r.source: r.s for r in mix.targets.collect()}
+    words = {(r.s, r.late): r.n for r in mix.pieces().groupBy("s", (F.col("slot") >= slots / 2).alias("late")).agg(F.sum("words").alias("n")).collect()}
+    assert all(abs(words[names[s], late] - want[s] / 2) <= 0.1 * want[s] for s in "abdefgh" for late in (False, True))
+
+
 # --- lines
 
 

@@ -4,13 +4,14 @@ A candidate is a run of at least twelve token characters that holds a digit. The
 sees its length, how often the character class changes, how many of its characters belong
 to dictionary words, whether it stands in a path or an address, and the words beside it.
 It is trained on labelled findings: rows of the same features with a label, 1 for a secret.
-Where a caller has none, findings are labelled by ``weak_label`` (issued key formats and
-assignments to secret names are secrets; the rest is not) on a bounded sample of documents.
-A candidate is kept if most trees vote for it. Extraction, features and votes are SQL
+Where a caller has none, the findings of all documents are labelled by ``weak_label`` (issued
+key formats and assignments to secret names are secrets; the rest is not), and the forest
+learns from a bounded sample of each label, weighted to the numbers found. A candidate is
+kept if most trees vote for it; without a forest, if its weak label calls it a secret. Extraction, features and votes are SQL
 expressions inside the document's row.
 
 Cases: a null text has no candidates; patterns run in linear time on texts of any length;
-repeated rows get equal findings; with too few findings of either sort nothing is kept; an
+repeated rows get equal findings; with too few findings of either sort weak labels decide; an
 empty table gives an empty table; other columns are kept.
 """
 
@@ -38,7 +39,8 @@ DICTIONARY = (
     "sample server section service site source static system table test text title update user value version view with"
 ).split()
 ENTROPY_CLASSES = ["[a-z]", "[A-Z]", "[0-9]", "[+/_=-]"]
-SAMPLE_DOCS = 20_000
+#: Findings of each label that the forest learns from, about, chosen by a hash.
+SAMPLE_FINDINGS = 20_000
 TREES, DEPTH, LEAST_EACH = 15, 5, 20
 FEATURES = 16
 
@@ -72,28 +74,34 @@ def features(s: Column) -> list[Column]:
     ]
 
 
-def findings(docs: DataFrame, rows: int = SAMPLE_DOCS, id_column: str = "doc_id") -> DataFrame:
-    """(label, f0, f1, ...): weakly labelled candidates of at most so many documents, chosen by a hash of the id."""
-    chosen = docs.select(F.col(id_column).alias("id")).where("id is not null").orderBy(F.xxhash64("id"), "id").limit(rows)
-    texts = docs.select(F.col(id_column).alias("id"), text_or_empty().alias("text")).join(F.broadcast(chosen.distinct()), "id", "left_semi")
-    found = texts.select(F.explode(candidates(F.col("text"))).alias("s"))
-    described = found.select(weak_label(F.col("s")).cast("double").alias("label"), F.array(*features(F.col("s"))).alias("f"))
-    return cut(described.select("label", *[F.get("f", F.lit(i)).alias(f"f{i}") for i in range(FEATURES)]), "findings")
+def findings(docs: DataFrame, rows: int = SAMPLE_FINDINGS, id_column: str = "doc_id") -> DataFrame:
+    """(label, weight, f0, f1, ...): weakly labelled candidates of all documents, about so many of each label by a hash; a weight is how many one stands for."""
+    texts = docs.select(F.col(id_column).alias("id"), text_or_empty().alias("text"))
+    found = texts.select("id", F.explode(candidates(F.col("text"))).alias("s")).withColumn("label", weak_label(F.col("s")).cast("double"))
+    counts = {r.label: r.n for r in found.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows at most
+    stands_for = {label: max(1.0, counts.get(label, 0) / rows) for label in (0.0, 1.0)}
+    weight = F.when(F.col("label") == 1, stands_for[1.0]).otherwise(stands_for[0.0])
+    unit = F.shiftrightunsigned(F.xxhash64("id", "s.start", "s.value", "s.left"), 11) / float(1 << 53)
+    sampled = found.withColumn("weight", weight).where(unit * F.col("weight") < 1)
+    described = sampled.select("label", "weight", F.array(*features(F.col("s"))).alias("f"))
+    return cut(described.select("label", "weight", *[F.get("f", F.lit(i)).alias(f"f{i}") for i in range(FEATURES)]), "findings")
 
 
 def fit(labelled: DataFrame):
-    """A forest fitted on (label, f0, f1, ...), or None if a sort of findings is missing."""
+    """A forest fitted on (label, f0, f1, ...), with a weight or without, or None if a sort of findings is missing."""
     if labelled.groupBy("label").count().where(F.col("count") >= LEAST_EACH).count() < 2:
         return None
+    if "weight" not in labelled.columns:
+        labelled = labelled.withColumn("weight", F.lit(1.0))
     columns = [f"f{i}" for i in range(FEATURES)]
-    vectors = VectorAssembler(inputCols=columns, outputCol="features").transform(labelled.coalesce(4)).select("features", "label")
-    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7).fit(vectors)
+    vectors = VectorAssembler(inputCols=columns, outputCol="features").transform(labelled.coalesce(4)).select("features", "label", "weight")
+    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7, weightCol="weight").fit(vectors)
 
 
 def votes(forest, s: Column) -> Column:
-    """Share of the trees that call a candidate a secret."""
+    """Share of the trees that call a candidate a secret; without trees, the weak label."""
     if forest is None:
-        return F.lit(0.0)
+        return weak_label(s).cast("double")
     return let(F.array(*features(s)), lambda f: weighted_sum(forest, lambda i: F.get(f, F.lit(i))) / len(forest.treeWeights))
 
 

@@ -340,6 +340,27 @@ def test_personal_data(spark, texts):
     assert all(set(r.base.split(",")) <= {*r.spans.split(","), ""} for r in got)
 
 
+@pytest.mark.parametrize("times", [1, 60])
+def test_personal_data_outside_base_formats(spark, times):
+    planted = {
+        "see 2001:0db8:85a3:0000:0000:8a2e:0370:7334 now": "ip:2001:0db8:85a3:0000:0000:8a2e:0370:7334",
+        "write to joe [at] mail [dot] com today": "email:joe [at] mail [dot] com",
+        "please call (020) 7946 0958 now": "phone:(020) 7946 0958",
+        "phone: 555 123 4567, or": "phone:555 123 4567",
+        "device 00:1a:2b:3c:4d:5e is up": None,
+        "number 1234 5678 9012 3456 fails": None,
+        "at 300.1.1.1 or version 10 20 30 40": None,
+        "user@localhost ran": None,
+        "seen 10.1.2.3 and a@b.co and +1 (988) 555-2485": None,
+    }
+    rows = [(i, t) for i, t in enumerate(list(planted) * times)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = pii.found(docs, pii.fit(pii.proposals(docs)))
+    added = F.transform(F.array_except("spans", "base"), lambda s: F.concat_ws(":", s["kind"], s["value"])).alias("added")
+    got = {r.doc_id: list(r.added) for r in found.select("row.doc_id", added).collect()}
+    assert got == {i: [planted[t]] if planted[t] else [] for i, t in rows}
+
+
 def test_trees_as_sql_agree_with_the_model(spark):
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler

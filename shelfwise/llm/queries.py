@@ -7,21 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, mixing, pii, quality_rules, resampling, secrets, simhash, tokens, toxicity
+from . import (
+    collocations, decontaminate, lines, mixing, pieces, pii, quality_rules, resampling, secrets, simhash, tokens, toxicity, variants,
+)
 from .rows import text_or_empty
-from .statements import LINES, WINDOWS
+from .statements import LINES, PHRASES, VARIANTS, WINDOWS
 
 TOKEN_FILE, TOKEN_LIMIT = "byte_bpe_50k.json", 1024
+PIECE_FILE = "piece_bpe_32k.model"
+#: Phrases listed of each lang.
+TOP_PHRASES = 2000
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str = TOKEN_FILE) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKEN_FILE)
+    return public_tokenizers.path(name)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,13 +93,35 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *quality_rules.STATISTICS, "base_failed", "kept", "score")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = variants.vocabulary(variants.typed(_table(spark, sf_dir, "documents")))
+    return variants.grouped(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, ids = vocabulary_path(PIECE_FILE), F.col("ids")
+    rows = _table(spark, sf_dir, "documents").select("doc_id", pieces.encoded(spark, F.col("text").cast("string"), model).alias("ids"))
+    rows = rows.select("doc_id", "ids", pieces.decoded(spark, ids, model).alias("decoded"))
+    return rows.select(
+        "doc_id", F.size(ids).cast("bigint").alias("n_tokens"), F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.collocations(_table(spark, sf_dir, "documents"))
+    return collocations.ranked(found, TOP_PHRASES).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_token_counts, op3_pii, op4_benchmark_hits, op5_simhash, op6_mixing, op7_boilerplate_lines, op8_secrets,
-        op9_resampling, op10_quality_rules,
+        op9_resampling, op10_quality_rules, op11_spelling_variants, op12_sentencepiece, op13_collocations,
     )
 }
 
 #: The rest has models, hashes or schedules that SQL lacks; their tests compare with brute force or held-out labels.
-LLM_ORACLE: dict[str, str] = {"op4_benchmark_hits": WINDOWS, "op7_boilerplate_lines": LINES}
+LLM_ORACLE: dict[str, str] = {
+    "op4_benchmark_hits": WINDOWS, "op7_boilerplate_lines": LINES, "op11_spelling_variants": VARIANTS, "op13_collocations": PHRASES,
+}

@@ -70,10 +70,6 @@ def _plain(phrase: str) -> str:
     return MARKED.sub(lambda m: chr(int(m.group(1))), phrase) if MARK in phrase else phrase
 
 
-def _bit(lang: str, word: str) -> int:
-    return crc32(f"{lang}\t{word}".encode()) % BITS
-
-
 def _texts(docs: DataFrame, lang: str, text: str) -> DataFrame:
     lang_or = F.coalesce(F.col(lang).cast("string"), F.lit("und"))
     return docs.select(lang_or.alias("lang"), F.col(text).cast("string").alias("text")).where("text <> ''")
@@ -83,32 +79,31 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple[str, str]]:
     return zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
 
 
-def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, word, n) of what a task has read so far, and with a null word the number of words."""
-    held: dict[str, Counter] = defaultdict(Counter)
-
-    def passed() -> pa.RecordBatch:
-        langs, words, n = [], [], []
-        for lang, counts in held.items():
-            counts.pop("\n", None)
-            counts.pop("", None)
-            langs += [lang] * (len(counts) + 1)
-            words += [*map(_plain, counts), None]
-            n += [*counts.values(), sum(counts.values())]
-        held.clear()
-        return pa.record_batch([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(n, pa.int64())], ["lang", "word", "n"])
-
-    for batch in batches:
-        for lang, text in _rows(batch):
-            held[lang].update(_runs(text))
-            if sum(map(len, held.values())) > HELD:
-                yield passed()
-    yield passed()
-
-
 def frequent_words(docs: DataFrame, least: int = LEAST, lang: str = "lang", text: str = "text") -> DataFrame:
     """(lang, word, n) of the words found ``least`` times, and one row of each lang with a null word and all its words."""
-    counted = _texts(docs, lang, text).mapInArrow(_counted_words, "lang string, word string, n bigint")
+
+    def added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter] = defaultdict(Counter)
+
+        def passed() -> pa.RecordBatch:
+            langs, words, n = [], [], []
+            for lang, counts in held.items():
+                counts.pop("\n", None)
+                counts.pop("", None)
+                langs += [lang] * (len(counts) + 1)
+                words += [*map(_plain, counts), None]
+                n += [*counts.values(), sum(counts.values())]
+            held.clear()
+            return pa.record_batch([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(n, pa.int64())], ["lang", "word", "n"])
+
+        for batch in batches:
+            for lang, text in _rows(batch):
+                held[lang].update(_runs(text))
+                if sum(map(len, held.values())) > HELD:
+                    yield passed()
+        yield passed()
+
+    counted = _texts(docs, lang, text).mapInArrow(added_up, "lang string, word string, n bigint")
     return counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | F.col("word").isNull())
 
 
@@ -163,8 +158,8 @@ def suffixes(texts: DataFrame, known, longest: int = LONGEST) -> DataFrame:
             held.clear()
 
         def frequent(lang: str, word: str) -> bool:
-            at = _bit(lang, _plain(word))
-            return bool(word) and word != "\n" and bool(bitmap[at >> 3] >> (at & 7) & 1)
+            at = crc32(f"{lang}\t{_plain(word)}".encode()) % (8 * len(bitmap))
+            return word != "\n" and bool(bitmap[at >> 3] >> (at & 7) & 1)
 
         for batch in batches:
             for lang, text in _rows(batch):

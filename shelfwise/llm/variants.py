@@ -125,10 +125,10 @@ def _codes(text: str) -> np.ndarray:
 class _Words:
     """Words of a subtree as rows of characters, from the left and from the right."""
 
-    def __init__(self, words: list[str]):
+    def __init__(self, words: list[str], widest: int):
         self.words = words
         self.lengths = np.fromiter(map(len, words), np.int32, len(words))
-        width = min(int(self.lengths.max(initial=1)), WIDTH)
+        width = min(int(self.lengths.max(initial=1)), widest)
         flat = _codes("".join(words))
         starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         place = np.arange(width)[None, :]
@@ -158,12 +158,12 @@ def _one_edit(a: str, b: str) -> bool:
     return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
 
 
-def _searched(table: pa.Table) -> pa.Table:
+def _searched(table: pa.Table, node: int, widest: int) -> pa.Table:
     """For each query of a subtree: how many of its words are near, and the commonest of them."""
     home = table["home"].to_numpy(zero_copy_only=False)
     n = table["n"].to_numpy()
     words = table["word"].to_pylist()
-    held = _Words(words)
+    held = _Words(words, widest)
     vectors = _vectors(held.left, held.lengths)
     for i in np.flatnonzero(held.lengths > held.left.shape[1]):
         vectors[i] = _vectors(_codes(words[i])[None, :], held.lengths[i : i + 1])[0]
@@ -182,7 +182,7 @@ def _searched(table: pa.Table) -> pa.Table:
 
     def down(level: int, members: np.ndarray, queries: np.ndarray, surplus: np.ndarray, deficit: np.ndarray) -> None:
         """Depth first: ``members`` are the words below a node, ``queries`` those that reach it with what they have left."""
-        if level == vectors.shape[1] or len(members) <= NODE:
+        if level == vectors.shape[1] or len(members) <= node:
             leaf(members, queries)
             return
         at, asked = vectors[members, level], vectors[queries, level]
@@ -212,7 +212,7 @@ def near_words(words: DataFrame, subtree: int = SUBTREE) -> DataFrame:
     """(word, n_near, best, best_n) of every word of (word, n) that has near ones."""
 
     def search(table: pa.Table) -> pa.Table:
-        return _searched(table)
+        return _searched(table, NODE, WIDTH)
 
     found = _dealt(words, subtree).groupBy("node").applyInArrow(search, "word string, n_near bigint, best string, best_n bigint")
     best = F.min(F.struct((-F.col("best_n")).alias("order"), F.col("best").alias("word"))).alias("best")

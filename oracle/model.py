@@ -125,24 +125,44 @@ receipts AS (
   FROM parsed_receipts),
 matched AS (
   SELECT r.*, CASE WHEN r.product_id IS NOT NULL THEN g.id ELSE coalesce(s.id, t.id) END AS matched_id,
+    s.id AS sku_id, t.id AS title_id,
     CASE WHEN problem IS NOT NULL THEN problem
       WHEN r.user_id NOT IN (SELECT id FROM users) THEN 'User ID ' || CAST(r.user_id AS VARCHAR) || ' not found.'
       WHEN r.supplier_id IS NOT NULL AND r.supplier_id NOT IN (SELECT id FROM suppliers)
         THEN 'Supplier ID ' || CAST(r.supplier_id AS VARCHAR) || ' not found.'
-      WHEN r.product_id IS NOT NULL AND g.id IS NULL THEN 'Product ID ' || CAST(r.product_id AS VARCHAR) || ' not found.'
-      WHEN r.product_id IS NULL AND coalesce(s.id, t.id) IS NULL
-        AND lower(r.barcode) IN (SELECT lower(barcode) FROM products WHERE barcode IS NOT NULL)
-        THEN 'Barcode is already in use.' END AS fault
+      WHEN r.product_id IS NOT NULL AND g.id IS NULL THEN 'Product ID ' || CAST(r.product_id AS VARCHAR) || ' not found.' END AS fault
   FROM receipts r LEFT JOIN products g ON r.product_id = g.id
   LEFT JOIN (SELECT lower(sku) AS sku, min(id) AS id FROM products GROUP BY 1) s ON lower(r.sku) = s.sku
   LEFT JOIN (SELECT lower(title) AS title, min(id) AS id FROM products GROUP BY 1) t ON lower(r.title) = t.title),
+-- Receipts served one by one, with what products of the run have so far. Of those alike in all three keys only the
+-- first can create; a SKU made from the receipt's own number is nobody else's.
+could_create AS (
+  SELECT row_number() OVER (ORDER BY min(seq)) AS n, min(seq) AS seq, sku, title, barcode
+  FROM (SELECT seq, CASE WHEN sku LIKE 'SKU-%-' || CAST(seq AS VARCHAR) THEN NULL ELSE lower(sku) END AS sku, lower(title) AS title,
+          lower(barcode) AS barcode FROM matched WHERE fault IS NULL AND product_id IS NULL AND matched_id IS NULL)
+  GROUP BY sku, title, barcode),
+stored_bars AS (SELECT list(lower(barcode)) AS bars FROM products WHERE barcode IS NOT NULL),
+served AS (
+  SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS creator, CAST([] AS VARCHAR[]) AS skus, CAST([] AS VARCHAR[]) AS titles,
+    coalesce((SELECT bars FROM stored_bars), []) AS bars
+  UNION ALL
+  SELECT c.n, CASE WHEN free THEN c.seq END, CASE WHEN free AND c.sku IS NOT NULL THEN list_append(skus, c.sku) ELSE skus END,
+    CASE WHEN free THEN list_append(titles, c.title) ELSE titles END,
+    CASE WHEN free AND c.barcode IS NOT NULL THEN list_append(bars, c.barcode) ELSE bars END
+  FROM (SELECT s.skus, s.titles, s.bars, c.*, NOT list_contains(s.titles, c.title)
+          AND NOT coalesce(list_contains(s.skus, c.sku), FALSE) AND NOT coalesce(list_contains(s.bars, c.barcode), FALSE) AS free
+        FROM served s JOIN could_create c ON c.n = s.n + 1) c),
 creators AS (
-  SELECT lower(title) AS title, min(seq) AS seq FROM matched
-  WHERE fault IS NULL AND matched_id IS NULL AND product_id IS NULL GROUP BY 1),
+  SELECT m.seq, lower(m.sku) AS sku, lower(m.title) AS title FROM matched m JOIN (SELECT creator FROM served) v ON m.seq = v.creator),
+placed AS (
+  SELECT m.*, CASE WHEN m.product_id IS NOT NULL OR m.sku_id IS NOT NULL THEN m.matched_id
+    ELSE coalesce(1099511627776 + s.seq, m.title_id, 1099511627776 + t.seq) END AS pid
+  FROM matched m LEFT JOIN creators s ON lower(m.sku) = s.sku AND s.seq <= m.seq
+  LEFT JOIN creators t ON lower(m.title) = t.title AND t.seq <= m.seq),
 resolved AS (
-  SELECT m.* EXCLUDE (matched_id, problem, fault), coalesce(m.matched_id, 1099511627776 + c.seq) AS pid
-  FROM matched m LEFT JOIN creators c ON m.product_id IS NULL AND m.matched_id IS NULL AND lower(m.title) = c.title
-  WHERE m.fault IS NULL),
+  SELECT * EXCLUDE (matched_id, sku_id, title_id, problem, fault) FROM placed WHERE fault IS NULL AND pid IS NOT NULL),
+refused AS (
+  SELECT seq, coalesce(fault, 'Barcode is already in use.') AS reason FROM placed WHERE fault IS NOT NULL OR pid IS NULL),
 arrived AS (
   SELECT pid, lower(batch_number) AS num, sum(qty) AS qty, arg_max(purchase_price, seq) AS purchase_price,
     arg_max(selling_price, seq) AS selling_price, min(seq) AS first_seq, arg_min(batch_number, seq) AS batch_number,

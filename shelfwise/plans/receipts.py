@@ -72,7 +72,7 @@ def _problem() -> Column:
 
 
 def _checked(receipts: DataFrame, products: DataFrame, suppliers: DataFrame | None, users: DataFrame | None) -> DataFrame:
-    """Fills ``problem`` of matched receipts: unknown users, suppliers and products, and barcodes of other products."""
+    """Fills ``problem`` for unknown users and suppliers; ``_bar_used``: a stored product has the barcode that a new one would take."""
     reasons = [F.col("problem")]
     for table, key, label in ((users, "user_id", "User"), (suppliers, "supplier_id", "Supplier")):
         if table is not None:
@@ -81,18 +81,14 @@ def _checked(receipts: DataFrame, products: DataFrame, suppliers: DataFrame | No
             text = F.concat(F.lit(f"{label} ID "), F.col(key).cast("string"), F.lit(" not found."))
             reasons.append(F.when(F.col(key).isNotNull() & F.col(f"_known_{key}").isNull(), text))
     bars = products.filter(F.col("barcode").isNotNull()).select(F.lower("barcode").alias("_bar")).distinct()
-    receipts = receipts.withColumn("_own_bar", F.lower("barcode"))
-    receipts = left_lookup(receipts, bars.withColumn("_bar_used", F.lit(True)), "_own_bar", "_bar", spread_by="seq")
-    lost = F.concat(F.lit("Product ID "), F.col("product_id").cast("string"), F.lit(" not found."))
-    unmatched = F.col("matched_id").isNull()
-    reasons.append(F.when(unmatched & F.col("product_id").isNotNull(), lost))
-    reasons.append(F.when(unmatched & F.col("_bar_used"), BARCODE_USED))
-    helpers = ["_known_user_id", "_known_supplier_id", "_own_bar", "_bar_used"]
-    return receipts.withColumn("problem", F.coalesce(*reasons)).drop(*helpers)
+    new = F.col("matched_id").isNull() & F.col("product_id").isNull()
+    receipts = receipts.withColumn("_new_bar", F.when(new, F.lower("barcode")))
+    receipts = left_lookup(receipts, bars.withColumn("_bar_used", F.lit(True)), "_new_bar", "_bar", spread_by="seq")
+    return receipts.withColumn("problem", F.coalesce(*reasons)).drop("_known_user_id", "_known_supplier_id", "_new_bar")
 
 
 def match_products(receipts: DataFrame, products: DataFrame) -> DataFrame:
-    """Adds ``matched_id``: the given product, else the one with the SKU, else the lowest id with the title.
+    """Adds ``matched_id``: the given product, else the one with the SKU, else the lowest id with the title (``by_title``).
 
     SKU and title are two equi joins against one row per value, so a title shared by
     very many products multiplies nothing.
@@ -111,48 +107,44 @@ def match_products(receipts: DataFrame, products: DataFrame) -> DataFrame:
     found = left_lookup(found, by_sku, "_want_sku", "_sku", spread_by="_row")
     found = left_lookup(found, by_title, "_want_title", "_title", spread_by="_row")
     matched = F.when(F.col("_exists"), F.col("product_id")).otherwise(F.coalesce("_sku_id", "_title_id"))
-    return found.withColumn("matched_id", matched).drop(
+    by_title = F.col("_exists").isNull() & F.col("_sku_id").isNull() & F.col("_title_id").isNotNull()
+    return found.withColumn("matched_id", matched).withColumn("by_title", by_title).drop(
         "_row", "_given", "_want_sku", "_want_title", "_exists", "_sku_id", "_title_id"
     )
 
 
-def _resolve(matched: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Receipts with their product, new ones included, and the products to create.
+def _resolve(sound: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Receipts with their product in ``matched_id`` (NULL: refused, with a ``problem``), and the products to create.
 
-    A receipt without a match creates a product unless an earlier receipt of the run
-    created one with its SKU or title; then it goes there, SKU before title.
+    A receipt goes to the product with its SKU, stored or created by an earlier receipt;
+    else to the oldest one with its title; else it creates one, unless a product has its
+    barcode by then. One that goes to a product adds no SKU, title or barcode of its own, so
+    the creators are those that come first on all three among the receipts that could create.
     """
-    unknown = cut(
-        matched.filter(F.col("matched_id").isNull() & F.col("product_id").isNull()).select(
-            "*", F.lower("sku").alias("_sku"), F.lower("title").alias("_title"), F.lower("barcode").alias("_bar")
-        ),
-        "receipts",
-    )
-    granted = first_come(unknown, "seq", ["_sku", "_title", "_bar"]).filter("granted")
-    creators = cut(
-        unknown.join(granted.select("seq"), "seq").withColumn("_new_id", F.lit(NEW_ID_BASE) + F.col("seq")), "receipts"
-    )
+    keys = [F.lower(c).alias(f"_{c}") for c in ("sku", "title", "barcode")]
+    open_ = cut(sound.filter(F.col("matched_id").isNull() | F.col("by_title")).select("*", *keys), "receipts")
+    could = F.col("matched_id").isNull() & F.col("product_id").isNull() & F.col("_bar_used").isNull()
+    claims = ["_sku", "_title", "_barcode"]
+    first = first_come(open_.filter(could), "seq", claims).filter("granted").select("seq")
+    own = F.lit(NEW_ID_BASE) + F.col("seq")
+    creators = cut(open_.join(first, "seq").withColumn("_new_id", own), "receipts")
     created = creators.select(
         F.col("_new_id").alias("id"), "sku", "barcode", "title", "category_id", "unit_of_measure",
         F.lit(DEFAULT_REORDER_LEVEL).alias("min_reorder_level"), "domain_preset",
         F.lit(None).cast("string").alias("brand"), F.lit(None).cast("string").alias("storage_location"),
     )
-    sku_owner = creators.select("_sku", F.col("_new_id").alias("_by_sku"))
-    title_owner = creators.select("_title", F.col("_new_id").alias("_by_title"))
-    own = F.lit(NEW_ID_BASE) + F.col("seq")
-    placed = (
-        unknown.join(sku_owner, "_sku", "left")
-        .join(title_owner, "_title", "left")
-        .withColumn(
-            "matched_id",
-            F.coalesce(
-                F.when(F.col("_by_sku") <= own, F.col("_by_sku")),
-                F.when(F.col("_by_title") <= own, F.col("_by_title")),
-            ),
-        )
-    )
-    known = matched.filter(F.col("matched_id").isNotNull())
-    return known.unionByName(placed.select(*known.columns)), created
+    placed = open_.withColumn("_asks_sku", F.when(F.col("product_id").isNull(), F.col("_sku")))
+    placed = placed.withColumn("_asks_title", F.when(F.col("product_id").isNull() & ~F.col("by_title"), F.col("_title")))
+    for asked, holds, found in (("product_id", "_new_id", "_by_id"), ("_asks_sku", "_sku", "_by_sku"), ("_asks_title", "_title", "_by_new_title")):
+        owner = creators.select(F.col(holds).alias("_held"), F.col("_new_id").alias(found))
+        placed = left_lookup(placed, owner, asked, "_held", spread_by="seq")
+    by_then = lambda c: F.when(F.col(c) <= own, F.col(c))
+    target = F.coalesce(by_then("_by_id"), by_then("_by_sku"), "matched_id", by_then("_by_new_title"))
+    lost = F.concat(F.lit("Product ID "), F.col("product_id").cast("string"), F.lit(" not found."))
+    reason = F.when(F.col("matched_id").isNotNull(), None).when(F.col("product_id").isNotNull(), lost).otherwise(BARCODE_USED)
+    placed = placed.withColumn("matched_id", target).withColumn("problem", reason)
+    certain = sound.filter(F.col("matched_id").isNotNull() & ~F.col("by_title"))
+    return cut(certain.unionByName(placed.select(*certain.columns)), "receipts"), created
 
 
 @dataclass(frozen=True)
@@ -170,20 +162,19 @@ def receive(
 ) -> Received:
     """Apply receipts in ``seq`` order to the stored products and batches.
 
-    A receipt with unfit numbers, an unknown product, supplier or user, or another product's
-    barcode is refused with its reason and changes nothing.
+    A receipt with unfit numbers, an unknown product, supplier or user, or the barcode of
+    another product where it would create one, is refused with its reason and changes
+    nothing. How the receipts are cut into runs makes no difference.
 
     An existing batch gains the quantities and takes the last receipt's prices; its
     other columns stay. A new batch takes its other columns from its first receipt.
     """
     matched = match_products(normalise(requests), products)
     matched = cut(_checked(matched, products, suppliers, users), "receipts")
-    resolved, created = _resolve(matched.filter(F.col("problem").isNull()), products)
-    # another product of the run has the barcode
-    late = resolved.filter(F.col("matched_id").isNull()).select("seq", F.lit(BARCODE_USED).alias("reason"))
-    resolved = resolved.filter(F.col("matched_id").isNotNull())
-    faulty = matched.filter(F.col("problem").isNotNull()).select("seq", F.col("problem").alias("reason"))
-    rejects = faulty.unionByName(late)
+    placed, created = _resolve(matched.filter(F.col("problem").isNull()))
+    resolved = placed.filter(F.col("matched_id").isNotNull())
+    refused = matched.filter(F.col("problem").isNotNull()).select("seq", F.col("problem").alias("reason"))
+    rejects = refused.unionByName(placed.filter(F.col("matched_id").isNull()).select("seq", F.col("problem").alias("reason")))
 
     received = resolved.withColumn("_number", F.lower("batch_number"))
     arrived = received.groupBy("matched_id", "_number").agg(

@@ -8,8 +8,10 @@ the leaves it reaches are verified by comparing characters.
 
 The trie is cut into subtrees at the first level at which none has more than ``SUBTREE``
 words. Every word is sent to its own subtree, and as a query to those that its budget can
-reach and that exist: 1 + levels * (levels + 1) of them at most. A subtree's task searches
-for all its queries at once and returns one row for each query that finds something, the
+reach and that exist. Of two near words one has the larger vector, reading the counts in
+order, so it is enough that each looks for larger ones: a query spends its surplus first
+and goes to 1 + levels * (levels + 1) / 2 subtrees at most. A subtree's task searches
+for all its queries at once and returns one row for each word that has found another, the
 number of its near words and the best of them, never pairs. A node of few words is not
 divided further. The work of a leaf grows with its words times the queries that reach it;
 leaves hold words made of the same letters, near-anagrams, which are few in any language.
@@ -38,6 +40,8 @@ RUNS, SHORTEST, LEAST = r"[A-Za-zÀ-ÿ]{%d,}+", 7, 2
 RATIO = 10
 #: Levels of the trie, commonest letters first; any other character counts in the last level.
 LEVELS = ("e", "n", "t", "i", "a", "o", "r", "s", "h", "l", "u", "c", "dg", "mfb", "pvwk")
+#: Bits of a count in the number of a subtree, its largest count (one more and one less still fit), and the levels that fit.
+FIELD, MOST, DEEPEST = 5, 29, 12
 #: Most words of a subtree that a task is given, of a node that is searched word by word, and characters compared at a time.
 SUBTREE, NODE, WIDTH = 4_096, 24, 32
 #: Comparisons held at a time, as many characters each as a word is long.
@@ -61,47 +65,41 @@ def vocabulary(words: DataFrame, least: int = LEAST) -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def _counts() -> list[Column]:
-    """How often each level's letters occur in the word; the last level has the rest."""
-    length = F.char_length("word")
-    each = [length - F.char_length(F.translate("word", letters, "")) for letters in LEVELS]
-    return [*each, length - sum(each[1:], each[0])]
+def _coded(words: DataFrame) -> DataFrame:
+    """``words`` with the counts of the first levels as fields of one number, each one more than the count."""
+    fields = [
+        F.shiftleft((F.least(F.char_length("word") - F.char_length(F.translate("word", letters, "")), F.lit(MOST)) + 1).cast("bigint"), FIELD * i)
+        for i, letters in enumerate(LEVELS[:DEEPEST])
+    ]
+    return words.select("word", "n", sum(fields[1:], fields[0]).alias("code"))
 
 
-def _node(vector: list[Column]) -> Column:
-    return F.concat_ws(".", *[c.cast("string") for c in vector])
+def _node(depth: int) -> Column:
+    return F.col("code").bitwiseAND(F.lit((1 << (FIELD * depth)) - 1))
 
 
-def _depth(words: DataFrame, subtree: int) -> int:
+def _depth(coded: DataFrame, subtree: int) -> int:
     """The first level at which no node has more words than a task is given."""
-    total = words.count()
-    depth = 0 if total <= subtree else 1
-    while 0 < depth <= len(LEVELS):
-        if (words.groupBy(_node(_counts()[:depth]).alias("node")).count().agg(F.max("count")).first()[0] or 0) <= subtree:
-            break
-        depth += 1
-    return depth
+    for depth in range(DEEPEST):
+        if (coded.groupBy(_node(depth).alias("node")).count().agg(F.max("count")).first()[0] or 0) <= subtree:
+            return depth
+    return DEEPEST
 
 
-def _steps(depth: int) -> list[list[int]]:
-    """What one surplus and one deficit can add to the first counts."""
-    unit = [[int(i == j) for i in range(depth)] for j in range(depth)]
-    none = [0] * depth
-    plus = [none, *unit]
-    return [[p - m for p, m in zip(a, b)] for a in plus for b in plus if a != b or a is none]
+def _steps(depth: int) -> list[int]:
+    """What one surplus, and a deficit after it, can add to a node's number."""
+    unit = [1 << (FIELD * i) for i in range(depth)]
+    return [0, *unit, *[unit[i] - unit[j] for i in range(depth) for j in range(i + 1, depth)]]
 
 
 def _dealt(words: DataFrame, subtree: int) -> DataFrame:
     """(node, home, word, n): every word at home in its subtree, and as a query in all it may reach."""
-    depth = _depth(words, subtree)
-    counts = F.array(*_counts()[:depth]) if depth else F.array().cast("array<int>")
-    rows = words.select("word", "n", counts.alias("v"))
-    steps = F.array(*[F.array(*map(F.lit, s)) for s in _steps(depth)]) if depth else F.array(F.array().cast("array<int>"))
-    queries = rows.select("word", "n", F.explode(steps).alias("step"), "v")
-    queries = queries.select("word", "n", F.zip_with("v", "step", lambda c, s: c + s).alias("v")).where(~F.exists("v", lambda c: c < 0))
-    node = F.concat_ws(".", F.col("v").cast("array<string>")).alias("node")
-    home = rows.select(node, "word", "n")
-    queries = queries.select(node, "word", "n").join(home.select("node").distinct(), "node", "left_semi")
+    coded = cut(_coded(words), "coded")
+    depth = _depth(coded, subtree)
+    home = coded.select(_node(depth).alias("node"), "word", "n")
+    steps = F.explode(F.array(*[F.lit(s).cast("bigint") for s in _steps(depth)]))
+    queries = home.select("node", "word", "n", steps.alias("step")).select((F.col("node") + F.col("step")).alias("node"), "word", "n")
+    queries = queries.join(home.select("node").distinct(), "node", "left_semi")
     return home.withColumn("home", F.lit(True)).unionByName(queries.withColumn("home", F.lit(False)))
 
 
@@ -159,7 +157,7 @@ def _one_edit(a: str, b: str) -> bool:
 
 
 def _searched(table: pa.Table, node: int, widest: int) -> pa.Table:
-    """For each query of a subtree: how many of its words are near, and the commonest of them."""
+    """For each word that another of the subtree is near: with how many so far, and the commonest of them."""
     home = table["home"].to_numpy(zero_copy_only=False)
     n = table["n"].to_numpy()
     words = table["word"].to_pylist()
@@ -167,6 +165,8 @@ def _searched(table: pa.Table, node: int, widest: int) -> pa.Table:
     vectors = _vectors(held.left, held.lengths)
     for i in np.flatnonzero(held.lengths > held.left.shape[1]):
         vectors[i] = _vectors(_codes(words[i])[None, :], held.lengths[i : i + 1])[0]
+    place = np.empty(len(words), np.int64)
+    place[np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)] = np.arange(len(words))
     a, b = [], []
 
     def leaf(members: np.ndarray, queries: np.ndarray) -> None:
@@ -177,8 +177,13 @@ def _searched(table: pa.Table, node: int, widest: int) -> pa.Table:
             close = np.abs(held.lengths[q] - held.lengths[m]) <= 1
             q, m = q[close], m[close]
             hit = held.near(q, m)
-            a.append(q[hit])
-            b.append(m[hit])
+            q, m = q[hit], m[hit]
+            # a query looks for larger vectors; among equal ones the words decide
+            more = vectors[m] - vectors[q]
+            first = more[np.arange(len(q)), np.argmax(more != 0, axis=1)]
+            keep = (first > 0) | ((first == 0) & (place[q] < place[m]))
+            a.append(q[keep])
+            b.append(m[keep])
 
     def down(level: int, members: np.ndarray, queries: np.ndarray, surplus: np.ndarray, deficit: np.ndarray) -> None:
         """Depth first: ``members`` are the words below a node, ``queries`` those that reach it with what they have left."""
@@ -188,17 +193,15 @@ def _searched(table: pa.Table, node: int, widest: int) -> pa.Table:
         at, asked = vectors[members, level], vectors[queries, level]
         for count in np.unique(at):
             more, less = asked + 1 == count, asked - 1 == count
-            go = (asked == count) | (more & surplus) | (less & deficit)
+            go = (asked == count) | (more & surplus) | (less & deficit & ~surplus)
             if go.any():
                 down(level + 1, members[at == count], queries[go], (surplus & ~more)[go], (deficit & ~less)[go])
 
     queries = np.flatnonzero(~home)
     if home.any() and len(queries):
         down(0, np.flatnonzero(home), queries, np.ones(len(queries), bool), np.ones(len(queries), bool))
-    q = np.concatenate([np.zeros(0, np.int64), *a])
-    m = np.concatenate([np.zeros(0, np.int64), *b])
-    place = np.empty(len(words), np.int64)
-    place[np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)] = np.arange(len(words))
+    q = np.concatenate([np.zeros(0, np.int64), *a, *b])
+    m = np.concatenate([np.zeros(0, np.int64), *b, *a])
     order = np.lexsort((place[m], -n[m], q))
     q, m = q[order], m[order]
     first, counts = np.unique(q, return_index=True, return_counts=True)[1:]

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import MONEY, EXACT, PRICE, big, first_text, money, number_or, parse_decimal, parse_int, round2, text_or
+from ..operators.components import components
 from ..operators.lineage import cut
 from ..operators.lookup import left_lookup
 from ..operators.running import CHUNK, in_chunks, running_before
 
 LINE_FIELDS = ["product_id", "batch_id", "quantity", "unit_price", "discount_amount", "tax_amount"]
 
-# Lines that one task serves at most when bills have to be taken one by one.
+# Lines of a component that are served one by one in a round.
 SLICE_ROWS = 1 << 16
 
 # Texts of refusals.
@@ -152,26 +154,55 @@ def bill_totals(cart: DataFrame) -> DataFrame:
 
 
 def _server():
-    """Serves a slice of bills one by one, as a closure that needs nothing of this package."""
-    slice_rows = SLICE_ROWS
+    """Serves bills one by one, component after component, as a closure that needs nothing of this package."""
 
-    def serve(lines: pd.DataFrame) -> pd.DataFrame:
-        lines = lines.sort_values("seq")
-        if len(lines) == slice_rows:
-            lines = lines[lines["seq"] < lines["seq"].iloc[-1]]  # the last bill may be cut off
+    def serve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         used: dict[int, int] = {}
-        served = []
-        for seq, bill in lines.groupby("seq", sort=True):
-            wants = list(zip(bill["batch_id"], bill["qty"], bill["_left"]))
+        at, wants, seqs, passed = None, [], [], []
+
+        def close() -> None:
             ok = all(left - used.get(batch, 0) >= qty for batch, qty, left in wants)
             for batch, qty, _ in wants if ok else ():
                 used[batch] = used.get(batch, 0) + qty
-            served.append((seq, ok))
-        return pd.DataFrame(served, columns=["seq", "_served"])
+            seqs.append(at[1])
+            passed.append(ok)
+
+        for lines in batches:
+            for root, seq, batch, qty, left in zip(*[lines.column(i).to_pylist() for i in range(5)]):
+                if at != (root, seq):
+                    if at is not None:
+                        close()
+                        if at[0] != root:
+                            used.clear()
+                    at, wants = (root, seq), []
+                wants.append((batch, qty, left))
+            yield pa.record_batch({"seq": pa.array(seqs, pa.int64()), "_served": pa.array(passed, pa.bool_())})
+            seqs, passed = [], []
+        if at is not None:
+            close()
+            yield pa.record_batch({"seq": pa.array(seqs, pa.int64()), "_served": pa.array(passed, pa.bool_())})
 
     return serve
 
 
+def _served(lines: DataFrame) -> DataFrame:
+    """(seq, _served) of the earliest bills of every component of open lines, as many as ``SLICE_ROWS`` lines hold.
+
+    Bills that share a batch, directly or through others, are one component; components do
+    not touch one another, so each is served in order by itself. Spark packs them into tasks.
+    """
+    placed = cut(lines.join(components(lines, "seq", "batch_id"), "batch_id"), "components")
+    large = placed.groupBy("root").agg(F.count("*").alias("_rows")).filter(F.col("_rows") > SLICE_ROWS)
+    large = cut(large.select("root", F.lit(True).alias("_large")), "large")
+    if not large.isEmpty():
+        bills = placed.join(large, "root").groupBy("root", "seq").agg(F.count("*").alias("_rows"))
+        ahead = running_before(in_chunks(bills, "root", "seq"), "root", "seq", {"_before": F.col("_rows")})
+        late = ahead.filter(F.col("_before") >= SLICE_ROWS).select("seq")
+        placed = placed.join(late, "seq", "left_anti")
+    dealt = placed.select("root", "seq", "batch_id", "qty", "_left").repartition("root").sortWithinPartitions("root", "seq")
+    return dealt.mapInArrow(_server(), "seq bigint, _served boolean")
+
+
 def settle(demand: DataFrame, opening: DataFrame, receipts: DataFrame | None = None) -> DataFrame:
     """All-or-nothing decision on every bill, as if bills were served one by one.
 
@@ -183,9 +214,9 @@ def settle(demand: DataFrame, opening: DataFrame, receipts: DataFrame | None = N
     Each round bounds the balance each open line can find: at least what is left if all
     earlier open lines pass, at most what is left if none does. A bill whose lines all
     fit the lower bound is accepted, one with a line above the upper bound is refused.
-    The earliest open bill is always decided. Where that decides little, because bills
-    hang on one another in long chains, the round also serves the earliest open bills,
-    a slice of bounded size, one by one. Only open rows go into the next round.
+    From the second round on, the bills still open fall into components that share no
+    batch, and each component's earliest bills are served one by one, all components side
+    by side. Only open rows go into the next round.
     """
     start = opening.select("batch_id", F.col("available_qty").cast("bigint").alias("_opening"))
     zero = F.lit(0).cast("bigint")
@@ -199,8 +230,8 @@ def settle(demand: DataFrame, opening: DataFrame, receipts: DataFrame | None = N
     columns = ["seq", "batch_id", "qty", "_opening", CHUNK]
     state = placed.select(*columns, F.col("_opening").alias("_left"), F.lit(False).alias("_taken"))
     decided: list[DataFrame] = []
-    open_rows, stalled = None, False
-    while open_rows != 0:
+    left_open = True
+    while left_open:
         seen = running_before(
             state,
             "batch_id",
@@ -210,23 +241,20 @@ def settle(demand: DataFrame, opening: DataFrame, receipts: DataFrame | None = N
                 "_ahead": F.when(F.col("_taken"), 0).otherwise(F.col("qty")),
             },
         )
-        lines = seen.filter(~F.col("_taken")).withColumn("_left", F.col("_left") - F.col("_gone"))
+        lines = cut(seen.filter(~F.col("_taken")).withColumn("_left", F.col("_left") - F.col("_gone")), "open")
         fits = F.col("_ahead") + F.col("qty") <= F.col("_left")
         fails = F.col("qty") > F.col("_left")
         bills = lines.groupBy("seq").agg(F.bool_and(fits).alias("_ok"), F.bool_or(fails).alias("_bad"))
         verdict = F.when(F.col("_ok"), True).when(F.col("_bad"), False)
         judged = lines.join(bills, "seq")
-        if stalled:
-            first = lines.select("seq", "batch_id", "qty", "_left").orderBy("seq").limit(SLICE_ROWS)
-            served = first.groupBy().applyInPandas(_server(), "seq bigint, _served boolean")
-            judged = judged.join(served, "seq", "left")
+        if decided:
+            judged = judged.join(_served(lines), "seq", "left")
             verdict = F.coalesce("_served", verdict)
         step = cut(judged.select(*columns, "_left", verdict.alias("accepted")), "bills")
         decided.append(step.filter(F.col("accepted").isNotNull()).drop("_left"))
         if len(decided) == 16:
             decided = [cut(reduce(DataFrame.unionByName, decided), "bills")]
-        before, open_rows = open_rows, step.filter(F.col("accepted").isNull()).count()
-        stalled = before is not None and open_rows > before / 2
+        left_open = not step.filter(F.col("accepted").isNull()).isEmpty()
         state = step.filter(F.coalesce("accepted", F.lit(True))).select(
             *columns, "_left", F.coalesce("accepted", F.lit(False)).alias("_taken")
         )

@@ -23,21 +23,22 @@ from __future__ import annotations
 import codecs
 import gc
 import hashlib
+import re
+from array import array
 from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: The mark of a space, and what stands for the unknown piece in a decoded text.
 SPACE, UNKNOWN = "▁", " ⁇ "
-#: What a worker keeps of each kind before it starts anew; longer parts are not kept.
-KEPT, LONGEST_KEPT = 500_000, 40
-#: Above every id; makes one number of two.
-PAIR = 1 << 24
+#: Parts that a worker keeps, as many again of those before them, and tested pairs; longer parts are not kept.
+KEPT, KEPT_PAIRS, LONGEST_KEPT = 200_000, 300_000, 40
+#: Signs at which words are cut at once where the pieces allow it.
+SIGNS = ".,;:!?)\"'\n"
 #: A text that a model must leave as it is but for spaces and the space before it.
 PLAIN = "Ａ ﬁ é  İ\tx½"
 
@@ -90,11 +91,18 @@ class Encoder:
         #: Characters that stand side by side in some piece; between any other two a text may be cut.
         self.joined = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
         self.words = all(SPACE not in p.lstrip(SPACE) for p in self.id)
-        self.word = regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        # a word ends before signs that no piece has after any but signs
+        signs = set(SIGNS)
+        while bad := {pair[1] for pair in self.joined if pair[1] in signs and pair[0] not in signs}:
+            signs -= bad
+        to_sign = f"{SPACE}*[^{SPACE}{re.escape(''.join(sorted(signs)))}]+|"
+        self.word = re.compile(f"{to_sign}{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.steps: dict[int, list[tuple[float, str, str]]] = {}
-        self.pairs: dict[int, bool] = {}
-        self.parts: dict[str, bytes] = {}
+        #: For each piece, whether the pieces met after it stay apart from it.
+        self.pairs: list[dict[int, bool]] = [{} for _ in model.pieces]
+        self.tested = 0
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         surface = [p.replace(SPACE, " ").encode() for p in model.pieces]
         for i in model.control:
             surface[i] = b""
@@ -126,10 +134,6 @@ class Encoder:
 
     def apart(self, left: int, right: int) -> bool:
         """Whether no merge crosses the boundary when the two pieces are merged from their characters together."""
-        key = left * PAIR + right
-        known = self.pairs.get(key)
-        if known is not None:
-            return known
         a, b, i, j = self.formed(left), self.formed(right), 0, 0
         while True:
             (next_a, _, end), (next_b, start, _) = a[i], b[j]
@@ -144,60 +148,63 @@ class Encoder:
                 i += 1
             else:
                 j += 1
-        if len(self.pairs) >= KEPT:
-            self.pairs.clear()
-        self.pairs[key] = answer
+        if self.tested >= KEPT_PAIRS:
+            for row in self.pairs:
+                row.clear()
+            self.tested = 0
+        self.tested += 1
+        self.pairs[left][right] = answer
         return answer
 
     def last_pieces(self, part: str) -> list[int]:
         """The unique last piece of every prefix of a part, by its length; all its characters have pieces."""
         last = [-1] * (len(part) + 1)
-        known, apart = self.pairs, self.apart
+        after: list[dict[int, bool] | None] = [None] * (len(part) + 1)
+        pairs, apart = self.pairs, self.apart
         for end, (length, token) in self.matches.iter(part):
             end += 1
-            if last[end] >= 0:
+            if after[end] is not None:
                 continue
             at = end - length
             if at:
-                before = last[at]
-                if before < 0:
+                row = after[at]
+                if row is None:
                     continue
-                answer = known.get(before * PAIR + token)
-                if not (answer or (answer is None and apart(before, token))):
+                answer = row.get(token)
+                if answer is None:
+                    answer = apart(last[at], token)
+                if not answer:
                     continue
             last[end] = token
+            after[end] = pairs[token]
         return last
 
     def _part(self, part: str) -> bytes:
-        """Ids, four bytes each, of what lies between two cuts."""
-        found = self.parts.get(part)
-        if found is not None:
-            return found
+        """Ids, four bytes each, of a part without cuts inside."""
         if len(part) == 1 and part not in self.id:
             ids = [self.bytes[b] for b in part.encode()]
         else:
-            last, ids, at = self.last_pieces(part), [], len(part)
+            last, ids, at, pieces = self.last_pieces(part), [], len(part), self.model.pieces
             while at:
                 ids.append(last[at])
-                at -= len(self.model.pieces[last[at]])
+                at -= len(pieces[last[at]])
             ids.reverse()
-        found = np.array(ids, "<i4").tobytes()
+        return array("i", ids).tobytes()
+
+    def _found(self, part: str) -> bytes:
+        """Ids of a part that is not among the newest kept ones."""
+        found = self.older.get(part)
+        if found is None:
+            joined = self.joined
+            cuts = [i for i in range(1, len(part)) if part[i - 1 : i + 1] not in joined]
+            if cuts:
+                found = b"".join([self.kept.get(x) or self._found(x) for x in [part[a:b] for a, b in zip([0, *cuts], [*cuts, len(part)])]])
+            else:
+                found = self._part(part)
         if len(part) <= LONGEST_KEPT:
-            if len(self.parts) >= KEPT:
-                self.parts.clear()
-            self.parts[part] = found
-        return found
-
-    def _word(self, word: str) -> bytes:
-        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.joined]
-        if not cuts:
-            found = self._part(word)
-        else:
-            found = b"".join([self._part(word[a:b]) for a, b in zip([0, *cuts], [*cuts, len(word)])])
-        if len(word) <= LONGEST_KEPT:
             if len(self.kept) >= KEPT:
-                self.kept.clear()
-            self.kept[word] = found
+                self.older, self.kept = self.kept, {}
+            self.kept[part] = found
         return found
 
     def encode(self, text: str) -> bytes:
@@ -206,11 +213,7 @@ class Encoder:
             return b""
         marked = SPACE + text.replace(" ", SPACE)
         words = self.word.findall(marked) if self.words else [marked]
-        kept, out = self.kept, []
-        for word in words:
-            found = kept.get(word)
-            out.append(self._word(word) if found is None else found)
-        return b"".join(out)
+        return b"".join([self.kept.get(word) or self._found(word) for word in words])
 
     def decode(self, ids: list[int]) -> str:
         surface = self.surface
@@ -251,9 +254,11 @@ def encoded(spark: SparkSession, text: Column, model_file: str) -> Column:
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         encoder = _encoder(model)
-        ids = [encoder.encode(t or "") for t in texts.to_pylist()]
-        offsets = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids], dtype=np.int64)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+        ids, ends = bytearray(), [0]
+        for text in texts:
+            ids += encoder.encode(text.as_py() or "")
+            ends.append(len(ids) // 4)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, "<i4")))
 
     return encode(text)
 
@@ -265,7 +270,26 @@ def decoded(spark: SparkSession, ids: Column, model_file: str) -> Column:
     @F.arrow_udf("string")
     def decode(lists: pa.Array) -> pa.Array:
         encoder = _encoder(model)
-        flat, ends = lists.flatten().to_pylist(), np.cumsum([n or 0 for n in lists.value_lengths().to_pylist()])
-        return pa.array([encoder.decode(flat[a:b]) for a, b in zip([0, *ends[:-1]], ends)], pa.string())
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+        return pa.array((encoder.decode(flat[a:b].tolist()) for a, b in zip([0, *ends[:-1]], ends)), pa.string())
+
+    return decode(_given(ids))
+
+
+def digest(ids: Column) -> Column:
+    """SHA-256, in lower-case hex, of the ids written in decimal with commas between them."""
+
+    @F.arrow_udf("string")
+    def hashed(lists: pa.Array) -> pa.Array:
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+        texts = (",".join(map(str, flat[a:b].tolist())) for a, b in zip([0, *ends[:-1]], ends))
+        return pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string())
+
+    return hashed(_given(ids))
+
 
-    return decode(ids)
+def _given(ids: Column) -> Column:
+    """No ids for a null. Without an expression between them, ids that several functions take would be computed for each."""
+    return F.coalesce(ids, F.array().cast("array<int>"))

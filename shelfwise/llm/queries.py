@@ -101,10 +101,9 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, ids = vocabulary_path(PIECE_FILE), F.col("ids")
     rows = _table(spark, sf_dir, "documents").select("doc_id", pieces.encoded(spark, F.col("text").cast("string"), model).alias("ids"))
-    rows = rows.select("doc_id", "ids", pieces.decoded(spark, ids, model).alias("decoded"))
     return rows.select(
-        "doc_id", F.size(ids).cast("bigint").alias("n_tokens"), F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        "doc_id", F.size(ids).cast("bigint").alias("n_tokens"), pieces.digest(ids).alias("ids_sha256"),
+        F.sha2(pieces.decoded(spark, ids, model), 256).alias("decoded_sha256"),
     )
 
 

@@ -246,11 +246,9 @@ def _resent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The movements as a stream in which every sale arrives twice."""
     sent = scaled.movements(_stream(spark, sf_dir, "lineitem"))
     again = scaled.movements(_stream(spark, sf_dir, "lineitem")).filter(F.col("txn_type") == "SALE")
-    job = live.FirstOnly(spark, work_path(spark, "kept"))
-    runs.each_batch(sent.unionByName(again), job.root, job.apply)
-    return job.all_of("kept").select(
-        "txn_number", "txn_type", "product_id", "batch_id", "quantity", "total_amount", "txn_date"
-    )
+    root, kept = work_path(spark, "kept"), live.first_only(sent.unionByName(again))
+    runs.to_table(kept, root)
+    return runs.rows_of(kept, root).select("txn_number", "txn_type", "product_id", "batch_id", "quantity", "total_amount", "txn_date")
 
 
 def _streamed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,26 +258,23 @@ def _streamed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _streamed_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stock keys start empty."""
-    job = balances.GuardedIssues(spark, work_path(spark, "guard"), "stock_key", "event_id", "delta")
-    moves = requests.guard_moves(scaled.table(spark, sf_dir, "events"))
-    job.start(moves.select("stock_key", F.lit(0).cast("bigint")).limit(0))
-    runs.each_batch(requests.guard_moves(_stream(spark, sf_dir, "events")), job.root, job.apply)
-    return job.all_of("decisions")
+    root = work_path(spark, "guard")
+    decisions = balances.guarded_issues(requests.guard_moves(_stream(spark, sf_dir, "events")), "stock_key", "event_id", "delta")
+    runs.to_table(decisions, root)
+    return runs.rows_of(decisions, root)
 
 
 def _streamed_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = work_path(spark, "alerts")
     listed = scaled.products(spark, sf_dir).select("id", "min_reorder_level", F.lit(0).alias("opening_stock"))
-    job = balances.LowStockAlerts(spark, work_path(spark, "alerts"), lambda: listed)
-    job.start()
-    runs.each_batch(scaled.movements(_stream(spark, sf_dir, "lineitem")), job.root, job.apply)
-    return job.all_of("alerts")
+    alerts = balances.low_stock_alerts(scaled.movements(_stream(spark, sf_dir, "lineitem")), listed)
+    runs.to_table(alerts, root)
+    return runs.rows_of(alerts, root)
 
 
 def _stock_folder(spark: SparkSession, sf_dir: str) -> stock.StockFolder:
     t = scaled.load(spark, sf_dir)
-    folder = stock.StockFolder(spark, work_path(spark, "stock"), t.suppliers, t.users)
-    folder.start(t.products, t.product_batches)
-    return folder
+    return stock.StockFolder.start(work_path(spark, "stock"), t.products, t.product_batches, t.suppliers, t.users)
 
 
 def _streamed_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:

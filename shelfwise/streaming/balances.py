@@ -1,85 +1,95 @@
-"""Streams that carry one balance per key from micro-batch to micro-batch.
+"""Streams that carry one balance per key, in Spark's own keyed state.
 
-A key may bring a third of a micro-batch, so no step gathers a key's rows: both jobs
-run the chunked operators on the micro-batch, starting from the stored balances.
+A key's balance is a value in the state store; a micro-batch reads and writes the keys it
+brings and no others, and a restart goes on from the checkpoint. What a key's movements do
+depends on their order, so a micro-batch's movements of one key are taken in order by one
+task. The source's bound on a micro-batch (``runs.BYTES_PER_TRIGGER``) bounds them too.
+For a whole table at once, with keys of any size, ``operators.guard`` is the batch form.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.values import big, signed_units
-from ..operators.guard import guarded_balance
-from ..operators.running import in_chunks, running_before
-from .runs import Versions
+from .runs import keyed_state
 
+#: Rows that a task hands on at a time.
+ROWS = 100_000
 
-@dataclass(frozen=True)
-class GuardedIssues(Versions):
-    """Issues from single batches: a request that asks for more than the balance uses nothing."""
 
-    key: str = "key"
-    order: str = "seq"
-    delta: str = "delta"
+def _in_slices(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    for at in range(0, len(rows), ROWS):
+        yield rows.iloc[at : at + ROWS]
 
-    def start(self, opening: DataFrame) -> None:
-        """``opening`` holds (key, balance)."""
-        self.open_state("balances", opening.toDF(self.key, "balance").withColumn("balance", F.col("balance").cast("bigint")))
 
-    def balances(self, version: int, touched: DataFrame | None = None) -> DataFrame:
-        return self.state("balances", version, self.key, touched)
+class _Balance(StatefulProcessor):
+    """One balance per key; an opening one may be given when the stream first starts."""
 
-    def apply(self, moves: DataFrame, batch_id: int) -> None:
-        opening = self.balances(batch_id, moves)
-        decided = self.write(
-            "decisions", batch_id, guarded_balance(moves, self.key, self.order, self.delta, opening)
-        )
-        last = decided.groupBy(self.key).agg(F.max_by("balance", self.order).alias("balance"))
-        self.change("balances", batch_id + 1, last, self.key)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("balance", "balance bigint")
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.held.update((int(initialState["balance"].iloc[0]),))
 
-@dataclass(frozen=True)
-class LowStockAlerts(Versions):
-    """An alert each time a product's stock falls to its reorder level or below.
+    def balance(self, otherwise: int) -> int:
+        return self.held.get()[0] if self.held.exists() else otherwise
 
-    ``products`` gives the current products (id, min_reorder_level, opening_stock) and is
-    asked for every micro-batch, so that products added later alert as well.
-    """
+    def close(self) -> None:
+        pass
+
+
+class _Guard(_Balance):
+    """A movement that asks for more than the balance uses nothing."""
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        moves = pd.concat(list(rows)).sort_values("order")
+        balance, passed, after = self.balance(0), [], []
+        for delta in moves["delta"].tolist():
+            ok = balance + delta >= 0
+            balance += delta if ok else 0
+            passed.append(ok)
+            after.append(balance)
+        self.held.update((balance,))
+        yield from _in_slices(moves[["key", "order", "delta"]].assign(accepted=passed, balance=after))
+
+
+class _Crossings(_Balance):
+    """The movements that take a product's stock from above its level to it or below."""
 
-    products: Callable[[], DataFrame] | None = None
-
-    def start(self) -> None:
-        self.open_state("stock", self.spark.createDataFrame([], "product_id bigint, stock bigint"))
-
-    def stock(self, version: int, touched: DataFrame | None = None) -> DataFrame:
-        return self.state("stock", version, "product_id", touched)
-
-    def apply(self, movements: DataFrame, batch_id: int) -> None:
-        """Movements of one micro-batch count in (txn_date, txn_number) order."""
-        moves = movements.select(
-            F.col("product_id").cast("bigint").alias("product_id"), F.struct("txn_date", "txn_number").alias("at"),
-            big(signed_units()).alias("delta"),
-        )
-        rows = in_chunks(moves, "product_id", "at")
-        held = self.stock(batch_id, moves)
-        listed = self.products().select(
-            F.col("id").cast("bigint").alias("product_id"), big("min_reorder_level").alias("level"), big("opening_stock").alias("opening")
-        )
-        known = listed.join(held, "product_id", "left").withColumn("stock", F.coalesce("stock", "opening")).drop("opening")
-        seen = running_before(rows, "product_id", "at", {"moved": F.col("delta")}).join(known, "product_id")
-        before = F.col("stock") + F.col("moved")
-        crossed = seen.filter((before > F.col("level")) & (before + F.col("delta") <= F.col("level")))
-        self.write(
-            "alerts",
-            batch_id,
-            crossed.select(
-                "product_id", "at.txn_number", (before + F.col("delta")).alias("stock"),
-                F.col("level").alias("min_reorder_level"),
-            ),
-        )
-        change = rows.groupBy("product_id").agg(F.sum("delta").alias("change")).join(known, "product_id")
-        self.change("stock", batch_id + 1, change.select("product_id", (F.col("stock") + F.col("change")).alias("stock")), "product_id")
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        moves = pd.concat(list(rows)).sort_values(["txn_date", "txn_number"])
+        after = moves["delta"].cumsum() + self.balance(int(moves["opening"].iloc[0]))
+        self.held.update((int(after.iloc[-1]),))
+        low = (after <= moves["min_reorder_level"]) & (after - moves["delta"] > moves["min_reorder_level"])
+        yield from _in_slices(moves.assign(stock=after)[["product_id", "txn_number", "stock", "min_reorder_level"]][low])
+
+
+def guarded_issues(moves: DataFrame, key: str, order: str, delta: str, opening: DataFrame | None = None) -> DataFrame:
+    """A stream of decisions (key, order, delta, accepted, balance); ``opening`` holds (key, balance), zero by default."""
+    keyed_state(moves.sparkSession)
+    plain = moves.select(F.col(key).cast("bigint").alias("key"), F.col(order).cast("bigint").alias("order"), F.col(delta).cast("bigint").alias("delta"))
+    start = None if opening is None else opening.toDF("key", "balance").select(F.col("key").cast("bigint").alias("key"), big("balance").alias("balance")).groupBy("key")
+    decided = plain.groupBy("key").transformWithStateInPandas(
+        _Guard(), "key bigint, order bigint, delta bigint, accepted boolean, balance bigint", "Append", "None", start
+    )
+    return decided.withColumnsRenamed({"key": key, "order": order, "delta": delta})
+
+
+def low_stock_alerts(movements: DataFrame, products: DataFrame) -> DataFrame:
+    """A stream of alerts: each time a product's stock falls to its reorder level or below.
+
+    Movements count in (txn_date, txn_number) order. ``products`` (id, min_reorder_level,
+    opening_stock) is read anew every micro-batch, so products added later alert as well.
+    """
+    keyed_state(movements.sparkSession)
+    listed = products.select(F.col("id").cast("bigint").alias("product_id"), big("min_reorder_level").alias("min_reorder_level"), big("opening_stock").alias("opening"))
+    moves = movements.select(F.col("product_id").cast("bigint").alias("product_id"), "txn_date", "txn_number", big(signed_units()).alias("delta"))
+    return moves.join(listed, "product_id").groupBy("product_id").transformWithStateInPandas(
+        _Crossings(), "product_id bigint, txn_number string, stock bigint, min_reorder_level bigint", "Append", "None"
+    )

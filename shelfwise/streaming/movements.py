@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import big, money, units
-from .runs import Versions
+from .runs import keyed_state
 
 
 def daily_totals(movements: DataFrame) -> DataFrame:
@@ -24,21 +22,12 @@ def daily_totals(movements: DataFrame) -> DataFrame:
     )
 
 
-@dataclass(frozen=True)
-class FirstOnly(Versions):
+def first_only(movements: DataFrame) -> DataFrame:
     """Movements without those sent before, however long ago: the same number on the same day.
 
-    What was kept is stored by month, so a micro-batch looks into the months of its own rows.
+    The numbers seen are keys of Spark's state store, which looks up those of a micro-batch
+    and no others. None is forgotten, as a repeat may come at any time.
     """
-
-    def apply(self, movements: DataFrame, batch_id: int) -> None:
-        dated = movements.withColumn("txn_day", F.to_date("txn_date"))
-        dated = dated.withColumn("txn_month", F.date_format("txn_day", "yyyy-MM"))
-        fresh = dated.dropDuplicates(["txn_day", "txn_number"])
-        if batch_id:
-            months = [r.txn_month for r in fresh.select("txn_month").distinct().collect()]  # calendar months
-            kept = self.spark.read.parquet(f"{self.root}/kept").where(F.col("v") < batch_id)
-            kept = kept.where(F.col("txn_month").isin([m for m in months if m]) | F.col("txn_month").isNull())
-            same = F.col("n.txn_day").eqNullSafe(F.col("o.txn_day")) & F.col("n.txn_number").eqNullSafe(F.col("o.txn_number"))
-            fresh = fresh.alias("n").join(kept.select("txn_day", "txn_number").alias("o"), same, "left_anti")
-        self.write("kept", batch_id, fresh.hint("rebalance", "txn_month"), "txn_month")
+    keyed_state(movements.sparkSession)
+    columns = movements.columns
+    return movements.withColumn("txn_day", F.to_date("txn_date")).dropDuplicates(["txn_day", "txn_number"]).select(*columns)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -10,96 +9,90 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.lineage import work_path
+from ..operators.lineage import cut, work_path
 
-#: Parts that a state's keys are spread over; a micro-batch reads those of its own keys.
-BUCKETS = 32
-#: Micro-batches from one whole copy of a state to the next.
-COMPACT_EVERY = 16
-#: Files of a table that form a micro-batch; None takes all there are, so that the answer does not hang on their number.
+#: Bytes of files that a micro-batch takes, whatever waits; a larger file is one by itself.
+BYTES_PER_TRIGGER = 4 << 30
+#: Files of a table that form a micro-batch; None leaves it to the bytes.
 FILES_PER_TRIGGER: int | None = None
+#: Parts that a stored table's keys are spread over; a micro-batch reads and writes those of its own keys.
+BUCKETS = 32
+
+
+def keyed_state(spark: SparkSession) -> None:
+    """States live on disk with the executors and in the checkpoint, not in memory."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
+def to_table(stream: DataFrame, root: str, once: bool = True):
+    """Append a stream's rows to files under ``root``; every row is there once, also after a restart."""
+    writer = stream.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/progress")
+    query = (writer.trigger(availableNow=True) if once else writer).start()
+    if once:
+        query.awaitTermination()
+    return query
+
+
+def rows_of(stream: DataFrame, root: str) -> DataFrame:
+    """What a stream has written under ``root``."""
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/rows")
+
+
+def put(spark: SparkSession, root: str, name: str, batch_id: int, rows: DataFrame) -> None:
+    """Rows of one micro-batch under its number; if it runs again it overwrites them."""
+    rows.write.mode("overwrite").parquet(f"{root}/{name}/v={batch_id}")
+
+
+def all_of(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """Rows of every micro-batch so far."""
+    return spark.read.parquet(f"{root}/{name}").drop("v")
 
 
 @dataclass(frozen=True)
-class Versions:
-    """Folders that micro-batches read and write under their own number.
-
-    Rows a micro-batch puts out go under its number n. A state is a whole copy and the rows
-    changed since: micro-batch n reads it as its predecessor left it, and writes the changed
-    rows under n + 1. Every few versions a whole copy is written and what lies behind the one
-    before it is removed. A micro-batch that runs again after a failure overwrites the same
-    folders with the same rows, so every request counts once.
+class KeyedTable:
+    """A table that micro-batches change row by row, in files by bucket of its ``id``.
+
+    Every row says which micro-batch wrote it and what it was before. A micro-batch that
+    runs again after a failure, whatever buckets it had already replaced, sees the table as
+    it was when it first started, so it changes the same rows to the same values again.
     """
 
     spark: SparkSession
-    root: str
-
-    # --- rows put out
-
-    def write(self, name: str, version: int, rows: DataFrame, *by: str) -> DataFrame:
-        path = f"{self.root}/{name}/v={version}"
-        rows.write.mode("overwrite").partitionBy(*by).parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path)
-
-    def all_of(self, name: str) -> DataFrame:
-        """Rows of every micro-batch so far."""
-        return self.spark.read.parquet(f"{self.root}/{name}").drop("v")
-
-    # --- states
-
-    def open_state(self, name: str, rows: DataFrame) -> None:
-        """Version 0 of a state."""
-        described = self.spark.createDataFrame([(rows.schema.json(),)], "schema string")
-        described.coalesce(1).write.mode("overwrite").text(f"{self.root}/{name}/schema")
-        self._copy(name, 0, rows)
-
-    def change(self, name: str, version: int, rows: DataFrame, key: str) -> None:
-        """Rows new or changed in this version, in the types of the state; others stay as they are."""
-        path = f"{self.root}/{name}/v={version}"
-        rows = rows.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in self._schema(name)])
-        rows.withColumn("bucket", bucket_of(key)).write.mode("overwrite").partitionBy("bucket").parquet(path)
-        if version % COMPACT_EVERY == 0:
-            self._copy(name, version, self._read(name, version - COMPACT_EVERY, version, key, None))
-            self._forget(name, version - COMPACT_EVERY)
-
-    def state(self, name: str, version: int, key: str, touched: DataFrame | None = None) -> DataFrame:
-        """The state as of a version; with ``touched``, at least the rows of its keys, from their buckets alone."""
-        buckets = None
+    path: str
+    columns: StructType
+
+    def _stored(self) -> StructType:
+        return StructType([*self.columns.fields]).add("_since", "long").add("_was", self.columns).add("bucket", "integer")
+
+    def open(self, rows: DataFrame) -> None:
+        whole = rows.select(*self.columns.names, F.lit(-1).cast("bigint").alias("_since"), F.lit(None).cast(self.columns).alias("_was"), bucket_of("id"))
+        whole.write.mode("overwrite").partitionBy("bucket").parquet(self.path)
+
+    def before(self, batch_id: int, touched: DataFrame | None = None) -> DataFrame:
+        """The rows as a micro-batch finds them; with ``touched``, at least those with its ids, from their buckets alone."""
+        held = self.spark.read.schema(self._stored()).parquet(self.path)
         if touched is not None:
-            buckets = [r.bucket for r in touched.select(bucket_of(key).alias("bucket")).distinct().collect()]  # BUCKETS at most
-        return self._read(name, version - version % COMPACT_EVERY, version, key, buckets)
-
-    def _schema(self, name: str) -> StructType:
-        return StructType.fromJson(json.loads(self.spark.read.text(f"{self.root}/{name}/schema").first()[0]))
-
-    def _copy(self, name: str, version: int, rows: DataFrame) -> None:
-        key = rows.columns[0]
-        whole = rows.withColumn("bucket", bucket_of(key)).write.mode("overwrite").partitionBy("bucket")
-        whole.parquet(f"{self.root}/{name}/whole={version}")
-
-    def _read(self, name: str, copy: int, version: int, key: str, buckets: list[int] | None) -> DataFrame:
-        schema = self._schema(name)
-        parts = [(copy, f"{self.root}/{name}/whole={copy}")]
-        parts += [(n, f"{self.root}/{name}/v={n}") for n in range(copy + 1, version + 1)]
-        found = None
-        for n, path in parts:
-            rows = self.spark.read.schema(StructType([*schema.fields]).add("bucket", "integer")).parquet(path)
-            rows = (rows if buckets is None else rows.where(F.col("bucket").isin(buckets))).withColumn("_at", F.lit(n))
-            found = rows if found is None else found.unionByName(rows)
-        newest = found.groupBy(key).agg(F.max_by(F.struct(*schema.names), "_at").alias("_row"))
-        return newest.select("_row.*")
-
-    def _forget(self, name: str, before: int) -> None:
-        """Removes changes up to a version that a whole copy holds, and the copies before it."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        old = [f"v={n}" for n in range(max(0, before - COMPACT_EVERY) + 1, before + 1)] + [f"whole={before - COMPACT_EVERY}"]
-        for part in old:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/{part}")
-            path.getFileSystem(conf).delete(path, True)
+            buckets = [r.bucket for r in touched.select(bucket_of("id")).distinct().collect()]  # BUCKETS at most
+            held = held.where(F.col("bucket").isin(buckets))
+        now = F.struct(*self.columns.names)
+        row = F.when(F.col("_since") < batch_id, now).otherwise(F.col("_was"))
+        return held.select(row.alias("row")).where("row IS NOT NULL").select("row.*")
+
+    def change(self, batch_id: int, changed: DataFrame) -> None:
+        """Put rows in the place of those with their ids, or add them; the buckets they are in are written anew."""
+        changed = cut(changed.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in self.columns]), "changed")
+        held = self.spark.read.schema(self._stored()).parquet(self.path)
+        old = self.before(batch_id, changed).select(F.col("id").alias("_id"), F.struct(*self.columns.names).alias("_was"))
+        new = changed.join(old, changed["id"] == old["_id"], "left").select(*self.columns.names, F.lit(batch_id).cast("bigint").alias("_since"), "_was", bucket_of("id"))
+        buckets = [r.bucket for r in changed.select(bucket_of("id")).distinct().collect()]  # BUCKETS at most
+        kept = held.where(F.col("bucket").isin(buckets)).join(changed.select("id"), "id", "left_anti")
+        rows = cut(kept.select(*new.columns).unionByName(new), "buckets")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
 
 
 def bucket_of(key: str):
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+    return F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(BUCKETS)).cast("int").alias("bucket")
 
 
 def changed_rows(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
@@ -114,10 +107,10 @@ def changed_rows(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
 def latest_groups(stream: DataFrame, label: str, keys: list[str]) -> DataFrame:
     """Run an aggregation over everything available; each group as its last update left it."""
     spark = stream.sparkSession
-    job = Versions(spark, work_path(spark, label))
-    progress = stream.writeStream.outputMode("update").option("checkpointLocation", f"{job.root}/progress")
-    progress.foreachBatch(lambda rows, n: job.write("groups", n, rows) and None).trigger(availableNow=True).start().awaitTermination()
-    updates = spark.read.schema(StructType([*stream.schema.fields]).add("v", "integer")).parquet(f"{job.root}/groups")
+    root = work_path(spark, label)
+    progress = stream.writeStream.outputMode("update").option("checkpointLocation", f"{root}/progress")
+    progress.foreachBatch(lambda rows, n: put(spark, root, "groups", n, rows)).trigger(availableNow=True).start().awaitTermination()
+    updates = spark.read.schema(StructType([*stream.schema.fields]).add("v", "integer")).parquet(f"{root}/groups")
     return updates.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "v").alias("_row")).select("_row.*")
 
 
@@ -138,7 +131,7 @@ def last_batch(query) -> int:
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, columns: str) -> DataFrame:
     """One test table, a single file or a folder of files, as a stream of files."""
-    source = spark.readStream.schema(columns)
+    source = spark.readStream.schema(columns).option("maxBytesPerTrigger", BYTES_PER_TRIGGER)
     if FILES_PER_TRIGGER:
-        source = source.option("maxFilesPerTrigger", FILES_PER_TRIGGER)
+        source = spark.readStream.schema(columns).option("maxFilesPerTrigger", FILES_PER_TRIGGER)
     return source.parquet(f"{sf_dir}/{name}.parque[t]")  # a plain path must be a folder, a pattern may be either

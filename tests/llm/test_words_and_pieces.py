@@ -208,8 +208,8 @@ def test_phrases(spark, monkeypatch, least, budget):
     """With budgets that make most prefixes heavy, and tasks that pass on what they hold all the time."""
     if budget < 1_000_000:
         monkeypatch.setattr(collocations, "BUDGET", budget)
-        monkeypatch.setattr(collocations, "HELD", 400)
-        monkeypatch.setattr(collocations, "SLICE", 90)
+        for name, value in {"HELD_WORDS": 300, "HELD_PAIRS": 500, "HELD_SUFFIXES": 200, "SLICE": 90, "BLOCK": 400, "NUMBERED": 700}.items():
+            monkeypatch.setattr(collocations, name, value)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = brute_phrases([(r.lang, r.text) for r in docs.collect()], least, 100)
     got = collocations.ranked(collocations.collocations(docs, least=least), 100).select(COLUMNS).collect()

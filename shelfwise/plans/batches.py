@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, labels
 from ..functions.values import big, first_text, money, round2, signed_units
+from ..operators.running import in_chunks, running_before
 from ..sources.tables import Tables
 
 def fefo_order() -> list[Column]:
@@ -111,3 +112,30 @@ def reconcile(tables: Tables) -> DataFrame:
     both = held.join(booked, "batch_id", "full_outer")
     gap = F.coalesce("on_hand_qty", F.lit(0)) - F.coalesce("ledger_qty", F.lit(0))
     return both.select("batch_id", "ledger_qty", "on_hand_qty", gap.alias("difference"), (gap == 0).alias("reconciles"))
+
+
+def first_divergence(movements: DataFrame, counts: DataFrame) -> DataFrame:
+    """Per counted batch, the first day on which a stock count differs from what the ledger had booked by then.
+
+    ``counts`` holds (batch_id, count_day, counted) of counts made apart from the ledger, on any
+    days. A count is set against the movements up to the end of its day. Returns every counted
+    batch with the number of counts, its first differing day (NULL if there is none) with both
+    figures, and the last day before it that still agreed, which bounds where to look.
+    """
+    moved = movements.filter(F.col("batch_id").isNotNull() & F.col("txn_date").isNotNull())
+    by_day = moved.groupBy("batch_id", F.to_date("txn_date").alias("day")).agg(big(F.sum(signed_units())).alias("delta"))
+    none = F.lit(None).cast("bigint")
+    # within a day, its movements come before its count
+    rows = by_day.select("batch_id", F.struct("day", F.lit(0).alias("kind")).alias("at"), "delta", none.alias("counted"))
+    days = counts.select("batch_id", F.struct(F.col("count_day").alias("day"), F.lit(1).alias("kind")).alias("at"), F.lit(0).cast("bigint").alias("delta"), big("counted").alias("counted"))
+    placed = in_chunks(rows.unionByName(days), "batch_id", "at")
+    found = running_before(placed, "batch_id", "at", {"booked": F.col("delta")}).filter(F.col("counted").isNotNull())
+    differs = F.col("counted") != F.col("booked")
+    found = found.select("batch_id", "at.day", "booked", "counted", differs.alias("differs"))
+    wrong = F.min(F.when(F.col("differs"), F.struct("day", "booked", "counted"))).alias("first")
+    firsts = found.groupBy("batch_id").agg(big(F.count(F.lit(1))).alias("counts"), wrong)
+    right = ~F.col("differs") & (F.col("first").isNull() | (F.col("day") < F.col("first.day")))
+    return found.join(firsts, "batch_id").groupBy("batch_id").agg(
+        F.first("counts").alias("counts"), F.first("first.day").alias("first_wrong_day"), F.first("first.booked").alias("booked"),
+        F.first("first.counted").alias("counted"), F.max(F.when(right, F.col("day"))).alias("last_right_day"),
+    )

@@ -120,31 +120,65 @@ def priced_lines(lines: DataFrame, batches: DataFrame, products: DataFrame) -> D
     )
 
 
+def cart_additions(lines: DataFrame, batches: DataFrame) -> DataFrame:
+    """Sound lines with what the cart makes of each: ``accepted``, ``in_cart`` (units of its row by then) and ``reason``.
+
+    Lines are added in order. One on a product and batch that the cart has already adds to
+    that row; an addition beyond the batch's stock is refused and leaves the row as it is.
+    The lines of one bill are one request document, so they are gathered per row.
+    """
+    stock = batches.select(F.col("id").alias("_batch"), big("available_qty").alias("_available"), F.col("batch_number").alias("_number"))
+    line = F.struct("line_no", big("qty").alias("qty"), "unit_price", "discount_amount")
+    rows = lines.groupBy("seq", "product_id", "batch_id").agg(F.sort_array(F.collect_list(line)).alias("_lines"))
+    rows = rows.join(stock, F.col("batch_id") == F.col("_batch"), "left")
+    zero = F.lit(0).cast("bigint")
+
+    def add(held: Column, line: Column) -> Column:
+        fits = F.coalesce(held["units"] + line["qty"] <= F.col("_available"), F.lit(False))
+        units = F.when(fits, held["units"] + line["qty"]).otherwise(held["units"])
+        return F.struct(units.alias("units"), F.concat(held["done"], F.array(F.struct(fits.alias("accepted"), units.alias("in_cart")))).alias("done"))
+
+    start = F.struct(zero.alias("units"), F.array().cast("array<struct<accepted:boolean,in_cart:bigint>>").alias("done"))
+    done = F.aggregate("_lines", start, add)["done"]
+    each = rows.withColumn("_done", done).select("seq", "product_id", "batch_id", "_available", "_number", F.explode(F.arrays_zip("_lines", "_done")).alias("_l"))
+    short, beyond = (
+        F.format_string("Requested %d units, but selected batch only has %d units available.", "qty", "_available"),
+        F.format_string("Cannot exceed %d units for Batch #%s.", "_available", "_number"),
+    )
+    return each.select("seq", "product_id", "batch_id", "_l._lines.*", "_l._done.*", "_available", "_number").withColumn(
+        "reason", F.when(~F.col("accepted"), F.when(F.col("qty") > F.col("_available"), short).otherwise(beyond))
+    ).drop("_available", "_number")
+
+
 def merged_lines(lines: DataFrame, batches: DataFrame) -> DataFrame:
-    """Cart rows: lines of one bill on the same product and batch become one.
+    """Cart rows: accepted lines of one bill on the same product and batch become one.
 
-    The row keeps the first line's place; the latest line gives price and discount, and
-    the discount grows with the quantity. The offer discount is per line, not per unit.
+    The row keeps the first line's place, price and discount. Its subtotal goes by the latest
+    line's price and discount, and that discount grows with the quantity: it is per line, not
+    per unit.
     """
-    stock = batches.select(F.col("id").alias("_batch"), "available_qty")
-    cart = lines.groupBy("seq", "product_id", "batch_id").agg(
+    cart = cart_additions(lines, batches).filter("accepted").groupBy("seq", "product_id", "batch_id").agg(
         F.min("line_no").alias("line_no"),
         big(F.sum("qty")).alias("quantity"),
         big(F.count(F.lit(1))).alias("merged"),
+        F.min_by(F.struct("unit_price", "discount_amount"), "line_no").alias("first"),
         F.max_by(F.struct("qty", "unit_price", "discount_amount"), "line_no").alias("last"),
-    )
+    )
     qty, last = F.col("quantity"), F.col("last.qty")
     exact = (qty * F.col("last.unit_price")).cast(EXACT) - (
         F.col("last.discount_amount").cast(EXACT) * qty.cast("decimal(10,0)") / last.cast("decimal(10,0)")
     )
-    joined = cart.join(stock, F.col("batch_id") == F.col("_batch"), "left")
-    return joined.select(
+    return cart.select(
         "seq", "product_id", "batch_id", "line_no", "quantity", "merged",
-        money("last.unit_price").alias("unit_price"),
-        money("last.discount_amount").alias("discount_amount"),
+        money("first.unit_price").alias("unit_price"),
+        money("first.discount_amount").alias("discount_amount"),
         round2(F.greatest(F.lit(0).cast(EXACT), exact.cast(EXACT))).alias("subtotal"),
-        F.coalesce(qty <= F.col("available_qty"), F.lit(False)).alias("fits_batch"),
-    )
+    )
+
+
+def cart_rejects(lines: DataFrame, batches: DataFrame) -> DataFrame:
+    """(seq, line_no, batch_id, qty, reason) of the lines that a cart refuses."""
+    return cart_additions(lines, batches).filter(~F.col("accepted")).select("seq", "line_no", "batch_id", "qty", "reason")
 
 
 def bill_totals(cart: DataFrame) -> DataFrame:

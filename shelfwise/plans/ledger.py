@@ -114,6 +114,11 @@ def ledger(
     return _with_names(tables, facts, _searches(search, literal_search)).orderBy(*newest_first())
 
 
+def named(tables: Tables, rows: DataFrame) -> DataFrame:
+    """Complete ledger rows with the names of their product, batch, supplier and user."""
+    return _with_names(tables, rows, [])
+
+
 def page_size(text: str | int | None) -> int:
     """Requested page size: the whole number that a text starts with; the default if there is none or it is not positive."""
     found = re.match(r"\s*\+?(\d+)", str(text if text is not None else ""))

@@ -68,10 +68,10 @@ def _search_category(rows: DataFrame, search: str | None) -> DataFrame:
     return rows.filter(contains_any(search, "category_name")) if search else rows
 
 
-def _product_activity(tables: Tables) -> DataFrame:
+def _product_activity(tables: Tables, sold: DataFrame | None = None) -> DataFrame:
     """Every product with its stock, batch count and sales; both sides are summed before the join."""
     stock = stock_by_product(tables.stock).withColumnRenamed("product_id", "_stocked")
-    sold = sales_by_product(tables).withColumnRenamed("product_id", "_sold")
+    sold = (sales_by_product(tables) if sold is None else sold).withColumnRenamed("product_id", "_sold")
     return (
         tables.products.join(stock, F.col("id") == F.col("_stocked"), "left")
         .join(sold, F.col("id") == F.col("_sold"), "left")
@@ -83,10 +83,10 @@ def _product_activity(tables: Tables) -> DataFrame:
     )
 
 
-def velocity_by_product(tables: Tables) -> DataFrame:
-    """Stock, units sold, revenue and demand class of every product."""
+def velocity_by_product(tables: Tables, sold: DataFrame | None = None) -> DataFrame:
+    """Stock, units sold, revenue and demand class of every product; ``sold`` gives sales per product where they are at hand."""
     return (
-        with_category(_product_activity(tables), tables.categories)
+        with_category(_product_activity(tables, sold), tables.categories)
         .select(
             "id", "sku", "title", "min_reorder_level", "unit_of_measure",
             labels.category_label().alias("category_name"),
@@ -191,6 +191,41 @@ def valuation_by_category(tables: Tables, search: str | None = None) -> DataFram
     return _search_category(rows, search).orderBy(F.desc("total_cost_value"), "category_name")
 
 
+#: Names of the levels of a report by domain and category, by the columns that a row leaves out.
+LEVELS = {0: "CATEGORY", 1: "DOMAIN", 3: "TOTAL"}
+
+
+def _by_level(rows: DataFrame, *figures: Column) -> DataFrame:
+    """Categories, domains and the total from one aggregation over the products' rows."""
+    keyed = rows.withColumn("domain_type", labels.domain_label()).withColumn("category", F.struct("_category", labels.category_label().alias("name")))
+    level = F.grouping_id("domain_type", "category").cast("int")
+    return keyed.rollup("domain_type", "category").agg(level.alias("_level"), *figures).select(
+        F.create_map(*[F.lit(x) for pair in LEVELS.items() for x in pair])[F.col("_level")].alias("level"),
+        "domain_type", F.col("category.name").alias("category_name"), F.expr("* EXCEPT (domain_type, category, _level)"),
+    )
+
+
+def sales_by_level(tables: Tables, period: str | None = None) -> DataFrame:
+    """Products sold, units and revenue of every category, every domain and altogether."""
+    products = tables.products.select("id", "category_id")
+    sold = sales_by_product(tables, period).join(products, F.col("product_id") == F.col("id"))
+    return _by_level(
+        with_category(sold, tables.categories), big(F.count(F.lit(1))).alias("total_products_sold"),
+        big(F.coalesce(F.sum("total_sold"), F.lit(0))).alias("total_units_sold"),
+        money(F.coalesce(F.sum("total_revenue"), F.lit(0))).alias("revenue"),
+    )
+
+
+def valuation_by_level(tables: Tables) -> DataFrame:
+    """Products, stock and values of every category, every domain and altogether."""
+    joined = tables.products.select("id", "category_id").join(_value_by_product(tables), F.col("id") == F.col("_stocked"), "left")
+    return _by_level(
+        with_category(joined, tables.categories), big(F.count(F.lit(1))).alias("total_products"),
+        big(F.coalesce(F.sum("total_stock"), F.lit(0))).alias("total_stock"),
+        *[money(F.coalesce(F.sum(v), F.lit(0))).alias(v) for v in _VALUES],
+    )
+
+
 def valuation_totals(tables: Tables) -> DataFrame:
     qty = F.col("available_qty")
     known = tables.products.select(F.col("id").alias("product_id"))

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.values import parse_decimal, parse_int, round2
+from .operators import trigrams
 from .operators.guard import guarded_balance
 from .operators.lineage import work_path
-from .operators.upsert import seed_upsert
-from .plans import access, batches, bills, catalog, insights, ledger, products, quality, receipts, reports
+from .operators.upsert import seed_upsert, upsert_by_any
+from .plans import access, batches, bills, catalog, insights, ledger, products, quality, receipts, reports, rollups
+from .plans import search as index_search
 from .sources import requests, scaled, sinks
 from .sources.tables import Tables
 from .streaming import balances, runs, stock
@@ -88,6 +90,8 @@ READS: dict[str, Callable[[Tables], DataFrame]] = {
     "valuation_by_category": reports.valuation_by_category,
     "valuation_by_product": reports.valuation_by_product,
     "valuation_totals": reports.valuation_totals,
+    "valuation_by_level": reports.valuation_by_level,
+    "sales_by_level": reports.sales_by_level,
     "valuation_drilldown": lambda t: reports.valuation_drilldown(t, "Pharmaceuticals", "sku-0"),
     "value_share": lambda t: reports.with_share(reports.valuation_by_category(t), "total_selling_value"),
     "report_export": lambda t: sinks.quoted(reports.velocity_by_product(t)),
@@ -122,9 +126,9 @@ def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bills.priced_lines(bills.bill_lines(requests.bills(scaled.table(spark, sf_dir, "orders"))), t.product_batches, t.products)
 
 
-def _cart(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _cart(spark: SparkSession, sf_dir: str, build: Callable = bills.merged_lines) -> DataFrame:
     priced = _priced(spark, sf_dir).filter(F.col("problem").isNull())
-    return bills.merged_lines(priced, scaled.load(spark, sf_dir).product_batches)
+    return build(priced, scaled.load(spark, sf_dir).product_batches)
 
 
 def _settled_sales(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -192,6 +196,9 @@ JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "seed_upsert": lambda spark, sf_dir: seed_upsert(
         scaled.products(spark, sf_dir), requests.seed_rows(spark, sf_dir), "sku", "title", "seq"
     ),
+    "seed_upsert_products": lambda spark, sf_dir: upsert_by_any(
+        scaled.products(spark, sf_dir), requests.seed_products(spark, sf_dir), ["sku", "barcode"], "title", "seq"
+    ),
     "seed_upsert_batches": lambda spark, sf_dir: seed_upsert(
         scaled.load(spark, sf_dir).product_batches.select("id", "batch_number", "product_id", F.col("available_qty").cast("int").alias("available_qty")),
         requests.seed_batches(spark, sf_dir), ["batch_number", "product_id"], "available_qty", "seq",
@@ -211,6 +218,7 @@ JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bill_lines": lambda spark, sf_dir: bills.bill_lines(requests.bills(scaled.table(spark, sf_dir, "orders"))),
     "bill_lines_priced": _priced,
     "bill_lines_merged": _cart,
+    "cart_rejects": lambda spark, sf_dir: _cart(spark, sf_dir, bills.cart_rejects),
     "bill_totals": lambda spark, sf_dir: bills.bill_totals(_cart(spark, sf_dir)),
     "guard_single": lambda spark, sf_dir: guarded_balance(
         requests.guard_moves(scaled.table(spark, sf_dir, "events")), "stock_key", "event_id", "delta"
@@ -238,6 +246,50 @@ JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     ),
 }
 
+def _indexed(spark: SparkSession, sf_dir: str, search: Callable, term: str) -> DataFrame:
+    """A search through an index of the tables, whose movements come in two loads."""
+    tables, index = scaled.load(spark, sf_dir), trigrams.GramIndex(spark, work_path(spark, "grams"))
+    index_search.index_products(index, 0, tables.products)
+    index_search.index_batches(index, 1, tables.stock)
+    rows = tables.transactions
+    for load in range(2):
+        index_search.index_movements(index, 2 + load, rows.where(F.pmod(F.xxhash64("txn_number"), F.lit(2)) == load))
+    return search(tables, index, term)
+
+
+def _divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moves = scaled.load(spark, sf_dir).movements
+    return batches.first_divergence(moves, requests.stock_counts(moves))
+
+
+#: Loads that the ledger is stored in for the roll-ups; what they leave is the tail.
+LOADS = 3
+
+
+def _rolled(spark: SparkSession, sf_dir: str, build: Callable, with_tail: bool = True) -> DataFrame:
+    """A report from roll-ups of the ledger, stored in loads that each hold movements of all days."""
+    tables = scaled.load(spark, sf_dir)
+    part = F.pmod(F.xxhash64("order_key"), F.lit(LOADS + with_tail))
+    stored = rollups.RollUps(spark, work_path(spark, "rollups"))
+    for load in range(LOADS):
+        stored.add(load, tables.movements.where(part == load))
+    return build(tables, stored, tables.movements.where(part == LOADS)) if with_tail else build(tables, stored)
+
+
+STORED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "dashboard_stats_rolled": lambda spark, sf_dir: _rolled(spark, sf_dir, rollups.dashboard_stats),
+    "velocity_by_product_rolled": lambda spark, sf_dir: _rolled(spark, sf_dir, rollups.velocity_by_product),
+    "sales_summary_rolled": lambda spark, sf_dir: _rolled(spark, sf_dir, rollups.sales_summary, with_tail=False),
+    "sales_summary_month_rolled": lambda spark, sf_dir: _rolled(
+        spark, sf_dir, lambda t, stored: rollups.sales_summary(t, stored, "THIS_MONTH"), with_tail=False
+    ),
+    "ledger_search_indexed": lambda spark, sf_dir: _indexed(spark, sf_dir, index_search.ledger_search, "blue_b%t"),
+    "catalog_search_indexed": lambda spark, sf_dir: _indexed(spark, sf_dir, index_search.catalog_search, "red%g_t"),
+    "stock_divergence": _divergence,
+    "bills_by_period": lambda spark, sf_dir: _rolled(spark, sf_dir, rollups.bills_by_period, with_tail=False),
+}
+
+
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return runs.table_stream(spark, sf_dir, name, scaled.COLUMNS[name])
 
@@ -301,5 +353,6 @@ STREAMS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{name: _on_tables(build) for name, build in READS.items()},
     **JOBS,
+    **STORED,
     **STREAMS,
 }

@@ -6,10 +6,11 @@ such. The odd values below put every default, parse rule and refusal on some row
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import NEW_ID_BASE
+from ..functions.values import signed_units
 from . import scaled
 
 NO_SUCH_ID = 900_000_000_000
@@ -135,6 +136,16 @@ def guard_moves(events: DataFrame) -> DataFrame:
     )
 
 
+def stock_counts(movements: DataFrame) -> DataFrame:
+    """Stock counts of every batch on the 10th and 20th of the months it moves in; some find two units too many from March 1996 on."""
+    day, batch = F.to_date("txn_date"), F.col("batch_id")
+    daily = movements.groupBy("batch_id", day.alias("count_day")).agg(F.sum(signed_units()).alias("net"))
+    held = F.sum("net").over(Window.partitionBy("batch_id").orderBy("count_day"))
+    found = F.when((batch % 97 < 3) & (F.col("count_day") >= F.lit("1996-03-01").cast("date")), 2).otherwise(0)
+    counted = daily.select("batch_id", "count_day", (held + found).cast("bigint").alias("counted"))
+    return counted.where(F.dayofmonth("count_day").isin(10, 20))
+
+
 def access_log(events: DataFrame) -> DataFrame:
     """Who asked for what, cut from the events."""
     who, kind = F.col("user_id") % 7, F.col("event_type")
@@ -228,6 +239,13 @@ def seed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def seed_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seed products with SKU and barcode, each stored, another's, shared with other seed rows, or new."""
+    k = F.col("p_partkey")
+    barcode = F.when(k % 5 == 1, F.concat(F.lit("890"), F.lpad(_text(k - 1), 10, "0"))).when(k % 5 == 2, _tagged("X-", F.floor(k / 9)))
+    return seed_rows(spark, sf_dir).withColumn("p_partkey", F.col("seq")).withColumn("barcode", barcode).drop("p_partkey")
+
+
 def seed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seed batches, one per part: stored numbers, the same numbers on other products, and new ones, some without a number."""
     k = F.col("p_partkey")

@@ -141,12 +141,13 @@ def cart_additions(lines: DataFrame, batches: DataFrame) -> DataFrame:
     start = F.struct(zero.alias("units"), F.array().cast("array<struct<accepted:boolean,in_cart:bigint>>").alias("done"))
     done = F.aggregate("_lines", start, add)["done"]
     each = rows.withColumn("_done", done).select("seq", "product_id", "batch_id", "_available", "_number", F.explode(F.arrays_zip("_lines", "_done")).alias("_l"))
-    short, beyond = (
+    lost, short, beyond = (
+        F.concat(F.lit("Batch ID "), F.col("batch_id").cast("string"), F.lit(" not found in database.")),
         F.format_string("Requested %d units, but selected batch only has %d units available.", "qty", "_available"),
         F.format_string("Cannot exceed %d units for Batch #%s.", "_available", "_number"),
     )
     return each.select("seq", "product_id", "batch_id", "_l._lines.*", "_l._done.*", "_available", "_number").withColumn(
-        "reason", F.when(~F.col("accepted"), F.when(F.col("qty") > F.col("_available"), short).otherwise(beyond))
+        "reason", F.when(~F.col("accepted"), F.when(F.col("_available").isNull(), lost).when(F.col("qty") > F.col("_available"), short).otherwise(beyond))
     ).drop("_available", "_number")
 
 

@@ -176,7 +176,7 @@ def test_cart_refuses_what_a_batch_does_not_have(spark):
     refused = {(r.seq, r.line_no): r.reason for r in bills.cart_rejects(df, stock).collect()}
     assert refused == {
         (1, 2): "Cannot exceed 10 units for Batch #L70.", (1, 4): "Cannot exceed 10 units for Batch #L70.",
-        (2, 1): "Requested 11 units, but selected batch only has 10 units available.", (3, 1): None,
+        (2, 1): "Requested 11 units, but selected batch only has 10 units available.", (3, 1): "Batch ID 71 not found in database.",
     }
 
 

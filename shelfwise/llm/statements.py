@@ -5,18 +5,20 @@ ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 LINES = r"""
 WITH pages AS (
-    SELECT row_number() OVER () AS page, doc_id, source, string_split(text, chr(10)) AS all_lines FROM documents
+    SELECT row_number() OVER () AS page, doc_id, source, text, string_split(text, chr(10)) AS all_lines FROM documents
 ), each AS (
-    SELECT page, doc_id, source, unnest(all_lines) AS line, generate_subscripts(all_lines, 1) AS at FROM pages
+    SELECT page, doc_id, source, text, unnest(all_lines) AS line, generate_subscripts(all_lines, 1) AS at FROM pages
 ), bare AS (
     SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS trimmed FROM each
 ), totals AS (
     SELECT source, count(*) AS host_pages FROM documents GROUP BY source
 ), counted AS (
-    SELECT source, trimmed, count(DISTINCT page) AS pages FROM bare WHERE trimmed <> '' GROUP BY source, trimmed
+    SELECT source, trimmed, count(DISTINCT page) AS pages,
+           CASE WHEN len(regexp_extract_all(trimmed, '[^\x20\x09-\x0D]+')) >= 8 THEN count(DISTINCT text) ELSE 0 END AS texts
+    FROM bare WHERE trimmed <> '' GROUP BY source, trimmed
 ), dropped AS (
     SELECT c.source, c.trimmed FROM counted c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
-    WHERE c.pages >= 5 AND c.pages > 0.2 * t.host_pages
+    WHERE c.pages >= 5 AND (c.pages > 0.2 * t.host_pages OR (c.texts >= 5 AND c.texts > 0.01 * t.host_pages))
 ), kept AS (
     SELECT b.page, string_agg(b.line, chr(10) ORDER BY b.at) FILTER (WHERE d.trimmed IS NULL) AS text,
            count(*) AS n_lines, count(d.trimmed) AS n_dropped

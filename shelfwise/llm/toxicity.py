@@ -14,6 +14,7 @@ columns are kept.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,8 +28,8 @@ from .rows import packed, text_or_empty, unpacked
 
 ORDERS = (4, 5, 6)
 BITS = 19
-#: Labelled rows that the classifier is fitted on, chosen by a hash of the id; more are left out.
-SAMPLE_ROWS = 12_000
+#: Labelled texts that the classifier is fitted on, chosen by a hash of id and text; more are left out. Parts of the hash.
+SAMPLE_ROWS, SHARES = 12_000, 1 << 20
 #: n-grams with a weight: those whose document shares differ most, by the chi-square statistic.
 FEATURES = 4096
 #: Texts that an n-gram must occur in to get a weight.
@@ -64,6 +65,8 @@ class Model:
 
     weights: np.ndarray
     bias: float
+    #: Whether both labels were there to learn from.
+    fitted: bool = False
 
     def score(self, text: str) -> float:
         total = self.bias + float(self.weights[present(text, self.weights != 0)].astype(np.float64).sum())
@@ -75,12 +78,21 @@ def held_out(id_column: str = "doc_id") -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, id_column: str = "doc_id") -> DataFrame:
-    """(text, label) of at most so many labelled ids, written out. The chosen ids are few, so they are broadcast."""
+    """(text, label) of at most so many different labelled texts that are among the documents, written out.
+
+    Of the different (id, text) with a label, those with the smallest hashes are taken; a
+    share by hash goes first, so that no task is sent more than about twice the sample.
+    """
     known = labels.where(F.col(id_column).isNotNull() & F.col(label).isNotNull())
     known = known.groupBy(F.col(id_column).alias("id")).agg((F.avg(F.col(label).cast("double")) > 0.5).cast("int").alias("label"))
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(rows)
     texts = docs.select(F.col(id_column).alias("id"), text_or_empty().alias("text"))
-    return cut(texts.join(F.broadcast(chosen), "id").select("text", "label"), "labelled")
+    keyed = texts.withColumn("hash", F.xxhash64("text"))
+    there = cut(keyed.select("id", "hash").distinct().join(known, "id"), "labelled")
+    share = min(SHARES, math.ceil(2 * SHARES * rows / max(1, there.count())))
+    place = F.xxhash64("id", "hash")
+    chosen = there.where(F.pmod(place, F.lit(SHARES)) < share).orderBy(place, "id", "hash").limit(rows)
+    found = keyed.join(F.broadcast(chosen), ["id", "hash"]).groupBy("id", "hash").agg(F.first("text").alias("text"), F.first("label").alias("label"))
+    return cut(found.select("text", "label"), "labelled")
 
 
 def _shares(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -171,7 +183,7 @@ def fit(labelled: DataFrame, features: int = FEATURES) -> Model:
     ratio = np.log((p / (n1 + 2 * SMOOTHING)) / (q / (n0 + 2 * SMOOTHING)))
     w, bias = _logistic(row, feature, y, ratio)
     weights[chosen] = (w * ratio).astype(np.float32)
-    return Model(weights, bias)
+    return Model(weights, bias, fitted=True)
 
 
 def score(docs: DataFrame, model: Model, text: Column | None = None) -> Column:
@@ -190,7 +202,9 @@ def trained(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Mode
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, unchanged."""
+    """The rows of ``docs`` that score below the threshold, unchanged; all of them where no label tells toxic from clean."""
     model = trained(docs, labels)
+    if not model.fitted:
+        return docs
     scored = packed(docs, score(docs, model).alias("score"))
     return unpacked(scored.where(F.col("score") < threshold), docs.columns)

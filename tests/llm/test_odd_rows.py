@@ -63,12 +63,26 @@ def test_no_labels_and_no_benchmark(odd, bench, no_labels, name):
     rows = rewriting(bench.limit(0), no_labels)[name](odd).collect()
     if name == "quality":  # the base rules still hold
         assert {r.doc_id for r in rows} <= {5, 6, 7, 8}
-    elif name == "drop_toxic":  # every score is 0.5, which is rejected
-        assert rows == []
     else:
         assert len(rows) == odd.count()
 
 
+def test_toxicity_without_labels_that_tell(spark, odd):
+    """Labels of other documents, or of one sort only, reject nothing."""
+    for rows in ([(i, 0, i % 2) for i in range(1000, 1040)], [(i, 0, 1) for i in range(10)]):
+        other = spark.createDataFrame(rows, "doc_id bigint, quality int, toxic int")
+        assert toxicity.drop_toxic(odd, other).count() == odd.count()
+
+
+def test_toxicity_sample_is_bounded_in_rows(spark):
+    """A labelled row that is there very often counts once; labels of documents that are not there take no place."""
+    rows = [(1, "so many", "en", "s", 1)] * 400 + [(i, f"text {i}", "en", "s", 1) for i in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    known = spark.createDataFrame([(i, 0, i % 2) for i in range(5000)], "doc_id bigint, quality int, toxic int")
+    assert toxicity.sample(docs, known).count() == 39
+    assert toxicity.sample(docs, known, rows=10).count() == 10
+
+
 def test_near_copies_keep_one_of_each(odd):
     kept = simhash.drop_near_copies(odd).collect()
     ids = [r.doc_id for r in kept]

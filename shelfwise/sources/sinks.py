@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut
 
 #: Ledger rows that one task writes for one day; a larger day is spread over several.
 ROWS_PER_FILE = 2_000_000
@@ -13,14 +14,15 @@ ROWS_PER_FILE = 2_000_000
 def append_ledger(rows: DataFrame, path: str) -> None:
     """Append ledger rows, one folder per day so that period filters skip the others.
 
-    A day is written by as many tasks as its number of rows asks for, and the days are
-    spread over all tasks.
+    A day is written by as many tasks as its number of rows asks for, and there are as
+    many tasks as all days ask for.
     """
-    days = rows.withColumn("txn_day", F.to_date("txn_date"))
+    days = cut(rows.withColumn("txn_day", F.to_date("txn_date")), "append")  # read twice: sizes, rows
     sizes = days.groupBy(F.col("txn_day").alias("_day")).agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_FILE).alias("_files"))
     placed = days.join(sizes, F.col("txn_day").eqNullSafe(F.col("_day")))
     placed = placed.withColumn("_slice", F.pmod(F.xxhash64("txn_number"), F.col("_files")))
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(least, sizes.agg(F.sum("_files")).first()[0] or 0)
     spread = placed.repartition(tasks, "txn_day", "_slice").drop("_day", "_files", "_slice")
     spread.write.mode("append").partitionBy("txn_day").parquet(path)
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import DEFAULT_REORDER_LEVEL, NEW_ID_BASE
 from ..functions.values import number_or, text_or
 from ..operators.claims import first_come
+from ..operators.components import components
 from ..operators.lineage import cut
 
 # Texts of refusals.
@@ -77,25 +81,85 @@ def create(requests: DataFrame, products: DataFrame, categories: DataFrame) -> t
     return made, judged.filter(F.col("reason").isNotNull()).select("seq", "reason").unionByName(late)
 
 
+def _clerk():
+    """Admits updates one by one, component after component, as a closure that needs nothing of this package."""
+    used, claimed = [SKU_USED, BARCODE_USED], SKU_OR_BARCODE_CLAIMED
+
+    def admit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, holder, held = None, {}, {}
+        for rows in batches:
+            seqs, reasons = [], []
+            for root, seq, product, *values in zip(*[c.to_pylist() for c in rows.columns]):
+                if root != at:
+                    at, holder, held = root, {}, {}
+                wanted, owners, stored = values[:2], values[2:4], values[4:6]
+                why = None
+                for kind in (0, 1):
+                    key = (kind, wanted[kind])
+                    now = holder.get(key, owners[kind])
+                    if why is None and wanted[kind] is not None and now not in (None, product):
+                        why = used[kind] if now == owners[kind] else claimed
+                if why is None:
+                    before = held.get(product, stored)
+                    for kind in (0, 1):
+                        if before[kind] is not None:
+                            holder[kind, before[kind]] = None
+                    for kind in (0, 1):
+                        if wanted[kind] is not None:
+                            holder[kind, wanted[kind]] = product
+                    held[product] = wanted
+                seqs.append(seq)
+                reasons.append(why)
+            yield pa.record_batch({"seq": pa.array(seqs, pa.int64()), "_why": pa.array(reasons, pa.string())})
+
+    return admit
+
+
+def _admitted(rows: DataFrame) -> DataFrame:
+    """(seq, _why) of sound updates, as if they were served one by one: NULL, or why a value is not to be had by then.
+
+    An update lets go of its product's values and takes others. Where all that ask for a
+    value are its stored owner, or one product, there is nothing to decide. The rest fall
+    into components of products that ask for, or hold, the same values; components do not
+    touch one another, so each is served in order by itself, and Spark packs them into tasks.
+    """
+    value = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c))
+    wants = F.filter(F.array(value(0, "_sku"), value(1, "_bar")), lambda v: v.isNotNull())
+    asked = rows.select("id", F.explode(wants).alias("value"))
+    has = F.filter(F.array(value(0, "_old_sku"), value(1, "_old_bar")), lambda v: v.isNotNull())
+    owned = rows.select("id", F.explode(has).alias("value"))
+    taken = rows.select(F.explode(F.filter(F.array(
+        F.when(F.col("_sku_owner") != F.col("id"), value(0, "_sku")), F.when(F.col("_bar_owner") != F.col("id"), value(1, "_bar")),
+    ), lambda v: v.isNotNull())).alias("value"))
+    shared = asked.groupBy("value").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("value")
+    contested = cut(taken.unionByName(shared).distinct(), "contested")
+    linked = cut(asked.unionByName(owned).distinct().join(contested, "value", "left_semi"), "linked")
+    roots = components(linked, "id", "value")
+    placed = linked.join(roots, "value").groupBy("id").agg(F.min("root").alias("root"))
+    dealt = rows.join(placed, "id").select("root", "seq", "id", "_sku", "_bar", "_sku_owner", "_bar_owner", "_old_sku", "_old_bar")
+    dealt = dealt.repartition("root").sortWithinPartitions("root", "seq")
+    return dealt.mapInArrow(_clerk(), "seq bigint, _why string")
+
+
 def update(requests: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(products, rejects) after update requests; the last sound one per product replaces all nine columns.
 
-    A request is sound if its product exists, it has a title and an SKU, no other stored
-    product uses its SKU or barcode, and no other product's earlier sound request took
-    them. A value that a run frees can be taken from the next run on. Columns that a
-    request omits become empty or take their default.
+    A request is sound if its product exists, it has a title and an SKU, and no other product
+    has its SKU or barcode by then. A value that an update frees can be taken by the next
+    one, so how the requests are cut into runs makes no difference. Columns that a request
+    omits become empty or take their default.
     """
     filled = _filled()
     filled["category_id"] = number_or("category_id", 1)
-    wanted = requests.select("seq", "id", *[c.alias(n) for n, c in filled.items()])
+    wanted = requests.select(F.col("seq").cast("bigint").alias("seq"), F.col("id").cast("bigint").alias("id"), *[c.alias(n) for n, c in filled.items()])
     wanted = wanted.withColumn("_sku", F.lower("sku")).withColumn("_bar", F.lower("barcode"))
-    sku_owner = products.groupBy(F.lower("sku").alias("_sku")).agg(F.min("id").alias("_sku_owner"))
+    sku_owner = products.groupBy(F.lower("sku").alias("_sku")).agg(F.min("id").cast("bigint").alias("_sku_owner"))
     bar_owner = (
         products.filter(F.col("barcode").isNotNull())
         .groupBy(F.lower("barcode").alias("_bar"))
-        .agg(F.min("id").alias("_bar_owner"))
+        .agg(F.min("id").cast("bigint").alias("_bar_owner"))
     )
-    known = products.select(F.col("id").alias("_known"))
+    known = products.select(F.col("id").cast("bigint").alias("_known"), F.lower("sku").alias("_old_sku"), F.lower("barcode").alias("_old_bar"))
     checked = (
         wanted.join(sku_owner, "_sku", "left")
         .join(bar_owner, "_bar", "left")
@@ -105,15 +169,12 @@ def update(requests: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFra
         F.when(F.col("_known").isNull(), NOT_FOUND)
         .when(F.col("title").isNull(), TITLE_REQUIRED)
         .when(F.col("sku").isNull(), SKU_REQUIRED)
-        .when(F.col("_sku_owner") != F.col("id"), SKU_USED)
-        .when(F.col("_bar_owner") != F.col("id"), BARCODE_USED)
     )
-    new_sku = F.when(F.col("_sku_owner").isNull(), F.col("_sku")).alias("_new_sku")
-    new_bar = F.when(F.col("_bar_owner").isNull(), F.col("_bar")).alias("_new_bar")
-    judged = cut(checked.select("seq", "id", *COLUMNS, new_sku, new_bar, reason.alias("reason")), "updates")
-    claimed = judged.filter(F.col("reason").isNull() & (F.col("_new_sku").isNotNull() | F.col("_new_bar").isNotNull()))
-    late = first_come(claimed, "seq", ["_new_sku", "_new_bar"], owner="id").filter(~F.col("granted")).select("seq")
-    sound = judged.filter(F.col("reason").isNull()).join(late, "seq", "left_anti")
+    keys = ["_sku", "_bar", "_sku_owner", "_bar_owner", "_old_sku", "_old_bar"]
+    judged = cut(checked.select("seq", "id", *COLUMNS, *keys, reason.alias("reason")), "updates")
+    fit = judged.filter(F.col("reason").isNull())
+    late = cut(_admitted(fit).filter(F.col("_why").isNotNull()), "late")
+    sound = fit.join(late, "seq", "left_anti")
     last = sound.groupBy("id").agg(F.max_by(F.struct(*COLUMNS), "seq").alias("_new"))
     changed = F.col("_new").isNotNull()
     rest = [c for c in products.columns if c != "id" and c not in COLUMNS]
@@ -123,7 +184,7 @@ def update(requests: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFra
         *rest,
     )
     refused = judged.filter(F.col("reason").isNotNull()).select("seq", "reason")
-    return after, refused.unionByName(late.select("seq", F.lit(SKU_OR_BARCODE_CLAIMED).alias("reason")))
+    return after, refused.unionByName(late.select("seq", F.col("_why").alias("reason")))
 
 
 def delete_outcome(requests: DataFrame, products: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import random
 import pytest
 
 from shelfwise.operators.components import components
-from shelfwise.plans import bills, receipts
+from shelfwise.plans import bills, products, receipts
 from shelfwise.sources import schemas
 
 NOW = datetime.datetime(2026, 8, 8, 10)
@@ -92,6 +92,49 @@ def test_contested_receipts(spark, runs, count):
     assert created and refused and len({k[0] for k in stock if k[0] >= receipts.NEW_ID_BASE}) < count / 2
 
 
+def updates(rng: random.Random, count: int) -> list[dict]:
+    return [
+        {"seq": seq, "id": rng.randrange(1, 62), "title": rng.choice(["T", "U", "V", ""]), "sku": rng.choice([None, f"s{rng.randrange(1, 70)}", f"S{rng.randrange(1, 60)}", f"N{rng.randrange(9)}"]),
+         "barcode": rng.choice([None, f"B{rng.randrange(1, 60)}", f"b{rng.randrange(1, 90)}"])}
+        for seq in range(count)
+    ]
+
+
+def updated_one_by_one(rows: list[dict], stored: dict[int, tuple]) -> tuple[dict, set]:
+    now, refused = {i: (s.lower(), b and b.lower()) for i, (s, b, _) in stored.items()}, set()
+    titles = {i: t for i, (_, _, t) in stored.items()}
+    for r in rows:
+        want = (r["sku"] and r["sku"].lower(), r["barcode"] and r["barcode"].lower())
+        others = [v for i, v in now.items() if i != r["id"]]
+        clash = any(v[0] == want[0] or (want[1] and v[1] == want[1]) for v in others)
+        if r["id"] not in now or not r["title"] or not want[0] or clash:
+            refused.add(r["seq"])
+        else:
+            now[r["id"]], titles[r["id"]] = want, r["title"]
+    return {i: (*now[i], titles[i]) for i in now}, refused
+
+
+@pytest.mark.parametrize("runs,count", [(1, 900), (3, 300)])
+def test_updates_take_values_that_others_freed(spark, runs, count):
+    fields = "seq bigint, id bigint, title string, sku string, barcode string"
+    rest = ["category_id", "unit_of_measure", "min_reorder_level", "domain_preset", "brand", "storage_location"]
+    rows = updates(random.Random(runs), count)
+    stored = {i: (f"S{i}", f"B{i}" if i % 4 else None, "old") for i in range(1, 61)}
+    want, refused = updated_one_by_one(rows, stored)
+    columns = "id bigint, sku string, barcode string, title string, category_id bigint, unit_of_measure string, min_reorder_level int, domain_preset string, brand string, storage_location string"
+    held = spark.createDataFrame([(i, *v, 1, "Pcs", 1, "GENERAL", None, None) for i, v in stored.items()], columns)
+    got_refused = set()
+    for i in range(runs):
+        some = [tuple(r[k] for k in ("seq", "id", "title", "sku", "barcode")) for r in rows[i * count // runs : (i + 1) * count // runs]]
+        asked = spark.createDataFrame(some, fields)
+        asked = asked.select("*", *[products.F.lit(None).cast(held.schema[c].dataType).alias(c) for c in rest])
+        after, why = products.update(asked, held)
+        got_refused |= {r.seq for r in why.collect()}
+        held = spark.createDataFrame(after.select(*held.columns).collect(), held.schema)
+    assert got_refused == refused
+    assert {r.id: (r.sku.lower(), r.barcode and r.barcode.lower(), r.title) for r in held.collect()} == want
+
+
 def served_bills(demand: dict[int, dict[int, int]], left: dict[int, int]) -> dict[int, bool]:
     out = {}
     for seq in sorted(demand):

@@ -6,12 +6,12 @@ to dictionary words, whether it stands in a path or an address, and the words be
 It is trained on labelled findings: rows of the same features with a label, 1 for a secret.
 Where a caller has none, the findings of all documents are labelled by ``weak_label`` (issued
 key formats and assignments to secret names are secrets; the rest is not), and the forest
-learns from a bounded sample of each label, weighted to the numbers found. A candidate is
-kept if most trees vote for it; without a forest, if its weak label calls it a secret. Extraction, features and votes are SQL
-expressions inside the document's row.
+learns from a bounded sample of each label, weighted to the numbers found, and from made
+findings of both labels, so that few or none of one sort need no rule of their own. A candidate is
+kept if most trees vote for it. Extraction, features and votes are SQL expressions inside the document's row.
 
 Cases: a null text has no candidates; patterns run in linear time on texts of any length;
-repeated rows get equal findings; with too few findings of either sort weak labels decide; an
+repeated rows get equal findings; without findings the made ones alone are learned from; an
 empty table gives an empty table; other columns are kept.
 """
 
@@ -41,7 +41,7 @@ DICTIONARY = (
 ENTROPY_CLASSES = ["[a-z]", "[A-Z]", "[0-9]", "[+/_=-]"]
 #: Findings of each label that the forest learns from, about, chosen by a hash.
 SAMPLE_FINDINGS = 20_000
-TREES, DEPTH, LEAST_EACH = 15, 5, 20
+TREES, DEPTH = 15, 5
 FEATURES = 16
 
 
@@ -87,21 +87,39 @@ def findings(docs: DataFrame, rows: int = SAMPLE_FINDINGS, id_column: str = "doc
     return cut(described.select("label", "weight", *[F.get("f", F.lit(i)).alias(f"f{i}") for i in range(FEATURES)]), "findings")
 
 
+def starters() -> list[str]:
+    """Made texts with findings of both labels, learned from with those of the documents, however few these are."""
+    texts = []
+    for k in range(30):
+        digest = f"{(k + 3) ** 29:x}"
+        mixed = "".join(chr(97 + int(c, 16)) if i % 3 else c.upper() for i, c in enumerate(digest[:20]))
+        texts += [
+            f"key AKIA{digest[:16].upper()} here", f"password = {mixed}9x done", f'api_key: "{mixed}Q7{k}"', f"token ghp_{(mixed + digest)[:36]} given",
+            f"see article{k}x20240101 and build/part{k}/page20240{100 + k} there", f"commit {digest[:40]} is in", f"some-2024-long-path-part{k} here",
+            f"https://host.example/{k}/report2024final{k}.html ok", f"serial {k:02d}0012345678{k:02d} of it",
+        ]
+    return texts
+
+
+def _started(labelled: DataFrame) -> DataFrame:
+    """``labelled`` with the starters' findings, each standing for itself."""
+    made = labelled.sparkSession.createDataFrame([(t,) for t in starters()], "text string").select(F.explode(candidates(F.col("text"))).alias("s"))
+    rows = made.select(weak_label(F.col("s")).cast("double").alias("label"), F.lit(1.0).alias("weight"), F.array(*features(F.col("s"))).alias("f"))
+    return labelled.unionByName(rows.select("label", "weight", *[F.get("f", F.lit(i)).alias(f"f{i}") for i in range(FEATURES)]))
+
+
 def fit(labelled: DataFrame):
-    """A forest fitted on (label, f0, f1, ...), with a weight or without, or None if a sort of findings is missing."""
-    if labelled.groupBy("label").count().where(F.col("count") >= LEAST_EACH).count() < 2:
-        return None
+    """A forest fitted on (label, f0, f1, ...), with a weight or without, and on the starters: one rule for any number of findings."""
     if "weight" not in labelled.columns:
         labelled = labelled.withColumn("weight", F.lit(1.0))
+    labelled = cut(_started(labelled.select("label", "weight", *[f"f{i}" for i in range(FEATURES)])), "findings")
     columns = [f"f{i}" for i in range(FEATURES)]
     vectors = VectorAssembler(inputCols=columns, outputCol="features").transform(labelled.coalesce(4)).select("features", "label", "weight")
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7, weightCol="weight").fit(vectors)
 
 
 def votes(forest, s: Column) -> Column:
-    """Share of the trees that call a candidate a secret; without trees, the weak label."""
-    if forest is None:
-        return weak_label(s).cast("double")
+    """Share of the trees that call a candidate a secret."""
     return let(F.array(*features(s)), lambda f: weighted_sum(forest, lambda i: F.get(f, F.lit(i))) / len(forest.treeWeights))
 
 

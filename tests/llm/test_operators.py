@@ -340,7 +340,7 @@ def test_personal_data(spark, texts):
     assert all(set(r.base.split(",")) <= {*r.spans.split(","), ""} for r in got)
 
 
-@pytest.mark.parametrize("times", [1, 60])
+@pytest.mark.parametrize("times", [1, 15, 40, 100])
 def test_personal_data_outside_base_formats(spark, times):
     planted = {
         "see 2001:0db8:85a3:0000:0000:8a2e:0370:7334 now": "ip:2001:0db8:85a3:0000:0000:8a2e:0370:7334",

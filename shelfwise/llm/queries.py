@@ -78,7 +78,8 @@ def op7_boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = secrets.found(docs, secrets.fit(secrets.findings(docs)))
+    words = secrets.dictionary(docs)
+    found = secrets.found(docs, secrets.fit(secrets.findings(docs, words=words), words))
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_candidates", F.size("spans").cast("bigint").alias("n_secrets"), spans.alias("spans"))
 

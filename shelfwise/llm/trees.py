@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,7 +27,8 @@ def _parsed(text: str) -> list[tuple]:
                 return float(m[6])
             left = node()
             at += 1  # the line of the other branch
-            return int(m[3]), float(m[5]), left, node()
+            right = node()
+            return left if left == right else (int(m[3]), float(m[5]), left, right)  # a split that does not matter
 
         trees.append(node())
     return trees
@@ -35,11 +37,13 @@ def _parsed(text: str) -> list[tuple]:
 def weighted_sum(model, feature: Callable[[int], Column]) -> Column:
     """Sum of the trees' predictions, each times its weight, on features given by number."""
 
+    known = cache(feature)
+
     def column(node: tuple | float) -> Column:
         if isinstance(node, float):
             return F.lit(node)
         f, threshold, left, right = node
-        return F.when(feature(f) <= F.lit(threshold), column(left)).otherwise(column(right))
+        return F.when(known(f) <= threshold, column(left)).otherwise(column(right))
 
     total = F.lit(0.0)
     for tree, weight in zip(_parsed(model.toDebugString), model.treeWeights):

@@ -51,7 +51,7 @@ FILLERS = "your|example|sample|dummy|change|placeholder|redacted|todo|here|none|
 ASSIGNED = rf"(?i)(?:{NAMES})[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?$"
 #: After an assignment; or runs joined by dots; or a run with a digit.
 CANDIDATE = (
-    rf"(?<=[\s=:\"'])(?<=(?i:{NAMES})[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?)[^\s\"'<>,;]{{4,}}+"
+    rf"(?<=[\s=:\"'])(?<=[=:]\s{{0,2}}[\"']?)(?<=(?i:{NAMES})[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?)[^\s\"'<>,;]{{4,}}+"
     rf"|(?<!{TOKEN})(?:{TOKEN}{{12,}}+(?:\.{TOKEN}{{12,}}+){{2,}}+|(?=[A-Za-z+/_-]*+[0-9]){TOKEN}{{12,}}+={{0,2}}+)"
 )
 #: Words whose letters in a candidate speak against a secret, beside those of the corpus.
@@ -142,6 +142,7 @@ def findings(docs: DataFrame, rows: int = SAMPLE_FINDINGS, id_column: str = "doc
     texts = docs.select(F.col(id_column).alias("id"), text_or_empty().alias("text"))
     found = texts.select("id", F.explode(candidates(F.col("text"))).alias("s")).where(~doubtful(F.col("s")))
     found = found.where(~(F.col("s.left").rlike(ASSIGNED) & F.col("s.value").rlike("^[0-9a-f]+$"))).withColumn("label", weak_label(F.col("s")).cast("double"))
+    found = cut(found, "labelled")
     counts = {r.label: r.n for r in found.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows at most
     stands_for = {label: max(1.0, counts.get(label, 0) / rows) for label in (0.0, 1.0)}
     weight = F.when(F.col("label") == 1, stands_for[1.0]).otherwise(stands_for[0.0])

@@ -4,11 +4,11 @@ High-recall generators propose spans that may overlap each other and the base fo
 candidate is described by its format (length, digits, signs, check digit) and its context
 (characters beside it, words before it). Gradient-boosted trees learn which of them
 ``evidence`` calls personal data: a sound format of its kind, and a context where the format
-alone says little. It holds for candidates in base spans and elsewhere. They learn from a
-bounded sample of each kind and label out of all documents, weighted to the numbers found; a
-candidate's probability must reach the threshold of its kind, which is calibrated on
-candidates that the trees have not seen. Extraction, features and trees are SQL expressions
-inside the document's row, so nothing is shuffled.
+alone says little. It holds for candidates in base spans and elsewhere. They learn from three
+quarters of all candidates of all documents, and the threshold of each kind, which a candidate's
+probability must reach, is calibrated on the other quarter, all of it. Candidates with the same
+features and label are one row with their number as its weight, so what is shuffled and fitted
+are the different ones. Extraction, features and trees are SQL expressions inside the document's row.
 
 Cases: a null text has no spans; patterns run in linear time on texts of any length;
 repeated rows get equal spans; made candidates of every kind are learned from beside those found;
@@ -64,8 +64,6 @@ PROPOSED = {
 }
 #: Words before a candidate that speak for a kind; fixed values.
 HINTS = ["mail|contact|write to", "host|server|address|login from", "card|visa|credit|payment", "phone|call|tel|fax|mobile", "version|license|section|no\\."]
-#: Candidates of each kind and label that are learned from, about, chosen by a hash.
-SAMPLE_CANDIDATES = 10_000
 ROUNDS, DEPTH, PRECISION = 16, 3, 0.999
 
 
@@ -182,19 +180,18 @@ class Model:
         return self.probability(s) >= F.get(F.array(*[F.lit(t).cast("double") for t in self.thresholds]), s["order"])
 
 
-def proposals(docs: DataFrame, rows: int = SAMPLE_CANDIDATES, id_column: str = "doc_id") -> DataFrame:
-    """(order, label, fold, weight, f0, f1, ...) of candidates of all documents, about so many of each kind and label; a weight is how many one stands for."""
+def _described(rows: DataFrame) -> DataFrame:
+    """(order, label, fold, weight, f0, f1, ...) of candidates ``s`` by ``id``: equal ones are one row, whose weight is their number."""
+    fold = F.when(F.pmod(F.xxhash64("id", "s.start"), F.lit(4)) == 0, 0).otherwise(1).alias("fold")
+    each = rows.select(F.col("s.order").alias("order"), evidence(F.col("s")).cast("double").alias("label"), fold, F.array(*features(F.col("s"))).alias("f"))
+    grouped = each.groupBy("order", "label", "fold", "f").agg(F.count("*").cast("double").alias("weight"))
+    return grouped.select("order", "label", "fold", "weight", *[F.get("f", F.lit(i)).alias(f"f{i}") for i in range(FEATURES)])
+
+
+def proposals(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """(order, label, fold, weight, f0, f1, ...) of every candidate of all documents; a weight is how many candidates one row stands for."""
     texts = docs.select(F.col(id_column).alias("id"), text_or_empty().alias("text"))
-    found = texts.select("id", F.explode(candidates(F.col("text"))).alias("s")).withColumn("label", evidence(F.col("s")).cast("double"))
-    counts = found.groupBy(F.col("s.order").alias("order"), "label").agg(F.count("*").alias("n")).collect()  # eight rows at most
-    weight = F.lit(1.0)
-    for r in counts:
-        weight = F.when((F.col("s.order") == r.order) & (F.col("label") == r.label), max(1.0, r.n / rows)).otherwise(weight)
-    unit = F.shiftrightunsigned(F.xxhash64("id", "s.start", "s.value", "s.left"), 11) / float(1 << 53)
-    sampled = found.withColumn("weight", weight).where(unit * F.col("weight") < 1)
-    fold = F.pmod(F.xxhash64("id", "s.start"), F.lit(4)).alias("fold")
-    described = sampled.select(F.col("s.order").alias("order"), "label", fold, "weight", F.array(*features(F.col("s"))).alias("f"))
-    return cut(described.select("order", "label", "fold", "weight", *[F.get("f", F.lit(i)).alias(f"f{i}") for i in range(FEATURES)]), "candidates")
+    return cut(_described(texts.select("id", F.explode(candidates(F.col("text"))).alias("s"))), "candidates")
 
 
 def starters() -> list[str]:
@@ -215,12 +212,9 @@ def starters() -> list[str]:
 
 
 def _started(found: DataFrame) -> DataFrame:
-    """``found`` with the starters' candidates, each standing for itself."""
+    """``found`` with the starters' candidates."""
     made = found.sparkSession.createDataFrame([(-i, t) for i, t in enumerate(starters())], "id bigint, text string")
-    rows = made.select("id", F.explode(candidates(F.col("text"))).alias("s"))
-    fold = F.pmod(F.xxhash64("id", "s.start"), F.lit(4)).alias("fold")
-    described = rows.select(F.col("s.order").alias("order"), evidence(F.col("s")).cast("double").alias("label"), fold, F.lit(1.0).alias("weight"), F.array(*features(F.col("s"))).alias("f"))
-    described = described.select("order", "label", "fold", "weight", *[F.get("f", F.lit(i)).alias(f"f{i}") for i in range(FEATURES)])
+    described = _described(made.select("id", F.explode(candidates(F.col("text"))).alias("s")))
     return cut(found.select(*described.columns).unionByName(described), "candidates")
 
 
@@ -231,7 +225,7 @@ def fit(found: DataFrame) -> Model:
     """
     columns = [f"f{i}" for i in range(FEATURES)]
     found = _started(found)
-    learned = found.where("fold <> 0").coalesce(4)  # eight bounded samples
+    learned = found.where("fold <> 0")
     vectors = VectorAssembler(inputCols=columns, outputCol="features").transform(learned).select("features", "label", "weight")
     trees = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, seed=7, weightCol="weight").fit(vectors)
     model = Model(trees, [])

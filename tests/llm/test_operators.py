@@ -361,6 +361,15 @@ def test_personal_data_outside_base_formats(spark, times):
     assert got == {i: [planted[t]] if planted[t] else [] for i, t in rows}
 
 
+def test_every_candidate_of_personal_data_is_learned_from(spark):
+    texts = [f"seen 10.1.{i % 200}.{i % 7} there" for i in range(30_000)] + ["mail ann@b.co now", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = pii.proposals(docs)
+    spans = docs.select(F.explode(pii.candidates(F.coalesce("text", F.lit(""))))).select("col.order").groupBy("order").count()
+    assert {r.order: r.n for r in found.groupBy("order").agg(F.sum("weight").alias("n")).collect()} == {r.order: r["count"] for r in spans.collect()}
+    assert found.count() < 1_000 and found.where("weight <> floor(weight)").isEmpty()
+
+
 def test_trees_as_sql_agree_with_the_model(spark):
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler

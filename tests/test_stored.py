@@ -7,6 +7,7 @@ import os
 import random
 from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +121,15 @@ def test_indexed_search_has_the_rows_of_the_scan(spark, seed, tmp_path, term):
     same(search.catalog_search(seed, index, term), catalog.catalog(seed, search=term))
 
 
+def test_a_task_hands_on_each_gram_of_a_thing_once():
+    rows = [("day", "1", ["abcd", None, "", "xy"]), ("day", "1", ["abcd zabc"]), ("day", "1", ["é🙂漢字", "abc"]), ("day", "2", [None]), ("sku", "2", ["a", "b", "cde", "abc"])]
+    column = lambda i, kind: pa.array([r[i] for r in rows], kind)
+    whole = pa.record_batch({"kind": column(0, pa.string()), "ref": column(1, pa.string()), "texts": column(2, pa.list_(pa.string()))})
+    got = [tuple(r.values()) for part in trigrams._gatherer()(iter([whole.slice(0, 2), whole.slice(2)])) for r in part.to_pylist()]
+    want = {(kind, ref, t[i : i + 3]) for kind, ref, texts in rows for t in texts if t for i in range(len(t) - 2)}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_index_grows_and_reads_its_own_folders(spark, seed, tmp_path):
     root = str(tmp_path / "grams")
     index = indexed(spark, seed, root)

@@ -21,6 +21,8 @@ from .runs import keyed_state
 
 #: Rows that a task hands on at a time.
 ROWS = 100_000
+#: Parts that products are dealt to; a part's products are taken by one call. Stored balances depend on it.
+PARTS = 1024
 
 
 def _in_slices(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -59,15 +61,29 @@ class _Guard(_Balance):
         yield from _in_slices(moves[["key", "order", "delta"]].assign(accepted=passed, balance=after))
 
 
-class _Crossings(_Balance):
-    """The movements that take a product's stock from above its level to it or below."""
+class _Crossings(StatefulProcessor):
+    """The movements that take a product's stock from above its level to it or below, for the products of one part at a time."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getMapState("balances", "product_id bigint", "balance bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        moves = pd.concat(list(rows)).sort_values(["txn_date", "txn_number"])
-        after = moves["delta"].cumsum() + self.balance(int(moves["opening"].iloc[0]))
-        self.held.update((int(after.iloc[-1]),))
-        low = (after <= moves["min_reorder_level"]) & (after - moves["delta"] > moves["min_reorder_level"])
-        yield from _in_slices(moves.assign(stock=after)[["product_id", "txn_number", "stock", "min_reorder_level"]][low])
+        moves = pd.concat(list(rows)).sort_values(["product_id", "txn_date", "txn_number"])
+        first = moves.drop_duplicates("product_id")
+        start = {}
+        for product, opening in zip(first["product_id"].tolist(), first["opening"].tolist()):
+            stored = self.held.getValue((product,))
+            start[product] = opening if stored is None else stored[0]
+        after = moves.groupby("product_id")["delta"].cumsum() + moves["product_id"].map(start)
+        moves = moves.assign(stock=after)
+        last = moves.drop_duplicates("product_id", keep="last")
+        for product, stock in zip(last["product_id"].tolist(), last["stock"].tolist()):
+            self.held.updateValue((product,), (stock,))
+        low = (moves["stock"] <= moves["min_reorder_level"]) & (moves["stock"] - moves["delta"] > moves["min_reorder_level"])
+        yield from _in_slices(moves[["product_id", "txn_number", "stock", "min_reorder_level"]][low])
+
+    def close(self) -> None:
+        pass
 
 
 def guarded_issues(moves: DataFrame, key: str, order: str, delta: str, opening: DataFrame | None = None) -> DataFrame:
@@ -86,10 +102,12 @@ def low_stock_alerts(movements: DataFrame, products: DataFrame) -> DataFrame:
 
     Movements count in (txn_date, txn_number) order. ``products`` (id, min_reorder_level,
     opening_stock) is read anew every micro-batch, so products added later alert as well.
+    The state is a map per part of the products, of which a micro-batch reads and writes those it brings.
     """
     keyed_state(movements.sparkSession)
     listed = products.select(F.col("id").cast("bigint").alias("product_id"), big("min_reorder_level").alias("min_reorder_level"), big("opening_stock").alias("opening"))
     moves = movements.select(F.col("product_id").cast("bigint").alias("product_id"), "txn_date", "txn_number", big(signed_units()).alias("delta"))
-    return moves.join(listed, "product_id").groupBy("product_id").transformWithStateInPandas(
+    part = F.pmod(F.xxhash64("product_id"), F.lit(PARTS)).cast("int")
+    return moves.join(listed, "product_id").withColumn("part", part).groupBy("part").transformWithStateInPandas(
         _Crossings(), "product_id bigint, txn_number string, stock bigint, min_reorder_level bigint", "Append", "None"
     )

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 import os
 import random
 import shutil
 
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -180,6 +182,20 @@ def test_alerts_fire_on_each_crossing(spark, tmp_path, work):
     assert [(r.txn_number, r.stock, r.min_reorder_level) for r in got] == [("2", 4, 5), ("5", 4, 5)]
 
 
+def test_a_call_takes_the_movements_of_many_products():
+    class Held(dict):
+        getValue, updateValue = dict.get, dict.__setitem__  # noqa: N815
+
+    crossings = balances._Crossings()
+    crossings.held = Held({(2,): (4,)})
+    day = datetime.date(2026, 8, 1)
+    rows = [(p, day, f"{p}-{n}", d, 3, 10) for p, deltas in ((1, [-8, 5, -5]), (2, [-1, 4]), (3, [-2])) for n, d in enumerate(deltas)]
+    frames = [pd.DataFrame(rows[i::2], columns=["product_id", "txn_date", "txn_number", "delta", "min_reorder_level", "opening"]) for i in (0, 1)]
+    got = [tuple(r) for part in crossings.handleInputRows((7,), iter(frames), None) for r in part.itertuples(index=False)]
+    assert sorted(got) == [(1, "1-0", 2, 3), (1, "1-2", 2, 3), (2, "2-0", 3, 3)]
+    assert crossings.held == {(1,): (2,), (2,): (7,), (3,): (8,)}
+
+
 def test_products_added_later_alert(spark, tmp_path, work):
     columns = "id bigint, min_reorder_level int, opening_stock int"
     listed = str(tmp_path / "listed")

@@ -3,8 +3,10 @@
 Rows (thing, key) say that a thing has a key; things that share a key, directly or through
 others, are one component. Every round gives each label the least label that any of its
 keys meets through a thing, then follows those gifts to their end by doubling, so labels
-at least halve in a round that changes any. Aggregations are minima, which combine on the
-map side, so a key of a third of all rows is no obstacle.
+at least halve in a round that changes any. The next round reads only what is still linked,
+things with the labels they have by then, so the rounds together cost little more than the
+first. Aggregations are minima, which combine on the map side, so a key of a third of all
+rows is no obstacle.
 """
 
 from __future__ import annotations
@@ -28,13 +30,23 @@ def _followed(gifts: DataFrame) -> DataFrame:
 
 def components(rows: DataFrame, thing: str, key: str) -> DataFrame:
     """(key, root) for every key of ``rows``: the component's least key."""
-    rows = cut(rows.select(F.col(thing).alias("thing"), F.col(key).alias("key")).distinct(), "links")
-    labels = cut(rows.select("key", F.col("key").alias("label")).distinct(), "labels")
+    links = cut(rows.select(F.col(thing).alias("thing"), F.col(key).alias("label")).distinct(), "links")
+    labels = links.select("label").distinct()
+    rounds: list[DataFrame] = []
     while True:
-        seen = rows.join(labels, "key")
-        met = seen.groupBy("thing").agg(F.min("label").alias("least"))
-        gifts = cut(seen.join(met, "thing").groupBy("label").agg(F.min("least").alias("least")), "gifts")
-        if gifts.filter("least < label").isEmpty():
-            return labels.select(F.col("key").alias(key), F.col("label").alias("root"))
-        ends = _followed(gifts)
-        labels = cut(labels.join(ends, "label").select("key", F.col("least").alias("label")), "labels")
+        met = links.groupBy("thing").agg(F.min("label").alias("least"), F.count("*").alias("_labels")).where("_labels > 1")
+        gifts = cut(links.join(met, "thing").groupBy("label").agg(F.min("least").alias("least")), "gifts")
+        if gifts.isEmpty():
+            break
+        rounds.append(_followed(gifts))
+        # what nothing links any more has no gift and is left out
+        links = cut(links.join(rounds[-1], "label").select("thing", F.col("least").alias("label")).distinct(), "links")
+    placed = None
+    for ends in reversed(rounds):  # from a label of a round to its label of the last
+        if placed is not None:
+            later = placed.select(F.col("label").alias("_via"), "root")
+            ends = ends.join(later, ends["least"] == later["_via"], "left").select("label", F.coalesce("root", "least").alias("least"))
+        placed = ends.withColumnRenamed("least", "root")
+    if placed is None:
+        return labels.select(F.col("label").alias(key), F.col("label").alias("root"))
+    return labels.join(placed, "label", "left").select(F.col("label").alias(key), F.coalesce("root", "label").alias("root"))

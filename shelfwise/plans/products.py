@@ -82,8 +82,8 @@ def create(requests: DataFrame, products: DataFrame, categories: DataFrame) -> t
 
 
 def _clerk():
-    """Admits updates one by one, component after component, as a closure that needs nothing of this package."""
-    used, claimed = [SKU_USED, BARCODE_USED], SKU_OR_BARCODE_CLAIMED
+    """Refusals of updates served one by one, component after component, as a closure that needs nothing of this package."""
+    used, claimed, nothing = [SKU_USED, BARCODE_USED], SKU_OR_BARCODE_CLAIMED, (None, None)
 
     def admit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, holder, held = None, {}, {}
@@ -92,51 +92,52 @@ def _clerk():
             for root, seq, product, *values in zip(*[c.to_pylist() for c in rows.columns]):
                 if root != at:
                     at, holder, held = root, {}, {}
-                wanted, owners, stored = values[:2], values[2:4], values[4:6]
+                wanted, owners, stored = tuple(values[:2]), values[2:4], values[4:6]
                 why = None
                 for kind in (0, 1):
-                    key = (kind, wanted[kind])
-                    now = holder.get(key, owners[kind])
+                    now = holder.get(wanted[kind], owners[kind])
                     if why is None and wanted[kind] is not None and now not in (None, product):
                         why = used[kind] if now == owners[kind] else claimed
                 if why is None:
-                    before = held.get(product, stored)
-                    for kind in (0, 1):
-                        if before[kind] is not None:
-                            holder[kind, before[kind]] = None
-                    for kind in (0, 1):
-                        if wanted[kind] is not None:
-                            holder[kind, wanted[kind]] = product
-                    held[product] = wanted
-                seqs.append(seq)
-                reasons.append(why)
+                    for value in held.get(product, stored):
+                        if value is not None:
+                            holder[value] = None
+                    for value in wanted:
+                        if value is not None:
+                            holder[value] = product
+                    held[product] = nothing if wanted == nothing else wanted
+                else:
+                    seqs.append(seq)
+                    reasons.append(why)
             yield pa.record_batch({"seq": pa.array(seqs, pa.int64()), "_why": pa.array(reasons, pa.string())})
 
     return admit
 
 
-def _admitted(rows: DataFrame) -> DataFrame:
-    """(seq, _why) of sound updates, as if they were served one by one: NULL, or why a value is not to be had by then.
+def _refused(rows: DataFrame) -> DataFrame:
+    """(seq, _why) of the sound updates that find a value taken, as if they were served one by one.
 
     An update lets go of its product's values and takes others. Where all that ask for a
-    value are its stored owner, or one product, there is nothing to decide. The rest fall
-    into components of products that ask for, or hold, the same values; components do not
-    touch one another, so each is served in order by itself, and Spark packs them into tasks.
+    value are its stored owner, or one product, there is nothing to decide. The rest, the
+    contested values, get numbers, and nothing else of a value is handed on. Products that ask
+    for, or hold, the same contested values fall into components; components do not touch one
+    another, so each is served in order by itself, and Spark packs them into tasks.
     """
     value = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c))
-    wants = F.filter(F.array(value(0, "_sku"), value(1, "_bar")), lambda v: v.isNotNull())
-    asked = rows.select("id", F.explode(wants).alias("value"))
-    has = F.filter(F.array(value(0, "_old_sku"), value(1, "_old_bar")), lambda v: v.isNotNull())
-    owned = rows.select("id", F.explode(has).alias("value"))
+    names = ["_sku", "_bar", "_old_sku", "_old_bar"]
+    slots = [F.struct(F.lit(slot).alias("slot"), value(slot % 2, c).alias("value")) for slot, c in enumerate(names)]
+    places = rows.select("_row", "id", F.inline(F.array(*slots))).where(F.col("value").isNotNull())
     taken = rows.select(F.explode(F.filter(F.array(
         F.when(F.col("_sku_owner") != F.col("id"), value(0, "_sku")), F.when(F.col("_bar_owner") != F.col("id"), value(1, "_bar")),
     ), lambda v: v.isNotNull())).alias("value"))
-    shared = asked.groupBy("value").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("value")
-    contested = cut(taken.unionByName(shared).distinct(), "contested")
-    linked = cut(asked.unionByName(owned).distinct().join(contested, "value", "left_semi"), "linked")
-    roots = components(linked, "id", "value")
-    placed = linked.join(roots, "value").groupBy("id").agg(F.min("root").alias("root"))
-    dealt = rows.join(placed, "id").select("root", "seq", "id", "_sku", "_bar", "_sku_owner", "_bar_owner", "_old_sku", "_old_bar")
+    shared = places.where("slot < 2").groupBy("value").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("value")
+    contested = cut(taken.unionByName(shared).distinct().withColumn("n", F.monotonically_increasing_id()), "contested")
+    numbered = cut(places.join(contested, "value").select("_row", "id", "slot", "n"), "numbered")
+    linked = cut(numbered.select("id", "n").distinct(), "linked")
+    placed = linked.join(components(linked, "id", "n"), "n").groupBy("id").agg(F.min("root").alias("root"))
+    by_row = numbered.groupBy("_row").agg(*[F.max(F.when(F.col("slot") == slot, F.col("n"))).alias(f"n{c}") for slot, c in enumerate(names)])
+    dealt = rows.select("_row", "seq", "id", "_sku_owner", "_bar_owner").join(placed, "id").join(by_row, "_row", "left")
+    dealt = dealt.select("root", "seq", "id", "n_sku", "n_bar", "_sku_owner", "_bar_owner", "n_old_sku", "n_old_bar")
     dealt = dealt.repartition("root").sortWithinPartitions("root", "seq")
     return dealt.mapInArrow(_clerk(), "seq bigint, _why string")
 
@@ -171,9 +172,10 @@ def update(requests: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFra
         .when(F.col("sku").isNull(), SKU_REQUIRED)
     )
     keys = ["_sku", "_bar", "_sku_owner", "_bar_owner", "_old_sku", "_old_bar"]
-    judged = cut(checked.select("seq", "id", *COLUMNS, *keys, reason.alias("reason")), "updates")
+    number = F.monotonically_increasing_id().alias("_row")  # a seq may come twice
+    judged = cut(checked.select("seq", "id", *COLUMNS, *keys, number, reason.alias("reason")), "updates")
     fit = judged.filter(F.col("reason").isNull())
-    late = cut(_admitted(fit).filter(F.col("_why").isNotNull()), "late")
+    late = cut(_refused(fit), "late")
     sound = fit.join(late, "seq", "left_anti")
     last = sound.groupBy("id").agg(F.max_by(F.struct(*COLUMNS), "seq").alias("_new"))
     changed = F.col("_new").isNotNull()

@@ -199,3 +199,42 @@ def test_components_of_chains_stars_and_loners(spark):
     want = {k: min(ks) for ks in least.values() for k in ks}
     assert {r.key: r.root for r in components(rows, "thing", "key").collect()} == want
     assert components(rows.limit(0), "thing", "key").collect() == []
+
+
+def test_components_drop_what_nothing_links_any_more(spark, monkeypatch):
+    from shelfwise.operators import components as module
+
+    written = []
+
+    def counted(df, label="step"):
+        out = cut(df, label)
+        written.append((label, out.count()))
+        return out
+
+    cut = module.cut
+    monkeypatch.setattr(module, "cut", counted)
+    alone = [(f"a{i}", f"x{i}") for i in range(50)]
+    chain = [(f"c{i}", f"k{(i + d) * 37 % 101:03}") for i in range(60) for d in (0, 1)]
+    rows = spark.createDataFrame(alone + chain, "thing string, key string")
+    got = {r.key: r.root for r in components(rows, "thing", "key").collect()}
+    assert {k: r for k, r in got.items() if k.startswith("x")} == {k: k for _, k in alone}
+    assert {r for k, r in got.items() if k.startswith("k")} == {"k000"}
+    links = [n for label, n in written if label == "links"]
+    assert links[0] == 170 and links[1] <= 120 and links[-1] < links[0] / 2
+
+
+def test_the_clerk_gets_numbers_of_contested_values_and_returns_refusals_alone():
+    import pyarrow as pa
+
+    from shelfwise.plans.products import SKU_USED, _clerk
+
+    names = ["root", "seq", "id", "n_sku", "n_bar", "_sku_owner", "_bar_owner", "n_old_sku", "n_old_bar"]
+    rows = [
+        (1, 1, 7, 5, None, 8, None, 4, None),  # wants what 8 holds
+        (1, 2, 8, None, None, None, None, 5, None),  # lets go of it
+        (1, 3, 7, 5, None, 8, None, 4, None),  # can have it now
+        (2, 4, 9, 6, None, 9, None, 6, None),
+    ]
+    batch = pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
+    got = [r for b in _clerk()(iter([batch])) for r in b.to_pylist()]
+    assert got == [{"seq": 1, "_why": SKU_USED}]

@@ -12,15 +12,18 @@ from ..functions import labels
 from ..functions.fixed import LEDGER_PAGE, RECENT_ROWS
 from ..functions.values import contains_any, first_text, like_any
 from ..operators.lineage import cut
-from ..operators.lookup import left_lookup, lookup_few
+from ..operators.lookup import left_lookup, lookup_few, lookup_known, pair_lookup
 from ..sources.tables import Tables
 from .period import within
 
+# Columns that a movement's product, batch, supplier and user give it.
+NAMES = ["product_title", "product_sku", "unit_of_measure", "batch_number", "expiry_date", "supplier_name", "user_name"]
+
+
 def newest_first() -> list[Column]:
     return [F.desc("txn_date"), F.asc("txn_number")]
 
 
-
 def _is_set(choice: str | None) -> bool:
     return bool(choice) and choice != "ALL"
 
@@ -78,23 +81,35 @@ def _searches(search: str | None, literal_search: str | None) -> list[_Search]:
     return found
 
 
-def _with_names(tables: Tables, facts: DataFrame, searches: list[_Search]) -> DataFrame:
-    """Left joins to the four dimensions, keeping rows that every search finds somewhere.
+def _with_names(tables: Tables, facts: DataFrame) -> DataFrame:
+    """Left joins to the four dimensions."""
+    joined = facts.join(_product_names(tables.products), F.col("product_id") == F.col("_product"), "left")
+    joined = left_lookup(joined, _batch_names(tables.stock), "batch_id", "_batch", spread_by="txn_number")
+    joined = left_lookup(joined, _supplier_names(tables.suppliers), "supplier_id", "_supplier", spread_by="txn_number")
+    return joined.join(_user_names(tables.users), F.col("user_id") == F.col("_user"), "left").drop("_product", "_user")
 
-    Product and batch texts are matched once per product and batch, before the join.
+
+def _complete_with_names(tables: Tables, facts: DataFrame, searches: list[_Search]) -> DataFrame:
+    """Complete rows with the names of the four dimensions, keeping rows that every search finds somewhere.
+
+    All that hangs on a product or a batch is put together once per pair of them that moves, as
+    there are far fewer pairs than movements, so the movements are shuffled for one lookup
+    instead of three. Product and batch texts are matched once per product and batch.
     """
     products, batches = _product_names(tables.products), _batch_names(tables.stock)
     for i, s in enumerate(searches):
         products = products.withColumn(f"_in_product{i}", s.product)
         batches = batches.withColumn(f"_in_batch{i}", s.batch)
-    joined = facts.join(products, F.col("product_id") == F.col("_product"), "left")
-    joined = left_lookup(joined, batches, "batch_id", "_batch", spread_by="txn_number")
+    pairs = tables.priced(facts.select("product_id", "batch_id").distinct())
+    pairs = pairs.join(products, F.col("product_id") == F.col("_product"), "left").drop("_product")
+    pairs = left_lookup(pairs, batches, "batch_id", "_batch", spread_by="product_id")
+    joined = lookup_known(tables.bought(facts), _supplier_names(tables.suppliers), "supplier_id", "_supplier")
+    joined = pair_lookup(joined, pairs, "product_id", "batch_id")
     for i, s in enumerate(searches):
-        flags = [f"_in_product{i}", f"_in_batch{i}"]
-        in_names = [F.coalesce(F.col(c), F.lit(False)) for c in flags]
-        joined = joined.filter(in_names[0] | in_names[1] | s.movement).drop(*flags)
-    joined = left_lookup(joined, _supplier_names(tables.suppliers), "supplier_id", "_supplier", spread_by="txn_number")
-    return joined.join(_user_names(tables.users), F.col("user_id") == F.col("_user"), "left").drop("_product", "_user")
+        in_names = [F.coalesce(F.col(c), F.lit(False)) for c in (f"_in_product{i}", f"_in_batch{i}")]
+        joined = joined.filter(in_names[0] | in_names[1] | s.movement)
+    joined = joined.join(_user_names(tables.users), F.col("user_id") == F.col("_user"), "left")
+    return joined.select(*tables.complete(facts).columns, *NAMES)
 
 
 def ledger(
@@ -110,13 +125,13 @@ def ledger(
     ``search`` treats % and _ as wildcards and looks at six columns;
     ``literal_search`` takes the term as it is and looks at title and number.
     """
-    facts = tables.complete(_on_fact(tables, txn_type, period))
-    return _with_names(tables, facts, _searches(search, literal_search)).orderBy(*newest_first())
+    facts = _on_fact(tables, txn_type, period)
+    return _complete_with_names(tables, facts, _searches(search, literal_search)).orderBy(*newest_first())
 
 
 def named(tables: Tables, rows: DataFrame) -> DataFrame:
     """Complete ledger rows with the names of their product, batch, supplier and user."""
-    return _with_names(tables, rows, [])
+    return _with_names(tables, rows)
 
 
 def page_size(text: str | int | None) -> int:

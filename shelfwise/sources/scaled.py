@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import signed_units
-from ..operators.lookup import left_lookup, lookup_few
+from ..operators.lookup import left_lookup, lookup_few, lookup_known
 from .tables import Tables
 
 # The reporting date, which replaces the wall clock, and the small dimensions.
@@ -149,21 +149,41 @@ def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _buyers(orders: DataFrame, customers: DataFrame) -> DataFrame:
+    return orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left").select("sale_order", "customer_name")
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sale_order"), "o_custkey")
+    return orders, table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("customer_name"))
+
+
+def _sale_key() -> Column:
+    return F.when(F.col("txn_type") == "SALE", F.col("order_key"))
+
+
+def bought(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """Movements with, on sales, the customer; they are read once for sales and once for the rest."""
+    keyed = rows.withColumn("sale_key", _sale_key())
+    return lookup_known(keyed, _buyers(*_orders(spark, sf_dir)), "sale_key", "sale_order").drop("sale_key", "order_key")
+
+
+def priced(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """Rows with their product's price."""
+    return rows.join(_prices(spark, sf_dir), F.col("product_id") == F.col("priced_id"), "left").drop("priced_id")
+
+
 def complete(spark: SparkSession, sf_dir: str, rows: DataFrame, few: bool = False) -> DataFrame:
     """Movements with unit price and, on sales, the customer; ``few`` says that they are a written page."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sale_order"), "o_custkey")
-    customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("customer_name"))
+    orders, customers = _orders(spark, sf_dir)
     prices = _prices(spark, sf_dir)
-    keyed = rows.withColumn("sale_key", F.when(F.col("txn_type") == "SALE", F.col("order_key")))
+    keyed = rows.withColumn("sale_key", _sale_key())
     if few:
         bought = lookup_few(keyed, orders, "sale_key", "sale_order")
         named = lookup_few(bought, customers, "o_custkey", "c_custkey")
         priced = lookup_few(named, prices, "product_id", "priced_id", keys_of=rows)
     else:
-        buyers = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
-        named = left_lookup(
-            keyed, buyers.select("sale_order", "customer_name"), "sale_key", "sale_order", spread_by="txn_number"
-        )
+        named = left_lookup(keyed, _buyers(orders, customers), "sale_key", "sale_order", spread_by="txn_number")
         priced = named.join(prices, F.col("product_id") == F.col("priced_id"), "left")
     return priced.drop("sale_key", "order_key", "o_custkey", "priced_id")
 
@@ -198,6 +218,8 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
     tables = Tables(
         AS_OF,
         lambda rows, few: complete(spark, sf_dir, rows, few),
+        lambda rows: bought(spark, sf_dir, rows),
+        lambda rows: priced(spark, sf_dir, rows),
         users=lambda: users(spark),
         categories=lambda: categories(spark),
         suppliers=lambda: suppliers(spark, sf_dir),

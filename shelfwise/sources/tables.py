@@ -26,8 +26,9 @@ class Tables:
     Some columns a source may only be able to supply through a join. Plans that do not
     need them read the narrow form: ``movements`` is the ledger without unit price and
     customer name, ``stock`` the batches without prices. ``complete`` adds the ledger's
-    missing columns to some movements. Where tables are stored whole, the narrow forms
-    are the tables themselves.
+    missing columns to some movements; ``bought`` adds those that hang on a movement's bill,
+    ``priced`` those that hang on a product, to any rows with a ``product_id``. Where tables
+    are stored whole, the narrow forms are the tables themselves.
     """
 
     users: DataFrame
@@ -43,16 +44,24 @@ class Tables:
         self,
         as_of: date,
         complete: Callable[[DataFrame, bool], DataFrame] | None = None,
+        bought: Callable[[DataFrame], DataFrame] | None = None,
+        priced: Callable[[DataFrame], DataFrame] | None = None,
         **tables: DataFrame | Callable[[], DataFrame],
     ):
         self.as_of = as_of
-        self._complete = complete
+        self._complete, self._bought, self._priced = complete, bought, priced
         self._tables = tables
 
     def complete(self, movements: DataFrame, few: bool = False) -> DataFrame:
         """Ledger rows of these movements; ``few`` says that they are a written page."""
         return movements if self._complete is None else self._complete(movements, few)
 
+    def bought(self, movements: DataFrame) -> DataFrame:
+        return movements if self._bought is None else self._bought(movements)
+
+    def priced(self, rows: DataFrame) -> DataFrame:
+        return rows if self._priced is None else self._priced(rows)
+
     def __getattr__(self, name: str) -> DataFrame:
         # Only reached while the attribute has not been built.
         tables = self.__dict__["_tables"]
@@ -67,7 +76,7 @@ class Tables:
         return frame
 
     def replaced(self, **tables: DataFrame | Callable[[], DataFrame]) -> Tables:
-        return Tables(self.as_of, self._complete, **{**self._tables, **tables})
+        return Tables(self.as_of, self._complete, self._bought, self._priced, **{**self._tables, **tables})
 
 
 def read_parquet(spark: SparkSession, root: str, as_of: date) -> Tables:

@@ -417,3 +417,34 @@ def test_roles(spark):
     errors = {r.seq: r.error for r in access.denied(log).collect()}
     assert set(errors) == {1, 2, 3, 6}
     assert errors[6] == "Access Denied: Role 'GUEST' does not have 'READ' permission."
+
+
+def test_lookups_pass_by_rows_without_a_key(spark):
+    from shelfwise.operators.lookup import lookup_known, pair_lookup
+
+    fact = spark.createDataFrame(
+        [(1, 7, 70), (2, 7, None), (3, None, 70), (4, None, None), (5, None, None), (6, 8, 70), (7, 7, 70)], "row bigint, p bigint, b bigint"
+    )
+    dim = spark.createDataFrame([(7, "seven"), (7, "again"), (None, "none")], "id bigint, name string")
+    got = sorted(map(tuple, lookup_known(fact, dim, "p", "id").select("row", "name").collect()), key=str)
+    want = [(r, n) for r in (1, 2, 7) for n in ("again", "seven")] + [(r, None) for r in (3, 4, 5, 6)]
+    assert got == sorted(want, key=str)
+    pairs = spark.createDataFrame([(7, 70, "both"), (7, None, "no batch"), (None, 70, "no product"), (None, None, "nothing")], "p bigint, b bigint, what string")
+    got = {r.row: r.what for r in pair_lookup(fact, pairs, "p", "b").collect()}
+    assert got == {1: "both", 2: "no batch", 3: "no product", 4: None, 5: None, 6: None, 7: "both"}
+
+
+def test_the_ledger_by_pairs_has_the_rows_of_the_ledger_by_lookups(spark):
+    from pyspark.sql import functions as F
+
+    from shelfwise.plans import ledger
+    from shelfwise.sources import scaled
+
+    t = scaled.load(spark, "/root/testdata/sf0.001")
+    odd = t.movements.where("order_key % 5 = 0")
+    for column, every in (("product_id", 2), ("batch_id", 3), ("supplier_id", 7), ("txn_type", 11)):
+        odd = odd.withColumn(column, F.when(F.xxhash64("txn_number", F.lit(column)) % every != 0, F.col(column)))
+    t = t.replaced(movements=odd.unionByName(odd.limit(9)), products=t.products.unionByName(t.products.where("id % 6 = 0")))
+    got, want = ledger.ledger(t), ledger.named(t, t.complete(t.movements))
+    assert got.columns == want.columns and got.schema == want.schema
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))

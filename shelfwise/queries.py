@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions.values import parse_decimal, parse_int, round2
 from .operators import trigrams
 from .operators.guard import guarded_balance
-from .operators.lineage import work_path
+from .operators.lineage import cut, work_path
 from .operators.upsert import seed_upsert, upsert_by_any
 from .plans import access, batches, bills, catalog, insights, ledger, products, quality, receipts, reports, rollups
 from .plans import search as index_search
@@ -139,7 +139,8 @@ def _settled_sales(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 def _checked_out(spark: SparkSession, sf_dir: str) -> bills.CheckedOut:
     t = scaled.load(spark, sf_dir)
-    return bills.check_out(requests.bills(scaled.table(spark, sf_dir, "orders")), t.products, t.product_batches)
+    held = cut(t.product_batches.select("id", "product_id", "selling_price", "available_qty"), "batches")  # read for prices and for stock
+    return bills.check_out(requests.bills(scaled.table(spark, sf_dir, "orders")), t.products, held)
 
 
 def _batches_after_bills(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,10 +97,12 @@ def bills(orders: DataFrame) -> DataFrame:
     one = item(first_product, c * 10 + k % 3, quantity, price)
     two = item(c + 7, other, _text(1 + k % 3), none)
     again = item(c, c * 10 + k % 3, _text(1 + k % 2), none)
-    several = F.when(k % 5 == 0, F.array(one, two, again)).otherwise(F.array(one, two))
+    # the items are columns by themselves first, else every branch below repeats their expressions
+    rows = orders.select("o_orderkey", "o_custkey", "o_orderdate", one.alias("one"), two.alias("two"), again.alias("again"))
     single = k % 4 == 0
-    items = F.when(k % 8 == 0, F.lit(None)).when(single, F.slice(F.array(one), 1, 0)).otherwise(several)
-    return orders.select(
+    several = F.when(k % 5 == 0, F.array("one", "two", "again")).otherwise(F.array("one", "two"))
+    items = F.when(k % 8 == 0, F.lit(None)).when(single, F.slice(F.array("one"), 1, 0)).otherwise(several)
+    return rows.select(
         k.alias("seq"),
         F.col("o_orderdate").alias("received_at"),
         F.when(k % 3 == 0, _tagged("BILL-", k)).alias("invoice_ref"),
@@ -110,7 +112,7 @@ def bills(orders: DataFrame) -> DataFrame:
         (k % 5).alias("user_id"),
         none.alias("remarks"),
         items.alias("items"),
-        *[F.when(single, one[f]).alias(f) for f in (
+        *[F.when(single, F.col("one")[f]).alias(f) for f in (
             "product_id", "batch_id", "quantity", "unit_price", "discount_amount", "tax_amount"
         )],
     )

@@ -15,6 +15,7 @@ from shelfwise.operators.guard import guarded_balance
 from shelfwise.operators.running import in_chunks, running_before
 from shelfwise.operators.upsert import seed_upsert
 from shelfwise.plans import access, bills, products, receipts
+from shelfwise.sources import requests as request_tables
 from shelfwise.sources import schemas
 
 NOW = datetime(2026, 8, 8, 12, 0)
@@ -448,3 +449,16 @@ def test_the_ledger_by_pairs_has_the_rows_of_the_ledger_by_lookups(spark):
     got, want = ledger.ledger(t), ledger.named(t, t.complete(t.movements))
     assert got.columns == want.columns and got.schema == want.schema
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_the_items_of_a_bill_are_worked_out_once(spark):
+    rows = [(k, k % 4, "O", 1.0, None, "") for k in range(60)]
+    orders = spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string")
+    lines = bills.bill_lines(request_tables.bills(orders))
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan and plan.count("900000000000") == 1
+    several = [k for k in range(60) if k % 4]
+    assert lines.count() == 60 - len(several) + sum(3 if k % 5 == 0 else 2 for k in several)
+    assert lines.filter("seq = 5").orderBy("line_no").select("line_no", "product_id", "batch_id", "quantity").collect() == [
+        (1, 1, 12, "1"), (2, 8, 82, "3"), (3, 1, 12, "2"),
+    ]

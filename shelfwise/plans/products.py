@@ -85,11 +85,19 @@ def _clerk():
     """Refusals of updates served one by one, component after component, as a closure that needs nothing of this package."""
     used, claimed, nothing = [SKU_USED, BARCODE_USED], SKU_OR_BARCODE_CLAIMED, (None, None)
 
+    def plain(column: pa.Array) -> list[int | None]:
+        """The numbers of a column; by way of an array, which takes a tenth of the time of one value after another."""
+        if not column.null_count:
+            return column.to_numpy().tolist()
+        numbers = column.fill_null(0).to_numpy().astype(object)
+        numbers[column.is_null().to_numpy(zero_copy_only=False)] = None
+        return numbers.tolist()
+
     def admit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, holder, held = None, {}, {}
         for rows in batches:
             seqs, reasons = [], []
-            for root, seq, product, *values in zip(*[c.to_pylist() for c in rows.columns]):
+            for root, seq, product, *values in zip(*map(plain, rows.columns)):
                 if root != at:
                     at, holder, held = root, {}, {}
                 wanted, owners, stored = tuple(values[:2]), values[2:4], values[4:6]

@@ -65,6 +65,7 @@ class StockFolder:
         batches = self.batches(batch_id, asked.select(F.col("batch_id").alias("id")))
         products = self.products(batch_id, asked.select(F.col("product_id").alias("id")))
         done = bills.check_out(requests, products, batches)
+        done = bills.CheckedOut(done.lines, cut(done.settled, "settled"))  # read by each of the following
         put(self.spark, self.root, "ledger", batch_id, done.ledger)
         put(self.spark, self.root, "rejects", batch_id, done.rejects)
         sold = done.settled.filter("accepted").select(F.col("batch_id").alias("id")).distinct()

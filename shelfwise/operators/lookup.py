@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -28,34 +28,40 @@ def left_lookup(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, *,
     return left.join(dim, on, "left").drop("_join_key", dim_key)
 
 
-def lookup_known(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str) -> DataFrame:
+def lookup_known(fact: DataFrame, dim: DataFrame, fact_key: Column | str, dim_key: str) -> DataFrame:
     """Left join to a lookup where many rows that are cheap to read have no key.
 
     Rows without a key can match nothing; they pass by the join and are not shuffled for it.
-    The price is that ``fact`` is read once for either kind. The lookup's key is dropped.
+    The price is that ``fact`` is read once for either kind. The lookup's key is dropped. A key
+    that is worked out from other columns is not shuffled beside them.
     """
-    found = fact.filter(F.col(fact_key).isNotNull()).join(dim, F.col(fact_key) == F.col(dim_key), "left").drop(dim_key)
+    key = F.col(fact_key) if isinstance(fact_key, str) else fact_key
+    found = fact.filter(key.isNotNull()).join(dim, key == F.col(dim_key), "left").drop(dim_key)
     added = [F.lit(None).cast(f.dataType).alias(f.name) for f in dim.schema if f.name != dim_key]
-    return found.unionByName(fact.filter(F.col(fact_key).isNull()).select("*", *added))
+    return found.unionByName(fact.filter(key.isNull()).select("*", *added))
 
 
-def pair_lookup(fact: DataFrame, dim: DataFrame, first: str, second: str) -> DataFrame:
+def pair_lookup(
+    fact: DataFrame, dim: DataFrame, first: str, second: str, *, keys: tuple[Column, Column] | None = None, spread_by: Column | None = None
+) -> DataFrame:
     """Left join to a lookup that holds the pairs of keys of ``fact``, where either key may be missing.
 
     A pair without one key is a pair like any other. Rows without both have nothing to look up
-    and are spread over made-up keys.
+    and are spread over made-up keys, by all their columns if not by ``spread_by``. ``keys`` are the
+    keys of ``fact`` if it has no columns of these names. The rows are shuffled as they are, without
+    columns for their keys.
     """
     missing = F.lit(_BELOW_ALL_IDS - 1)
-    slot = F.lit(_BELOW_ALL_IDS) + F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD))
+    one, other = keys or (F.col(first), F.col(second))
+    slot = F.lit(_BELOW_ALL_IDS) + F.pmod(F.xxhash64(*([spread_by] if spread_by is not None else fact.columns)), F.lit(SPREAD))
     keyed = dim.filter(F.col(first).isNotNull() | F.col(second).isNotNull())
     keyed = keyed.select(
         F.coalesce(first, missing).alias("_first_of_pair"), F.coalesce(second, missing).alias("_second_of_pair"),
         *[c for c in dim.columns if c not in (first, second)],
     )
-    left = fact.withColumn("_first", F.coalesce(F.col(first), F.when(F.col(second).isNull(), slot).otherwise(missing)))
-    left = left.withColumn("_second", F.coalesce(F.col(second), missing))
-    on = (left["_first"] == keyed["_first_of_pair"]) & (left["_second"] == keyed["_second_of_pair"])
-    return left.join(keyed, on, "left").drop("_first", "_second", "_first_of_pair", "_second_of_pair")
+    on = F.coalesce(one, F.when(other.isNull(), slot).otherwise(missing)) == F.col("_first_of_pair")
+    on &= F.coalesce(other, missing) == F.col("_second_of_pair")
+    return fact.join(keyed, on, "left").drop("_first_of_pair", "_second_of_pair")
 
 
 def lookup_few(rows: DataFrame, dim: DataFrame, row_key: str, dim_key: str, keys_of: DataFrame | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from ..functions.values import contains_any, first_text, like_any
 from ..operators.lineage import cut
 from ..operators.lookup import left_lookup, lookup_few, lookup_known, pair_lookup
 from ..sources.tables import Tables
-from .period import within
+from .period import DAY_FOLDER, within
 
 # Columns that a movement's product, batch, supplier and user give it.
 NAMES = ["product_title", "product_sku", "unit_of_measure", "batch_number", "expiry_date", "supplier_name", "user_name"]
@@ -28,9 +28,9 @@ def _is_set(choice: str | None) -> bool:
     return bool(choice) and choice != "ALL"
 
 
-def _on_fact(tables: Tables, txn_type: str | None, period: str | None) -> DataFrame:
-    """Movements after the filters that need nothing else, so that these reach the scan."""
-    facts = within(tables.movements, period, tables.as_of)
+def _on_fact(tables: Tables, rows: DataFrame, txn_type: str | None, period: str | None) -> DataFrame:
+    """Movements or entries after the filters that need nothing else, so that these reach the scan."""
+    facts = within(rows, period, tables.as_of)
     return facts.filter(F.col("txn_type") == txn_type) if _is_set(txn_type) else facts
 
 
@@ -90,26 +90,42 @@ def _with_names(tables: Tables, facts: DataFrame) -> DataFrame:
 
 
 def _complete_with_names(tables: Tables, facts: DataFrame, searches: list[_Search]) -> DataFrame:
-    """Complete rows with the names of the four dimensions, keeping rows that every search finds somewhere.
+    """Entries with all lookups and the names of the four dimensions, keeping those that every search finds somewhere.
 
     All that hangs on a product or a batch is put together once per pair of them that moves, as
     there are far fewer pairs than movements, so the movements are shuffled for one lookup
-    instead of three. Product and batch texts are matched once per product and batch.
+    instead of three. Product and batch texts are matched once per product and batch. Keys and
+    searched texts are worked out where they are needed and dropped again.
     """
+    batch, supplier, user = (tables.spelled(c) for c in ("batch_id", "supplier_id", "user_id"))
     products, batches = _product_names(tables.products), _batch_names(tables.stock)
     for i, s in enumerate(searches):
         products = products.withColumn(f"_in_product{i}", s.product)
         batches = batches.withColumn(f"_in_batch{i}", s.batch)
-    pairs = tables.priced(facts.select("product_id", "batch_id").distinct())
+    pairs = tables.priced(facts.select("product_id", batch.alias("batch_id")).distinct())
     pairs = pairs.join(products, F.col("product_id") == F.col("_product"), "left").drop("_product")
     pairs = left_lookup(pairs, batches, "batch_id", "_batch", spread_by="product_id")
-    joined = lookup_known(tables.bought(facts), _supplier_names(tables.suppliers), "supplier_id", "_supplier")
-    joined = pair_lookup(joined, pairs, "product_id", "batch_id")
+    joined = lookup_known(tables.bought(facts), _supplier_names(tables.suppliers), supplier, "_supplier")
+    keys = F.col("product_id"), batch
+    joined = pair_lookup(joined, pairs, "product_id", "batch_id", keys=keys, spread_by=tables.spelled("txn_number"))
+    kept = joined.columns
     for i, s in enumerate(searches):
         in_names = [F.coalesce(F.col(c), F.lit(False)) for c in (f"_in_product{i}", f"_in_batch{i}")]
-        joined = joined.filter(in_names[0] | in_names[1] | s.movement)
-    joined = joined.join(_user_names(tables.users), F.col("user_id") == F.col("_user"), "left")
-    return joined.select(*tables.complete(facts).columns, *NAMES)
+        seen = joined.withColumns({c: tables.spelled(c) for c in ("txn_number", "invoice_ref")})
+        joined = seen.filter(in_names[0] | in_names[1] | s.movement).select(*kept)
+    return joined.join(_user_names(tables.users), user == F.col("_user"), "left").drop("_user")
+
+
+def _in_order(tables: Tables, rows: DataFrame) -> DataFrame:
+    """Complete rows of entries, newest first.
+
+    Entries are dealt to tasks by ranges of the order's columns. These ranges are the ones that the
+    sort needs, so it moves no row again, and what is worked out from an entry is not sent.
+    """
+    dealt = rows.repartitionByRange(F.desc("txn_date"), tables.spelled("txn_number").asc())
+    in_order = dealt.withColumn("txn_number", tables.spelled("txn_number")).orderBy(*newest_first())
+    columns = tables.complete(tables.movements.drop(DAY_FOLDER)).columns
+    return in_order.select(*(c if c in in_order.columns else tables.spelled(c).alias(c) for c in columns), *NAMES)
 
 
 def ledger(
@@ -125,8 +141,8 @@ def ledger(
     ``search`` treats % and _ as wildcards and looks at six columns;
     ``literal_search`` takes the term as it is and looks at title and number.
     """
-    facts = _on_fact(tables, txn_type, period)
-    return _complete_with_names(tables, facts, _searches(search, literal_search)).orderBy(*newest_first())
+    facts = _on_fact(tables, tables.entries, txn_type, period)
+    return _in_order(tables, _complete_with_names(tables, facts, _searches(search, literal_search)))
 
 
 def named(tables: Tables, rows: DataFrame) -> DataFrame:
@@ -168,7 +184,7 @@ def ledger_page(
     can be on the page, and the other columns are read from there on.
     """
     n = page_size(limit)
-    facts, searches = _on_fact(tables, txn_type, period), _searches(search, literal_search)
+    facts, searches = _on_fact(tables, tables.movements, txn_type, period), _searches(search, literal_search)
     if searches:
         facts = _found(tables, tables.complete(facts), searches)
     else:

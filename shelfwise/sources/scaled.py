@@ -119,30 +119,45 @@ _TXN_TYPE = """
 """
 
 
-def movements(line_items: DataFrame) -> DataFrame:
-    """Ledger columns that the line item carries itself; works on a stream as well."""
-    typed = line_items.selectExpr("*", _TXN_TYPE)
-    amount = "CAST(l_extendedprice AS DECIMAL(10,2))"
-    return typed.selectExpr(
-        "concat(IF(txn_type = 'STOCK_IN', 'TXN-IN-', 'TXN-OUT-'), l_orderkey, '-', l_linenumber, '-', l_partkey, '-',"
-        " l_suppkey, '-', year(l_shipdate) * 10000 + month(l_shipdate) * 100 + day(l_shipdate)) AS txn_number",
-        "txn_type",
+def entries(line_items: DataFrame) -> DataFrame:
+    """Line items by what a movement's columns are worked out from; ``SPELLING`` gives the columns that are not here."""
+    return line_items.selectExpr(
+        "l_orderkey AS order_key",
+        "l_linenumber AS line_number",
         "l_partkey AS product_id",
-        "l_partkey * 10 + l_suppkey % 3 AS batch_id",
+        "l_suppkey AS line_supplier",
+        _TXN_TYPE,
         "CAST(l_quantity AS INT) AS quantity",
-        f"CAST({amount} * CAST(l_discount AS DECIMAL(5,2)) AS DECIMAL(10,2)) AS discount_amount",
-        f"CAST({amount} * CAST(l_tax AS DECIMAL(5,2)) AS DECIMAL(10,2)) AS tax_amount",
-        f"{amount} AS total_amount",
-        "IF(txn_type IN ('STOCK_IN', 'VENDOR_RETURN'), l_suppkey, NULL) AS supplier_id",
-        "IF(txn_type = 'INTERNAL_USE', 'DEPT-' || l_suppkey % 5, NULL) AS dept_name",
-        "CASE txn_type WHEN 'SALE' THEN 'BILL-' || l_orderkey WHEN 'STOCK_IN' THEN 'INV-' || l_orderkey END AS invoice_ref",
-        "elt(l_linenumber % 4 + 1, 'PAID', 'PENDING', 'CREDIT', 'PARTIAL') AS payment_status",
-        "1 + l_orderkey % 4 AS user_id",
+        "CAST(l_extendedprice AS DECIMAL(10,2)) AS total_amount",
+        "CAST(l_discount AS DECIMAL(5,2)) AS discount_rate",
+        "CAST(l_tax AS DECIMAL(5,2)) AS tax_rate",
         "l_shipdate AS txn_date",
-        "l_orderkey AS order_key",
     )
 
 
+SPELLING = {
+    "txn_number": "concat(IF(txn_type = 'STOCK_IN', 'TXN-IN-', 'TXN-OUT-'), order_key, '-', line_number, '-', product_id, '-',"
+    " line_supplier, '-', year(txn_date) * 10000 + month(txn_date) * 100 + day(txn_date))",
+    "batch_id": "product_id * 10 + line_supplier % 3",
+    "discount_amount": "CAST(total_amount * discount_rate AS DECIMAL(10,2))",
+    "tax_amount": "CAST(total_amount * tax_rate AS DECIMAL(10,2))",
+    "supplier_id": "IF(txn_type IN ('STOCK_IN', 'VENDOR_RETURN'), line_supplier, NULL)",
+    "dept_name": "IF(txn_type = 'INTERNAL_USE', 'DEPT-' || line_supplier % 5, NULL)",
+    "invoice_ref": "CASE txn_type WHEN 'SALE' THEN 'BILL-' || order_key WHEN 'STOCK_IN' THEN 'INV-' || order_key END",
+    "payment_status": "elt(line_number % 4 + 1, 'PAID', 'PENDING', 'CREDIT', 'PARTIAL')",
+    "user_id": "1 + order_key % 4",
+}
+MOVEMENT = [
+    "txn_number", "txn_type", "product_id", "batch_id", "quantity", "discount_amount", "tax_amount", "total_amount", "supplier_id",
+    "dept_name", "invoice_ref", "payment_status", "user_id", "txn_date", "order_key",
+]
+
+
+def movements(line_items: DataFrame) -> DataFrame:
+    """Ledger columns that the line item carries itself; works on a stream as well."""
+    return entries(line_items).selectExpr(*(f"{SPELLING[c]} AS {c}" if c in SPELLING else c for c in MOVEMENT))
+
+
 def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").selectExpr(
         "p_partkey AS priced_id", "CAST(p_retailprice AS DECIMAL(10,2)) AS unit_price"
@@ -163,9 +178,8 @@ def _sale_key() -> Column:
 
 
 def bought(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
-    """Movements with, on sales, the customer; they are read once for sales and once for the rest."""
-    keyed = rows.withColumn("sale_key", _sale_key())
-    return lookup_known(keyed, _buyers(*_orders(spark, sf_dir)), "sale_key", "sale_order").drop("sale_key", "order_key")
+    """Movements or entries with, on sales, the customer; they are read once for sales and once for the rest."""
+    return lookup_known(rows, _buyers(*_orders(spark, sf_dir)), _sale_key(), "sale_order")
 
 
 def priced(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
@@ -220,6 +234,7 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
         lambda rows, few: complete(spark, sf_dir, rows, few),
         lambda rows: bought(spark, sf_dir, rows),
         lambda rows: priced(spark, sf_dir, rows),
+        {name: F.expr(spelled) for name, spelled in SPELLING.items()},
         users=lambda: users(spark),
         categories=lambda: categories(spark),
         suppliers=lambda: suppliers(spark, sf_dir),
@@ -228,5 +243,6 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
         stock=lambda: stock(tables.movements),
         transactions=lambda: tables.complete(tables.movements),
         movements=lambda: movements(table(spark, sf_dir, "lineitem")),
+        entries=lambda: entries(table(spark, sf_dir, "lineitem")),
     )
     return tables

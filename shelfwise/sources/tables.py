@@ -6,7 +6,8 @@ from collections.abc import Callable
 from datetime import date
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import schemas
 
@@ -29,6 +30,11 @@ class Tables:
     missing columns to some movements; ``bought`` adds those that hang on a movement's bill,
     ``priced`` those that hang on a product, to any rows with a ``product_id``. Where tables
     are stored whole, the narrow forms are the tables themselves.
+
+    ``entries`` are the movements by the columns that their others are worked out from, each
+    by its expression in ``spelling``; plans that send every movement over the network send
+    these. ``spelled`` gives such a column. Where the ledger is stored whole, nothing is worked
+    out and the entries are the movements.
     """
 
     users: DataFrame
@@ -38,6 +44,7 @@ class Tables:
     product_batches: DataFrame
     transactions: DataFrame
     movements: DataFrame
+    entries: DataFrame
     stock: DataFrame
 
     def __init__(
@@ -46,10 +53,11 @@ class Tables:
         complete: Callable[[DataFrame, bool], DataFrame] | None = None,
         bought: Callable[[DataFrame], DataFrame] | None = None,
         priced: Callable[[DataFrame], DataFrame] | None = None,
+        spelling: dict[str, Column] | None = None,
         **tables: DataFrame | Callable[[], DataFrame],
     ):
         self.as_of = as_of
-        self._complete, self._bought, self._priced = complete, bought, priced
+        self._complete, self._bought, self._priced, self._spelling = complete, bought, priced, spelling or {}
         self._tables = tables
 
     def complete(self, movements: DataFrame, few: bool = False) -> DataFrame:
@@ -62,10 +70,14 @@ class Tables:
     def priced(self, rows: DataFrame) -> DataFrame:
         return rows if self._priced is None else self._priced(rows)
 
+    def spelled(self, name: str) -> Column:
+        """A movement's column, worked out from its entry."""
+        return self._spelling.get(name, F.col(name))
+
     def __getattr__(self, name: str) -> DataFrame:
         # Only reached while the attribute has not been built.
         tables = self.__dict__["_tables"]
-        wide = {"movements": "transactions", "stock": "product_batches"}.get(name)
+        wide = {"movements": "transactions", "entries": "movements", "stock": "product_batches"}.get(name)
         if wide and name not in tables:
             return getattr(self, wide)
         if name not in tables:
@@ -76,7 +88,10 @@ class Tables:
         return frame
 
     def replaced(self, **tables: DataFrame | Callable[[], DataFrame]) -> Tables:
-        return Tables(self.as_of, self._complete, self._bought, self._priced, **{**self._tables, **tables})
+        kept, spelling = self._tables, self._spelling
+        if "movements" in tables and "entries" not in tables:
+            kept, spelling = {name: table for name, table in kept.items() if name != "entries"}, None
+        return Tables(self.as_of, self._complete, self._bought, self._priced, spelling, **{**kept, **tables})
 
 
 def read_parquet(spark: SparkSession, root: str, as_of: date) -> Tables:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from datetime import datetime
+from datetime import datetime, timedelta
 from decimal import Decimal as D
 
 import pytest
@@ -451,6 +451,49 @@ def test_the_ledger_by_pairs_has_the_rows_of_the_ledger_by_lookups(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def test_the_ledger_sends_entries_and_spells_them_in_order(spark, seed, tmp_path):
+    from pyspark.sql import functions as F
+
+    from shelfwise.plans import ledger
+    from shelfwise.sources import scaled
+
+    day = datetime(1998, 5, 1)
+    parts, flags = [None, 1, 2, 3, 11, 40, 99], ["A", "N", "R", None]
+    lines = [
+        (k // 3 if k % 13 else None, parts[k % 7], k % 5 if k % 4 else None, k % 6 + 1, float(k % 9), k * 1.5, k % 3 / 10, None if k % 8 == 0 else 0.04,
+         flags[k % 4], "OF"[k % 2], day + timedelta(days=k % 6) if k % 17 else None)
+        for k in range(240)
+    ]
+    rows = {
+        "lineitem": lines + lines[:30],
+        "orders": [(k, k % 4 if k and k % 5 else None, "O", 1.0, day, "") for k in [*range(60), 7, None]],
+        "customer": [(k, f"Customer {k}", 1, 0.0, "") for k in (0, 1, 2, 2, None)],
+        "part": [(k, f"part {k}", "brand", "PROMO", k or 4, 10.5) for k in (1, 2, 3, 3, 11, None)],
+        "supplier": [(k, f"Supplier {k}", k, 0.0) for k in (0, 1, 2, 2)],
+    }
+    for name, some in rows.items():
+        spark.createDataFrame(some, scaled.COLUMNS[name]).repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    t = scaled.load(spark, str(tmp_path))
+    got, want = ledger.ledger(t), ledger.named(t, t.complete(t.movements)).orderBy(*ledger.newest_first())
+    assert got.columns == want.columns and got.schema == want.schema
+    got_rows, want_rows = got.collect(), want.collect()
+    assert len(got_rows) > 270 and sorted(map(str, got_rows)) == sorted(map(str, want_rows))
+    assert [(r.txn_date, r.txn_number) for r in got_rows] == [(r.txn_date, r.txn_number) for r in want_rows]
+    assert [r.txn_number for r in got.limit(7).collect()] == [r.txn_number for r in want_rows[:7]]
+    found = F.lower("product_title").contains("part 1") | F.lower("customer_name").contains("part 1") | F.lower("invoice_ref").contains("part 1")
+    assert sorted(map(str, ledger.ledger(t, search="part 1").collect())) == sorted(map(str, want.filter(found).collect()))
+    assert ledger.ledger(t, search="bill-1").count() == sum("BILL-1" in (r.invoice_ref or "") for r in want_rows)
+    # One deal by ranges, below which no text of the movement itself is worked out; the sort needs no other.
+    plan = ledger.ledger(t)._jdf.queryExecution()
+    sent = plan.optimizedPlan().toString().partition("RepartitionByExpression")[2]
+    assert sent
+    assert not any(f" AS {c}#" in sent for c in ("txn_number", "dept_name", "invoice_ref", "payment_status", "discount_amount"))
+    assert plan.executedPlan().toString().count("Exchange rangepartitioning") == 1
+    stored = ledger.ledger(seed)
+    assert stored.columns == ledger.named(seed, seed.transactions).columns
+    assert stored._jdf.queryExecution().executedPlan().toString().count("Exchange rangepartitioning") == 1
+
+
 def test_the_items_of_a_bill_are_worked_out_once(spark):
     rows = [(k, k % 4, "O", 1.0, None, "") for k in range(60)]
     orders = spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string")
